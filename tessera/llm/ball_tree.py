@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEAF = 64
+LEAF = 256
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 
 
@@ -75,23 +75,40 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, n
     return {"ids": ids[order], "vectors": vectors[order], "centre": np.array(centre), "radius": np.array(radius), "start": np.array(start), "end": np.array(end), "left": np.array(left), "right": np.array(right)}
 
 
-def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point while every sum is below 2**53."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
-    if most < 1 << 53:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q @ v.T
-
-
 def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, one_leaf: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec id, score) of each query's k best rows of the tree that reach ``floor``; ``one_leaf``: in its best leaf only."""
     none = np.iinfo(np.int64).min
     scores, ids = np.full((len(q), k), none), np.full((len(q), k), np.iinfo(np.int64).max)
     real, norm = q.astype(np.float64), np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+    reach = np.abs(tree["centre"]).sum(axis=1) + 1
+    rows_of, there = tree["vectors"], tree["ids"]
+    # exact in floating point while every sum stays below 2**53
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(rows_of).max(initial=0)) * max(1, q.shape[1])
+    left_hand, right_hand = (real, rows_of.astype(np.float64)) if most < 1 << 53 else (q, rows_of)
 
     def bound(node: int, rows: np.ndarray) -> np.ndarray:
         up = real[rows] @ tree["centre"][node] + norm[rows] * tree["radius"][node]
-        return up + 1e-9 * (np.abs(up) + norm[rows] * (np.abs(tree["centre"][node]).sum() + 1)) + 1e-6
+        return up + 1e-9 * (np.abs(up) + norm[rows] * reach[node]) + 1e-6
+
+    def look(node: int, rows: np.ndarray) -> None:
+        part = slice(tree["start"][node], tree["end"][node])
+        found = left_hand[rows] @ right_hand[part].T
+        good = found >= np.maximum(floor[rows], scores[rows, -1])[:, None]
+        good &= there[part] != q_ids[rows, None]
+        row, col = np.nonzero(good)
+        if not len(row):
+            return
+        hit, row = np.unique(row, return_inverse=True)
+        rows = rows[hit]
+        # the old best and the new rows of each query, best score and then smallest id first
+        own = np.concatenate((np.repeat(np.arange(len(rows)), k), row))
+        score = np.concatenate((scores[rows].ravel(), found[hit[row], col].astype(np.int64)))
+        vec = np.concatenate((ids[rows].ravel(), there[part][col]))
+        order = np.lexsort((vec, ~score, own))  # ~x falls as x rises, without overflow
+        own, score, vec = own[order], score[order], vec[order]
+        nth = np.arange(len(own)) - np.searchsorted(own, np.arange(len(rows)))[own]
+        top = nth < k
+        scores[rows], ids[rows] = score[top].reshape(-1, k), vec[top].reshape(-1, k)
 
     def visit(node: int, rows: np.ndarray, up: np.ndarray) -> None:
         if not one_leaf:  # the kth score may have risen since the bound was taken
@@ -100,24 +117,15 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, floor:
             return
         left, right = tree["left"][node], tree["right"][node]
         if left < 0:
-            part = slice(tree["start"][node], tree["end"][node])
-            found = _products(q[rows], tree["vectors"][part])
-            there = np.broadcast_to(tree["ids"][part], found.shape)
-            found = np.where((there == q_ids[rows, None]) | (found < floor[rows, None]), none, found)
-            all_s, all_i = np.hstack([scores[rows], found]), np.hstack([ids[rows], there])
-            best = np.lexsort((all_i, -all_s.astype(np.float64) if np.abs(all_s[all_s != none]).max(initial=0) < 1 << 53 else np.where(all_s == none, np.iinfo(np.int64).max, -all_s)), axis=-1)[:, :k]
-            scores[rows], ids[rows] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1)
+            look(node, rows)
             return
         a, b = bound(left, rows), bound(right, rows)
-        if one_leaf:
-            visit(left, rows[a >= b], a[a >= b])
-            visit(right, rows[a < b], b[a < b])
-            return
         lefts = a >= b  # each query goes first where its bound is higher
-        for first, own in ((left, lefts), (right, ~lefts)):
-            visit(first, rows[own], (a if first == left else b)[own])
-        for second, own in ((right, lefts), (left, ~lefts)):
-            visit(second, rows[own], (a if second == left else b)[own])
+        visit(left, rows[lefts], a[lefts])
+        visit(right, rows[~lefts], b[~lefts])
+        if not one_leaf:
+            visit(right, rows[lefts], b[lefts])
+            visit(left, rows[~lefts], a[~lefts])
 
     everyone = np.arange(len(q))
     visit(0, everyone, bound(0, everyone))
