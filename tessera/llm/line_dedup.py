@@ -1,23 +1,25 @@
 """Removal of near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct words (runs without ASCII white space, A-Z
+A line's tokens are its distinct words (runs without ASCII white space,
 lower-cased). A line goes if the Jaccard similarity of its tokens with those of
 an earlier line, in the order (id, text hash, line number), is at least
 ``threshold``; lines without a word stay. All arithmetic is on native columns.
 
-1. Token rarity comes from counts over all documents in a fixed number of hash
-   buckets; a token's key is (bucket's count class, hash), so sorted keys stand
-   rarest first. Any one order keeps the filters exact; rarity makes them short.
-2. Lines of equal token sets collapse to the earliest (partial aggregates), so
-   thousands of copies of a line cost one row.
+1. Equal lines collapse to the earliest (partial aggregates), so thousands of
+   copies of a line cost one row.
+2. Token rarity comes from counts over all distinct lines of all documents, in a
+   fixed number of hash buckets; a token's key is (bucket's count class, hash), so
+   sorted keys stand rarest first. Any one order keeps the filters exact; rarity
+   makes them short.
 3. Prefix filter: similar lines share one of the first n - ceil(t n) + 1 keys.
-   Entries (key, line) carry length, position and a 64-bit map of the set for
-   the length, positional and bitmap filters; none loses a pair.
-4. For each entry, the first and the three previous lines of its key are tried:
-   a line keeps its closest candidate, which is verified on the words. A group of
-   near copies is settled here with one pair a line.
-5. Lines that this leaves open meet every earlier line of their keys that passes
-   the filters, and these pairs are verified. Nothing is capped.
+   Entries (key, line) carry length, position and a 64-bit map of the set for the
+   length, positional and bitmap filters; none loses a pair.
+4. For each entry, the first line of its key and the ``TRIED`` - 1 lines before it
+   are tried: the closest candidate that passes the filters is verified on the
+   words, then the others of lines that it didn't settle. A group of near copies
+   is settled here with few pairs a line. Keys of few lines end here.
+5. Lines still open meet every earlier line of their longer keys that passes the
+   filters, and these pairs are verified. Nothing is capped.
 
 Nulls: a null text stays null with 0 lines; a null id sorts last. Empty texts
 stay empty. Rows that repeat id and text are one document and keep the same
@@ -36,12 +38,16 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 14
 LAST_ID = (1 << 63) - 1
 LINE = ["id", "text_hash", "line_no"]
+Y_LINE = [f"y_{c}" for c in LINE]
+#: Earlier lines of a key that are tried at once: the first, and the last before a line.
+TRIED = 4
 
 
 def words_of(line: Column) -> Column:
     """Distinct lower-cased words."""
-    spaced = F.translate(line, "\t\n\x0b\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", "     abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
+    for space in "\t\x0b\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -51,19 +57,16 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, line_no, line) for every line with a word."""
     text = F.col(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.withColumn("words", words_of(F.col("line"))).filter(F.size("words") > 0)
-
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def rarity_classes(lines: DataFrame) -> list[int]:
-    """Per hash bucket, log2 of the number of tokens of all lines: ``BUCKETS`` small numbers, whatever the corpus."""
-    tokens = lines.select(F.explode("words").alias("token"))
-    counted = tokens.groupBy(_bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("n"))
+    """Per hash bucket, log2 of the tokens of all distinct lines: ``BUCKETS`` small numbers, whatever the corpus."""
+    tokens = lines.select(F.explode(words_of(F.col("line"))).alias("token"))
+    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     classes = [0] * BUCKETS
     for row in counted.select("bucket", F.floor(F.log2("n")).cast("int").alias("level")).collect():
         classes[row["bucket"]] = row["level"]
@@ -71,9 +74,10 @@ def rarity_classes(lines: DataFrame) -> list[int]:
 
 
 def _sorted_keys(words: Column, classes: list[int]) -> Column:
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
-    key = lambda w: F.shiftleft(F.get(table, _bucket(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
+    """Token keys, rarest first: the bucket's class in the high byte, the hash below."""
+    table = F.split(F.lit(",".join(str(c << 56) for c in classes)), ",").cast("array<bigint>")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def _bitmap(keys: Column) -> Column:
@@ -116,28 +120,32 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
 def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, text_hash, line_no) of the lines with words that stay."""
     lines = lines_of(docs, id_col, text_col)
-    classes = rarity_classes(lines)
-    in_order = F.sort_array("words")
-    first = lines.groupBy(F.xxhash64(in_order).alias("h0"), F.xxhash64(F.lit(1), in_order).alias("h1")).agg(F.min(F.struct(*LINE, "line")).alias("first"))
+    first = lines.groupBy(F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1")).agg(F.min(F.struct(*LINE, "line")).alias("first"))
     first = cut(first.select("first.*"), "lines")
-    entries = cut(_entries(first, classes, threshold), "line-entries")
+    entries = _entries(first, rarity_classes(first), threshold)
 
     row = F.struct(*LINE, "n", "place", "bits")
     of_key = Window.partitionBy("key").orderBy(*LINE)
-    tried = F.array(F.first(row).over(of_key), *[F.lag(row, i).over(of_key) for i in (1, 2, 3)])
-    near = entries.withColumn("tried", tried).withColumn("y", F.explode(F.array_distinct("tried")))
-    y = lambda c: F.col(f"y.{c}")
-    near = near.filter((F.struct(*map(y, LINE)) < F.struct(*LINE)) & _may_match(F.col, y, threshold))
-    best = near.groupBy(*LINE).agg(F.min(F.struct(_apart(F.col, y).alias("apart"), *[y(c).alias(f"y_{c}") for c in LINE])).alias("best"))
-    pairs = cut(best.select(*LINE, *[F.col(f"best.y_{c}").alias(f"y_{c}") for c in LINE]), "line-pairs")
-    settled = cut(_verified(pairs, first, threshold), "lines-settled")
-
-    open_entries = entries.join(settled, LINE, "left_anti")
-    earlier = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in [*LINE, "n", "place", "bits"]])
-    before = F.struct(*[F.col(f"y_{c}") for c in LINE]) < F.struct(*LINE)
-    met = open_entries.join(earlier, (open_entries["key"] == earlier["key"]) & before & _may_match(lambda c: F.col(c), lambda c: F.col(f"y_{c}"), threshold))
-    rest = met.select(*LINE, *[f"y_{c}" for c in LINE]).distinct().join(pairs, [*LINE, *[f"y_{c}" for c in LINE]], "left_anti")
-    gone = settled.union(_verified(rest, first, threshold))
+    tried = F.array(F.first(row).over(of_key), *[F.lag(row, i).over(of_key) for i in range(1, TRIED)])
+    ranked = entries.withColumns({"tried": tried, "earlier": F.row_number().over(of_key) - 1, "listed": F.count("*").over(Window.partitionBy("key"))})
+    before = lambda y: F.struct(*[y(c) for c in LINE]) < F.struct(*LINE)
+    passing = F.filter(F.array_distinct("tried"), lambda y: y.isNotNull() & before(y.getField) & _may_match(F.col, y.getField, threshold))
+    near = F.transform(passing, lambda y: F.struct(_apart(F.col, y.getField).alias("apart"), *[y[c].alias(f"y_{c}") for c in LINE]))
+    ranked = ranked.withColumn("near", near).drop("tried").filter((F.size("near") > 0) | (F.col("listed") > TRIED))
+    ranked = cut(ranked, "line-entries")
+
+    pairs = cut(ranked.select(*LINE, F.explode("near").alias("y")).select(*LINE, "y.*").distinct(), "line-pairs")
+    best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", *Y_LINE)).alias("y")).select(*LINE, "y.*")
+    gone = cut(_verified(best, first, threshold), "lines-gone")
+    others = pairs.join(best, [*LINE, *Y_LINE], "left_anti").join(gone, LINE, "left_anti")
+    gone = cut(gone.union(_verified(others, first, threshold)), "lines-gone")
+
+    asks = ranked.filter(F.col("earlier") > TRIED).join(gone, LINE, "left_anti")
+    listed = ranked.filter(F.col("listed") > TRIED).select("key", *[F.col(c).alias(f"y_{c}") for c in [*LINE, "n", "place", "bits"]])
+    y = lambda c: F.col(f"y_{c}")
+    met = asks.join(listed, (asks["key"] == listed["key"]) & before(y) & _may_match(F.col, y, threshold))
+    rest = met.select(*LINE, *Y_LINE).distinct().join(pairs, [*LINE, *Y_LINE], "left_anti")
+    gone = gone.union(_verified(rest, first, threshold))
     return first.select(*LINE).join(gone, LINE, "left_anti")
 
 
