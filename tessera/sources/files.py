@@ -111,8 +111,8 @@ def is_blacklisted(path: Column, entry: str) -> Column:
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, path, content) of all markdown files below ``path``; fails if two files have one id."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
-    rows = texts.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    rows = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     out = rows.select(document_id(F.col("path")).alias("document_id"), "path", "content")
     twice = [r[0] for r in collisions(out).limit(5).collect()]
     if twice:
