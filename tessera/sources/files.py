@@ -154,7 +154,8 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skipped:
-            self.out.append(" ".join(data.split()) if data.strip() else " ")
+            text = " ".join(data.split())
+            self.out.append(" " * data[:1].isspace() + text + " " * (data[-1:].isspace() and text != ""))
 
 
 def to_markdown(html: str | None) -> str:
@@ -163,7 +164,8 @@ def to_markdown(html: str | None) -> str:
     parser = _Markdown()
     parser.feed(html or "")
     parser.close()
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))).strip()
+    joined = re.sub(r" {2,}", " ", "".join(parser.out))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", joined)).strip()
 
 
 @F.pandas_udf(StringType())
