@@ -5,20 +5,23 @@ lower-cased). A line goes if the Jaccard similarity of its tokens with those of
 an earlier line, in the order (id, text hash, line number), is at least
 ``threshold``; lines without a word stay. All arithmetic is on native columns.
 
-1. Equal lines collapse to the earliest (partial aggregates), so thousands of
-   copies of a line cost one row.
-2. Token rarity comes from counts over all distinct lines of all documents, in a
-   fixed number of hash buckets; a token's key is (bucket's count class, hash), so
-   sorted keys stand rarest first. Any one order keeps the filters exact; rarity
-   makes them short.
-3. Prefix filter: similar lines share one of the first n - ceil(t n) + 1 keys.
-   Entries (key, line) carry length, position and a 64-bit map of the set for the
-   length, positional and bitmap filters; none loses a pair.
-4. For each entry, the first line of its key and the ``TRIED`` - 1 lines before it
+1. The documents are written once, bucketed by id and text hash. Every later step
+   that needs texts joins small rows to these buckets, so texts are shuffled once.
+2. Equal lines collapse to the earliest (partial aggregates), so thousands of
+   copies of a line cost one row. The lines that are left are numbered in order.
+3. Token rarity comes from counts over all documents, in a fixed number of hash
+   buckets; a token's key is (bucket's count class, longer words first, hash), so
+   sorted keys stand rarest first: words too rare to lift their bucket are ordered
+   by length. Any one order keeps the filters exact; rarity makes the lists short.
+4. Prefix filter: similar lines share one of the first n - ceil(t n) + 1 keys.
+   Entries (key, line) carry length, position and a 128-bit parity map of the set for the
+   length, positional and bitmap filters; none loses a pair. Entries meet by 40
+   bits of a key; more lines may meet by that, never fewer.
+5. For each entry, the first line of its key and the ``TRIED`` - 1 lines before it
    are tried: the closest candidate that passes the filters is verified on the
-   words, then the others of lines that it didn't settle. A group of near copies
+   words' 64-bit hashes, then the others of lines that it didn't settle. A group of near copies
    is settled here with few pairs a line. Keys of few lines end here.
-5. Lines still open meet every earlier line of their longer keys that passes the
+6. Lines still open meet every earlier line of their longer keys that passes the
    filters, and these pairs are verified. Nothing is capped.
 
 Nulls: a null text stays null with 0 lines; a null id sorts last. Empty texts
@@ -32,22 +35,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import bucketed, cut, fresh
 
 THRESHOLD = 0.8
-BUCKETS = 1 << 14
+#: Hash buckets that count tokens, and the bits of a key by which entries meet.
+BUCKETS, KEY_BITS = 1 << 16, 40
+BITS = ["bits0", "bits1"]
 LAST_ID = (1 << 63) - 1
-LINE = ["id", "text_hash", "line_no"]
-Y_LINE = [f"y_{c}" for c in LINE]
+HAS_WORD = r"[^\x20\x09-\x0D]"
 #: Earlier lines of a key that are tried at once: the first, and the last before a line.
 TRIED = 4
 
 
-def words_of(line: Column) -> Column:
-    """Distinct lower-cased words."""
-    for space in "\t\x0b\f\r":
+def split_words(line: Column) -> Column:
+    """Lower-cased words; empty strings where white space repeats."""
+    for space in "\t\n\x0b\f\r":
         line = F.replace(line, F.lit(space), F.lit(" "))
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
+    return F.split(F.lower(line), " ")
+
+
+def words_of(line: Column) -> Column:
+    """64-bit hashes of the distinct lower-cased words."""
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -56,48 +65,67 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, line_no, line) for every line with a word."""
-    text = F.col(text_col)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def first_lines(texts: DataFrame) -> DataFrame:
+    """(id, text_hash, line_no, line): the first of all equal lines with a word; ``line`` numbers them in order."""
+    lines = texts.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "words")).filter(F.col("words").rlike(HAS_WORD))
+    first = lines.groupBy(F.xxhash64("words").alias("h0"), F.xxhash64(F.lit(1), "words").alias("h1")).agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first"))
+    first = cut(first.select("first.*"), "first-lines")
+    order = ["id", "text_hash", "line_no"]
+    return cut(first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id()), "line-numbers")
 
 
-def rarity_classes(lines: DataFrame) -> list[int]:
-    """Per hash bucket, log2 of the tokens of all distinct lines: ``BUCKETS`` small numbers, whatever the corpus."""
-    tokens = lines.select(F.explode(words_of(F.col("line"))).alias("token"))
-    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
+def with_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line, words): the text of each of ``lines`` (id, text_hash, line_no, line), from the bucketed documents."""
+    asked = lines.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("asked"))
+    # explode holds the split text as a column, so that it isn't split anew for each line
+    split = asked.join(texts, ["id", "text_hash"]).select("asked", F.explode(F.array(F.split("text", "\n"))).alias("all"))
+    found = F.transform("asked", lambda x: F.struct(x["line"].alias("line"), F.get("all", x["line_no"]).alias("words")))
+    return split.select(F.explode(found).alias("x")).select("x.*")
+
+
+def rarity_classes(texts: DataFrame) -> list[int]:
+    """Per hash bucket, log2 of its tokens over the average bucket's, 0 under twice that: ``BUCKETS`` small numbers, whatever the corpus."""
+    tokens = texts.select(F.explode(split_words(F.col("text"))).alias("token"))
+    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    average = max(1, sum(row["n"] for row in counted) // BUCKETS)
     classes = [0] * BUCKETS
-    for row in counted.select("bucket", F.floor(F.log2("n")).cast("int").alias("level")).collect():
-        classes[row["bucket"]] = row["level"]
+    for row in counted:
+        classes[row["bucket"]] = min(31, max(1, row["n"] // average).bit_length() - 1)
     return classes
 
 
-def _sorted_keys(words: Column, classes: list[int]) -> Column:
-    """Token keys, rarest first: the bucket's class in the high byte, the hash below."""
-    table = F.split(F.lit(",".join(str(c << 56) for c in classes)), ",").cast("array<bigint>")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+def _sorted_keys(line: Column, classes: list[int]) -> Column:
+    """Keys of the distinct words, rarest first: the bucket's class, then longer words, then the hash."""
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+    # 58 bits of the hash over 6 bits that fall with the length
+    marked = lambda w: F.shiftleft(F.xxhash64(w), 6).bitwiseOR(63 - F.least(F.octet_length(w), F.lit(63)))
+    words = F.array_remove(F.array_distinct(F.transform(split_words(line), marked)), marked(F.lit("")))
+    level = lambda h: F.get(table, F.shiftrightunsigned(h, 6).bitwiseAND(BUCKETS - 1).cast("int"))
+    key = lambda h: F.shiftleft(F.shiftleft(level(h), 6).bitwiseOR(h.bitwiseAND(63)), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+    return F.sort_array(F.transform(words, key))
 
 
-def _bitmap(keys: Column) -> Column:
-    """64 bits; each key sets the one that its hash names."""
-    one = F.lit(1).cast("long")
+def _bitmap(keys: Column, half: int) -> Column:
+    """Half of 128 bits: for each, whether the number of keys whose hash names it is odd."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
+    return F.aggregate(keys, none, lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
 
 
 def _entries(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
-    """(key, line, n, place, bits) for the keys of each line's prefix."""
-    keyed = lines.select(*LINE, _sorted_keys(words_of(F.col("line")), classes).alias("keys"))
+    """(key, line, n, place, bitmap) for the keys of the prefix of each of ``lines`` (line, words)."""
+    # explode holds the keys as a column, so that they aren't made anew for each use
+    keyed = lines.select("line", F.explode(F.array(_sorted_keys(F.col("words"), classes))).alias("keys"))
     n = F.size("keys")
-    keyed = keyed.select(*LINE, n.alias("n"), _bitmap(F.col("keys")).alias("bits"), F.slice("keys", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")).alias("prefix"))
-    return keyed.select(*LINE, "n", "bits", F.posexplode("prefix").alias("place", "key"))
+    prefix = F.slice("keys", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    keyed = keyed.select("line", n.alias("n"), *[_bitmap(F.col("keys"), i).alias(c) for i, c in enumerate(BITS)], prefix.alias("prefix"))
+    entries = keyed.select("line", "n", *BITS, F.posexplode("prefix").alias("place", "key"))
+    return entries.withColumn("key", F.col("key").bitwiseAND((1 << KEY_BITS) - 1))
 
 
 def _apart(a, b) -> Column:
     """Bits that differ: at most the number of words that two lines don't share."""
-    return F.bit_count(a("bits").bitwiseXOR(b("bits")))
+    return sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in BITS)
 
 
 def _may_match(a, b, threshold: float) -> Column:
@@ -109,66 +137,76 @@ def _may_match(a, b, threshold: float) -> Column:
     return length & (shared >= need) & (_apart(a, b) <= total - 2 * need)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The lines (first three columns) of pairs (id.. and y_id..) that are similar."""
-    x = lines.select(*LINE, F.col("line").alias("x_line"))
-    y = lines.select(*[F.col(c).alias(f"y_{c}") for c in LINE], F.col("line").alias("y_line"))
-    met = pairs.join(x, LINE).join(y, [f"y_{c}" for c in LINE])
-    return met.filter(similarity(words_of(F.col("x_line")), words_of(F.col("y_line"))) >= threshold).select(*LINE).distinct()
+def _words_of_pairs(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line, words) of the lines that stand in pairs, and only of those; words as hashes."""
+    named = pairs.select("line").union(pairs.select("y_line")).distinct()
+    return cut(with_words(lines.join(named, "line"), texts).select("line", words_of(F.col("words")).alias("words")), "pair-words")
+
+
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The lines of pairs (line, y_line) that are similar."""
+    met = pairs.join(words.withColumnRenamed("words", "x"), "line").join(words.select(F.col("line").alias("y_line"), F.col("words").alias("y")), "y_line")
+    return met.filter(similarity(F.col("x"), F.col("y")) >= threshold).select("line").distinct()
 
 
-def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text_hash, line_no) of the lines with words that stay."""
-    lines = lines_of(docs, id_col, text_col)
-    first = lines.groupBy(F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1")).agg(F.min(F.struct(*LINE, "line")).alias("first"))
-    first = cut(first.select("first.*"), "lines")
-    entries = _entries(first, rarity_classes(first), threshold)
+def kept_lines(texts: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, text_hash, line_no) of the lines with words that stay, of ``texts`` (id, text_hash, text)."""
+    lines = first_lines(texts)
+    entries = _entries(with_words(lines, texts), rarity_classes(texts), threshold)
 
-    row = F.struct(*LINE, "n", "place", "bits")
-    of_key = Window.partitionBy("key").orderBy(*LINE)
+    row = F.struct("line", "n", "place", *BITS)
+    of_key = Window.partitionBy("key").orderBy("line")
     tried = F.array(F.first(row).over(of_key), *[F.lag(row, i).over(of_key) for i in range(1, TRIED)])
-    ranked = entries.withColumns({"tried": tried, "earlier": F.row_number().over(of_key) - 1, "listed": F.count("*").over(Window.partitionBy("key"))})
-    before = lambda y: F.struct(*[y(c) for c in LINE]) < F.struct(*LINE)
-    passing = F.filter(F.array_distinct("tried"), lambda y: y.isNotNull() & before(y.getField) & _may_match(F.col, y.getField, threshold))
-    near = F.transform(passing, lambda y: F.struct(_apart(F.col, y.getField).alias("apart"), *[y[c].alias(f"y_{c}") for c in LINE]))
-    ranked = ranked.withColumn("near", near).drop("tried").filter((F.size("near") > 0) | (F.col("listed") > TRIED))
+    # dealt by key before the window's own columns are made, so that each field is shuffled once
+    ranked = entries.repartition("key").withColumns({"tried": tried, "earlier": F.row_number().over(of_key) - 1, "listed": F.count("*").over(Window.partitionBy("key"))})
+    passing = F.filter("tried", lambda y: y.isNotNull() & (y["line"] < F.col("line")) & _may_match(F.col, y.getField, threshold))
+    near = F.transform(passing, lambda y: F.struct(_apart(F.col, y.getField).alias("apart"), y["line"].alias("y_line")))
+    ranked = ranked.filter((F.col("earlier") > 0) | (F.col("listed") > TRIED)).withColumn("near", near).drop("tried").filter((F.size("near") > 0) | (F.col("listed") > TRIED))
     ranked = cut(ranked, "line-entries")
 
-    pairs = cut(ranked.select(*LINE, F.explode("near").alias("y")).select(*LINE, "y.*").distinct(), "line-pairs")
-    best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", *Y_LINE)).alias("y")).select(*LINE, "y.*")
-    gone = cut(_verified(best, first, threshold), "lines-gone")
-    others = pairs.join(best, [*LINE, *Y_LINE], "left_anti").join(gone, LINE, "left_anti")
-    gone = cut(gone.union(_verified(others, first, threshold)), "lines-gone")
+    pairs = cut(ranked.select("line", F.explode("near").alias("y")).select("line", "y.*").distinct(), "line-pairs")
+    words = _words_of_pairs(pairs, lines, texts)
+    best = pairs.groupBy("line").agg(F.min(F.struct("apart", "y_line")).alias("y")).select("line", "y.y_line")
+    gone = cut(_verified(best, words, threshold), "lines-gone")
+    others = pairs.select("line", "y_line").join(best, ["line", "y_line"], "left_anti").join(gone, "line", "left_anti")
+    gone = cut(gone.union(_verified(others, words, threshold)), "lines-gone")
 
-    asks = ranked.filter(F.col("earlier") > TRIED).join(gone, LINE, "left_anti")
-    listed = ranked.filter(F.col("listed") > TRIED).select("key", *[F.col(c).alias(f"y_{c}") for c in [*LINE, "n", "place", "bits"]])
+    asks = ranked.filter(F.col("earlier") > TRIED).join(gone, "line", "left_anti")
+    listed = ranked.filter(F.col("listed") > TRIED).select("key", *[F.col(c).alias(f"y_{c}") for c in ["line", "n", "place", *BITS]])
     y = lambda c: F.col(f"y_{c}")
-    met = asks.join(listed, (asks["key"] == listed["key"]) & before(y) & _may_match(F.col, y, threshold))
-    rest = met.select(*LINE, *Y_LINE).distinct().join(pairs, [*LINE, *Y_LINE], "left_anti")
-    gone = gone.union(_verified(rest, first, threshold))
-    return first.select(*LINE).join(gone, LINE, "left_anti")
+    met = asks.join(listed, (asks["key"] == listed["key"]) & (F.col("y_line") < F.col("line")) & _may_match(F.col, y, threshold))
+    rest = cut(met.select("line", "y_line").distinct().join(pairs, ["line", "y_line"], "left_anti"), "line-rest")
+    gone = gone.union(_verified(rest, _words_of_pairs(rest, lines, texts), threshold))
+    return lines.join(gone, "line", "left_anti").select("id", "text_hash", "line_no")
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, lines_col: str | None = None, kept_col: str | None = None) -> DataFrame:
     """``docs`` with the lines that stay; optional columns count a text's lines and those kept."""
-    kept = kept_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    kept = kept.groupBy("id", "text_hash").agg(F.collect_list("line_no").alias("line_nos"))
-    text = docs[text_col]
-    joined = docs.join(kept, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == kept["id"]) & (F.xxhash64(text) == kept["text_hash"]), "left")
-    split, nos = F.split(text, "\n"), F.coalesce("line_nos", F.array().cast("array<int>"))
-    blank = lambda line: ~line.rlike(r"[^\x20\x09-\x0D]")
-    stay = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), (F.array_contains(nos, i) | blank(line)).alias("stays"))), lambda x: x["stays"])
-    columns = [docs[c] if c != text_col else F.when(text.isNotNull(), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).alias(c) for c in docs.columns]
+    columns = docs.columns
+    key, text_hash, copy = (fresh(docs, c) for c in ("line_doc", "line_text_hash", "line_copy"))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), text_hash: F.xxhash64(text_col)})
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(key)))
+    docs = bucketed(keyed, [key, text_hash], "documents_by_text")
+    texts = docs.filter((F.col(copy) == 1) & F.col(text_col).isNotNull()).select(F.col(key).alias("id"), F.col(text_hash).alias("text_hash"), F.col(text_col).alias("text"))
+
+    kept = kept_lines(texts, threshold=threshold).groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("nos"))
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "nos")
+    joined = docs.join(kept, (docs[key] == kept["kept_id"]) & (docs[text_hash] == kept["kept_hash"]), "left")
+    text, nos = docs[text_col], F.coalesce(kept["nos"], F.array().cast("array<int>"))
+    split = F.split(text, "\n")
+    # the place of each line that stays: kept ones, and those without a word
+    stay = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), (F.array_contains(nos, i) | ~line.rlike(HAS_WORD)).alias("stays"))), lambda x: x["stays"])
+    out = [docs[c] if c != text_col else F.when(text.isNotNull(), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).alias(c) for c in columns]
     if lines_col:
-        columns.append(F.when(text.isNull(), 0).otherwise(F.size(split)).alias(lines_col))
+        out.append(F.when(text.isNull(), 0).otherwise(F.size(split)).alias(lines_col))
     if kept_col:
-        columns.append(F.when(text.isNull(), 0).otherwise(F.size(stay)).alias(kept_col))
-    return joined.select(*columns)
+        out.append(F.when(text.isNull(), 0).otherwise(F.size(stay)).alias(kept_col))
+    return joined.select(*out)
 
 
 def without_emptied(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``drop_repeated_lines`` for a pipeline: a document whose every line with words went goes too."""
     had = fresh(docs, "had_words")
-    marked = docs.withColumn(had, F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    marked = docs.withColumn(had, F.coalesce(F.col(text_col).rlike(HAS_WORD), F.lit(False)))
     left = drop_repeated_lines(marked, id_col=id_col, text_col=text_col, threshold=threshold)
-    return left.filter(~F.col(had) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop(had)
+    return left.filter(~F.col(had) | F.col(text_col).rlike(HAS_WORD)).drop(had)
