@@ -129,10 +129,12 @@ def _apart(a, b) -> Column:
 
 
 def _may_match(a, b, threshold: float) -> Column:
-    """Length, positional and bitmap filters for two entries of one key (field -> column)."""
+    """Length, positional and bitmap filters for two entries of one key (field -> column).
+
+    The positional filter takes the key for the first that the lines share: at that key no similar pair fails."""
     total = a("n") + b("n")
     need = total * (threshold / (1 + threshold)) - 1e-9
-    shared = F.least(a("n") - a("place"), b("n") - b("place")) + F.least(a("place"), b("place"))
+    shared = F.least(a("n") - a("place"), b("n") - b("place"))
     length = F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * threshold - 1e-9
     return length & (shared >= need) & (_apart(a, b) <= total - 2 * need)
 
