@@ -11,8 +11,11 @@ rerun gives the same result. Characters without a piece become byte pieces, and
 so does a U+2581 of the text itself: decoding restores every text exactly.
 With dropout 0 this is plain merge encoding.
 
-Results of short segments are kept in a table of bounded size per worker; it
-changes speed, never results. Nulls: a null text has null ids and tokens 0; an
+The agendas of many short segments are processed side by side (``encode_short``:
+one row of an array for each, one candidate of each row per step, the same order
+and the same hashes as ``encode_segment``, which takes the long ones). Results of
+short segments are kept in a table of bounded size per worker; both change speed,
+never results. Nulls: a null text has null ids and tokens 0; an
 empty text has no tokens. A null id is encoded under its own key. Repeated rows
 give equal rows. Very long texts and words are encoded whole. Empty tables give
 empty results; other columns are ignored.
@@ -25,7 +28,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import cycle
+from itertools import cycle, groupby
 
 import numpy as np
 import pandas as pd
@@ -33,14 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import MODEL_PATH, SPACE, Pieces, load_pieces
+from .pieces import MODEL_PATH, SPACE, MergeTable, Pieces, load_pieces, merge_table
 
 VARIANTS = 8
 DROPOUT = 0.1
 SEGMENT = re.compile(r" *[^ \n\r\t]+| +|[\n\r\t]")
 #: Segments kept per worker, and the longest that is kept.
 KEPT, KEPT_CHARS = 200_000, 64
+#: Texts are encoded together until they hold this many characters, and this many short segments at once.
+BATCH_CHARS, BATCH_SEGMENTS = 500_000, 20_000
 MASK = (1 << 64) - 1
+#: Odd multipliers that mix a candidate's place and length into its hash.
+MIX_PLACE, MIX_LENGTH, MIX_ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 
 
 def encode_segment(segment: str, pieces: Pieces, dropout: float = 0.0, key: int = 0) -> list[int]:
@@ -61,8 +68,8 @@ def encode_segment(segment: str, pieces: Pieces, dropout: float = 0.0, key: int
         if j >= n or not symbols[i] or symbols[i] + symbols[j] != merged:
             continue
         if bound:
-            h = (own ^ (i * 0x9E3779B97F4A7C15 + len(merged) * 0xC2B2AE3D27D4EB4F)) & MASK
-            h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & MASK
+            h = (own ^ (i * MIX_PLACE + len(merged) * MIX_LENGTH)) & MASK
+            h = (h ^ h >> 31) * MIX_ALL & MASK
             if (h ^ h >> 29) < bound:
                 continue
         symbols[i], symbols[j] = merged, ""
@@ -86,46 +93,124 @@ def decode(ids, pieces: Pieces) -> str:
     return b"".join([pieces.spelled[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
+def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: MergeTable, dropout: float = 0.0) -> list[bytes]:
+    """``encode_segment`` (as int32 bytes) of segments of about one length, each with its key."""
+    n, width = len(segments), max(map(len, segments)) + 1  # the last column merges with nothing, as does padding
+    chars = "".join([s.ljust(width, SPACE) for s in segments]).encode("utf-32-le", "surrogatepass")
+    symbols = table.symbol_of[np.frombuffer(chars, np.uint32)]
+    place = np.arange(width, dtype=np.int32)
+    before, after = np.tile(place - 1, n), np.tile(place + 1, n)
+    # the agenda: at each symbol, the cost of the merge with its right neighbour and what it makes
+    cost, made = np.full(n * width, np.inf, np.float32), np.zeros(n * width, np.int32)
+    cost[:-1], made[:-1] = table.find(symbols[:-1], symbols[1:])
+    bound = int(dropout * (1 << 64))
+    own = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), k) for s, k in zip(segments, keys)] if bound else [], np.uint64)
+    rows, agenda = np.arange(n), cost.reshape(n, width)
+    while True:
+        costs = agenda[rows]
+        best = costs.argmin(1)  # the leftmost of equals
+        left = costs[np.arange(len(rows)), best] < np.inf
+        rows, best = rows[left], best[left]
+        if not len(rows):
+            break
+        row, start = rows, rows * width
+        i = start + best
+        j = start + after[i]
+        k = after[j]
+        if bound:
+            h = own[row] ^ (best.astype(np.uint64) * np.uint64(MIX_PLACE) + (k - best).astype(np.uint64) * np.uint64(MIX_LENGTH))
+            h = (h ^ h >> np.uint64(31)) * np.uint64(MIX_ALL)
+            taken = (h ^ h >> np.uint64(29)) >= np.uint64(min(bound, MASK))
+            cost[i[~taken]] = np.inf
+            start, best, i, j, k = start[taken], best[taken], i[taken], j[taken], k[taken]
+        symbol, previous, following = made[i], start + before[i], start + k  # before a row stands the last column of another
+        symbols[i], symbols[j], cost[j] = symbol, -1, np.inf
+        after[i], before[following] = k, best
+        cost[i], made[i] = table.find(symbol, symbols[following])
+        cost[previous], made[previous] = table.find(symbols[previous], symbol)
+    real = (symbols.reshape(n, width) >= 0) & (place < np.array([len(s) for s in segments])[:, None])
+    spelled = ~(real & (symbols.reshape(n, width) >= len(pieces.spelled))).any(1)
+    ids, ends = symbols[real.ravel()].tobytes(), (real.sum(1).cumsum() * 4).tolist()
+    # characters without a piece become bytes
+    return [
+        ids[a:b] if whole else array("i", encode_segment(s, pieces, dropout, k)).tobytes()
+        for s, k, a, b, whole in zip(segments, keys, [0, *ends], ends, spelled.tolist())
+    ]
+
+
 class Encoder:
     """Encodes texts; keeps short segments' ids by variant."""
 
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = 0):
-        self.pieces, self.dropout = pieces, dropout
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = 0, table: MergeTable | None = None):
+        self.pieces, self.dropout, self.table = pieces, dropout, table or merge_table(pieces)
         self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}") for v in range(VARIANTS if dropout else 1)]
-        self.seed, self.kept, self.n = seed, [{} for _ in self.keys], 0
-
-    def segment(self, text: str, variant: int) -> bytes:
-        out = array("i", encode_segment(text, self.pieces, self.dropout, self.keys[variant])).tobytes()
-        if len(text) <= KEPT_CHARS:
-            if self.n >= KEPT:
-                self.kept, self.n = [{} for _ in self.keys], 0
-            self.kept[variant][text] = out
-            self.n += 1
+        self.seed, self.kept = seed, [{} for _ in self.keys]
+
+    def _learn(self, todo: list[tuple[str, int]]) -> None:
+        """Encodes segments that aren't kept yet, those of like length together."""
+        todo.sort(key=lambda x: len(x[0]))
+        for size, alike in groupby(todo, key=lambda x: min(len(x[0]), KEPT_CHARS + 1) + 3 >> 2):
+            alike = list(alike)
+            for at in range(0, len(alike), BATCH_SEGMENTS):
+                part = alike[at : at + BATCH_SEGMENTS]
+                if size * 4 <= KEPT_CHARS:
+                    out = encode_short([s for s, _ in part], [self.keys[v] for _, v in part], self.pieces, self.table, self.dropout)
+                else:
+                    out = [array("i", encode_segment(s, self.pieces, self.dropout, self.keys[v])).tobytes() for s, v in part]
+                for (s, v), ids in zip(part, out):
+                    self.kept[v][s] = ids
+
+    def encode_all(self, texts: list[str], documents: list[str]) -> list[np.ndarray]:
+        dealt, todo = [], []
+        for text, document in zip(texts, documents):
+            variants = [b % len(self.keys) for b in b"".join(xxhash.xxh64_digest(f"{self.seed}:{i}:{document}") for i in range(16))]
+            segments = list(zip(SEGMENT.findall(text), cycle(variants)))
+            for s, v in segments:
+                if s not in self.kept[v]:
+                    self.kept[v][s] = b""
+                    todo.append((s, v))
+            dealt.append(segments)
+        self._learn(todo)
+        out = [np.frombuffer(b"".join([self.kept[v][s] for s, v in segments]), np.int32) for segments in dealt]
+        if sum(map(len, self.kept)) > KEPT:
+            self.kept = [{} for _ in self.keys]
+        for s, v in todo:
+            if len(s) > KEPT_CHARS:
+                self.kept[v].pop(s, None)
         return out
 
     def __call__(self, text: str, document: str = "") -> np.ndarray:
-        variants = [b % len(self.keys) for b in b"".join(xxhash.xxh64_digest(f"{self.seed}:{i}:{document}") for i in range(16))]
-        out = []
-        for segment, v in zip(SEGMENT.findall(text), cycle(variants)):
-            got = self.kept[v].get(segment)
-            out.append(self.segment(segment, v) if got is None else got)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text], [document])[0]
+
+
+def _batches(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of whole texts, each of ``BATCH_CHARS`` characters or little more than that and one text."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += 1 + len(text or "")
+        if held >= BATCH_CHARS:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def _encode(batches: Iterator[pd.DataFrame], pieces, dropout: float, seed: int) -> Iterator[pd.DataFrame]:
-    encoder = Encoder(pieces.value, dropout, seed)
+    encoder = Encoder(pieces.value[0], dropout, seed, pieces.value[1])
     spelled = encoder.pieces.spelled
     for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            part = pdf.iloc[at : at + 1000]
-            ids = [None if t is None else encoder(t, str(d)) for d, t in zip(part["doc_id"].tolist(), part["text"].tolist())]
-            back = [None if x is None else b"".join([spelled[i] for i in x.tolist()]) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, part["text"])]
+        for part in map(pdf.__getitem__, _batches(pdf["text"].tolist())):
+            texts, documents = part["text"].tolist(), part["doc_id"].tolist()
+            found = iter(encoder.encode_all([t for t in texts if t is not None], [str(d) for d, t in zip(documents, texts) if t is not None]))
+            ids = [None if t is None else next(found) for t in texts]
+            back = [None if x is None else b"".join([spelled[i] for i in x.tolist()]) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [0 if x is None else len(x) for x in ids], "ids": ids, "lossless": back})
 
 
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """Per row: doc_id, n_tokens, ids, lossless (the ids decode to exactly the text)."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    loaded = load_pieces(model_path)
+    pieces = docs.sparkSession.sparkContext.broadcast((loaded, merge_table(loaded)))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(partial(_encode, pieces=pieces, dropout=dropout, seed=seed), "doc_id string, n_tokens long, ids array<int>, lossless boolean")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

@@ -3,12 +3,13 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, piece_dropout, simhash, source_mix, trie_counts
-from tessera.llm.pieces import SPACE, load_pieces
+from tessera.llm.pieces import SPACE, load_pieces, merge_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -231,6 +232,23 @@ def test_dropout_is_lossless_varied_and_repeatable(spark, pieces):
     assert len(all_off) == 5
 
 
+def test_agendas_side_by_side_give_the_same_ids(pieces):
+    table = merge_table(pieces)
+    segments = sorted({"", "a", " the", "  double", "▁a", "a▁b", "\x00x", "日本語", "naïve", "é" * 30, " " * 40, " internationalization", "ab" * 30}, key=len)[1:]
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        keys = [k * 0x9E3779B97F4A7C15 & piece_dropout.MASK for k in range(len(segments))]
+        got = piece_dropout.encode_short(segments, keys, pieces, table, dropout)
+        for segment, key, ids in zip(segments, keys, got):
+            assert np.frombuffer(ids, np.int32).tolist() == piece_dropout.encode_segment(segment, pieces, dropout, key)
+    texts = ["one  text\nof words " * 20, "", "x" * 200, "one  text"]
+    encoder = piece_dropout.Encoder(pieces, dropout=0.3, seed=1, table=table)
+    together = encoder.encode_all(texts, list("abcd"))
+    assert [x.tolist() for x in together] == [piece_dropout.Encoder(pieces, dropout=0.3, seed=1)(t, d).tolist() for t, d in zip(texts, "abcd")]
+    assert all(len(s) <= piece_dropout.KEPT_CHARS for kept in encoder.kept for s in kept)
+    slices = list(piece_dropout._batches(["a" * 400_000, None, "b" * 200_000, "", "c"]))
+    assert [(s.start, s.stop) for s in slices] == [(0, 3), (3, 5)] and list(piece_dropout._batches([])) == []
+
+
 def brute_count(word, pieces, unknown):
     best = [(0.0, 0)]
     for i in range(len(word)):
