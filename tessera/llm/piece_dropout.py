@@ -26,9 +26,10 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
-from itertools import cycle, groupby
+from itertools import cycle
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ VARIANTS = 8
 DROPOUT = 0.1
 SEGMENT = re.compile(r" *[^ \n\r\t]+| +|[\n\r\t]")
 #: Segments kept per worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 200_000, 64
+KEPT, KEPT_CHARS = 400_000, 64
 #: Texts are encoded together until they hold this many characters, and this many short segments at once.
 BATCH_CHARS, BATCH_SEGMENTS = 500_000, 20_000
 MASK = (1 << 64) - 1
@@ -146,37 +147,39 @@ class Encoder:
         self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}") for v in range(VARIANTS if dropout else 1)]
         self.seed, self.kept = seed, [{} for _ in self.keys]
 
-    def _learn(self, todo: list[tuple[str, int]]) -> None:
-        """Encodes segments that aren't kept yet, those of like length together."""
-        todo.sort(key=lambda x: len(x[0]))
-        for size, alike in groupby(todo, key=lambda x: min(len(x[0]), KEPT_CHARS + 1) + 3 >> 2):
-            alike = list(alike)
-            for at in range(0, len(alike), BATCH_SEGMENTS):
-                part = alike[at : at + BATCH_SEGMENTS]
-                if size * 4 <= KEPT_CHARS:
-                    out = encode_short([s for s, _ in part], [self.keys[v] for _, v in part], self.pieces, self.table, self.dropout)
-                else:
-                    out = [array("i", encode_segment(s, self.pieces, self.dropout, self.keys[v])).tobytes() for s, v in part]
-                for (s, v), ids in zip(part, out):
-                    self.kept[v][s] = ids
+    def _learn(self, segments: list[str], variants: list[int], short: bool) -> None:
+        """Encodes segments of like length that aren't kept yet."""
+        for at in range(0, len(segments), BATCH_SEGMENTS):
+            part, dealt = segments[at : at + BATCH_SEGMENTS], variants[at : at + BATCH_SEGMENTS]
+            keys = [self.keys[v] for v in dealt]
+            if short:
+                out = encode_short(part, keys, self.pieces, self.table, self.dropout)
+            else:
+                out = [array("i", encode_segment(s, self.pieces, self.dropout, k)).tobytes() for s, k in zip(part, keys)]
+            for s, v, ids in zip(part, dealt, out):
+                self.kept[v][s] = ids
 
     def encode_all(self, texts: list[str], documents: list[str]) -> list[np.ndarray]:
-        dealt, todo = [], []
+        kept, cut = self.kept, []
+        # by length class: the segments that aren't kept, and their variants
+        todo: dict[int, tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
         for text, document in zip(texts, documents):
-            variants = [b % len(self.keys) for b in b"".join(xxhash.xxh64_digest(f"{self.seed}:{i}:{document}") for i in range(16))]
-            segments = list(zip(SEGMENT.findall(text), cycle(variants)))
-            for s, v in segments:
-                if s not in self.kept[v]:
-                    self.kept[v][s] = b""
-                    todo.append((s, v))
-            dealt.append(segments)
-        self._learn(todo)
-        out = [np.frombuffer(b"".join([self.kept[v][s] for s, v in segments]), np.int32) for segments in dealt]
-        if sum(map(len, self.kept)) > KEPT:
-            self.kept = [{} for _ in self.keys]
-        for s, v in todo:
-            if len(s) > KEPT_CHARS:
-                self.kept[v].pop(s, None)
+            variants = [b % len(kept) for b in b"".join(xxhash.xxh64_digest(f"{self.seed}:{i}:{document}") for i in range(16))]
+            segments = SEGMENT.findall(text)
+            cut.append((segments, [kept[v] for v in variants]))
+            for s, v in zip(segments, cycle(variants)):
+                if s not in kept[v]:
+                    kept[v][s] = b""
+                    new, dealt = todo[min(len(s), KEPT_CHARS + 1) + 3 >> 2]
+                    new.append(s)
+                    dealt.append(v)
+        for size, (new, dealt) in todo.items():
+            self._learn(new, dealt, size * 4 <= KEPT_CHARS)
+        out = [np.frombuffer(b"".join([k[s] for s, k in zip(segments, cycle(tables))]), np.int32) for segments, tables in cut]
+        if sum(map(len, kept)) > KEPT:
+            self.kept = [{} for _ in kept]
+        for s, v in zip(*todo[KEPT_CHARS + 4 >> 2]):
+            self.kept[v].pop(s, None)
         return out
 
     def __call__(self, text: str, document: str = "") -> np.ndarray:
