@@ -9,9 +9,12 @@ Other pages are judged by their host. Links to other hosts in the pages' html
 are counted per (host, host). Trust is personalised PageRank: a host's seed is
 the share of its pages that rules allow, and trust flows along links in
 proportion to their counts. Distrust flows against the links from seeds that are
-the share of pages that rules block: who links to blocked hosts earns distrust.
-Both start from unscaled seeds, so a threshold means the same at every size. A
-host is blocked if distrust minus trust reaches ``threshold``.
+the share of pages that rules block: a host takes on the distrust of each host
+that it links to by the share of its own links that go there. How many others
+link to a blocked host doesn't matter, so a host whose links all go to blocked
+hosts is judged the same on tables of every size. Both spread until no score
+moves by ``tolerance`` or more. A host is blocked if distrust minus trust reaches
+``threshold``.
 
 Links are counted by partial aggregates before any shuffle by host; each round
 is a join and an aggregate over host rows, written to the shared folder.
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: The SQL runs ``ROUNDS`` rounds; ``spread`` goes on until scores move by less than ``TOLERANCE``.
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.075
+TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -66,20 +71,26 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return found.select("src", dst.alias("dst")).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score): ``seeds`` (kind, host, seed) spread along (trust) and against (distrust) the links."""
-    forth = links.join(links.groupBy("src").agg(F.sum("links").alias("of")), "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"), (F.col("links") / F.col("of")).alias("part"))
-    back = links.join(links.groupBy("dst").agg(F.sum("links").alias("of")), "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"), (F.col("links") / F.col("of")).alias("part"))
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, score): ``seeds`` (kind, host, seed) spread along (trust) and against (distrust) the links.
+
+    Both weigh a link by its share of the linking host's links. Changes shrink by ``damping`` a round, so this ends.
+    """
+    parts = links.join(links.groupBy("src").agg(F.sum("links").alias("of")), "src").withColumn("part", F.col("links") / F.col("of"))
+    forth = parts.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"), "part")
+    back = parts.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"), "part")
     edges = cut(forth.union(back), "host-edges")
-    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    state = base
-    for _ in range(0 if edges.isEmpty() else rounds):
-        flow = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        state = cut(base.union(flow).groupBy("kind", "host").agg(F.sum("score").alias("score")), "host-scores")
-    return state
+    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), F.lit(0.0).alias("before"))
+    state, moved = base, 0.0 if edges.isEmpty() else tolerance
+    while moved >= tolerance:
+        flow = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"), F.lit(0.0).alias("before"))
+        last = state.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        state = cut(base.union(flow).union(last).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "host-scores")
+        moved = state.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
+    return state.drop("before")
 
 
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict."""
     url = F.col(url_col)
     placed = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -88,6 +99,6 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     hosts = placed.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     seeds = cut(hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0"), "host-seeds")
     links = cut(host_links(pages, url_col, html_col), "host-links")
-    scores = spread(seeds, links, damping, rounds)
+    scores = spread(seeds, links, damping, tolerance)
     blocked = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(-F.col("score"))).alias("excess")).filter(F.col("excess") >= threshold).select("host", F.lit("block").alias("by_host"))
     return placed.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict"))

@@ -42,6 +42,29 @@ def test_url_rules_and_link_graph(spark):
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
+def test_url_distrust_of_a_host_with_many_linkers(spark):
+    link = lambda *to: "".join(f'<a href="http://{t}/">t</a>' for t in to)
+    rows = [(0, "http://bad.net/es/1", "")] + [(i, f"http://h{i}.org/", link("bad.net")) for i in range(1, 41)]
+    rows += [(50, "http://far.org/", link("h1.org")), (51, "http://mixed.org/", link("bad.net", *[f"fine{i}.org" for i in range(9)])), (52, "http://none.org/", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_trust.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(41)} == {"block"} and got[50] == "block" and got[51] == got[52] == "allow"
+
+
+def test_url_scores_spread_to_the_end(spark):
+    hosts, links = "abcd", [("a", "b", 3), ("b", "a", 1), ("a", "c", 1), ("c", "a", 2), ("d", "a", 1)]
+    seeds = [("trust", "c", 0.5), ("distrust", "a", 1.0), ("distrust", "b", 0.25)]
+    got = url_trust.spread(spark.createDataFrame(seeds, "kind string, host string, seed double"), spark.createDataFrame(links, "src string, dst string, links long")).collect()
+    part = np.zeros((4, 4))
+    for src, dst, n in links:
+        part[hosts.index(src), hosts.index(dst)] = n
+    part /= np.maximum(part.sum(1, keepdims=True), 1)
+    for kind, flow in (("trust", part.T), ("distrust", part)):
+        seed = np.array([sum(s for k, h, s in seeds if (k, h) == (kind, host)) for host in hosts])
+        want = np.linalg.solve(np.eye(4) - 0.85 * flow, 0.15 * seed)
+        scores = {r["host"]: r["score"] for r in got if r["kind"] == kind}
+        assert np.allclose([scores.get(h, 0.0) for h in hosts], want, atol=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x:1}</style><script>var a="</p>";</script></head><body class="home">
 <header><a href="/">Site name</a></header><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><!-- note --><div class="cookie-notice">We use cookies here, accept them all please now.</div>
 <article><h1>Head &lt;line&gt;</h1><p><b>First   line<br>goes on &#233;&nbsp;here<p>Second paragraph has a <a href="x">link</a> and some more words.</p><p>Short.</p><form><input><label>Your mail</label></form>
