@@ -3,18 +3,19 @@
 A text is cut into segments (a run of spaces and the word behind it) that no
 piece of the vocabulary crosses. Inside a segment, candidate merges wait in an
 agenda, best score first and then leftmost. A candidate that comes up is skipped
-if its keyed hash is under ``dropout``: the key holds the seed, the segment's
-variant, the segment's characters and the candidate's place and length. Each of
-``VARIANTS`` variants gives its own segmentation; a document's keyed hash deals
-variants to its segments, so a word that repeats is split in varied ways and a
-rerun gives the same result. Characters without a piece become byte pieces, and
-so does a U+2581 of the text itself: decoding restores every text exactly.
+if its keyed hash is under ``dropout``: the key holds the seed, the document's
+id, the segment's place in the document, its characters and the candidate's place
+and length. So each occurrence of a word is split on its own, and a rerun gives
+the same result. Characters without a piece become byte pieces, and so does a
+U+2581 of the text itself: decoding restores every text exactly.
 With dropout 0 this is plain merge encoding.
 
 The agendas of many short segments are processed side by side (``encode_short``:
 one row of an array for each, one candidate of each row per step, the same order
-and the same hashes as ``encode_segment``, which takes the long ones). Results of
-short segments are kept in a table of bounded size per worker; both change speed,
+and the same hashes as ``encode_segment``, which takes the long ones). For short
+segments a table of bounded size per worker holds the ids and the candidates that
+come up when none or a few given ones are skipped; each occurrence's own hashes say
+which entry fits it, and it is encoded by itself if none is kept. Both change speed,
 never results. Nulls: a null text has null ids and tokens 0; an
 empty text has no tokens. A null id is encoded under its own key. Repeated rows
 give equal rows. Very long texts and words are encoded whole. Empty tables give
@@ -26,10 +27,9 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
-from itertools import cycle
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from .pieces import MODEL_PATH, SPACE, MergeTable, Pieces, load_pieces, merge_table
 
-VARIANTS = 8
+#: Keys of the skipping hash; none is shared on purpose.
+VARIANTS = 1 << 64
 DROPOUT = 0.1
 SEGMENT = re.compile(r" *[^ \n\r\t]+| +|[\n\r\t]")
-#: Segments kept per worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 400_000, 64
+#: Entries kept per worker, the longest segment that is kept, and the most skipped candidates of an entry.
+KEPT, KEPT_CHARS, KEPT_SKIPS = 400_000, 64, 3
 #: Texts are encoded together until they hold this many characters, and this many short segments at once.
 BATCH_CHARS, BATCH_SEGMENTS = 500_000, 20_000
 MASK = (1 << 64) - 1
@@ -51,6 +52,23 @@ MASK = (1 << 64) - 1
 MIX_PLACE, MIX_LENGTH, MIX_ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 
 
+def hash_of(segment: str) -> int:
+    return xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"))
+
+
+def occurrence_keys(document: int, n: int) -> np.ndarray:
+    """A mixed key for each of the first ``n`` places of a document, from the document's hash."""
+    x = np.uint64(document) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX_PLACE)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(MIX_ALL)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(MIX_ALL)
+    return h ^ h >> np.uint64(29)
+
+
 def encode_segment(segment: str, pieces: Pieces, dropout: float = 0.0, key: int = 0) -> list[int]:
     """Ids of one segment; ``key`` seeds the skipped merges."""
     symbols = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in segment]  # a literal U+2581 never merges
@@ -62,7 +80,7 @@ def encode_segment(segment: str, pieces: Pieces, dropout: float = 0.0, key: int
             agenda.append((-score, i, symbols[i] + symbols[i + 1]))
     heapq.heapify(agenda)
     bound = int(dropout * (1 << 64))
-    own = xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"), key) if bound else 0
+    own = hash_of(segment) ^ key if bound else 0
     while agenda:
         _, i, merged = heapq.heappop(agenda)
         j = after[i]
@@ -94,8 +112,11 @@ def decode(ids, pieces: Pieces) -> str:
     return b"".join([pieces.spelled[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
-def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: MergeTable, dropout: float = 0.0) -> list[bytes]:
-    """``encode_segment`` (as int32 bytes) of segments of about one length, each with its key."""
+def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: MergeTable, dropout: float = 0.0, skips: np.ndarray | None = None, seen: list | None = None) -> list[bytes]:
+    """``encode_segment`` (as int32 bytes) of segments of about one length, each with its key.
+
+    With ``skips`` (a row of candidates for each segment) just these are skipped; ``seen`` gets (rows, candidates) that were taken.
+    """
     n, width = len(segments), max(map(len, segments)) + 1  # the last column merges with nothing, as does padding
     chars = "".join([s.ljust(width, SPACE) for s in segments]).encode("utf-32-le", "surrogatepass")
     symbols = table.symbol_of[np.frombuffer(chars, np.uint32)]
@@ -105,7 +126,7 @@ def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: Me
     cost, made = np.full(n * width, np.inf, np.float32), np.zeros(n * width, np.int32)
     cost[:-1], made[:-1] = table.find(symbols[:-1], symbols[1:])
     bound = int(dropout * (1 << 64))
-    own = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), k) for s, k in zip(segments, keys)] if bound else [], np.uint64)
+    own = np.array([hash_of(s) ^ k for s, k in zip(segments, keys)] if bound else [], np.uint64)
     rows, agenda = np.arange(n), cost.reshape(n, width)
     while True:
         costs = agenda[rows]
@@ -118,12 +139,13 @@ def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: Me
         i = start + best
         j = start + after[i]
         k = after[j]
-        if bound:
-            h = own[row] ^ (best.astype(np.uint64) * np.uint64(MIX_PLACE) + (k - best).astype(np.uint64) * np.uint64(MIX_LENGTH))
-            h = (h ^ h >> np.uint64(31)) * np.uint64(MIX_ALL)
-            taken = (h ^ h >> np.uint64(29)) >= np.uint64(min(bound, MASK))
+        if bound or skips is not None:
+            candidate = best.astype(np.uint64) * np.uint64(MIX_PLACE) + (k - best).astype(np.uint64) * np.uint64(MIX_LENGTH)
+            taken = mixed(own[row] ^ candidate) >= np.uint64(min(bound, MASK)) if bound else (skips[row] != candidate[:, None]).all(1)
             cost[i[~taken]] = np.inf
             start, best, i, j, k = start[taken], best[taken], i[taken], j[taken], k[taken]
+            if seen is not None:
+                seen.append((row[taken], candidate[taken]))
         symbol, previous, following = made[i], start + before[i], start + k  # before a row stands the last column of another
         symbols[i], symbols[j], cost[j] = symbol, -1, np.inf
         after[i], before[following] = k, best
@@ -134,53 +156,108 @@ def encode_short(segments: list[str], keys: list[int], pieces: Pieces, table: Me
     ids, ends = symbols[real.ravel()].tobytes(), (real.sum(1).cumsum() * 4).tolist()
     # characters without a piece become bytes
     return [
-        ids[a:b] if whole else array("i", encode_segment(s, pieces, dropout, k)).tobytes()
-        for s, k, a, b, whole in zip(segments, keys, [0, *ends], ends, spelled.tolist())
+        ids[a:b] if whole else _spelled_out(s, symbols[at : at + len(s)], pieces)
+        for s, at, a, b, whole in zip(segments, range(0, n * width, width), [0, *ends], ends, spelled.tolist())
     ]
 
 
+def _spelled_out(segment: str, symbols: np.ndarray, pieces: Pieces) -> bytes:
+    """Ids of a segment whose symbols aren't all pieces."""
+    out: list[int] = []
+    for c, symbol in zip(segment, symbols.tolist()):
+        if 0 <= symbol < len(pieces.spelled):
+            out.append(symbol)
+        elif symbol >= 0:
+            out += [pieces.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+    return array("i", out).tobytes()
+
+
 class Encoder:
-    """Encodes texts; keeps short segments' ids by variant."""
+    """Encodes texts; keeps what short segments give if none or a few candidates are skipped."""
 
     def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = 0, table: MergeTable | None = None):
-        self.pieces, self.dropout, self.table = pieces, dropout, table or merge_table(pieces)
-        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}") for v in range(VARIANTS if dropout else 1)]
-        self.seed, self.kept = seed, [{} for _ in self.keys]
-
-    def _learn(self, segments: list[str], variants: list[int], short: bool) -> None:
-        """Encodes segments of like length that aren't kept yet."""
-        for at in range(0, len(segments), BATCH_SEGMENTS):
-            part, dealt = segments[at : at + BATCH_SEGMENTS], variants[at : at + BATCH_SEGMENTS]
-            keys = [self.keys[v] for v in dealt]
-            if short:
-                out = encode_short(part, keys, self.pieces, self.table, self.dropout)
-            else:
-                out = [array("i", encode_segment(s, self.pieces, self.dropout, k)).tobytes() for s, k in zip(part, keys)]
-            for s, v, ids in zip(part, dealt, out):
-                self.kept[v][s] = ids
+        self.pieces, self.dropout, self.table, self.seed = pieces, dropout, table or merge_table(pieces), seed
+        #: Entries by segment, and by (entry, first candidate that is skipped); what entries hold follows.
+        self.kept: list[dict] = [{}, {}]
+        self.segments: list[str] = []
+        self.ids: list[bytes] = []
+        self.hashes, self.skips = np.empty(0, np.uint64), np.empty((0, KEPT_SKIPS), np.uint64)
+        self.starts, self.candidates = np.zeros(1, np.int64), np.empty(0, np.uint64)
+
+    def _learn(self, segments: list[str], skips: np.ndarray) -> None:
+        """Adds entries: the ids of each segment without the candidates that are skipped (0: none), and those that are taken."""
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        out: list[bytes] = [b""] * len(segments)
+        rows, candidates = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for part in self._like(order, segments):
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, ids in zip(part, encode_short([segments[i] for i in part], [0] * len(part), self.pieces, self.table, skips=skips[part], seen=seen)):
+                out[i] = ids
+            at = np.array(part)
+            rows += [at[r] for r, _ in seen]
+            candidates += [c for _, c in seen]
+        row = np.concatenate(rows)
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.bincount(row, minlength=len(segments)).cumsum()))
+        self.candidates = np.concatenate((self.candidates, np.concatenate(candidates)[row.argsort(kind="stable")]))
+        self.hashes = np.concatenate((self.hashes, np.array([hash_of(s) for s in segments], np.uint64)))
+        self.skips = np.concatenate((self.skips, skips))
+        self.segments += segments
+        self.ids += out
+
+    @staticmethod
+    def _like(order: list[int], segments: list[str]) -> Iterator[list[int]]:
+        """Slices of ``order`` (by length) whose segments are of about one length."""
+        at = 0
+        while at < len(order):
+            most, end = len(segments[order[at]]) + 3, at
+            while end < len(order) and end - at < BATCH_SEGMENTS and len(segments[order[end]]) <= most:
+                end += 1
+            yield order[at:end]
+            at = end
+
+    def _first_skipped(self, entry: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrence, candidate): the first of its entry's candidates that each occurrence skips, if any."""
+        n = self.starts[entry + 1] - self.starts[entry]
+        of = np.repeat(np.arange(len(entry)), n)
+        candidate = self.candidates[np.arange(len(of)) + np.repeat(self.starts[entry] - n.cumsum() + n, n)]
+        hit = np.flatnonzero(mixed((self.hashes[entry] ^ keys)[of] ^ candidate) < np.uint64(min(int(self.dropout * (1 << 64)), MASK)))
+        at, first = np.unique(of[hit], return_index=True)
+        return at, candidate[hit[first]]
 
     def encode_all(self, texts: list[str], documents: list[str]) -> list[np.ndarray]:
-        kept, cut = self.kept, []
-        # by length class: the segments that aren't kept, and their variants
-        todo: dict[int, tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
-        for text, document in zip(texts, documents):
-            variants = [b % len(kept) for b in b"".join(xxhash.xxh64_digest(f"{self.seed}:{i}:{document}") for i in range(16))]
-            segments = SEGMENT.findall(text)
-            cut.append((segments, [kept[v] for v in variants]))
-            for s, v in zip(segments, cycle(variants)):
-                if s not in kept[v]:
-                    kept[v][s] = b""
-                    new, dealt = todo[min(len(s), KEPT_CHARS + 1) + 3 >> 2]
-                    new.append(s)
-                    dealt.append(v)
-        for size, (new, dealt) in todo.items():
-            self._learn(new, dealt, size * 4 <= KEPT_CHARS)
-        out = [np.frombuffer(b"".join([k[s] for s, k in zip(segments, cycle(tables))]), np.int32) for segments, tables in cut]
-        if sum(map(len, kept)) > KEPT:
-            self.kept = [{} for _ in kept]
-        for s, v in zip(*todo[KEPT_CHARS + 4 >> 2]):
-            self.kept[v].pop(s, None)
-        return out
+        cut = [SEGMENT.findall(text) for text in texts]
+        flat = [s for segments in cut for s in segments]
+        keys = np.concatenate([np.empty(0, np.uint64), *[occurrence_keys(xxhash.xxh64_intdigest(f"{self.seed}:{d}"), len(x)) for d, x in zip(documents, cut)]])
+        entries, children = self.kept
+        if new := [s for s in dict.fromkeys(flat) if s not in entries and len(s) <= KEPT_CHARS][: max(0, KEPT - len(self.ids))]:
+            entries.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+            self._learn(new, np.zeros((len(new), KEPT_SKIPS), np.uint64))
+        entry = np.fromiter(map(entries.get, flat, repeat(-1)), np.int64, len(flat))
+        left, rest = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0).tolist()
+        for depth in range(KEPT_SKIPS + 1 if self.dropout else 0):
+            at, candidate = self._first_skipped(entry[left], keys[left])
+            left = left[at]
+            if depth == KEPT_SKIPS:
+                rest += left.tolist()
+                break
+            steps = list(zip(entry[left].tolist(), candidate.tolist()))
+            if new := [x for x in dict.fromkeys(steps) if x not in children][: max(0, KEPT - len(self.ids))]:
+                children.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+                skips = self.skips[[e for e, _ in new]]
+                skips[:, depth] = [c for _, c in new]
+                self._learn([self.segments[e] for e, _ in new], skips)
+            after = np.fromiter(map(children.get, steps, repeat(-1)), np.int64, len(steps))
+            rest += left[after < 0].tolist()
+            left = left[after >= 0]
+            entry[left] = after[after >= 0]
+        alone = {i: array("i", encode_segment(flat[i], self.pieces, self.dropout, int(keys[i]))).tobytes() for i in rest if len(flat[i]) > KEPT_CHARS}
+        for part in self._like(sorted([i for i in rest if i not in alone], key=lambda i: len(flat[i])), flat):
+            alone.update(zip(part, encode_short([flat[i] for i in part], keys[part].tolist(), self.pieces, self.table, self.dropout)))
+        found = [self.ids[e] for e in entry.tolist()] if self.ids else [b""] * len(flat)
+        for i, ids in alone.items():
+            found[i] = ids
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
 
     def __call__(self, text: str, document: str = "") -> np.ndarray:
         return self.encode_all([text], [document])[0]

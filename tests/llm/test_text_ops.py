@@ -249,6 +249,23 @@ def test_agendas_side_by_side_give_the_same_ids(pieces):
     assert [(s.start, s.stop) for s in slices] == [(0, 3), (3, 5)] and list(piece_dropout._batches([])) == []
 
 
+def test_dropout_is_drawn_for_each_occurrence(pieces):
+    encoder = piece_dropout.Encoder(pieces, dropout=0.3, seed=1)
+    long = "internationalization" * 4
+    for word in (" international", " " + long):
+        ways = {x.tobytes() for x in encoder.encode_all([word] * 300, [str(d) for d in range(300)])}
+        inside = {x.tobytes() for x in encoder.encode_all([word] * 300, ["a"] * 300)}
+        assert len(ways) > 20 and len(inside) == 1
+    texts = [" international" * 400, " naïve é▁x 日本語 the the of" * 40 + long, "", "one\ntwo"]
+    for text, document in [*zip(texts, "abcd"), *zip(texts, "efgh")]:
+        segments = piece_dropout.SEGMENT.findall(text)
+        keys = piece_dropout.occurrence_keys(xxhash.xxh64_intdigest(f"1:{document}"), len(segments)).tolist()
+        split = [piece_dropout.encode_segment(s, pieces, 0.3, k) for s, k in zip(segments, keys)]
+        assert encoder(text, document).tolist() == sum(split, [])
+        if text == texts[0]:
+            assert len(set(map(tuple, split))) > 20 and split[:128] != split[128:256]
+
+
 def brute_count(word, pieces, unknown):
     best = [(0.0, 0)]
     for i in range(len(word)):
