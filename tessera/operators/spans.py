@@ -1,7 +1,8 @@
 """Per-group vector analytics: first principal component and representative spans.
 
-Groups are documents or sections; each is one task's input, so a group should
-fit a worker (a document's vectors do).
+Groups are documents, sections or labels. ``pca`` folds each group's blocks of
+ordered vectors, so a group may be of any size. ``spans`` still gives each group
+to one task, which holds all pairs of its vectors: a group should fit a worker.
 """
 
 from __future__ import annotations
@@ -11,11 +12,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
+#: Vectors that are folded at once.
+BLOCK_ROWS = 20_000
+
 
 def first_component(vectors: np.ndarray, stop: float = 0.01, centering: bool = True) -> np.ndarray:
     """First principal direction by an order-dependent running update; stops when it hardly turns."""
-    mean, axis = np.zeros(vectors.shape[1]), None
-    for n, v in enumerate(vectors.astype(float), 1):
+    axis = fold_component(vectors, None, stop, centering)[1]
+    return np.zeros(vectors.shape[1]) if axis is None else axis
+
+
+def fold_component(vectors: np.ndarray, state: tuple | None, stop: float = 0.01, centering: bool = True) -> tuple:
+    """(mean, axis, count, stopped) after ``vectors``, going on from the state that the vectors before them gave."""
+    mean, axis, n, stopped = state or (np.zeros(vectors.shape[1]), None, 0, False)
+    mean = mean.copy()
+    for v in vectors.astype(float) if not stopped else ():
+        n += 1
         mean += (v - mean) / n
         x = v - mean if centering else v
         if not np.any(x):
@@ -31,8 +45,9 @@ def first_component(vectors: np.ndarray, stop: float = 0.01, centering: bool = T
         turned = np.linalg.norm(new - axis)
         axis = new
         if turned < stop and n > 2:
+            stopped = True
             break
-    return np.zeros(vectors.shape[1]) if axis is None else axis
+    return mean, axis, n, stopped
 
 
 def weighted_set(query: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -63,15 +78,49 @@ def representative(vectors: np.ndarray, target: np.ndarray, beta: float = 1.0, i
     return [(i, float(a)) for i, a in enumerate(alpha) if a >= max(support, 0.5 / n)]
 
 
-def pca(vectors: DataFrame, by: str, order: str, vec: str = "vec") -> DataFrame:
-    """(by, component): the first principal direction of each group's vectors in ``order``."""
-    kind = vectors.schema[by].dataType.simpleString()
+def pca(vectors: DataFrame, by: str, order: str, vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(by, component): the first principal direction of each group's vectors in ``order``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf.sort_values(order)[vec].to_numpy()).astype(float)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "component": [first_component(m).tolist()]})
+    Rows are dealt into sorted ranges of about ``block_rows``. In turn k each group's k-th range is folded into its mean, axis and
+    count; groups go side by side, and those that have stopped or ended don't go on.
+    """
+    kind, order_kind = (vectors.schema[c].dataType.simpleString() for c in (by, order))
+    rows = vectors.select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(vec).cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // block_rows))
+    ranges = materialize(rows.repartitionByRange(n, "g", "o").withColumn("part", F.spark_partition_id()), "pca-ranges")
+    ends = ranges.groupBy(F.col("g").alias("h")).agg(F.min("part").alias("first"), F.max("part").alias("end"))
+    turns = ranges.join(ends, ranges["g"].eqNullSafe(ends["h"])).select("g", "o", "v", (F.col("part") - F.col("first")).alias("turn"), (F.col("end") - F.col("first")).alias("last"))
+    turns = materialize(turns, "pca-turns")
+    shape = f"g {kind}, last int, n long, stopped boolean, mean array<double>, axis array<double>"
 
-    return vectors.select(by, order, vec).groupBy(by).applyInPandas(run, f"{by} {kind}, component array<double>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, new = pdf[pdf["n"].notna()], pdf[pdf["n"].isna()].sort_values("o")
+        state = None
+        if len(before):
+            b = before.iloc[0]
+            state = (np.array(b["mean"], float), None if b["axis"] is None else np.array(b["axis"], float), int(b["n"]), False)
+        if len(new):
+            state = fold_component(np.stack(new["v"].to_numpy()).astype(float), state)
+        mean, axis, count, stopped = state
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "last": [pdf["last"].iloc[0]], "n": [count], "stopped": [stopped], "mean": [mean.tolist()], "axis": [None if axis is None else axis.tolist()]})
+
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("stopped", "boolean"), ("mean", "array<double>"), ("axis", "array<double>"))]
+    blank = [F.lit(None).cast(order_kind).alias("o"), F.lit(None).cast("array<double>").alias("v")]
+    live, done, turn = None, None, 0
+    while turn == 0 or not live.isEmpty():
+        block = turns.filter(F.col("turn") == turn)
+        if live is not None:
+            going = live.select(F.col("g").alias("h")).distinct()
+            block = block.join(going, block["g"].eqNullSafe(going["h"]), "left_semi")
+        work = block.select("g", "last", "o", "v", *none)
+        if live is not None:
+            work = work.unionByName(live.select("g", "last", *blank, "n", "stopped", "mean", "axis"))
+        state = materialize(work.groupBy("g").applyInPandas(run, shape), "pca-state")
+        over = F.col("stopped") | (F.col("last") <= turn)
+        ended, live = state.filter(over), state.filter(~over)
+        done = ended if done is None else done.unionByName(ended)
+        turn += 1
+    return done.select(F.col("g").alias(by), F.coalesce("axis", F.transform("mean", lambda x: F.lit(0.0))).alias("component"))
 
 
 def spans(vectors: DataFrame, by: str, order: str, vec: str = "vec", beta: float = 1.0) -> DataFrame:

@@ -200,3 +200,24 @@ def test_entry_without_training_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pca_folds_a_large_group_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(g, i, [float(x) for x in r.normal(size=4) * [3, 1, 1, 1]]) for g, n in (("hot", 300), ("small", 5), (None, 7)) for i in range(n)] + [("same", i, [1.0] * 4) for i in range(3)]
+    df = spark.createDataFrame(rows, "label string, id long, v array<float>")
+    most, fold = spark.sparkContext.accumulator(0), spans.fold_component
+    folds = spark.sparkContext.accumulator(0)
+
+    def counted(vectors, state, stop=1e-9, centering=True):
+        folds.add(1)
+        most.add(int(len(vectors) > 100))
+        return fold(vectors, state, stop, centering)
+
+    monkeypatch.setattr(spans, "fold_component", counted)
+    got = {x["label"]: x["component"] for x in spans.pca(df.repartition(3), "label", "id", "v", block_rows=30).collect()}
+    monkeypatch.undo()
+    assert set(got) == {"hot", "small", "same", None} and folds.value > 6 and most.value == 0
+    for g in got:
+        m = np.array([v for label, _, v in rows if label == g], np.float32).astype(float)
+        assert np.allclose(got[g], spans.first_component(m, stop=1e-9))
