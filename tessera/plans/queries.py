@@ -316,7 +316,7 @@ def retry_outcomes(spark, d):
 
 
 def error_tally(spark, d):
-    return usage.error_tally(table(spark, d, "events"), "props", "event_type", chars=9)
+    return usage.error_tally(table(spark, d, "events"), "props", "event_type")
 
 
 def latency_percentiles(spark, d):

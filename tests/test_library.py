@@ -221,3 +221,13 @@ def test_pca_folds_a_large_group_in_blocks(spark, monkeypatch):
     for g in got:
         m = np.array([v for label, _, v in rows if label == g], np.float32).astype(float)
         assert np.allclose(got[g], spans.first_component(m, stop=1e-9))
+
+
+def test_error_tally_keeps_long_messages_apart(spark, tmp_path):
+    rows = [("a", '{"k": 76, "reason": "slow"}'), ("a", '{"k": 76, "reason": "lost"}'), ("a", '{"k": 76, "reason": "lost"}'), ("b", None)]
+    spark.createDataFrame(rows, "event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["error_tally"](spark, str(tmp_path)).collect() if r["message"])
+    assert got == [("a", rows[1][1], 2), ("a", rows[0][1], 1)]
+    got, con = QUERIES["error_tally"](spark, SF), duckdb.connect()
+    con.sql(f"create view events as select * from '{SF}/events.parquet'")
+    assert plain(got.collect()) == plain(con.sql(ORACLE_SQL["error_tally"]).fetchall())
