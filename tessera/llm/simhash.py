@@ -193,7 +193,12 @@ def _links_in(max_bits: int):
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b), a < b, that span every component of distinct fingerprints (column ``print``)."""
+    """Links (a, b), a < b, that span every component of distinct fingerprints (column ``print``).
+
+    The anchors find all pairs of up to ``MAX_BITS`` differing bits; more are refused, since pairs would be lost.
+    """
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"max_bits must be 0 to {MAX_BITS}, not {max_bits}")
     dealt = prints.mapInPandas(_replicate, "anchor long, print long").repartition("anchor").sortWithinPartitions("anchor", "print")
     return dealt.mapInPandas(_links_in(max_bits), "a long, b long").distinct()
 

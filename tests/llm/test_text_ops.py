@@ -163,6 +163,13 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sum(r["doc_id"] is None for r in got) == 1
 
 
+def test_simhash_refuses_more_bits_than_its_anchors_cover(spark):
+    prints = spark.createDataFrame([(0,), (31,)], "print long")
+    with pytest.raises(ValueError):
+        simhash.links(prints, 5)
+    assert simhash.links(prints, 4).count() == 0
+
+
 def test_mix_reaches_targets(spark):
     r = random.Random(2)
     rows = [(i, "w " * r.randrange(1, 60), s) for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["tiny"] * 20 + [None] * 200)] + [(None, None, "mid"), (5, "", "mid")]
