@@ -261,7 +261,7 @@ def query_prefix(spark, d):
 
 
 def spell_map(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.correct_words(F.col("text"), {"the": "THE", "of": "oF"}).alias("t"))
+    return table(spark, d, "documents").select("doc_id", T.correct_words(F.col("text"), {"the": "THE", "of": "oF"}).alias("t"))
 
 
 def resolve_range(spark, d):
@@ -341,7 +341,7 @@ def text_segments(spark, d):
 
 
 def text_subsegments(spark, d):
-    return segments.subsegments(table(spark, d, "benchmark"), "item_id", "text")
+    return segments.subsegments(table(spark, d, "documents"), "doc_id", "text")
 
 
 def pca_first_component(spark, d):

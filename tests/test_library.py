@@ -231,3 +231,12 @@ def test_error_tally_keeps_long_messages_apart(spark, tmp_path):
     got, con = QUERIES["error_tally"](spark, SF), duckdb.connect()
     con.sql(f"create view events as select * from '{SF}/events.parquet'")
     assert plain(got.collect()) == plain(con.sql(ORACLE_SQL["error_tally"]).fetchall())
+
+
+def test_text_queries_read_whole_documents(spark, tmp_path):
+    rows = [(1, "One of the words. Then more; and the end."), (2, None), (3, ""), (4, "the sentence of it. " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spelled = {r["doc_id"]: r["t"] for r in QUERIES["spell_map"](spark, str(tmp_path)).collect()}
+    assert set(spelled) == {1, 2, 3, 4} and spelled[2] is None and spelled[4].count("THE sentence oF it.") == 3000
+    parts = QUERIES["text_subsegments"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in parts} == {1, 4} and max(r["end"] for r in parts if r["doc_id"] == 4) >= 20 * 2999
