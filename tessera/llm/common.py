@@ -15,11 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and kept in the session under the same name.
+    Only where the session names none and the master is local (single-machine
+    tests) a temporary folder is made and kept in the session under the same
+    name; a cluster without the setting is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -34,16 +37,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _noted(spark.read.schema(df.schema).parquet(path), path)
+
+
+#: Folders of ``cut`` and ``bucketed`` that are still there, oldest first.
+WRITTEN: list[str] = []
+
+
+def _noted(df: DataFrame, path: str) -> DataFrame:
+    WRITTEN.append(path)
+    df.written_to = path
+    return df
+
+
+def delete_written(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``cut`` or ``bucketed``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of results of ``cut`` or ``bucketed`` that nothing reads any more."""
+    for df in tables:
+        delete_written(df.sparkSession, df.written_to)
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``cut`` to a table bucketed by ``keys``: joins on exactly these keys don't shuffle it again."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd")
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(name)
-    return spark.table(name)
+    return _noted(spark.table(name), path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -9,20 +9,24 @@ an earlier line, in the order (id, text hash, line number), is at least
    that needs texts joins small rows to these buckets, so texts are shuffled once.
 2. Equal lines collapse to the earliest (partial aggregates), so thousands of
    copies of a line cost one row. The lines that are left are numbered in order.
-3. Token rarity comes from counts over all documents, in a fixed number of hash
-   buckets; a token's key is (bucket's count class, longer words first, hash), so
-   sorted keys stand rarest first: words too rare to lift their bucket are ordered
-   by length. Any one order keeps the filters exact; rarity makes the lists short.
+3. Token rarity comes from counts over all documents, in ``BUCKETS`` hash buckets;
+   a token's key is (log2 of its bucket's count, hash), so sorted keys stand rarest
+   first. Any one order keeps the filters exact; rarity makes the lists short.
 4. Prefix filter: similar lines share one of the first n - ceil(t n) + 1 keys.
    Entries (key, line) carry length, position and a 128-bit parity map of the set for the
    length, positional and bitmap filters; none loses a pair. Entries meet by 40
    bits of a key; more lines may meet by that, never fewer.
-5. For each entry, the first line of its key and the ``TRIED`` - 1 lines before it
-   are tried: the closest candidate that passes the filters is verified on the
-   words' 64-bit hashes, then the others of lines that it didn't settle. A group of near copies
-   is settled here with few pairs a line. Keys of few lines end here.
-6. Lines still open meet every earlier line of their longer keys that passes the
-   filters, and these pairs are verified. Nothing is capped.
+5. Entries are dealt by key once. Each is held against the first line of its key and
+   the line just before it. Where one of them passes the filters, the entry meets
+   only these two for now; else it meets every earlier line of its key that passes.
+   So a group of near copies gives few pairs a line. Pairs are verified on the words'
+   64-bit hashes, the closest of each line first.
+6. Entries that were held back, of lines that no pair settled, then meet every
+   earlier line of their key that passes, and these pairs are verified. The lists of
+   the keys concerned were written along with the pairs. Nothing is capped.
+
+Arrays are exploded by the outer forms: none is empty here, and for the others the
+optimizer adds a filter that computes the array a second time.
 
 Nulls: a null text stays null with 0 lines; a null id sorts last. Empty texts
 stay empty. Rows that repeat id and text are one document and keep the same
@@ -32,31 +36,32 @@ lines. Very long texts and lines are processed whole. Other columns pass through
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, cut, fresh
+from .common import bucketed, cut, discard, fresh
 
 THRESHOLD = 0.8
 #: Hash buckets that count tokens, and the bits of a key by which entries meet.
-BUCKETS, KEY_BITS = 1 << 16, 40
+BUCKETS, KEY_BITS = 1 << 18, 40
 BITS = ["bits0", "bits1"]
 LAST_ID = (1 << 63) - 1
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Earlier lines of a key that are tried at once: the first, and the last before a line.
-TRIED = 4
+WHITE = "\t\n\x0b\f\r"
 
 
 def split_words(line: Column) -> Column:
     """Lower-cased words; empty strings where white space repeats."""
-    for space in "\t\n\x0b\f\r":
-        line = F.replace(line, F.lit(space), F.lit(" "))
-    return F.split(F.lower(line), " ")
+    lower = F.lower(line)
+    other = functools.reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in WHITE])
+    return F.split(F.when(other, F.translate(lower, WHITE, " " * len(WHITE))).otherwise(lower), " ")
 
 
 def words_of(line: Column) -> Column:
     """64-bit hashes of the distinct lower-cased words."""
-    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_except(F.transform(split_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -67,59 +72,52 @@ def similarity(a: Column, b: Column) -> Column:
 
 def first_lines(texts: DataFrame) -> DataFrame:
     """(id, text_hash, line_no, line): the first of all equal lines with a word; ``line`` numbers them in order."""
-    lines = texts.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "words")).filter(F.col("words").rlike(HAS_WORD))
+    lines = texts.select("id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "words")).filter(F.col("words").rlike(HAS_WORD))
     first = lines.groupBy(F.xxhash64("words").alias("h0"), F.xxhash64(F.lit(1), "words").alias("h1")).agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first"))
     first = cut(first.select("first.*"), "first-lines")
     order = ["id", "text_hash", "line_no"]
-    return cut(first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id()), "line-numbers")
+    numbered = cut(first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id()), "line-numbers")
+    discard(first)
+    return numbered
 
 
 def with_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line, words): the text of each of ``lines`` (id, text_hash, line_no, line), from the bucketed documents."""
     asked = lines.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("asked"))
-    # explode holds the split text as a column, so that it isn't split anew for each line
-    split = asked.join(texts, ["id", "text_hash"]).select("asked", F.explode(F.array(F.split("text", "\n"))).alias("all"))
+    # explode_outer holds the split text as a column, so that it isn't split anew for each line
+    split = asked.join(texts, ["id", "text_hash"]).select("asked", F.explode_outer(F.array(F.split("text", "\n"))).alias("all"))
     found = F.transform("asked", lambda x: F.struct(x["line"].alias("line"), F.get("all", x["line_no"]).alias("words")))
-    return split.select(F.explode(found).alias("x")).select("x.*")
-
-
-def rarity_classes(texts: DataFrame) -> list[int]:
-    """Per hash bucket, log2 of its tokens over the average bucket's, 0 under twice that: ``BUCKETS`` small numbers, whatever the corpus."""
-    tokens = texts.select(F.explode(split_words(F.col("text"))).alias("token"))
-    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).collect()
-    average = max(1, sum(row["n"] for row in counted) // BUCKETS)
-    classes = [0] * BUCKETS
-    for row in counted:
-        classes[row["bucket"]] = min(31, max(1, row["n"] // average).bit_length() - 1)
-    return classes
+    return split.select(F.explode_outer(found).alias("x")).select("x.*")
 
 
-def _sorted_keys(line: Column, classes: list[int]) -> Column:
-    """Keys of the distinct words, rarest first: the bucket's class, then longer words, then the hash."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
-    # 58 bits of the hash over 6 bits that fall with the length
-    marked = lambda w: F.shiftleft(F.xxhash64(w), 6).bitwiseOR(63 - F.least(F.octet_length(w), F.lit(63)))
-    words = F.array_remove(F.array_distinct(F.transform(split_words(line), marked)), marked(F.lit("")))
-    level = lambda h: F.get(table, F.shiftrightunsigned(h, 6).bitwiseAND(BUCKETS - 1).cast("int"))
-    key = lambda h: F.shiftleft(F.shiftleft(level(h), 6).bitwiseOR(h.bitwiseAND(63)), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
-    return F.sort_array(F.transform(words, key))
+def rarity_levels(texts: DataFrame) -> list[int]:
+    """Per hash bucket, log2 of its tokens in all documents: ``BUCKETS`` small numbers, whatever the corpus."""
+    tokens = texts.select(F.explode_outer(F.split("text", "\n")).alias("line")).select(F.explode_outer(split_words(F.col("line"))).alias("token"))
+    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    levels = [0] * BUCKETS
+    for row in counted.select(F.col("bucket").cast("int").alias("bucket"), F.least(F.floor(F.log2("n")), F.lit(31)).cast("int").alias("level")).collect():
+        levels[row["bucket"]] = row["level"]
+    return levels
 
 
-def _bitmap(keys: Column, half: int) -> Column:
-    """Half of 128 bits: for each, whether the number of keys whose hash names it is odd."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, none, lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
+def _bitmap(hashes: Column, half: int) -> Column:
+    """Half of 128 bits: for each, whether the number of hashes that name it is odd. A hash names one bit of one half."""
+    none = F.lit(0).cast("long")
+    own = lambda h: F.shiftrightunsigned(h, 26).bitwiseAND(1).bitwiseXOR(F.lit(1 - half).cast("long"))
+    bit = lambda h: F.call_function("shiftleft", own(h), F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int"))
+    return F.aggregate(hashes, none, lambda a, h: a.bitwiseXOR(bit(h)))
 
 
-def _entries(lines: DataFrame, classes: list[int], threshold: float) -> DataFrame:
+def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """(key, line, n, place, bitmap) for the keys of the prefix of each of ``lines`` (line, words)."""
-    # explode holds the keys as a column, so that they aren't made anew for each use
-    keyed = lines.select("line", F.explode(F.array(_sorted_keys(F.col("words"), classes))).alias("keys"))
-    n = F.size("keys")
-    prefix = F.slice("keys", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    keyed = keyed.select("line", n.alias("n"), *[_bitmap(F.col("keys"), i).alias(c) for i, c in enumerate(BITS)], prefix.alias("prefix"))
-    entries = keyed.select("line", "n", *BITS, F.posexplode("prefix").alias("place", "key"))
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    # explode_outer holds the hashes as a column, so that they aren't made anew for each use
+    hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words")))).alias("hashes"))
+    n = F.size("hashes")
+    prefix = F.slice(F.sort_array(F.transform("hashes", key)), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    keyed = hashed.select("line", n.alias("n"), *[_bitmap(F.col("hashes"), i).alias(c) for i, c in enumerate(BITS)], prefix.alias("prefix"))
+    entries = keyed.select("line", "n", *BITS, F.posexplode_outer("prefix").alias("place", "key"))
     return entries.withColumn("key", F.col("key").bitwiseAND((1 << KEY_BITS) - 1))
 
 
@@ -139,6 +137,39 @@ def _may_match(a, b, threshold: float) -> Column:
     return length & (shared >= need) & (_apart(a, b) <= total - 2 * need)
 
 
+FIELDS = ["line", "n", "place", *BITS]
+
+
+def _as(prefix: str):
+    return lambda c: F.col(f"{prefix}_{c}")
+
+
+def _meetings(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (line, y_line, apart, back) of entries that may match, and lists for later.
+
+    ``back`` marks pairs of entries that met only the first line of their key and
+    the one before. Where a key has such entries, its whole list is there too, as
+    rows with y_line equal to line and the entry's fields.
+    """
+    # without nulls the optimizer adds no filter to one side only: both sides of the join read one exchange
+    dealt = entries.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ["key", *FIELDS]]).repartition("key")
+    of_key = Window.partitionBy("key").orderBy("line")
+    so_far = of_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumns({f"first_{c}": F.first(c).over(so_far) for c in FIELDS} | {f"last_{c}": F.lag(c).over(of_key) for c in FIELDS})
+    may = [(_as(p)("line") < F.col("line")) & _may_match(F.col, _as(p), threshold) for p in ("first", "last")]
+    ranked = ranked.withColumn("back", F.coalesce(may[0] | may[1], F.lit(False)))
+    ranked = ranked.withColumn("listed", F.max("back").over(Window.partitionBy("key")))
+    asks = ranked.filter((F.col("first_line") < F.col("line")) | F.col("listed")).select("key", *FIELDS, "back", "listed", "first_line", "last_line")
+    others = dealt.select("key", *[F.col(c).alias(f"y_{c}") for c in FIELDS])
+    y = _as("y")
+    itself = F.col("listed") & (y("line") == F.col("line")) & (y("place") == F.col("place"))
+    # the line order first: it is cheap and halves the list
+    open_to = ~F.col("back") | (y("line") == F.col("first_line")) | (y("line") == F.col("last_line"))
+    meets = (y("line") < F.col("line")) & open_to & _may_match(F.col, y, threshold)
+    met = asks.join(others, (asks["key"] == others["key"]) & (y("line") <= F.col("line")) & (itself | meets))
+    return met.select(asks["key"], *FIELDS, "back", "y_line", _apart(F.col, y).alias("apart"))
+
+
 def _words_of_pairs(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line, words) of the lines that stand in pairs, and only of those; words as hashes."""
     named = pairs.select("line").union(pairs.select("y_line")).distinct()
@@ -151,41 +182,41 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return met.filter(similarity(F.col("x"), F.col("y")) >= threshold).select("line").distinct()
 
 
-def kept_lines(texts: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text_hash, line_no) of the lines with words that stay, of ``texts`` (id, text_hash, text)."""
-    lines = first_lines(texts)
-    entries = _entries(with_words(lines, texts), rarity_classes(texts), threshold)
-
-    row = F.struct("line", "n", "place", *BITS)
-    of_key = Window.partitionBy("key").orderBy("line")
-    tried = F.array(F.first(row).over(of_key), *[F.lag(row, i).over(of_key) for i in range(1, TRIED)])
-    # dealt by key before the window's own columns are made, so that each field is shuffled once
-    ranked = entries.repartition("key").withColumns({"tried": tried, "earlier": F.row_number().over(of_key) - 1, "listed": F.count("*").over(Window.partitionBy("key"))})
-    passing = F.filter("tried", lambda y: y.isNotNull() & (y["line"] < F.col("line")) & _may_match(F.col, y.getField, threshold))
-    near = F.transform(passing, lambda y: F.struct(_apart(F.col, y.getField).alias("apart"), y["line"].alias("y_line")))
-    ranked = ranked.filter((F.col("earlier") > 0) | (F.col("listed") > TRIED)).withColumn("near", near).drop("tried").filter((F.size("near") > 0) | (F.col("listed") > TRIED))
-    ranked = cut(ranked, "line-entries")
-
-    pairs = cut(ranked.select("line", F.explode("near").alias("y")).select("line", "y.*").distinct(), "line-pairs")
+def _gone(pairs: DataFrame, lines: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The lines of pairs (line, y_line, apart) that are similar; the closest pair of each line first."""
     words = _words_of_pairs(pairs, lines, texts)
     best = pairs.groupBy("line").agg(F.min(F.struct("apart", "y_line")).alias("y")).select("line", "y.y_line")
     gone = cut(_verified(best, words, threshold), "lines-gone")
     others = pairs.select("line", "y_line").join(best, ["line", "y_line"], "left_anti").join(gone, "line", "left_anti")
-    gone = cut(gone.union(_verified(others, words, threshold)), "lines-gone")
+    both = cut(gone.union(_verified(others, words, threshold)), "lines-gone")
+    discard(words, gone)
+    return both
+
 
-    asks = ranked.filter(F.col("earlier") > TRIED).join(gone, "line", "left_anti")
-    listed = ranked.filter(F.col("listed") > TRIED).select("key", *[F.col(c).alias(f"y_{c}") for c in ["line", "n", "place", *BITS]])
-    y = lambda c: F.col(f"y_{c}")
-    met = asks.join(listed, (asks["key"] == listed["key"]) & (F.col("y_line") < F.col("line")) & _may_match(F.col, y, threshold))
-    rest = cut(met.select("line", "y_line").distinct().join(pairs, ["line", "y_line"], "left_anti"), "line-rest")
-    gone = gone.union(_verified(rest, _words_of_pairs(rest, lines, texts), threshold))
-    return lines.join(gone, "line", "left_anti").select("id", "text_hash", "line_no")
+def kept_lines(texts: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, text_hash, line_no) of the lines with words that stay, of ``texts`` (id, text_hash, text)."""
+    lines = first_lines(texts)
+    met = cut(_meetings(_entries(with_words(lines, texts), rarity_levels(texts), threshold), threshold), "line-meetings")
+    pairs = cut(met.filter("y_line < line").select("line", "y_line", "apart").distinct(), "line-pairs")
+    gone = _gone(pairs, lines, texts, threshold)
+
+    listed = met.filter("y_line = line").select("key", *FIELDS, "back")
+    held = listed.filter("back").join(gone, "line", "left_anti")
+    others = listed.select("key", *[F.col(c).alias(f"y_{c}") for c in FIELDS])
+    again = held.join(others, (held["key"] == others["key"]) & (F.col("y_line") < F.col("line")) & _may_match(F.col, _as("y"), threshold))
+    again = again.select("line", others["y_line"], _apart(F.col, _as("y")).alias("apart")).distinct()
+    rest = cut(again.join(pairs, ["line", "y_line"], "left_anti"), "line-rest")
+    discard(met, pairs)
+    more = _gone(rest, lines, texts, threshold)
+    kept = cut(lines.join(gone.union(more), "line", "left_anti").select("id", "text_hash", "line_no"), "lines-kept")
+    discard(lines, gone, rest, more)
+    return kept
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, lines_col: str | None = None, kept_col: str | None = None) -> DataFrame:
     """``docs`` with the lines that stay; optional columns count a text's lines and those kept."""
     columns = docs.columns
-    key, text_hash, copy = (fresh(docs, c) for c in ("line_doc", "line_text_hash", "line_copy"))
+    key, text_hash, copy, all_lines, staying = (fresh(docs, c) for c in ("line_doc", "line_text_hash", "line_copy", "all_lines", "staying_lines"))
     keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), text_hash: F.xxhash64(text_col)})
     keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(key)))
     docs = bucketed(keyed, [key, text_hash], "documents_by_text")
@@ -195,14 +226,17 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     kept = kept.select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "nos")
     joined = docs.join(kept, (docs[key] == kept["kept_id"]) & (docs[text_hash] == kept["kept_hash"]), "left")
     text, nos = docs[text_col], F.coalesce(kept["nos"], F.array().cast("array<int>"))
-    split = F.split(text, "\n")
-    # the place of each line that stays: kept ones, and those without a word
-    stay = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), (F.array_contains(nos, i) | ~line.rlike(HAS_WORD)).alias("stays"))), lambda x: x["stays"])
-    out = [docs[c] if c != text_col else F.when(text.isNotNull(), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).alias(c) for c in columns]
+    # explode_outer holds the split text as a column, so that it isn't split anew for each line
+    split, stay = F.col(all_lines), F.col(staying)
+    joined = joined.select(*docs.columns, nos.alias(staying), F.explode_outer(F.array(F.split(text, "\n"))).alias(all_lines))
+    # the places of the lines that stay: kept ones, and those without a word
+    wordless = F.filter(F.transform(split, lambda line, i: F.when(~line.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn(staying, F.explode_outer(F.array(F.sort_array(F.array_union(stay, wordless)))))
+    out = [F.col(c) if c != text_col else F.when(F.col(c).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).alias(c) for c in columns]
     if lines_col:
-        out.append(F.when(text.isNull(), 0).otherwise(F.size(split)).alias(lines_col))
+        out.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias(lines_col))
     if kept_col:
-        out.append(F.when(text.isNull(), 0).otherwise(F.size(stay)).alias(kept_col))
+        out.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(stay)).alias(kept_col))
     return joined.select(*out)
 
 
