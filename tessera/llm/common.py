@@ -42,6 +42,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 #: Folders of ``cut`` and ``bucketed`` that are still there, oldest first.
 WRITTEN: list[str] = []
+#: Names of those that are tables.
+BUCKETED: set[str] = set()
 
 
 def _noted(df: DataFrame, path: str) -> DataFrame:
@@ -52,6 +54,9 @@ def _noted(df: DataFrame, path: str) -> DataFrame:
 
 def delete_written(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ``cut`` or ``bucketed``."""
+    if (name := path.rpartition("/")[2]) in BUCKETED:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        BUCKETED.discard(name)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     if path in WRITTEN:
@@ -64,13 +69,20 @@ def discard(*tables: DataFrame) -> None:
         delete_written(df.sparkSession, df.written_to)
 
 
-def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``cut`` to a table bucketed by ``keys``: joins on exactly these keys don't shuffle it again."""
+def bucketed(df: DataFrame, keys: list[str], name: str, *, deal: bool = False) -> DataFrame:
+    """``cut`` to a table bucketed by ``keys``: joins on exactly these keys don't shuffle it again.
+
+    ``deal`` deals the rows out first; without it they should stand by these keys already, for one file a bucket.
+    """
     spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if deal:
+        df = df.repartition(buckets, *keys)
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(name)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    BUCKETED.add(name)
     return _noted(spark.table(name), path)
 
 

@@ -45,23 +45,27 @@ from .common import bucketed, cut, discard, fresh
 
 THRESHOLD = 0.8
 #: Hash buckets that count tokens, and the bits of a key by which entries meet.
-BUCKETS, KEY_BITS = 1 << 18, 40
+BUCKETS, KEY_BITS = 1 << 17, 40
 BITS = ["bits0", "bits1"]
 LAST_ID = (1 << 63) - 1
 HAS_WORD = r"[^\x20\x09-\x0D]"
-WHITE = "\t\n\x0b\f\r"
+WHITE = "\t\x0b\f\r"
 
 
-def split_words(line: Column) -> Column:
-    """Lower-cased words; empty strings where white space repeats."""
+def odd_space(text: Column) -> Column:
+    """Whether a text holds white space besides spaces and line ends."""
+    return functools.reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in WHITE])
+
+
+def split_words(line: Column, odd: Column) -> Column:
+    """Lower-cased words; empty strings where white space repeats. ``odd``: whether its text has odd white space."""
     lower = F.lower(line)
-    other = functools.reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in WHITE])
-    return F.split(F.when(other, F.translate(lower, WHITE, " " * len(WHITE))).otherwise(lower), " ")
+    return F.split(F.when(odd, F.translate(lower, WHITE, " " * len(WHITE))).otherwise(lower), " ")
 
 
-def words_of(line: Column) -> Column:
+def words_of(line: Column, odd: Column) -> Column:
     """64-bit hashes of the distinct lower-cased words."""
-    return F.array_except(F.transform(split_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    return F.array_except(F.transform(split_words(line, odd), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -71,28 +75,30 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def first_lines(texts: DataFrame) -> DataFrame:
-    """(id, text_hash, line_no, line): the first of all equal lines with a word; ``line`` numbers them in order."""
+    """(id, text_hash, line_no, line): the first of all equal lines with a word; ``line`` numbers them in order and buckets the table."""
     lines = texts.select("id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "words")).filter(F.col("words").rlike(HAS_WORD))
     first = lines.groupBy(F.xxhash64("words").alias("h0"), F.xxhash64(F.lit(1), "words").alias("h1")).agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first"))
     first = cut(first.select("first.*"), "first-lines")
     order = ["id", "text_hash", "line_no"]
-    numbered = cut(first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id()), "line-numbers")
+    numbered = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id())
+    numbered = bucketed(numbered, ["line"], "line_numbers", deal=True)
     discard(first)
     return numbered
 
 
 def with_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(line, words): the text of each of ``lines`` (id, text_hash, line_no, line), from the bucketed documents."""
+    """(line, words, odd): the text of each of ``lines`` (id, text_hash, line_no, line), from the bucketed documents."""
     asked = lines.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("asked"))
     # explode_outer holds the split text as a column, so that it isn't split anew for each line
-    split = asked.join(texts, ["id", "text_hash"]).select("asked", F.explode_outer(F.array(F.split("text", "\n"))).alias("all"))
+    split = asked.join(texts, ["id", "text_hash"]).select("asked", "odd", F.explode_outer(F.array(F.split("text", "\n"))).alias("all"))
     found = F.transform("asked", lambda x: F.struct(x["line"].alias("line"), F.get("all", x["line_no"]).alias("words")))
-    return split.select(F.explode_outer(found).alias("x")).select("x.*")
+    return split.select("odd", F.explode_outer(found).alias("x")).select("x.*", "odd")
 
 
 def rarity_levels(texts: DataFrame) -> list[int]:
     """Per hash bucket, log2 of its tokens in all documents: ``BUCKETS`` small numbers, whatever the corpus."""
-    tokens = texts.select(F.explode_outer(F.split("text", "\n")).alias("line")).select(F.explode_outer(split_words(F.col("line"))).alias("token"))
+    lines = texts.select("odd", F.explode_outer(F.split("text", "\n")).alias("line"))
+    tokens = lines.select(F.explode_outer(split_words(F.col("line"), F.col("odd"))).alias("token"))
     counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     for row in counted.select(F.col("bucket").cast("int").alias("bucket"), F.least(F.floor(F.log2("n")), F.lit(31)).cast("int").alias("level")).collect():
@@ -113,7 +119,7 @@ def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
     key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
     # explode_outer holds the hashes as a column, so that they aren't made anew for each use
-    hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words")))).alias("hashes"))
+    hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words"), F.col("odd")))).alias("hashes"))
     n = F.size("hashes")
     prefix = F.slice(F.sort_array(F.transform("hashes", key)), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     keyed = hashed.select("line", n.alias("n"), *[_bitmap(F.col("hashes"), i).alias(c) for i, c in enumerate(BITS)], prefix.alias("prefix"))
@@ -173,7 +179,7 @@ def _meetings(entries: DataFrame, threshold: float) -> DataFrame:
 def _words_of_pairs(pairs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line, words) of the lines that stand in pairs, and only of those; words as hashes."""
     named = pairs.select("line").union(pairs.select("y_line")).distinct()
-    return cut(with_words(lines.join(named, "line"), texts).select("line", words_of(F.col("words")).alias("words")), "pair-words")
+    return cut(with_words(lines.join(named, "line"), texts).select("line", words_of(F.col("words"), F.col("odd")).alias("words")), "pair-words")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -194,7 +200,7 @@ def _gone(pairs: DataFrame, lines: DataFrame, texts: DataFrame, threshold: float
 
 
 def kept_lines(texts: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text_hash, line_no) of the lines with words that stay, of ``texts`` (id, text_hash, text)."""
+    """(id, text_hash, line_no) of the lines with words that stay, of ``texts`` (id, text_hash, text, odd)."""
     lines = first_lines(texts)
     met = cut(_meetings(_entries(with_words(lines, texts), rarity_levels(texts), threshold), threshold), "line-meetings")
     pairs = cut(met.filter("y_line < line").select("line", "y_line", "apart").distinct(), "line-pairs")
@@ -217,10 +223,11 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """``docs`` with the lines that stay; optional columns count a text's lines and those kept."""
     columns = docs.columns
     key, text_hash, copy, all_lines, staying = (fresh(docs, c) for c in ("line_doc", "line_text_hash", "line_copy", "all_lines", "staying_lines"))
+    odd = fresh(docs, "line_odd")
     keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), text_hash: F.xxhash64(text_col)})
-    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(key)))
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(key))).withColumn(odd, odd_space(F.col(text_col)))
     docs = bucketed(keyed, [key, text_hash], "documents_by_text")
-    texts = docs.filter((F.col(copy) == 1) & F.col(text_col).isNotNull()).select(F.col(key).alias("id"), F.col(text_hash).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = docs.filter((F.col(copy) == 1) & F.col(text_col).isNotNull()).select(F.col(key).alias("id"), F.col(text_hash).alias("text_hash"), F.col(text_col).alias("text"), F.col(odd).alias("odd"))
 
     kept = kept_lines(texts, threshold=threshold).groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("nos"))
     kept = kept.select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "nos")
