@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, discard, fresh
 
 MAX_BITS = 4
 PART_BITS = (22, 22, 20)
@@ -212,15 +212,19 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.filter("b > a").join(low, "a").select(F.col("low").alias("a"), "b").distinct()
         large = cut(large.filter("a < b"), "links")
+        discard(state)
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         down = large.join(low, "b")
         small = down.select(F.col("low").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         state = cut(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "links")
+        discard(large)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    return state.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found = cut(state.select(F.col("b").alias("node"), F.col("a").alias("root")), "roots")
+    discard(state)
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
@@ -230,6 +234,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = components(links(prints.select("print"), max_bits))
     of_print = prints.join(found, prints["print"] == found["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     of_print = cut(of_print, "print-roots")
+    discard(found)
     smallest = of_print.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = of_print.join(smallest, "root").select("print", "component_id")
     return rows.join(label, "print").select("doc_id", "print", "component_id")
