@@ -63,10 +63,8 @@ def _op1_sql() -> str:
     fits = "\n".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'" for _, r in sorted(url_trust.RULES, key=lambda x: -len(x[1])))
     allowed = ", ".join(f"'{r}'" for v, r in url_trust.RULES if v == "allow")
     link = url_trust.LINK.removeprefix("(?i)").replace("'", "''")
-    rounds = "\n".join(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, score FROM r0 UNION ALL
-  SELECT r.kind, e.next, r.score * e.part * {url_trust.DAMPING} FROM r{i} r JOIN edges e ON r.kind = e.kind AND r.host = e.host) GROUP BY kind, host),""" for i in range(url_trust.ROUNDS))
     return f"""
-WITH placed AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, {url}, 2), '') AS path FROM pages),
+WITH RECURSIVE placed AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, {url}, 2), '') AS path FROM pages),
 ruled AS (SELECT *, CASE {fits} END AS rule FROM placed),
 judged AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({allowed}) THEN 'allow' ELSE 'block' END AS v FROM ruled),
 shares AS (SELECT host, count(*) FILTER (v = 'allow') / count(*) AS t, count(*) FILTER (v = 'block') / count(*) AS d FROM judged WHERE host <> '' GROUP BY host),
@@ -75,9 +73,10 @@ found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1, 'i'))
 pairs AS (SELECT src, {host("CASE WHEN starts_with(t, '//') THEN 'x:' || t ELSE t END")} AS dst FROM found),
 links AS (SELECT src, dst, count(*) AS n FROM pairs WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
 edges AS (SELECT 'trust' AS kind, src AS host, dst AS next, n / sum(n) OVER (PARTITION BY src) AS part FROM links
-  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
-{rounds}
-blocked AS (SELECT host FROM r{url_trust.ROUNDS} GROUP BY host HAVING sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) >= {url_trust.THRESHOLD})
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY src) FROM links),
+flow AS (SELECT kind, host, score::DOUBLE AS score, 0 AS step FROM r0
+  UNION ALL SELECT f.kind, e.next, sum(f.score * e.part) * {url_trust.DAMPING}::DOUBLE, f.step + 1 FROM flow f JOIN edges e ON f.kind = e.kind AND f.host = e.host WHERE f.step < {url_trust.ROUNDS} GROUP BY f.kind, e.next, f.step),
+blocked AS (SELECT host FROM flow GROUP BY host HAVING sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) >= {url_trust.THRESHOLD})
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
 
@@ -97,7 +96,7 @@ t AS (SELECT f.*, CASE WHEN top IS NULL OR (level >= bound / weight AND bound /
 p AS (SELECT c.*, source_size, target, CASE WHEN source_size > 0 THEN least({2 * unit}, floor(target / source_size * {unit})) ELSE 0 END::BIGINT AS expected,
   ('0x' || substr(md5('0:' || CASE WHEN c.no_source THEN 'null' ELSE '=' || c.k END), 1, 6))::BIGINT AS start, ceil(class_rows / {source_mix.BLOCK_ROWS})::BIGINT AS n_blocks
   FROM classes c JOIN t ON c.no_source = t.no_source AND c.k = t.k),
-d AS (SELECT c.doc_id, c.size, p.*, coalesce(((c.doc_id % n_blocks) + n_blocks) % n_blocks, 0) AS block FROM classed c JOIN p ON c.no_source = p.no_source AND c.k = p.k AND c.size_class = p.size_class),
+d AS (SELECT c.doc_id, c.size, p.*, coalesce(((c.doc_id % n_blocks) + n_blocks) % n_blocks, ('0x' || substr(md5(coalesce(c.text, '')), 1, 8))::BIGINT % n_blocks) AS block FROM classed c JOIN p ON c.no_source = p.no_source AND c.k = p.k AND c.size_class = p.size_class),
 o AS (SELECT *, (row_number() OVER (PARTITION BY no_source, k ORDER BY size_class, block, size, doc_id NULLS FIRST) - 1) * expected + start AS pos FROM d),
 n AS (SELECT *, ((pos + expected) >> 24) - (pos >> 24) AS copies FROM o)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken, copies::INT AS copies FROM n

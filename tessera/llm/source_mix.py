@@ -15,7 +15,8 @@ and only the blocks' row counts are summed along a source. Sums are integers
 (units of 2**-24 copies), so reruns agree whatever the partitioning.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last),
-a null id is mixed like any other. Empty texts have size 0 and may be emitted;
+a null id (or one that is no number) is mixed like any other and dealt to a
+block by its text. Empty texts have size 0 and may be emitted;
 they take no words. Repeated rows are mixed one by one. An empty table gives an
 empty result. Columns besides the three named are ignored by ``mix_sources`` and
 kept by ``emit_mix``.
@@ -23,7 +24,7 @@ kept by ``emit_mix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, cut, fresh
@@ -56,7 +57,9 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, max
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, max_copies: int, block_rows: int, seed: int) -> DataFrame:
     source, text = F.col(source_col).cast("string"), F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("doc_id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("key"), count_words(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    # ids that are no numbers are dealt by their text, so that they don't meet in one block
+    deal = F.coalesce(F.col(id_col).try_cast("long"), F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 8), 16, 10).cast("long"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), deal.alias("deal"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("key"), count_words(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     sized = cut(sized.withColumn("size_class", F.length(F.bin("size"))), "mix-sizes")
 
     of_source, of_class = ["no_source", "key"], ["no_source", "key", "size_class"]
@@ -69,7 +72,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     plan = cut(classes.join(targets, of_source).select(*of_class, n_blocks.alias("n_blocks"), "source_size", "target", "expected", "start"), "mix-plan")
 
     of_block = [*of_class, "block"]
-    dealt = sized.join(plan, of_class).withColumn("block", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.col("n_blocks")), F.lit(0)))
+    dealt = sized.join(plan, of_class).withColumn("block", F.pmod("deal", F.col("n_blocks")))
     blocks = dealt.groupBy(*of_block).agg(F.count("*").alias("rows"))
     ahead = Window.partitionBy(*of_source).orderBy("size_class", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*of_block, F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
@@ -93,14 +96,21 @@ def emit_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     and dealt to them in equal parts.
     """
     mixed = _mixed(docs, id_col, text_col, source_col, weights, share, max_copies, block_rows, seed)
-    same = ["doc_id", "no_source", "key", "text_hash"]
-    takes = mixed.groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    mark = {c: fresh(docs, f"mix_{c}") for c in ("hash", "nth", "copy")}
-    rows = docs.withColumn(mark["hash"], F.xxhash64(text_col))
-    alike = Window.partitionBy(id_col, source_col, mark["hash"]).orderBy(mark["hash"])
-    rows = rows.withColumn(mark["nth"], F.row_number().over(alike))
-    source = rows[source_col].cast("string")
-    on = rows[id_col].eqNullSafe(takes["doc_id"]) & (F.coalesce(source, F.lit("")) == takes["key"]) & (source.isNull() == takes["no_source"]) & (rows[mark["hash"]] == takes["text_hash"])
-    share_of = F.floor(takes["copies"] / takes["rows"]) + F.when(rows[mark["nth"]] <= takes["copies"] % takes["rows"], 1).otherwise(0)
-    taken = rows.join(takes, on).select(*[rows[c] for c in docs.columns], share_of.cast("int").alias(mark["copy"])).filter(F.col(mark["copy"]) > 0)
+    takes = mixed.groupBy("doc_id", "no_source", "key", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    takes = takes.select(_row_key(F.col("doc_id"), F.col("no_source"), F.col("key"), F.col("text_hash")).alias("row_key"), "copies", "rows")
+    mark = {c: fresh(docs, f"mix_{c}") for c in ("key", "nth", "copy", "copies", "rows")}
+    source = F.col(source_col).cast("string")
+    rows = docs.withColumn(mark["key"], _row_key(F.col(id_col), source.isNull(), F.coalesce(source, F.lit("")), F.xxhash64(text_col)))
+    # one exchange of the rows serves the join and the numbering
+    joined = rows.join(takes.select(F.col("row_key").alias(mark["key"]), F.col("copies").alias(mark["copies"]), F.col("rows").alias(mark["rows"])), mark["key"])
+    joined = joined.withColumn(mark["nth"], F.row_number().over(Window.partitionBy(mark["key"]).orderBy(mark["key"])))
+    copies, alike = F.col(mark["copies"]), F.col(mark["rows"])
+    share_of = F.floor(copies / alike) + F.when(F.col(mark["nth"]) <= copies % alike, 1).otherwise(0)
+    taken = joined.select(*docs.columns, share_of.cast("int").alias(mark["copy"])).filter(F.col(mark["copy"]) > 0)
     return taken.withColumn(mark["copy"], F.explode(F.sequence(F.lit(1), F.col(mark["copy"])))).drop(mark["copy"])
+
+
+def _row_key(doc_id: Column, no_source: Column, source: Column, text_hash: Column) -> Column:
+    """128 bits that name rows of one id, source and text; nulls have marks of their own."""
+    parts = [doc_id.isNull(), F.coalesce(doc_id.cast("string"), F.lit("")), no_source, source, text_hash]
+    return F.concat_ws(":", F.hex(F.xxhash64(F.lit(0), *parts)), F.hex(F.xxhash64(F.lit(1), *parts)))

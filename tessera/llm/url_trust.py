@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: The SQL runs ``ROUNDS`` rounds; ``spread`` goes on until scores move by less than ``TOLERANCE``.
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.075
+#: ``spread`` goes on until scores move by less than ``TOLERANCE``; its SQL sums ``ROUNDS`` steps, after which less is left.
+DAMPING, ROUNDS, THRESHOLD = 0.85, 85, 0.075
 TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
