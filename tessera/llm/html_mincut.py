@@ -1,11 +1,16 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
 A page is cut into blocks at block-level tags; inline tags and ``br`` don't cut.
-A linear classifier on each block (the zones it stands in, words, link density,
-headings) gives the two costs of calling it content or boilerplate; they are the
-capacities to source and sink. Neighbours in page order and blocks of the same
-parent (DOM proximity) are tied by smoothness edges. The minimum cut, found by
-max-flow, labels the blocks; content blocks are joined in page order.
+A linear classifier on each block gives the two costs of calling it content or
+boilerplate; they are the capacities to source and sink. It takes words, link
+density, headings, whether the text ends as a sentence does, elements that say
+what they hold (``nav``, ``article``), and names: a class, id or role that consists
+of boilerplate words says as much, one that only contains such a word
+(``menu-of-the-day``) says little. Neighbours in page order and blocks of the same
+parent (DOM proximity) are tied by smoothness edges, which are of the size of the
+costs of a short block: titles, bylines and single lines go with what they stand in.
+The minimum cut, found by max-flow, labels the blocks; content blocks are joined in
+page order.
 
 Scripts, styles, comments, forms' fields and everything in ``head`` have no
 blocks. Character references are decoded after markup is removed; white space in
@@ -22,14 +27,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements by role.
-RAW = "script style noscript template textarea select iframe object svg math canvas audio video head"
+RAW = "script style noscript template textarea select iframe object svg canvas audio video head"
 BLOCKS = "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -38,10 +43,12 @@ CONTENT_TAGS = "article main"
 #: Words of class, id and role that name a zone.
 BOILERPLATE_WORDS = "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup popular privacy promo promoted promotion recommended related reply replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola teaser toolbar topbar warning widget"
 CONTENT_WORDS = "article body content entry main post story text"
+#: Words that name no content of their own beside a boilerplate word.
+NEUTRAL_WORDS = "area bar block bottom box btn button buttons center col column container div external extra first form global group head hidden icon icons id inline inner item items js label large last left line link links list lists mid middle mobile module nd outer page pane panel primary right row secondary section site slot small space sticky text the tile title top unit view wrap wrapper zone"
 
 RAW_SET, BLOCK_SET, VOID_SET = set(RAW.split()), set(BLOCKS.split()), set(VOID.split())
 BAD_TAGS, GOOD_TAGS = set(BOILERPLATE_TAGS.split()), set(CONTENT_TAGS.split())
-BAD_WORDS, GOOD_WORDS = set(BOILERPLATE_WORDS.split()), set(CONTENT_WORDS.split())
+BAD_WORDS, GOOD_WORDS, NEUTRAL = set(BOILERPLATE_WORDS.split()), set(CONTENT_WORDS.split()), set(NEUTRAL_WORDS.split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -49,8 +56,20 @@ HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s
 WORDS = re.compile(r"[a-z]+")
 
 #: The linear classifier (log odds of content) and the smoothness edges.
-BASE, ZONE_BAD, ZONE_GOOD, PER_WORD, MOST_WORDS, LINKS, HEADING = -0.8, -6.0, 3.0, 0.06, 40, -4.0, 0.5
-NEXT, SIBLING, STRANGER = 0.5, 0.4, 0.15
+BASE, ZONE_BAD, ZONE_GOOD, HINT_BAD, HINT_GOOD = -0.9, -6.0, 2.5, -1.0, 1.0
+PER_WORD, MOST_WORDS, LINKS, HEADING, SENTENCE = 0.1, 40, -4.5, 0.5, 0.6
+NEXT, SIBLING, STRANGER = 1.2, 1.0, 0.3
+ENDS = tuple(".!?…:;\"'”’»)")
+
+
+@dataclass
+class Zone:
+    """What the elements around a block say: content, boilerplate, and names that hint at either."""
+
+    good: bool = False
+    bad: bool = False
+    hint_good: bool = False
+    hint_bad: bool = False
 
 
 @dataclass
@@ -58,8 +77,7 @@ class Block:
     text: str
     links: float
     heading: bool
-    good: bool
-    bad: bool
+    zone: Zone
     parent: int
 
 
@@ -67,28 +85,32 @@ class Block:
 class _Open:
     tag: str
     node: int
-    good: bool
-    bad: bool
-    parts: list[str] = field(default_factory=list)
+    zone: Zone
 
 
-def _zone(tag: str, attributes: str, outer: _Open) -> tuple[bool, bool]:
-    """(in a content zone, in a boilerplate zone) for an element; boilerplate stays so inside."""
-    good, bad = outer.good or tag in GOOD_TAGS, outer.bad or tag in BAD_TAGS or tag == "header" and not outer.good
-    if attributes:
+def _zone(tag: str, attributes: str, outer: Zone) -> Zone:
+    """The zone inside an element; boilerplate stays so inside."""
+    inside = outer.good or tag in GOOD_TAGS
+    zone = Zone(inside, outer.bad or tag in BAD_TAGS or tag == "header" and not outer.good, outer.hint_good, outer.hint_bad)
+    if attributes and tag not in ("body", "html"):
         for m in NAMED.finditer(attributes):
-            words = set(WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-            if words & BAD_WORDS and tag not in ("body", "html"):
-                bad = True
-            elif words & GOOD_WORDS:
-                good = True
-        bad = bad or bool(HIDDEN.search(attributes))
-    return good, bad
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = set(WORDS.findall(name))
+                bad, good = words & BAD_WORDS, words & GOOD_WORDS
+                if bad and not (good and bad == {"header"}):
+                    if words <= BAD_WORDS | NEUTRAL | GOOD_WORDS and tag not in GOOD_TAGS:
+                        zone.bad = True
+                    else:
+                        zone.hint_bad = True
+                elif good:
+                    zone.hint_good = True
+        zone.bad = zone.bad or bool(HIDDEN.search(attributes))
+    return zone
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack = [_Open("", 0, False, False)]
+    stack = [_Open("", 0, Zone())]
     nodes, in_link, link_chars, pos = 1, 0, 0, 0
     parts: list[str] = []
 
@@ -99,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             if text:
                 top = stack[-1]
-                out.append(Block(text, min(1.0, link_chars / len(text)), len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit(), top.good, top.bad, top.node))
+                out.append(Block(text, min(1.0, link_chars / len(text)), len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit(), top.zone, stack[-2].node if len(stack) > 1 else 0))
         link_chars = 0
 
     def add(piece: str) -> None:
@@ -146,25 +168,25 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
             elif stack[-1].tag == "p":
                 stack.pop()
-            good, bad = _zone(tag, m[3], stack[-1])
-            stack.append(_Open(tag, nodes, good, bad))
+            stack.append(_Open(tag, nodes, _zone(tag, m[3], stack[-1].zone)))
             nodes += 1
     flush()
     return out
 
 
 def log_odds(b: Block) -> float:
-    words = min(MOST_WORDS, b.text.count(" ") + 1)
-    return BASE + PER_WORD * words + ZONE_GOOD * b.good + ZONE_BAD * b.bad + LINKS * b.links + HEADING * b.heading
+    words, z = min(MOST_WORDS, b.text.count(" ") + 1), b.zone
+    named = ZONE_GOOD * z.good + ZONE_BAD * z.bad + HINT_GOOD * z.hint_good + HINT_BAD * z.hint_bad
+    return BASE + PER_WORD * words + named + LINKS * b.links + HEADING * b.heading + SENTENCE * b.text.endswith(ENDS)
 
 
 def ties_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Smoothness edges: neighbours in page order, and each block with the last one of its parent."""
+    """Smoothness edges: neighbours in page order, weak where their parents or zones differ, and each block with the last one of its parent."""
     ties: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            ties[i - 1, i] = NEXT if blocks[i - 1].parent == b.parent else STRANGER
+            ties[i - 1, i] = NEXT if blocks[i - 1].parent == b.parent and blocks[i - 1].zone == b.zone else STRANGER
         if (j := last.get(b.parent)) is not None:
             ties[j, i] = ties.get((j, i), 0.0) + SIBLING
         last[b.parent] = i
@@ -239,6 +261,13 @@ def extract(page: str | None) -> str:
     return "\n\n".join(b.text for b, keep in zip(blocks, content) if keep)
 
 
+def moved_by_cut(page: str | None) -> tuple[int, int]:
+    """(blocks, labels that the cut gives against the sign of the classifier)."""
+    blocks = blocks_of(page or "")
+    gains = [log_odds(b) for b in blocks]
+    return len(blocks), sum(keep != (g > 0) for keep, g in zip(minimum_cut(gains, ties_of(blocks)), gains))
+
+
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
 
