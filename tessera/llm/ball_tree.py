@@ -5,7 +5,9 @@ Vectors (components floor(256 x)) are dealt by id to shards of about
 is q.c + |q| r (centre c, radius r), and children are visited in the order of
 their bounds. Queries are a stated set; they travel in blocks of ``block_rows``,
 and every block meets every shard as one row: no pair of vectors is ever emitted
-but a shard's k best for a query. Two rounds share the current kth score: in the
+but a shard's k best for a query. Scores are 64-bit integers: vectors
+whose largest scaled component times the root of their length reaches 2^31 could
+overflow them and are refused. Two rounds share the current kth score: in the
 first, each query looks into its best leaf of every shard, and the kth best of
 these scores prunes the second, full search in all shards. A node is left out
 only if its bound is below that score, so ties survive.
@@ -51,8 +53,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, n
     real = vectors.astype(np.float64)
     nodes: list[list] = []
 
-    def grow(rows: np.ndarray, at: int) -> int:
+    leaves: list[np.ndarray] = []
+    # a stack, not recursion: degenerate data make deep trees
+    open_nodes = [(order, 0, -1, 4)]
+    while open_nodes:
+        rows, at, parent, side_of = open_nodes.pop()
         me, points = len(nodes), real[rows]
+        if parent >= 0:
+            nodes[parent][side_of] = me
         centre = points.mean(axis=0)
         away = np.sqrt(((points - centre) ** 2).sum(axis=1))
         nodes.append([centre, away.max(initial=0.0), at, at + len(rows), -1, -1])
@@ -62,14 +70,9 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, n
             side = (points - (a + b) / 2) @ (b - a) > 0
             if side.any() and not side.all():
                 left, right = rows[~side], rows[side]
-                nodes[me][4] = grow(left, at)
-                nodes[me][5] = grow(right, at + len(left))
-                return me
+                open_nodes += [(right, at + len(left), me, 5), (left, at, me, 4)]
+                continue
         leaves.append(rows)
-        return me
-
-    leaves: list[np.ndarray] = []
-    grow(order, 0)
     order = np.concatenate(leaves)
     centre, radius, start, end, left, right = zip(*nodes)
     return {"ids": ids[order], "vectors": vectors[order], "centre": np.array(centre), "radius": np.array(radius), "start": np.array(start), "end": np.array(end), "left": np.array(left), "right": np.array(right)}
@@ -110,25 +113,23 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, floor:
         top = nth < k
         scores[rows], ids[rows] = score[top].reshape(-1, k), vec[top].reshape(-1, k)
 
-    def visit(node: int, rows: np.ndarray, up: np.ndarray) -> None:
+    everyone = np.arange(len(q))
+    open_nodes = [(0, everyone, bound(0, everyone))]
+    while open_nodes:
+        node, rows, up = open_nodes.pop()
         if not one_leaf:  # the kth score may have risen since the bound was taken
             rows = rows[up >= np.maximum(floor[rows], scores[rows, -1]).astype(np.float64)]
         if not len(rows):
-            return
+            continue
         left, right = tree["left"][node], tree["right"][node]
         if left < 0:
             look(node, rows)
-            return
+            continue
         a, b = bound(left, rows), bound(right, rows)
         lefts = a >= b  # each query goes first where its bound is higher
-        visit(left, rows[lefts], a[lefts])
-        visit(right, rows[~lefts], b[~lefts])
         if not one_leaf:
-            visit(right, rows[lefts], b[lefts])
-            visit(left, rows[~lefts], a[~lefts])
-
-    everyone = np.arange(len(q))
-    visit(0, everyone, bound(0, everyone))
+            open_nodes += [(left, rows[~lefts], a[~lefts]), (right, rows[lefts], b[lefts])]
+        open_nodes += [(right, rows[~lefts], b[~lefts]), (left, rows[lefts], a[lefts])]
     row, nth = np.nonzero(scores != none)
     return row, ids[row, nth], scores[row, nth]
 
@@ -136,7 +137,9 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, floor:
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) per component as long; null unless every component is a finite number."""
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    return F.when(finite, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    too_large = F.exists(vector, lambda x: F.abs(x.cast("double") * scale) * F.sqrt(F.size(vector)) >= 1 << 31)
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    return F.when(finite, F.when(too_large, F.raise_error(F.lit("a component is too large for 64-bit scores")).cast("array<bigint>")).otherwise(whole))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -166,7 +169,6 @@ def _search_rows(k: int, one_leaf: bool):
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that the condition ``queries`` on ``vectors`` holds for."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("ints"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter("vec_id is not null and ints is not null").withColumn("dim", F.size("ints"))
     counted = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).first()
@@ -180,9 +182,9 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, id_col: str = "vec
     def each_shard(floors: Column, source: DataFrame, one_leaf: bool) -> DataFrame:
         blocks = source.withColumn("floor", floors).groupBy("dim", "block").applyInPandas(_blocks, "dim int, block int, queries binary")
         blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-        met = blocks.join(trees, ["dim", "shard"]).select("tree", "queries")
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return met.repartition(min(tasks, n_shards * n_blocks)).mapInPandas(_search_rows(k, one_leaf), "query_id long, vec_id long, score long")
+        # a task reads its shards' trees once; the blocks of queries come to them
+        met = blocks.join(trees.hint("merge"), ["dim", "shard"]).select("tree", "queries")
+        return met.mapInPandas(_search_rows(k, one_leaf), "query_id long, vec_id long, score long")
 
     lowest = F.lit(np.iinfo(np.int64).min + 1).cast("long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
