@@ -5,7 +5,13 @@ transparency, delays and disposal (keep, restore background, restore previous).
 ``read_frames`` stores each frame's time, place, composed RGBA pixels and colour
 histogram as columns. ``text_media`` keeps a payload losslessly as 8-bit samples,
 64 wide, in frames of up to 1024 rows with an identity grey palette, LZW coded;
-``media_features`` reads the stored bytes back through the same decoder.
+``media_features`` reads the stored bytes back through the same decoder and the same
+composed, timed frames.
+
+Canvases are composed in strips of whole rows of up to ``STRIP_PIXELS`` pixels, so
+memory is bounded whatever a header says; code streams are decoded block by block,
+once for each strip. A canvas of one strip, the usual case, gives a row per frame,
+a larger one a row per strip and frame (``strip_top``, ``strip_rows``).
 
 Nulls: a null text is an empty one (a payload of 64 zero bytes); null media give
 null features and no frames. Broken media give no frames but one row with
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 
 WIDTH, ROWS, DELAY_CS = 64, 1024, 10
 BINS = 16
-#: Most pixels of a canvas that are accepted, so that a broken header can't ask for all memory.
-MAX_PIXELS = 1 << 26
+#: Pixels of a canvas that are held at once.
+STRIP_PIXELS = 1 << 22
 FULL = 4096
 
 
@@ -78,10 +84,15 @@ def lzw_encode(samples: bytes) -> bytes:
 
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     """Samples of a code stream, ``most`` at most; ValueError if a code has no meaning."""
+    return b"".join(lzw_blocks(stream, bits, most))
+
+
+def lzw_blocks(stream: bytes, bits: int, most: int) -> Iterator[bytes]:
+    """The samples of ``lzw_decode`` in blocks of a few thousand codes."""
     clear, end = 1 << bits, (1 << bits) + 1
     plain = [bytes([i]) for i in range(clear)] + [b"", b""]
     flat = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    at, out, size = 0, [], 0
+    at, size = 0, 0
     table, prev = plain[:], b""
     done, read = False, 0  # codes read since the clear code
     while not done and at < len(flat) and size < most:
@@ -97,7 +108,7 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             codes[use] |= flat[starts[use] + i].astype(np.int64) << i
         stop = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stop[0]) if len(stop) else fit
-        grow = table.append
+        out, grow = [], table.append
         for code in codes[:upto].tolist():
             if code < len(table):
                 entry = table[code]
@@ -118,25 +129,54 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             table, prev, read = plain[:], b"", 0
         else:
             at = int(ends[fit - 1])
-    return b"".join(out)[:most]
+        block = b"".join(out)
+        yield block[: len(block) - max(0, size - most)]
 
 
 @dataclass
 class Frame:
     left: int
     top: int
+    width: int
+    height: int
     delay_cs: int
     disposal: int
     transparent: int | None
     palette: np.ndarray
-    pixels: np.ndarray
+    interlaced: bool
+    bits: int
+    stream: bytes
+
+    def rows(self, first: int, last: int) -> np.ndarray:
+        """Palette indices of the frame's rows from ``first`` to before ``last``."""
+        w, h = self.width, self.height
+        out, place, rest = np.zeros((max(0, last - first), w), np.uint8), 0, b""
+        order = _interlaced(h) if self.interlaced else None
+        for block in lzw_blocks(self.stream, self.bits, w * h):
+            rest = rest + block if rest else block
+            n = len(rest) // w if w else 0
+            if n:
+                pixels = np.frombuffer(rest, np.uint8, n * w).reshape(n, w)
+                at = np.arange(place, place + n) if order is None else order[place : place + n]
+                use = (at >= first) & (at < last)
+                out[at[use] - first] = pixels[use]
+                place, rest = place + n, rest[n * w :]
+        if w and place < h:
+            raise ValueError("too few samples")
+        return out
 
 
 @dataclass
 class Gif:
     width: int
     height: int
-    frames: Iterator[Frame]
+    data: bytes
+    at: int
+    common: np.ndarray | None
+
+    @property
+    def frames(self) -> Iterator[Frame]:
+        return _frames(self.data, self.at, self.common)
 
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -156,12 +196,9 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def _rows_in_order(pixels: np.ndarray) -> np.ndarray:
-    """Undoes interlacing: the stream holds every 8th row from 0, from 4, every 4th from 2, every 2nd from 1."""
-    order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, len(pixels), step)]
-    out = np.empty_like(pixels)
-    out[order] = pixels
-    return out
+def _interlaced(height: int) -> np.ndarray:
+    """The rows in the order of an interlaced stream: every 8th from 0, from 4, every 4th from 2, every 2nd from 1."""
+    return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
 def _frames(data: bytes, at: int, common: np.ndarray | None) -> Iterator[Frame]:
@@ -180,17 +217,11 @@ def _frames(data: bytes, at: int, common: np.ndarray | None) -> Iterator[Frame]:
                 palette, at = _palette(data, at, flags)
             if palette is None:
                 raise ValueError("no palette")
-            if w * h > MAX_PIXELS:
-                raise ValueError("too large")
             bits = data[at]
             if not 1 <= bits <= 8:
                 raise ValueError("code size")
             stream, at = _sub_blocks(data, at + 1)
-            samples = lzw_decode(stream, bits, w * h)
-            if len(samples) < w * h:
-                raise ValueError("too few samples")
-            pixels = np.frombuffer(samples, np.uint8).reshape(h, w)
-            yield Frame(left, top, delay, disposal, transparent, palette, _rows_in_order(pixels) if flags & 0x40 else pixels)
+            yield Frame(left, top, w, h, delay, disposal, transparent, palette, bool(flags & 0x40), bits, stream)
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("unknown block")
@@ -204,34 +235,52 @@ def decode_gif(data: bytes) -> Gif:
     at, common = 13, None
     if flags & 0x80:
         common, at = _palette(data, at, flags)
-    return Gif(width, height, _frames(data, at, common))
+    return Gif(width, height, data, at, common)
 
 
-def colours(frame: Frame) -> np.ndarray:
-    """The frame's pixels as RGBA; indices beyond the palette are black."""
+def colours(frame: Frame, pixels: np.ndarray) -> np.ndarray:
+    """A frame's pixels as RGBA; indices beyond the palette are black."""
     palette = np.zeros((256, 4), np.uint8)
     palette[: len(frame.palette), :3], palette[:, 3] = frame.palette, 255
     if frame.transparent is not None:
         palette[frame.transparent, 3] = 0
-    return palette[frame.pixels]
-
-
-def compose(gif: Gif) -> Iterator[tuple[Frame, np.ndarray]]:
-    """Each frame with the whole canvas as shown while it stands."""
-    if gif.width * gif.height > MAX_PIXELS:
-        raise ValueError("too large")
-    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
-    for frame in gif.frames:
-        before = canvas.copy() if frame.disposal == 3 else None
-        h, w = frame.pixels.shape
-        area = canvas[frame.top : frame.top + h, frame.left : frame.left + w]
-        drawn = colours(frame)[: area.shape[0], : area.shape[1]]
-        area[drawn[..., 3] > 0] = drawn[drawn[..., 3] > 0]
-        yield frame, canvas
-        if frame.disposal == 2:
-            area[:] = 0
-        elif before is not None:
-            canvas = before
+    return palette[pixels]
+
+
+@dataclass
+class Shown:
+    """A strip of the canvas while a frame stands; ``drawn`` is the frame's own area of it, changed or not."""
+
+    frame: Frame
+    frame_no: int
+    start_ms: int
+    strip_top: int
+    canvas: np.ndarray
+    drawn: np.ndarray
+
+
+def compose(gif: Gif) -> Iterator[Shown]:
+    """The canvas as shown with each frame: palettes, transparency and disposal applied, strip by strip."""
+    high = max(1, STRIP_PIXELS // max(1, gif.width))
+    for strip_top in range(0, max(1, gif.height), high):
+        canvas, start = np.zeros((min(high, gif.height - strip_top), gif.width, 4), np.uint8), 0
+        for no, frame in enumerate(gif.frames):
+            before = canvas.copy() if frame.disposal == 3 else None
+            first = max(0, strip_top - frame.top)
+            last = max(first, min(frame.height, strip_top + len(canvas) - frame.top))
+            y = frame.top + first - strip_top
+            area = canvas[y : y + last - first, frame.left : frame.left + frame.width] if last > first else canvas[:0]
+            drawn = colours(frame, frame.rows(first, last))[:, : area.shape[1]]
+            if frame.transparent is None:
+                area[:] = drawn
+            else:
+                area[drawn[..., 3] > 0] = drawn[drawn[..., 3] > 0]
+            yield Shown(frame, no, start, strip_top, canvas, area)
+            start += frame.delay_cs * 10
+            if frame.disposal == 2:
+                area[:] = 0
+            elif before is not None:
+                canvas = before
 
 
 def histogram(rgba: np.ndarray) -> list[list[int]]:
@@ -241,9 +290,9 @@ def histogram(rgba: np.ndarray) -> list[list[int]]:
 
 
 def read_frames(media: DataFrame, *, id_col: str = "media_id", media_col: str = "media") -> DataFrame:
-    """One row per frame: id, frame_no, start_ms, delay_ms, place, canvas size, rgba, red/green/blue histograms, error."""
+    """One row per frame: id, frame_no, start_ms, delay_ms, place, canvas size, strip, rgba, red/green/blue histograms, error; a column that clashes with the id's gets ``frame_`` in front."""
     rows = media.select(F.col(id_col).cast("string").alias("media_id"), F.col(media_col).alias("media")).filter("media is not null")
-    schema = "media_id string, frame_no int, start_ms long, delay_ms long, left int, top int, width int, height int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
+    schema = "media_id string, frame_no int, start_ms long, delay_ms long, left int, top int, width int, height int, strip_top int, strip_rows int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,15 +300,17 @@ def read_frames(media: DataFrame, *, id_col: str = "media_id", media_col: str =
             for media_id, data in zip(pdf["media_id"], pdf["media"]):
                 start, no = 0, 0
                 try:
-                    for frame, canvas in compose(decode_gif(bytes(data))):
-                        red, green, blue = histogram(canvas)
-                        yield pd.DataFrame([[media_id, no, start, frame.delay_cs * 10, frame.left, frame.top, canvas.shape[1], canvas.shape[0], canvas.tobytes(), red, green, blue, None]], columns=names)
-                        start, no = start + frame.delay_cs * 10, no + 1
+                    gif = decode_gif(bytes(data))
+                    for x in compose(gif):
+                        red, green, blue = histogram(x.canvas)
+                        yield pd.DataFrame([[media_id, x.frame_no, x.start_ms, x.frame.delay_cs * 10, x.frame.left, x.frame.top, gif.width, gif.height, x.strip_top, len(x.canvas), x.canvas.tobytes(), red, green, blue, None]], columns=names)
+                        start, no = x.start_ms + x.frame.delay_cs * 10, x.frame_no + 1
                 except (ValueError, IndexError, struct.error) as e:
-                    yield pd.DataFrame([[media_id, no, start, *[None] * 9, str(e) or "cut short"]], columns=names)
+                    yield pd.DataFrame([[media_id, no, start, *[None] * 11, str(e) or "cut short"]], columns=names)
 
     out = rows.mapInPandas(run, schema)
-    return out.withColumn("media_id", F.col("media_id").cast(media.schema[id_col].dataType)).withColumnRenamed("media_id", id_col)
+    named = F.col("media_id").cast(media.schema[id_col].dataType).alias(id_col)
+    return out.select(named, *[F.col(c).alias(f"frame_{c}" if c.lower() == id_col.lower() else c) for c in names[1:]])
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -295,15 +346,14 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 
 
 def features_of(media: bytes) -> tuple:
+    """Digests of the frames as composed (the samples are their red values), and their number, time and summed histogram."""
     sha, n, tail, frames, ms = hashlib.sha256(), 0, b"", 0, 0
     bins = np.zeros(BINS, np.int64)
-    for frame in decode_gif(media).frames:
-        samples = frame.pixels.tobytes()
+    for x in compose(decode_gif(media)):
+        samples = x.drawn[..., 0].tobytes()
         sha.update(samples)
-        n, tail, frames, ms = n + len(samples), samples[-WIDTH:], frames + 1, ms + 10 * frame.delay_cs
-        shade = np.zeros(256, np.int64)
-        shade[: len(frame.palette)] = frame.palette[:, 0] >> 4
-        bins += np.bincount(shade, np.bincount(frame.pixels.ravel(), minlength=256), BINS).astype(np.int64)
+        n, tail, frames, ms = n + len(samples), (tail + samples)[-WIDTH:], max(frames, x.frame_no + 1), max(ms, x.start_ms + 10 * x.frame.delay_cs)
+        bins += histogram(x.drawn)[0]
     return n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"frames={frames};ms={ms};hist={','.join(map(str, bins))}"
 
 
