@@ -6,7 +6,10 @@ for a prefix and holds the best score of any segmentation of that prefix, and it
 number of tokens, computed once from the nodes on its path; a pre-token's count
 is read at its terminal. A document's count is the sum over its pre-tokens.
 
-Best: highest sum of piece scores, then fewest tokens. A character without a
+Best: highest sum of piece scores, then fewest tokens. Scores are log-probabilities
+of the pieces (``unigram``): the vocabulary file holds a merge model, whose scores are
+only ranks, so a piece of rank r gets a probability in proportion to 1 / (r + 1)
+(Zipf's law); they sum to 1. A character without a
 piece costs ``min score - 10`` and counts its UTF-8 bytes (byte fallback).
 
 The trie of a worker is bounded: it starts anew at ``MAX_NODES`` nodes, and
@@ -18,9 +21,11 @@ equal rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import partial
 
 import pandas as pd
@@ -33,10 +38,19 @@ PRE_TOKEN = re.compile(r" ?\S+|\s")
 MAX_NODES, TRIE_CHARS = 400_000, 64
 
 
+def unigram(pieces: Pieces) -> Pieces:
+    """``pieces`` with log-probabilities for scores: Zipf's law over the order of their scores, ties by id."""
+    ranked = sorted(pieces.scores, key=lambda p: (-pieces.scores[p], pieces.ids[p]))
+    whole = math.log(sum(1 / (r + 1) for r in range(len(ranked))))
+    return replace(pieces, scores={p: -math.log(r + 1) - whole for r, p in enumerate(ranked)})
+
+
 class UnigramTrie:
+    """Counts of pre-tokens under ``pieces``, whose scores are log-probabilities."""
+
     def __init__(self, pieces: Pieces):
         self.scores, self.longest = pieces.scores, pieces.longest
-        self.unknown = min(s for s in pieces.scores.values() if s > -1e8) - 10.0
+        self.unknown = min(pieces.scores.values()) - 10.0
         self.clear()
 
     def clear(self) -> None:
@@ -105,7 +119,7 @@ def _count(batches: Iterator[pd.DataFrame], pieces) -> Iterator[pd.DataFrame]:
 
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """Per row: doc_id, n_pretokens, n_tokens."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    pieces = docs.sparkSession.sparkContext.broadcast(unigram(load_pieces(model_path)))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(partial(_count, pieces=pieces), "doc_id string, n_pretokens long, n_tokens long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

@@ -1,5 +1,6 @@
 """Line dedup, SimHash, mixing, encoding and token counts against brute force."""
 
+import math
 import random
 import zlib
 
@@ -285,7 +286,13 @@ def brute_count(word, pieces, unknown):
 
 
 def test_token_counts_match_brute_force(spark, pieces, monkeypatch):
-    unknown = min(s for s in pieces.scores.values() if s > -1e8) - 10
+    ranked = sorted(pieces.ids, key=lambda p: (-pieces.scores[p], pieces.ids[p]))
+    whole = sum(1 / n for n in range(1, len(ranked) + 1))
+    ranks = pieces.scores
+    pieces = trie_counts.unigram(pieces)
+    assert math.isclose(sum(math.exp(s) for s in pieces.scores.values()), 1)
+    assert all(math.isclose(math.exp(pieces.scores[p]), 1 / (n * whole)) for n, p in list(enumerate(ranked, 1))[::97]) and ranks != pieces.scores
+    unknown = min(pieces.scores.values()) - 10
     rows = awkward()
     got = trie_counts.count_tokens(frame(spark, rows)).collect()
     want = []
@@ -299,6 +306,8 @@ def test_token_counts_match_brute_force(spark, pieces, monkeypatch):
     for w in {w for _, t, _ in rows for w in trie_counts.PRE_TOKEN.findall(t or "")}:
         assert small.count(w) == brute_count(w.replace(" ", SPACE), pieces, unknown) == big.count(w)
     assert trie_counts.count_tokens(frame(spark, [])).count() == 0
+    clashing = frame(spark, rows).withColumn("n_tokens", F.lit("x")).withColumn("score", F.lit(1))
+    assert sorted((str(r[0]), r[1], r[2]) for r in trie_counts.count_tokens(clashing).collect()) == sorted(want)
 
 
 def test_held_out_rows_follow_crc32(spark):
