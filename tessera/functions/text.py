@@ -27,8 +27,13 @@ HONORIFICS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "Mt", "Fig", "E
 W_SHOUT, W_PUNCT, W_URGENT, W_PROFANE = 0.25, 0.20, 0.25, 0.40
 SHOUT_FROM, SHOUT_FULL, SHOUT_LETTERS = 0.4, 0.7, 4
 EXCESS_CAP, URGENT_CAP, LIGHT_PART, HEAVY_FLOOR = 5, 2, 0.6, 0.5
-LEVELS = ((0.8, "high"), (0.5, "moderate"), (0.2, "mild"))
-MEDIA = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "xml": "application/xml", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
+LEVELS = ((0.8, "very_frustrated"), (0.5, "frustrated"), (0.2, "mildly_frustrated"))
+MEDIA = {
+    "txt": "text/plain", "text": "text/plain", "pdf": "application/pdf", "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xml": "application/xml",
+    "csv": "application/csv", "markdown": "text/markdown", "md": "text/markdown", "ppl": "text/plain", "dsl": "text/plain",
+    "toon": "text/toon", "moon": "text/plain", "json": "application/json", "yaml": "application/yaml", "yml": "application/yaml",
+}
 
 _any = lambda words: "(?:" + "|".join(w.replace(".", r"\.").replace(" ", r"\s+") for w in words) + ")"
 GREETING = _any(GREETINGS)
@@ -94,7 +99,7 @@ def strip_fences(text: Column) -> Column:
 
 def media_type(path: Column, default: str = "text/plain") -> Column:
     table = F.create_map(*[F.lit(x) for k, v in MEDIA.items() for x in (k, v)])
-    extension = F.lower(F.regexp_extract(path, r"([A-Za-z0-9]+)$", 1))
+    extension = F.lower(F.regexp_extract(path, r"(?:^|[./])([A-Za-z0-9]+)$", 1))
     return F.coalesce(F.element_at(table, extension), F.lit(default))
 
 
@@ -113,12 +118,30 @@ def is_document_id(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[a-z0-9]+(_[a-z0-9]+)*\|[a-z0-9]+(_[a-z0-9]+)*$"), F.lit(False))
 
 
-def document_id(path: Column, theme: Column | None = None, ascii_only: bool = False) -> Column:
-    """``theme|stem``: the parent folder (or root) and the file name without extension and build suffix; ids pass through."""
-    clean = _replace(path, r"\\", "/")
-    stem = _replace(F.element_at(F.split(clean, "/"), -1), r"(?i)\.[a-z0-9]{1,5}$", "")
-    stem = _replace(stem, r"[_.-]?md_\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z$", "")
-    parent = F.coalesce(F.nullif(F.try_element_at(F.split(clean, "/"), F.lit(-2)), F.lit("")), F.lit("root"))
+def theme_of(path: Column) -> Column:
+    """The parent folder's name; ``root`` if there is none."""
+    return F.coalesce(F.nullif(F.try_element_at(F.split(_replace(path, r"\\", "/"), "/"), F.lit(-2)), F.lit("")), F.lit("root"))
+
+
+def theme_conflict(path: Column, theme: Column, ascii_only: bool = False) -> Column:
+    """Whether ``theme`` overrides another theme, of an id or of a path with a folder."""
+    own = F.when(is_document_id(path), F.split(path, r"\|")[0]).otherwise(sanitize(theme_of(path), ascii_only))
+    return F.coalesce((own != "root") & (own != sanitize(theme, ascii_only)), F.lit(False))
+
+
+def document_id(path: Column, theme: Column | None = None, ascii_only: bool = False, on_conflict: str = "silent") -> Column:
+    """``theme|stem``: the parent folder (or root) and the file name without extension and build suffix; ids pass through.
+
+    A given theme overrides the folder's. Where both differ, ``on_conflict`` decides:
+    ``silent`` takes the given one, ``throw`` fails; ``theme_conflict`` marks such rows.
+    """
+    if on_conflict not in ("silent", "throw"):
+        raise ValueError(f"unknown conflict mode {on_conflict}")
+    stem = _replace(F.element_at(F.split(_replace(path, r"\\", "/"), "/"), -1), r"(?i)\.[a-z0-9]{1,5}$", "")
+    stem = _replace(stem, r"\|md_\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-\d{3}Z$", "")
+    parent = theme_of(path)
+    if theme is not None and on_conflict == "throw":
+        theme = F.when(theme_conflict(path, theme, ascii_only), F.raise_error(F.concat(F.lit("themes conflict: "), path)).cast("string")).otherwise(theme)
     theme = parent if theme is None else F.coalesce(theme, parent)
     return F.when(is_document_id(path), path).otherwise(F.concat(sanitize(theme, ascii_only), F.lit("|"), sanitize(stem, ascii_only)))
 
@@ -141,15 +164,23 @@ def punctuation_excess(text: Column) -> Column:
     return F.aggregate(runs, F.lit(0.0), lambda a, r: a + weight(r))
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def urgent_hits(text: Column) -> Column:
     """Urgent words found, in list order; a longer phrase takes its characters from later words."""
-    rest, found = F.lower(text), []
-    for word in URGENT:
-        pattern = rf"(?<=^|\s){word}(?=\s|$|[.,!?])" if " " in word else START + word + END
-        found.append(F.regexp_count(rest, F.lit(pattern)))
-        rest = F.regexp_replace(rest, pattern, "\u0001" * len(word))
-    names = F.array(*map(F.lit, URGENT))
-    return F.flatten(F.zip_with(names, F.array(*found), lambda name, n: F.array_repeat(name, n)))
+    patterns = [rf"(?<=^|\s){w}(?=\s|$|[.,!?])" if " " in w else START + w + END for w in URGENT]
+
+    def count_from(i: int, rest: Column, found: list[Column]) -> Column:
+        if i == len(URGENT):
+            return F.flatten(F.zip_with(F.array(*map(F.lit, URGENT)), F.array(*found), lambda name, n: F.array_repeat(name, n)))
+        blanked = F.regexp_replace(rest, patterns[i], "\u0001" * len(URGENT[i]))
+        return _held(blanked, lambda r: count_from(i + 1, r, [*found, F.regexp_count(rest, F.lit(patterns[i]))]))
+
+    none = F.array().cast("array<string>")
+    return _held(F.lower(text), lambda low: F.when(low.rlike("|".join(patterns)), count_from(0, low, [])).otherwise(none))
 
 
 def profanity_tier(text: Column) -> Column:
@@ -160,11 +191,16 @@ def profanity_tier(text: Column) -> Column:
 def frustration(text: Column) -> Column:
     """Struct of the tone signals and a score from 0 to 1; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    tier, urgent = profanity_tier(text), urgent_hits(text)
-    profane = F.when(tier == "heavy", 1.0).when(tier == "light", LIGHT_PART).otherwise(0.0)
-    parts = W_SHOUT * shouting(text) + W_PUNCT * F.least(F.lit(1.0), punctuation_excess(text) / EXCESS_CAP) + W_URGENT * F.least(F.lit(1.0), F.size(urgent) / URGENT_CAP) + W_PROFANE * profane
-    score = F.least(F.lit(1.0), F.when(tier == "heavy", F.greatest(F.lit(HEAVY_FLOOR), parts)).otherwise(parts))
-    return F.struct(score.alias("score"), shouting(text).alias("shouting"), caps_ratio(text).alias("caps_ratio"), punctuation_excess(text).alias("excess"), urgent.alias("urgent"), tier.alias("profanity"))
+
+    def scored(s: Column) -> Column:
+        tier = s["profanity"]
+        profane = F.when(tier == "heavy", 1.0).when(tier == "light", LIGHT_PART).otherwise(0.0)
+        parts = W_SHOUT * s["shouting"] + W_PUNCT * F.least(F.lit(1.0), s["excess"] / EXCESS_CAP) + W_URGENT * F.least(F.lit(1.0), F.size(s["urgent"]) / URGENT_CAP) + W_PROFANE * profane
+        score = F.least(F.lit(1.0), F.when(tier == "heavy", F.greatest(F.lit(HEAVY_FLOOR), parts)).otherwise(parts))
+        return F.struct(score.alias("score"), *[s[c].alias(c) for c in ("shouting", "caps_ratio", "excess", "urgent", "profanity")])
+
+    signs = F.struct(shouting(text).alias("shouting"), caps_ratio(text).alias("caps_ratio"), punctuation_excess(text).alias("excess"), urgent_hits(text).alias("urgent"), profanity_tier(text).alias("profanity"))
+    return _held(signs, scored)
 
 
 def frustration_level(score: Column) -> Column:

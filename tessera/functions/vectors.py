@@ -29,10 +29,14 @@ def l2(v: Column) -> Column:
     return F.sqrt(l2_squared(v))
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is zero."""
-    norm = l2(a) * l2(b)
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    return _held(l2(a) * l2(b), lambda norm: F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm))
 
 
 def similarity(a: Column, b: Column, normalize: bool = False) -> Column:
@@ -41,8 +45,7 @@ def similarity(a: Column, b: Column, normalize: bool = False) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    norm = l2(v)
-    return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
+    return _held(l2(v), lambda norm: F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm)))
 
 
 def hinge(c: Column) -> Column:
@@ -53,8 +56,7 @@ def hinge(c: Column) -> Column:
 def weighted_score(v: Column, query: Column, weights: Column) -> Column:
     """sum(v q w) / sqrt(sum((v w)^2)); 0 if the denominator is 0."""
     vw = F.zip_with(v, weights, lambda x, w: x.cast("double") * w)
-    size = l2(vw)
-    return F.when(size == 0, 0.0).otherwise(dot(vw, query) / size)
+    return _held(vw, lambda x: _held(l2(x), lambda size: F.when(size == 0, 0.0).otherwise(dot(x, query) / size)))
 
 
 def score_f32(a: Column, b: Column) -> Column:

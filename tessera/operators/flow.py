@@ -69,6 +69,37 @@ def poll_wait(wait: float, pending: int, error: bool) -> float:
     return min(30.0, max(2.0, wait * part))
 
 
+def poll(look: Callable[[], tuple[bool, int]], wait: float = 5.0, most: int = 180, most_errors: int = 10, on_poll: Callable[[bool, int], None] | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Looks at a batch (``look`` gives: ended, open requests) until it has ended; how often it looked.
+
+    A failed look waits longer and counts; it is raised after ``most_errors`` looks,
+    and a batch that is open after ``most`` of them is given up.
+    """
+    for n in range(1, most + 1):
+        sleep(wait)
+        try:
+            ended, pending = look()
+        except Exception as e:  # a service may fail in any way; the loop goes on for a while
+            if n > most_errors:
+                raise RuntimeError(f"polling failed at look {n}: {e}") from e
+            wait = min(30.0, wait * 1.5)
+            continue
+        if on_poll:
+            on_poll(ended, pending)
+        if ended:
+            return n
+        wait = poll_wait(wait, pending, False)
+    raise TimeoutError(f"still open after {most} looks")
+
+
+def turn_faults(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conversation, fault): why a conversation can't be sent on; null if its last turn is a user's and says something."""
+    last = turns.groupBy(conversation).agg(F.max(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("text"))).alias("last"))
+    blank = F.trim(F.coalesce("last.text", F.lit(""))) == ""
+    fault = F.when(F.coalesce("last.role", F.lit("")) != "user", "the last turn is not the user's").when(blank, "the last turn is empty")
+    return last.select(conversation, fault.alias("fault"))
+
+
 def check_ids(requests: DataFrame, key: str = "request_id") -> None:
     bad = requests.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1)).limit(1).count()
     if bad:

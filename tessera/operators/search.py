@@ -8,6 +8,7 @@ anchor, reranked against the candidates' centroid, and bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,8 @@ from ..functions.vectors import dot, l2, score_f32, weighted_score
 from ..tables import materialize
 
 SECTION = ["document_id", "doc_ord", "section_idx", "range_start", "range_end"]
-#: Queries that are broadcast to the vectors; above it both sides are dealt out.
-BROADCAST_QUERIES = 4096
+#: Queries that are broadcast to the vectors; above it both sides are dealt into blocks of about so many rows.
+BROADCAST_QUERIES, BLOCK_VECTORS = 4096, 50_000
 
 
 @dataclass(frozen=True)
@@ -41,18 +42,38 @@ class Options:
 
 
 def meet(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every vector with every query; the queries travel, the vectors stay where they are."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return vectors.crossJoin(F.broadcast(queries)) if few else vectors.join(queries.hint("shuffle_replicate_nl"))
+    """Every vector with every query.
+
+    Few queries travel to the vectors. Many are dealt into blocks, and the vectors too;
+    each pair of blocks is one key of a join, so a task holds one block of each.
+    """
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return vectors.crossJoin(F.broadcast(queries))
+    q_blocks, v_blocks = (max(1, -(-df.count() // rows)) for df, rows in ((queries, BROADCAST_QUERIES), (vectors, BLOCK_VECTORS)))
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("_v_block", deal(vectors, v_blocks)).withColumn("_q_block", every(q_blocks))
+    right = queries.withColumn("_q_block", deal(queries, q_blocks)).withColumn("_v_block", every(v_blocks))
+    return left.join(right, ["_v_block", "_q_block"]).drop("_v_block", "_q_block")
 
 
 def score_sections(vectors: DataFrame, queries: DataFrame, floor: float | None = 0.3) -> DataFrame:
-    """Best vector of each section for each query: score, best_vec; sections under ``floor`` go (None keeps all)."""
+    """Best vector of each section for each query: score, best_vec; sections under ``floor`` go (None keeps all).
+
+    A vector of another length than the query's is an error. Scores under the floor
+    go before the shuffle, which carries numbers only; the best vectors are joined to
+    the sections that are left. ``vec_idx`` names one vector of a section.
+    """
     q = queries.select("query_id", F.col("vec").alias("query_vec"))
-    scored = meet(vectors, q).withColumn("score", score_f32(F.col("vec"), F.col("query_vec")))
-    best = scored.groupBy("query_id", *SECTION).agg(F.max(F.struct("score", (-F.col("vec_idx")).alias("nth"), "vec")).alias("best"))
-    hits = best.select("query_id", *SECTION, "best.score", F.col("best.vec").alias("best_vec"))
-    return hits if floor is None else hits.filter(F.col("score") >= floor)
+    fits = F.assert_true(F.size("vec") == F.size("query_vec"), F.lit("vectors and queries differ in length")).isNull()
+    # explode_outer holds the score as a column: the floor below doesn't compute it a second time
+    scored = meet(vectors, q).filter(fits).select("query_id", *SECTION, "vec_idx", F.explode_outer(F.array(score_f32(F.col("vec"), F.col("query_vec")))).alias("score"))
+    if floor is not None:
+        scored = scored.filter(F.col("score") >= floor)
+    best = scored.groupBy("query_id", *SECTION).agg(F.max(F.struct("score", (-F.col("vec_idx")).alias("nth"))).alias("best"))
+    hits = best.select("query_id", *SECTION, "best.score", (-F.col("best.nth")).alias("vec_idx"))
+    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*SECTION, "vec_idx"]]
+    return hits.alias("h").join(vectors.alias("v"), on).select("h.query_id", *[F.col(f"h.{c}") for c in SECTION], "h.score", F.col("v.vec").alias("best_vec"))
 
 
 def in_order(score: str = "score") -> list[Column]:
@@ -72,20 +93,40 @@ def entropy_count(hits: DataFrame, max_cut: int = 30) -> DataFrame:
 
 
 def ratio_count(hits: DataFrame, min_gap: float = 3.0, eps: float = 1e-10, upto: Column | None = None) -> DataFrame:
-    """(query_id, k): rows before the earliest largest ratio of neighbours, if it reaches ``min_gap``; else all rows looked at."""
+    """(query_id, k): rows before the earliest largest ratio of neighbours, if it reaches ``min_gap``; else all rows looked at.
+
+    Rows are looked at up to the first one at the noise floor ``eps``, itself included;
+    a score of 0 there makes an endless ratio, a negative one none.
+    """
     looked = hits if upto is None else hits.filter(F.col("rank") <= upto)
     before = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank"))
-    gaps = looked.withColumn("before", before).withColumn("gap", F.when((F.col("before") > eps) & (F.col("score") > 0), F.col("before") / F.greatest(F.col("score"), F.lit(eps))))
+    looked = looked.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") > eps))
+    gap = F.when(F.col("score") == 0, F.lit(float("inf"))).when(F.col("score") > 0, F.col("before") / F.col("score"))
+    gaps = looked.withColumn("gap", F.when(F.col("before").isNotNull(), gap))
     top = gaps.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.struct("gap", (-F.col("rank")).alias("nth"))).alias("top"))
     return top.select("query_id", F.when(F.col("top.gap") >= min_gap, -F.col("top.nth") - 1).otherwise(F.col("n")).cast("int").alias("k"))
 
 
 def prune(hits: DataFrame, max_cut: int = 30, min_gap: float = 1.5, eps: float = 1e-10) -> DataFrame:
-    """Rows up to the smaller of the entropy and the ratio cut; needs ``rank``."""
-    cut = entropy_count(hits, max_cut if max_cut > 0 else 30)
-    first = hits.join(cut, "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
-    by_ratio = ratio_count(first, min_gap, eps)
-    return first.join(by_ratio, "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
+    """Rows up to the smaller of the entropy and the ratio cut (``entropy_count``, ``ratio_count``); needs ``rank``.
+
+    Only the first ``max_cut`` rows of a query can stay, so both cuts are windows over
+    these few rows, dealt by query once.
+    """
+    columns = hits.columns
+    whole = Window.partitionBy("query_id")
+    s = F.when(F.col("score") > 0, F.col("score"))
+    first = hits.filter(F.col("rank") <= (max_cut if max_cut > 0 else 30))
+    first = first.withColumns({"_s": F.sum(s).over(whole), "_e": F.sum(s * F.log(s)).over(whole), "_n": F.count(s).over(whole)})
+    k = F.ceil(F.round(F.exp(F.log("_s") - F.col("_e") / F.col("_s")), 9))
+    first = first.filter(F.col("rank") <= F.when(F.col("_n") == 0, 0).otherwise(F.least(F.greatest(k, F.lit(1)), F.col("_n"))))
+    before = F.lag("score").over(whole.orderBy("rank"))
+    first = first.withColumn("_before", before)
+    looked = F.col("_before").isNull() | (F.col("_before") > eps)
+    gap = F.when(looked & F.col("_before").isNotNull(), F.when(F.col("score") == 0, F.lit(float("inf"))).when(F.col("score") > 0, F.col("_before") / F.col("score")))
+    first = first.withColumns({"_top": F.max(F.struct(gap.alias("gap"), (-F.col("rank")).alias("nth"))).over(whole), "_looked": F.count_if(looked).over(whole)})
+    keep = F.when(F.col("_top.gap") >= min_gap, -F.col("_top.nth") - 1).otherwise(F.col("_looked"))
+    return first.filter(F.col("rank") <= keep).select(*columns)
 
 
 def pivot_rows(candidates: DataFrame, vectors: DataFrame, o: Options) -> DataFrame:
@@ -100,10 +141,10 @@ def pivot_rows(candidates: DataFrame, vectors: DataFrame, o: Options) -> DataFra
 
 
 def centroids(candidates: DataFrame) -> DataFrame:
-    """(query_id, centroid): mean of the candidates' best vectors, per component."""
-    parts = candidates.select("query_id", F.posexplode("best_vec").alias("dim", "x"))
-    means = parts.groupBy("query_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return means.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("centroid"))
+    """(query_id, centroid): mean of the candidates' best vectors, per component. Candidates of a query are few: the cut bounds them."""
+    held = candidates.groupBy("query_id").agg(F.collect_list(F.struct("rank", "best_vec")).alias("all")).withColumn("all", F.transform(F.array_sort("all"), lambda c: c["best_vec"]))
+    mean = lambda i: F.aggregate("all", F.lit(0.0), lambda a, v: a + v[i].cast("double")) / F.size("all")
+    return held.select("query_id", F.transform(F.sequence(F.lit(0), F.size(F.col("all")[0]) - 1), mean).alias("centroid"))
 
 
 def rerank_weights(candidates: DataFrame, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -125,29 +166,67 @@ def rerank(candidates: DataFrame, hits: DataFrame, queries: DataFrame, o: Option
     return pool.withColumn("rerank_score", F.when(~F.col("skip"), weighted_score(F.col("best_vec"), F.col("query_vec"), F.col("weights")))).drop("query_vec", "weights", "weak")
 
 
-def search(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
-    """Hits per query: rank, document_id, range, score."""
+def stages(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> dict[str, DataFrame]:
+    """The tables that a search goes through: hits, candidates, pivoted, pool, reranked (with ``rerank``) and found."""
     hits = materialize(ranked(score_sections(vectors, queries, o.floor)), "hits")
-    candidates = materialize(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")
-    if o.pivot:
-        candidates = materialize(pivot_rows(candidates, vectors, o), "candidates")
+    out = {"hits": hits, "candidates": materialize(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")}
+    candidates = out["pivoted"] = materialize(pivot_rows(out["candidates"], vectors, o), "candidates") if o.pivot else out["candidates"]
     if o.rerank:
-        pool = materialize(rerank(candidates, hits, queries, o), "pool")
+        pool = out["pool"] = materialize(rerank(candidates, hits, queries, o), "pool")
         kept = pool.filter("skip").drop("rerank_score", "skip", "extra")
         again = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("extra"), F.asc("rank"))
         new = pool.filter("not skip").withColumn("score", F.col("rerank_score")).withColumn("rank", F.row_number().over(again)).drop("rerank_score", "skip", "extra")
-        new = materialize(prune(new, 30, o.min_gap, o.eps), "reranked")
+        new = out["reranked"] = materialize(prune(new, 30, o.min_gap, o.eps), "reranked")
         few = new.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < o.min_rows).select("query_id")
         again_scores = pool.filter("not skip").select("query_id", *SECTION, "rerank_score")
         saved = hits.filter(F.col("rank") <= o.min_rows).join(few, "query_id", "left_semi").join(again_scores, ["query_id", *SECTION], "left")
         saved = saved.withColumn("score", F.coalesce("rerank_score", "score")).drop("rerank_score")
-        found = kept.unionByName(new.join(few, "query_id", "left_anti")).unionByName(saved)
+        out["found"] = kept.unionByName(new.join(few, "query_id", "left_anti")).unionByName(saved)
     else:
-        found = candidates
+        out["found"] = candidates
+    return out
+
+
+def _bounded(found: DataFrame, o: Options) -> DataFrame:
     most = o.max_rows if o.user_rows is None else min(o.max_rows, o.user_rows)
     return found.filter(F.col("rank") <= most).select("query_id", "rank", "document_id", "doc_ord", "section_idx", "range_start", "range_end", "score")
 
 
+def search(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
+    """Hits per query: rank, document_id, range, score."""
+    return _bounded(stages(vectors, queries, o)["found"], o)
+
+
+def trace(queries: DataFrame, tables: dict[str, DataFrame], o: Options = Options()) -> DataFrame:
+    """What each stage did, one row per query: sizes, score range, the cut and the score behind it, pivot and rerank, the final number."""
+    size = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    hits = tables["hits"].groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    cut = tables["candidates"].groupBy("query_id").agg(F.count("*").alias("pruned_to"), F.max("rank").alias("last_rank"), F.min("score").alias("cut_score"))
+    out = queries.select("query_id").distinct().join(hits, "query_id", "left").join(cut, "query_id", "left")
+    behind = tables["hits"].select("query_id", F.col("rank").alias("r"), F.col("score").alias("next_score"))
+    out = out.join(behind.withColumn("last_rank", F.col("r") - 1).drop("r"), ["query_id", "last_rank"], "left").drop("last_rank")
+    out = out.join(size(tables["pivoted"], "pivoted_to"), "query_id", "left")
+    if "pool" in tables:
+        out = out.join(tables["pool"].groupBy("query_id").agg(F.bool_or("skip").alias("rerank_skipped")), "query_id", "left").join(size(tables["reranked"], "reranked_to"), "query_id", "left")
+    out = out.join(size(_bounded(tables["found"], o), "final"), "query_id", "left")
+    return out.fillna(0, subset=["hits", "pruned_to", "pivoted_to", "final"]).withColumn("pivot_added", F.col("pivoted_to") - F.col("pruned_to"))
+
+
+def report(traced: DataFrame) -> DataFrame:
+    """(query_id, report): the rows of ``trace`` as text, a line for each stage."""
+    number = lambda c: F.format_string("%.3f", F.col(c))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n = F.col
+    lines = [
+        F.when(n("hits") == 0, "scored: 0 hits").otherwise(text("scored: ", n("hits"), " hits, ", number("lowest"), " to ", number("highest"))),
+        F.when(n("hits") > 0, text("pruned: ", n("hits"), " to ", n("pruned_to"), F.when(n("next_score").isNotNull(), text(" (cut at ", number("cut_score"), ", next ", number("next_score"), ")")).otherwise(F.lit("")))),
+        F.when(n("pivot_added") > 0, text("pivot: ", n("pivot_added"), " added")),
+    ]
+    if "rerank_skipped" in traced.columns:
+        lines.append(F.when(n("rerank_skipped"), "rerank: skipped").when(n("reranked_to").isNotNull(), text("rerank: ", n("reranked_to"), " left")))
+    return traced.select("query_id", F.concat_ws("\n", *lines, text("final: ", n("final"))).alias("report"))
+
+
 def union_hits(hits: DataFrame) -> DataFrame:
     """One row per (query, document, range) over a query's segments: the best score, then the earliest segment; ranked."""
     key = ["query_id", "document_id", "range_start", "range_end"]
@@ -209,24 +288,38 @@ def serialize(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.concat_ws("\n", F.concat(F.lit("User query: "), "text"), tone, F.concat(F.lit("User intent: "), F.array_join("intents", ", ")), head, F.array_join("lines", "\n")).alias("context"))
 
 
-def classify(vectors: DataFrame, anchors: DataFrame, open_label: str = "TECHNICAL", base: float = 0.5, preference: float = 0.10, margin: float = 0.1, least: float = 0.4) -> DataFrame:
-    """Anchor classifier: ``vectors(query_id, vec)`` against ``anchors(label, vec)``.
+def classify(vectors: DataFrame, anchors: DataFrame, open_label: str = "TECHNICAL", base: float = 0.5, preference: float = 0.10, margin: float = 0.1, least: float = 0.4, second: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Anchor classifier: ``vectors(query_id, vec)`` against ``anchors(label, vec)``; an anchor's ``anchor_id``, if given, is not its own query.
 
     Class score: best cosine. The open label, when it has no anchors, scores
-    ``base`` less the best other; it is preferred when another leads by less than
-    ``preference``. Small margins or weak best scores are low confidence.
+    ``base`` less the best other. Confidence is the lead over the runner-up. Another
+    label that leads the open one by less than ``preference`` gives way to it, with a
+    confidence of 0 at most. Thin leads or weak best scores are low confidence; for
+    these rows ``second`` (query_id, label, confidence), if given, decides.
     """
-    met = meet(anchors.select("label", F.col("vec").alias("anchor")), vectors.select("query_id", "vec"))
+    named = "anchor_id" in anchors.columns
+    met = meet(anchors.select("label", F.col("vec").alias("anchor"), *(["anchor_id"] if named else [])), vectors.select("query_id", "vec"))
+    if named:
+        met = met.filter(F.col("anchor_id") != F.col("query_id"))
     norm = l2(F.col("anchor")) * l2(F.col("vec"))
     per = met.groupBy("query_id", "label").agg(F.max(F.when(norm == 0, 0.0).otherwise(dot(F.col("anchor"), F.col("vec")) / norm)).alias("score"))
-    other = per.filter(F.col("label") != open_label).groupBy("query_id").agg(F.max(F.struct("score", "label")).alias("top"), F.max("score").alias("raw"))
-    own = per.filter(F.col("label") == open_label).select("query_id", F.col("score").alias("own"))
-    t = other.join(own, "query_id", "left").withColumn("open", F.coalesce("own", base - F.col("top.score")))
-    lead = F.col("top.score") - F.col("open")
-    picked = F.when(lead < preference, open_label).otherwise(F.col("top.label"))
-    confidence = F.when(lead < preference, -lead).otherwise(lead)
-    weak = (F.abs(confidence) < margin) | (F.greatest(F.col("raw"), F.coalesce("own", F.lit(0.0))) < least)
-    return t.select("query_id", picked.alias("label"), confidence.alias("confidence"), F.col("top.score").alias("best_other"), F.col("open").alias("open_score"), weak.alias("low_confidence"))
+    # one entry per label, ties to the open label and then to the later label
+    entry = lambda score, label: F.struct(score.alias("score"), (label == open_label).alias("open"), label.alias("label"))
+    t = per.groupBy("query_id").agg(F.collect_list(entry(F.col("score"), F.col("label"))).alias("scores"), F.max("score").alias("raw"), F.max(F.when(F.col("label") != open_label, F.col("score"))).alias("best_other"), F.max(F.when(F.col("label") == open_label, F.col("score"))).alias("own"))
+    t = t.withColumn("open", F.coalesce("own", base - F.col("best_other")))
+    added = F.when(F.col("own").isNull(), F.concat("scores", F.array(entry(F.col("open"), F.lit(open_label))))).otherwise(F.col("scores"))
+    t = t.withColumn("ranked", F.sort_array(added, asc=False))
+    top, runner_up = F.col("ranked")[0], F.try_element_at("ranked", F.lit(2))
+    gives_way = (top["label"] != open_label) & (top["score"] - F.col("open") < preference)
+    t = t.withColumn("label", F.when(gives_way, open_label).otherwise(top["label"]))
+    t = t.withColumn("confidence", F.when(gives_way, F.col("open") - top["score"]).otherwise(top["score"] - F.coalesce(runner_up["score"], F.lit(0.0))))
+    out = t.select("query_id", "label", "confidence", "best_other", F.col("open").alias("open_score"), ((F.col("confidence") < margin) | (F.col("raw") < least)).alias("low_confidence"))
+    if second is None:
+        return out
+    again = second(vectors.join(out.filter("low_confidence").select("query_id"), "query_id", "left_semi")).select("query_id", F.col("label").alias("label2"), F.col("confidence").alias("confidence2"))
+    out = out.join(again, "query_id", "left")
+    took = F.col("label2").isNotNull()
+    return out.select("query_id", F.coalesce("label2", "label").alias("label"), F.when(took, F.col("confidence2")).otherwise(F.col("confidence")).alias("confidence"), "best_other", "open_score", (F.col("low_confidence") & ~took).alias("low_confidence"), took.alias("used_second"))
 
 
 def searchable(segments: DataFrame, label: str = "CONVERSATIONAL", least: float = 0.7) -> DataFrame:

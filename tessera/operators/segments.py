@@ -28,7 +28,13 @@ PROTECTED = [
     r"\b(?:" + "|".join(h.replace(".", r"\.").replace(" ", r"\s") for h in HONORIFICS) + r")\.",
 ]
 # Words that aren't worth a span of their own.
-STOP_WORDS = set("a an and are as at be but by for from has have he her his i if in is it its me my no not of on or our she so that the their them then there these they this to us was we were what when where which who will with you your".split())
+STOP_WORDS = set(
+    "and or but nor yet so although if then else which that because however therefore thus "
+    "this these those they them their theirs it its itself when where while after before "
+    "some such more most many other another of in on to for by as at is are was were be been being a an the "
+    "between among across through within against during despite under over into onto upon from with without "
+    "use uses used using have has had having make makes made making take takes took taking give gives gave giving".split()
+)
 KEEP = [re.compile(p, re.ASCII) for p in PROTECTED]
 EDGE = " \t\n\v\f\r!,.:;?"
 SPACE = " \t\n\v\f\r"
@@ -131,6 +137,38 @@ def sections_of(text: str | None) -> list[dict]:
     return out
 
 
+def tree_of(text: str | None) -> list[tuple]:
+    """(node, parent, depth, level, title, start, end, paragraphs) of the heading tree; node 0 is the text itself, left out if one heading holds all."""
+    text = text or ""
+    nodes = [[0, None, 0, 0, None, 0, len(text), 0]]
+    open_nodes = [0]
+    for row in segment(text, headers=True):
+        if not row["level"]:
+            nodes[open_nodes[-1]][7] += 1
+            continue
+        while len(open_nodes) > 1 and nodes[open_nodes[-1]][3] >= row["level"]:
+            nodes[open_nodes.pop()][6] = row["start"]
+        title = text[row["start"] : row["end"]][row["title_offset"] :].strip()
+        nodes.append([len(nodes), open_nodes[-1], len(open_nodes), row["level"], title, row["start"], len(text), 0])
+        open_nodes.append(len(nodes) - 1)
+    only = [n for n in nodes if n[1] == 0]
+    if len(only) == 1 and not nodes[0][7]:
+        nodes = [[n[0], n[1] or None, n[2] - 1, *n[3:]] for n in nodes[1:]]
+    return [tuple(n) for n in nodes]
+
+
+def section_tree(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
+    """One row per heading, in page order: node, parent, depth, level, title, start, end and its own paragraphs."""
+    return _each(docs, tree_of, "node int, parent int, depth int, level int, title string, start int, end int, paragraphs int", id_col, text_col)
+
+
+def partition_report(tree: DataFrame, id_col: str = "document_id") -> DataFrame:
+    """(id, report): each text's headings as indented lines."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.coalesce("title", F.lit("(text)")), F.lit(" ["), F.col("start").cast("string"), F.lit(","), F.col("end").cast("string"), F.lit("]"))
+    lines = tree.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("node", line.alias("line")))).alias("lines"))
+    return lines.select(id_col, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("report"))
+
+
 def subsegment(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
     """(tier, start, end): clauses (: ;), phrases (quotes, brackets, commas), long words, pairs and triplets of them."""
     out = []

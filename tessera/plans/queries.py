@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import search, segments, spans, store, usage, validate
+from ..operators import flow, intervals, search, segments, spans, spelling, store, usage, validate
 from ..operators.search import Options
 from ..sources.files import html_to_markdown
 from . import answer
@@ -92,6 +92,17 @@ def search_pivot_no_rerank(spark, d):
     return _out(search.search(vectors_of(spark, d), queries_of(spark, d), Options(pivot=True, rerank=False, pivot_min_results=50, pivot_min_anchor=0.4)))
 
 
+def search_trace(spark, d):
+    v, q, o = vectors_of(spark, d), queries_of(spark, d), Options(rerank=False)
+    t = search.trace(q, search.stages(v, q, o), o)
+    return t.select("query_id", "hits", r6("lowest").alias("lowest"), r6("highest").alias("highest"), "pruned_to", r6("cut_score").alias("cut_score"), r6("next_score").alias("next_score"), "pivot_added", "final")
+
+
+def search_report(spark, d):
+    v, q = vectors_of(spark, d), queries_of(spark, d)
+    return search.report(search.trace(q, search.stages(v, q)))
+
+
 def rerank_centroid(spark, d):
     c = search.centroids(search.prune(_hits(spark, d)))
     return c.select("query_id", r6(F.element_at("centroid", 1)).alias("c1"), r6(V.l2(F.col("centroid"))).alias("length"))
@@ -104,7 +115,7 @@ def rerank_weights(spark, d):
 
 def union_hits(spark, d):
     hits = _hits(spark, d).withColumn("segment_idx", (F.col("query_id") % 3).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 60))
-    return search.union_hits(hits).select(*KEY, r6("score").alias("score"))
+    return search.union_hits(hits).select(*KEY, r6("score").alias("score"), "segment_idx", "rank")
 
 
 def distribution_stats(spark, d):
@@ -127,8 +138,7 @@ def rank_changes(spark, d):
 
 
 def classifier_label(spark, d):
-    e = table(spark, d, "embeddings")
-    anchors = e.filter("vec_id % 20 = 1 and label <> 0").select(F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"))
+    anchors = table(spark, d, "embeddings").select(F.col("vec_id").alias("anchor_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec"))
     got = search.classify(queries_of(spark, d), anchors)
     return got.select("query_id", "label", r6("confidence").alias("confidence"), r6("open_score").alias("open_score"), "low_confidence")
 
@@ -172,11 +182,10 @@ def interval_ops(spark, d):
 
 
 def interval_overlap_join(spark, d):
-    """Orders whose line ranges overlap, joined on coarse cells of the range first."""
+    """Documents whose ranges overlap."""
     v = table(spark, d, "documents").select("doc_id", F.struct((F.col("doc_id") * 7).alias("start"), (F.col("doc_id") * 7 + F.col("n_chars") % 23).alias("end")).alias("i"))
-    cells = v.withColumn("cell", F.explode(F.sequence(F.floor(F.col("i.start") / 32), F.floor(F.col("i.end") / 32))))
-    a, b = cells.select(F.col("doc_id").alias("a_id"), F.col("i").alias("a"), "cell"), cells.select(F.col("doc_id").alias("b_id"), F.col("i").alias("b"), "cell")
-    return a.join(b, "cell").filter((F.col("a_id") < F.col("b_id")) & V.intersects(F.col("a"), F.col("b"))).select("a_id", "b_id").distinct()
+    met = intervals.overlap_join(v.select(F.col("doc_id").alias("a_id"), F.col("i").alias("a")), v.select(F.col("doc_id").alias("b_id"), F.col("i").alias("b")), "a", "b", cell=32)
+    return met.filter("a_id < b_id").select("a_id", "b_id")
 
 
 def _text(spark, d, more=""):
@@ -272,7 +281,7 @@ def resolve_range(spark, d):
 
 def serialize_context(spark, d):
     hits = search.search(vectors_of(spark, d), queries_of(spark, d), Options(rerank=False)).withColumn("section_text", F.concat(F.lit("a  b\n"), "document_id"))
-    q = queries_of(spark, d).select("query_id", F.lit("q").alias("text"), F.lit(0.5).alias("frustration"), F.lit("moderate").alias("level"), F.array(F.lit("GREETING"), F.lit("A")).alias("intents"))
+    q = queries_of(spark, d).select("query_id", F.lit("q").alias("text"), F.lit(0.5).alias("frustration"), F.lit("frustrated").alias("level"), F.array(F.lit("GREETING"), F.lit("A")).alias("intents"))
     return search.serialize(hits, q)
 
 
@@ -289,7 +298,17 @@ def usage_collapse(spark, d):
 
 def usage_cost(spark, d):
     t = usage.collapse(usage.with_cost(_usage(spark, d), usage.RATES | {"batch_discount": 0.5}), "l_suppkey")
-    return t.select("l_suppkey", *[r6(c).alias(c) for c in ("input_cost", "output_cost", "total_cost")])
+    return t.select("l_suppkey", *[F.round(f"{c}_cost", 6).cast("double").alias(f"{c}_cost") for c in usage.ITEMS])
+
+
+def usage_normalize(spark, d):
+    other = table(spark, d, "events").select(F.col("value").alias("DURATION"), F.col("user_id").alias("input_tokens"))
+    t = usage.normalize(_usage(spark, d), other)
+    return t.groupBy("cache", "succeeded").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("cached_tokens_read").alias("read"))
+
+
+def turn_faults(spark, d):
+    return flow.turn_faults(table(spark, d, "conversations"))
 
 
 def intent_set(spark, d):
@@ -335,6 +354,22 @@ def text_sections(spark, d):
     return segments.sections(pages).select("document_id", "section_idx", "range_start", "range_end", "breadcrumbs", "word_count", "bucket", F.size("chunks").alias("n_chunks"))
 
 
+def section_tree(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), html_to_markdown(F.col("html")).alias("content"))
+    return segments.section_tree(pages)
+
+
+def partition_report(spark, d):
+    return segments.partition_report(section_tree(spark, d))
+
+
+def spell_suggest(spark, d):
+    """Every word of the documents that the benchmark's texts lack, against these texts' words."""
+    words = lambda t: F.explode(F.filter(T.split_words(F.lower(t)), lambda w: w.rlike("^[a-z]{4,}$"))).alias("word")
+    known = table(spark, d, "benchmark").select(words(F.col("text"))).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.suggest(table(spark, d, "documents").select(words(F.col("text"))), known)
+
+
 def text_segments(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
     return segments.segments(docs).select("document_id", "idx", "start", "end")
@@ -346,7 +381,7 @@ def text_subsegments(spark, d):
 
 def pca_first_component(spark, d):
     v = table(spark, d, "embeddings")
-    return spans.pca(v, "label", "vec_id", "embedding").select("label", r6(V.l2(F.col("component"))).alias("length"))
+    return spans.pca(v, "label", "vec_id", "embedding").select("label", F.transform("component", lambda x: F.round(x, 6)).alias("component"), "consumed")
 
 
 def representative_spans(spark, d):
@@ -364,9 +399,9 @@ def analyze_queries(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank,
+    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
-    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,
-    latency_percentiles, match_results, text_sections, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
+    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,
+    latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

@@ -104,18 +104,19 @@ ORACLE_SQL = {
     "search_ranked": f"WITH {STORE} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, rank::INT AS rank, round(score, 6) AS score FROM hits",
     "entropy_effective_count": f"WITH {STORE} {CAND} x AS (SELECT 1) SELECT query_id, k::INT AS k FROM cand0_k",
     "ratio_effective_count": f"WITH {STORE} g AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS gap FROM hits) SELECT query_id, (CASE WHEN max(gap) >= 1.2 THEN arg_max(rank, (gap, -rank)) FILTER (gap IS NOT NULL) - 1 ELSE count(*) END)::INT AS k FROM g GROUP BY 1",
+    "search_trace": f"WITH {STORE} {CAND} h AS (SELECT query_id, count(*) AS hits, min(score) AS l, max(score) AS u FROM hits GROUP BY 1), c AS (SELECT query_id, count(*) AS n, max(rank) AS r, min(score) AS cut FROM cand0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(hits, 0) AS hits, round(l, 6) AS lowest, round(u, 6) AS highest, coalesce(n, 0) AS pruned_to, round(cut, 6) AS cut_score, round(x.score, 6) AS next_score, 0::BIGINT AS pivot_added, least(coalesce(n, 0), 12)::BIGINT AS final FROM embeddings LEFT JOIN h ON h.query_id = vec_id LEFT JOIN c ON c.query_id = vec_id LEFT JOIN hits x ON x.query_id = vec_id AND x.rank = r + 1 WHERE vec_id % 20 = 0",
     "adaptive_prune": f"WITH {STORE} {CAND} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, rank::INT AS rank, round(score, 6) AS score FROM cand0",
     "search_no_rerank": NO_RERANK,
     "search_pivot": f"WITH {STORE} {CAND} {PIVOT} {RERANK} {OUT.format('final')}",
     "search_pivot_no_rerank": f"WITH {STORE} {CAND} {PIVOT} final AS (SELECT * FROM cand) {OUT.format('final')}",
     "rerank_centroid": f"WITH {STORE} {CAND} {PLAIN} {WEIGHTS} x AS (SELECT 1) SELECT query_id, round(c[1], 6) AS c1, round(sqrt(list_dot_product(c, c)), 6) AS length FROM cen",
     "rerank_weights": f"WITH {STORE} {CAND} {PLAIN} {WEIGHTS} x AS (SELECT 1) SELECT query_id, weak::INT AS weak, skip, round(list_sum(w), 6) AS total FROM w2",
-    "union_hits": f"WITH {STORE} x AS (SELECT 1) SELECT query_id // 60 AS query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, round(max(score), 6) AS score FROM hits GROUP BY 1, 2, 3, 4",
+    "union_hits": f"WITH {STORE} g AS (SELECT query_id // 60 AS query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, score, (query_id % 3)::INT AS seg FROM hits), b AS (SELECT query_id, document_id, range_start, range_end, max(score) AS score, min(seg) FILTER (score = top) AS segment_idx FROM (SELECT *, max(score) OVER (PARTITION BY query_id, document_id, range_start, range_end) AS top FROM g) GROUP BY 1, 2, 3, 4) SELECT query_id, document_id, range_start, range_end, round(score, 6) AS score, segment_idx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_idx, document_id, range_start, range_end)::INT AS rank FROM b",
     "distribution_stats": f"WITH {STORE} p AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p FROM hits), t AS (SELECT query_id, count(*) AS n, min(score) AS lowest, max(score) AS highest, avg(score) AS mean, stddev_pop(score) AS stddev, sum(-p * log2(p)) AS entropy, log2(count(*)) AS max_entropy FROM p GROUP BY 1) SELECT query_id, n, CASE WHEN n = 1 OR entropy / max_entropy < 0.5 THEN 'peaky' WHEN entropy / max_entropy < 0.85 THEN 'moderate' ELSE 'flat' END AS label, round(lowest, 6) AS lowest, round(highest, 6) AS highest, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round(entropy, 6) AS entropy, round(max_entropy, 6) AS max_entropy FROM t",
     "threshold_suggestions": f"WITH {STORE} t AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score AS d, max(score) OVER w AS top, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd FROM hits WINDOW w AS (PARTITION BY query_id)) SELECT query_id, (CASE WHEN max(d) >= 0.1 * max(top) THEN arg_max(rank, (d, -rank)) FILTER (d IS NOT NULL) - 1 END)::INT AS knee, CASE WHEN count(*) = 1 THEN NULL WHEN max(top) / max(score) FILTER (rank = 2) >= 1.5 THEN 'strong' WHEN max(top) / max(score) FILTER (rank = 2) >= 1.2 THEN 'moderate' ELSE 'weak' END AS gap, count(*) FILTER (score >= mean + sd) AS above_z, count(*) FILTER (score >= mean) AS above_mean FROM t GROUP BY 1",
     "rerank_effect": f"WITH a AS ({NO_RERANK}), b AS ({FULL}), k AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, document_id, range_start FROM a WHERE rank <= 5 INTERSECT SELECT query_id, document_id, range_start FROM b WHERE rank <= 5) GROUP BY 1) SELECT i.query_id, coalesce(n, 0)::INT AS kept, CASE WHEN coalesce(n, 0) >= 4 THEN 'cosmetic' WHEN coalesce(n, 0) >= 2 THEN 'partial' ELSE 'substantive' END AS effect FROM (SELECT query_id FROM a INTERSECT SELECT query_id FROM b) i LEFT JOIN k USING (query_id)",
     "rank_changes": f"WITH a AS ({NO_RERANK}), b AS ({FULL}) SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.range_start, b.range_start) AS range_start, coalesce(a.range_end, b.range_end) AS range_end, a.rank AS old_rank, b.rank AS new_rank, a.rank - b.rank AS moved FROM a FULL JOIN b ON a.query_id = b.query_id AND a.document_id = b.document_id AND a.range_start = b.range_start",
-    "classifier_label": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), a AS (SELECT label::VARCHAR AS label, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 1 AND label <> 0), p AS (SELECT query_id, label, max(list_cosine_similarity(v, a)) AS s FROM q, a GROUP BY 1, 2), t AS (SELECT query_id, max(s) AS top, arg_max(label, (s, label)) AS label, 0.5 - max(s) AS open FROM p GROUP BY 1), c AS (SELECT *, top - open AS lead FROM t) SELECT query_id, CASE WHEN lead < 0.1 THEN 'TECHNICAL' ELSE label END AS label, round(CASE WHEN lead < 0.1 THEN -lead ELSE lead END, 6) AS confidence, round(open, 6) AS open_score, abs(lead) < 0.1 OR greatest(top, 0) < 0.4 AS low_confidence FROM c",
+    "classifier_label": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), a AS (SELECT vec_id AS anchor_id, label::VARCHAR AS label, embedding::DOUBLE[] AS a FROM embeddings), p AS (SELECT query_id, label, max(list_cosine_similarity(v, a)) AS s FROM q, a WHERE query_id <> anchor_id GROUP BY 1, 2), o AS (SELECT query_id, max(s) AS raw, 0.5 - max(s) AS open FROM p GROUP BY 1), e AS (SELECT query_id, label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, (label = 'TECHNICAL') DESC, label DESC) AS r FROM (SELECT * FROM p UNION ALL SELECT query_id, 'TECHNICAL', open FROM o)), c AS (SELECT query_id, raw, open, max(label) FILTER (r = 1) AS label, max(s) FILTER (r = 1) AS top, max(s) FILTER (r = 2) AS second FROM e JOIN o USING (query_id) GROUP BY ALL), l AS (SELECT *, label <> 'TECHNICAL' AND top - open < 0.1 AS way FROM c), f AS (SELECT query_id, CASE WHEN way THEN 'TECHNICAL' ELSE label END AS label, CASE WHEN way THEN open - top ELSE top - second END AS confidence, open, raw FROM l) SELECT query_id, label, round(confidence, 6) AS confidence, round(open, 6) AS open_score, confidence < 0.1 OR raw < 0.4 AS low_confidence FROM f",
     "store_remove": f"WITH {STORE} x AS (SELECT 1) SELECT document_id, count(*) AS n FROM v WHERE document_id NOT IN (SELECT document_id FROM v WHERE section_idx % 2 = 0 AND doc_ord < 3) GROUP BY 1",
     "store_append": f"WITH {STORE} x AS (SELECT max(doc_ord) + 1 AS m FROM v) SELECT document_id, doc_ord::INT AS doc_ord, count(*) AS n FROM (SELECT document_id, doc_ord FROM v UNION ALL SELECT document_id, doc_ord + m FROM v, x) GROUP BY 1, 2",
     "store_collisions": "SELECT source AS document_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -131,7 +132,7 @@ ORACLE_SQL = {
     "collapse_punctuation": f"SELECT doc_id, {COLLAPSED.format('(text || chr(32) || ' + repr('no!!? what??? a,,b ;; c....') + ')')} AS t FROM documents",
     "normalize_punctuation": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' no!! a,,b c.. d.... e--f g_h~i', ',+', ',', 'g'), '!+', '!', 'g'), '\?+', '?', 'g'), '\.{4,}|\.{2}', '...', 'g'), '-{2,}', '—', 'g'), '[_~]', '-', 'g') AS t FROM documents",
     "document_id": r"WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1) || '.md', '/+\.md$', '.md') AS p FROM pages), s AS (SELECT page_id, string_split(p, '/')[-2] AS theme, regexp_replace(string_split(p, '/')[-1], '\.[a-zA-Z0-9]{1,5}$', '') AS stem FROM p), i AS (SELECT page_id, trim(regexp_replace(lower(theme), '[^a-z0-9]+', '_', 'g'), '_') || '|' || trim(regexp_replace(lower(stem), '[^a-z0-9]+', '_', 'g'), '_') AS document_id FROM s) SELECT page_id, document_id, regexp_matches(document_id, '^[a-z0-9]+(_[a-z0-9]+)*\|[a-z0-9]+(_[a-z0-9]+)*$') AS sound FROM i",
-    "media_type": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'text/plain' ELSE 'image/jpeg' END AS media_type FROM pages",
+    "media_type": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' ELSE 'text/plain' END AS media_type FROM pages",
     "frustration_score": f"""WITH toned AS (SELECT conv_id, turn, t, lower(t) AS low FROM (SELECT conv_id, turn, text || {_pick(TONES, '(conv_id * 7 + turn) % ' + str(len(TONES)))} AS t FROM conversations)),
 {_urgent()}
 s AS (SELECT *, len(regexp_extract_all(t, '[A-Za-z]')) AS letters, len(regexp_extract_all(t, '[A-Z]')) AS caps, list_sum(list_transform(regexp_extract_all(t, '[!?]{{2,}}'), lambda r: (len(r) - 1) * CASE WHEN contains(r, '!') THEN 1.0 ELSE 0.5 END)) AS x,
@@ -140,14 +141,16 @@ r AS (SELECT *, CASE WHEN letters = 0 THEN 0.0::DOUBLE ELSE caps / letters END A
 f AS (SELECT *, CASE WHEN letters < 4 THEN 0.0::DOUBLE ELSE least(1, greatest(0, (caps_ratio - 0.4::DOUBLE) / (0.7::DOUBLE - 0.4::DOUBLE))) END AS shouting FROM r),
 g AS (SELECT *, 0.25::DOUBLE * shouting + 0.2::DOUBLE * least(1, excess / 5) + 0.25::DOUBLE * least(1, urgent / 2) + 0.4::DOUBLE * CASE profanity WHEN 'heavy' THEN 1 WHEN 'light' THEN 0.6::DOUBLE ELSE 0 END AS parts FROM f),
 h AS (SELECT *, least(1, CASE WHEN profanity = 'heavy' THEN greatest(0.5::DOUBLE, parts) ELSE parts END) AS score FROM g)
-SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS shouting, round(excess, 6) AS excess, profanity, urgent::INT AS urgent, round(score, 6) AS score, CASE WHEN round(score, 9) >= 0.8 THEN 'high' WHEN round(score, 9) >= 0.5 THEN 'moderate' WHEN round(score, 9) >= 0.2 THEN 'mild' END AS level FROM h""",
+SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS shouting, round(excess, 6) AS excess, profanity, urgent::INT AS urgent, round(score, 6) AS score, CASE WHEN round(score, 9) >= 0.8 THEN 'very_frustrated' WHEN round(score, 9) >= 0.5 THEN 'frustrated' WHEN round(score, 9) >= 0.2 THEN 'mildly_frustrated' END AS level FROM h""",
     "multi_part": f"SELECT conv_id, turn, {MULTI} AS multi_part FROM (SELECT conv_id, turn, {COLLAPSED.format('t')} AS q FROM {GREETED_T})",
     "greeting_template": f"SELECT conv_id, turn, CASE {' '.join(f"WHEN regexp_matches(t, '{_regex(T.START + p + T.END)}', 'i') THEN '{k}'" for p, k in T.TEMPLATE_RULES)} ELSE 'default' END AS template FROM {GREETED_T}",
     "query_prefix": "SELECT item_id, 'query: ' || ltrim(text) AS t FROM benchmark",
     "resolve_range": "WITH h AS (SELECT doc_id AS query_id, doc_id + CASE WHEN doc_id % 10 = 0 THEN 10000000 ELSE 0 END AS document_id, n_chars % 50 - 3 AS s, n_chars % 70 + 5 AS e FROM documents) SELECT query_id, document_id::VARCHAR AS document_id, CASE WHEN s >= 0 AND e >= s AND e <= length(text) THEN substring(text, s + 1, e - s) END AS section_text FROM h LEFT JOIN documents d ON h.document_id = d.doc_id",
-    "serialize_context": f"WITH a AS ({NO_RERANK}), l AS (SELECT query_id, string_agg('- ' || printf('%.3f', score) || ',' || document_id || ',[' || range_start || ',' || range_end || '],a b ' || document_id, chr(10) ORDER BY rank) AS l, count(*) AS n FROM a GROUP BY 1) SELECT vec_id AS query_id, 'User query: q' || chr(10) || 'Frustration: 0.50 (moderate)' || chr(10) || 'User intent: GREETING, A' || chr(10) || 'Results:[' || coalesce(n, 0) || ']{{score,documentId,range:[start,end],sectionText}}:' || chr(10) || coalesce(l, '') AS context FROM embeddings LEFT JOIN l ON vec_id = query_id WHERE vec_id % 20 = 0".replace("{{", "{").replace("}}", "}"),
+    "serialize_context": f"WITH a AS ({NO_RERANK}), l AS (SELECT query_id, string_agg('- ' || printf('%.3f', score) || ',' || document_id || ',[' || range_start || ',' || range_end || '],a b ' || document_id, chr(10) ORDER BY rank) AS l, count(*) AS n FROM a GROUP BY 1) SELECT vec_id AS query_id, 'User query: q' || chr(10) || 'Frustration: 0.50 (frustrated)' || chr(10) || 'User intent: GREETING, A' || chr(10) || 'Results:[' || coalesce(n, 0) || ']{{score,documentId,range:[start,end],sectionText}}:' || chr(10) || coalesce(l, '') AS context FROM embeddings LEFT JOIN l ON vec_id = query_id WHERE vec_id % 20 = 0".replace("{{", "{").replace("}}", "}"),
     "usage_collapse": f"WITH {USAGE} SELECT l_suppkey, sum(duration) AS duration, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, bool_or(cache) AS cache, CASE WHEN bool_or(cache) THEN bool_or(hit) END AS cache_hit, CASE WHEN bool_or(cache) THEN bool_or(miss) END AS cache_miss, CASE WHEN bool_or(cache) THEN sum(r)::BIGINT END AS cached_tokens_read, CASE WHEN bool_or(cache) THEN sum(c)::BIGINT END AS cached_tokens_created, CASE WHEN count(ok) > 0 THEN sum(ok)::BIGINT END AS succeeded, CASE WHEN count(ok) > 0 THEN sum(bad)::BIGINT END AS errored FROM u GROUP BY 1",
-    "usage_cost": f"WITH {USAGE}, c AS (SELECT l_suppkey, (i * {RATES['input']}::DOUBLE + CASE WHEN cache AND miss THEN c * {RATES['cache_write']}::DOUBLE ELSE 0 END + CASE WHEN cache AND hit THEN r * {RATES['cache_read']}::DOUBLE ELSE 0 END) * p AS a, o * {RATES['output']}::DOUBLE * p AS b FROM (SELECT *, CASE WHEN ok IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END / 1000000 AS p FROM u)) SELECT l_suppkey, round(sum(a), 6) AS input_cost, round(sum(b), 6) AS output_cost, round(sum(a + b), 6) AS total_cost FROM c GROUP BY 1",
+    "usage_cost": f"WITH {USAGE}, c AS (SELECT l_suppkey, " + ", ".join(f"coalesce({n}, 0) * {RATES[k]}::DECIMAL(6, 2) * p AS {x}" for n, k, x in (("i", "input", "uncached_input"), ("CASE WHEN hit THEN r END", "cache_read", "cache_read"), ("CASE WHEN miss THEN c END", "cache_write", "cache_write"), ("o", "output", "output"))) + " FROM (SELECT *, CASE WHEN ok IS NULL THEN 1::DECIMAL(2, 1) ELSE 0.5::DECIMAL(2, 1) END AS p FROM u)) SELECT l_suppkey, " + ", ".join(f"round(sum({x}), 0)::DOUBLE / 1000000 AS {n}_cost" for x, n in ((x, x) if x != "t" else ("uncached_input + cache_read + cache_write + output", "total") for x in ("uncached_input", "cache_read", "cache_write", "output", "t"))) + " FROM c GROUP BY 1",
+    "usage_normalize": f"WITH {USAGE}, a AS (SELECT cache, ok, i, o, r FROM u UNION ALL SELECT false, NULL, user_id, 0, NULL FROM events) SELECT cache, ok AS succeeded, count(*) AS n, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(r) AS read FROM a GROUP BY 1, 2",
+    "turn_faults": "WITH l AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM conversations) SELECT conv_id, CASE WHEN coalesce(role, '') <> 'user' THEN 'the last turn is not the user''s' WHEN trim(coalesce(text, '')) = '' THEN 'the last turn is empty' END AS fault FROM l WHERE n = 1",
     "intent_set": "WITH t AS (SELECT DISTINCT conv_id, CASE WHEN turn = 0 THEN 'GREETING' ELSE upper(role) END AS l FROM conversations) SELECT conv_id, string_agg(l, ',' ORDER BY l <> 'GREETING', l) AS intents FROM t GROUP BY 1",
     "parse_json_rows": "SELECT event_id, unnest(['q' || event_id, 'a', 'b', 'v']) AS text FROM events WHERE event_id % 7 <> 0",
     "response_errors": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END::INT AS faults FROM events",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import document_id
-from ..operators.store import VECTORS, collisions
+from ..operators.store import VECTORS, append, collisions, from_spec
+from ..tables import materialize
 
 # The binary vector file. Ten little-endian 32-bit words: magic,
 # version, dimension, sections, vectors, id bytes, and the byte offsets of id, index
@@ -26,9 +27,11 @@ def parse_vectors(data: bytes) -> list[tuple]:
     """Rows (document_id, section_idx, start, end, vec_idx, vec); ValueError for another format or version."""
     if len(data) < HEADER.size:
         raise ValueError("too short")
-    magic, version, dim, sections, vectors, id_bytes, id_at, index_at, vec_at, _ = HEADER.unpack_from(data)
+    magic, version, dim, sections, vectors, id_bytes, id_at, index_at, vec_at, size = HEADER.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a vector file of this version")
+    if size > len(data):
+        raise ValueError("the file is shorter than it says")
     name = data[id_at : id_at + id_bytes].decode()
     index = np.frombuffer(data, "<u4", 3 * sections, index_at).reshape(-1, 3)
     values = np.frombuffer(data, "<f4", vectors * dim, vec_at).reshape(-1, dim)
@@ -51,20 +54,70 @@ def format_vectors(name: str, sections: list[tuple[int, int, np.ndarray]], dim:
     return head + padded + index + values
 
 
-def read_vector_files(spark: SparkSession, path: str) -> DataFrame:
-    """The store in all ``*.bin`` files below ``path`` (or in one file); documents are ordered by path. A broken file fails the read."""
+def _vector_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all ``*.bin`` files below ``path``, or a row with ``error`` for a file that can't be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bin").load(path)
-    order = files.select("path").distinct().withColumn("doc_ord", F.expr("row_number() over (order by path) - 1").cast("int"))
+    names = ["path", "document_id", "section_idx", "range_start", "range_end", "vec_idx", "vec", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame([(p, *r) for r in parse_vectors(bytes(data))], columns=["path", "document_id", "section_idx", "range_start", "range_end", "vec_idx", "vec"])
+                try:
+                    made = [(p, *r, None) for r in parse_vectors(bytes(data))]
+                except (ValueError, struct.error) as e:
+                    made = [(p, *[None] * 6, str(e))]
+                yield pd.DataFrame(made, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, "path string, document_id string, section_idx int, range_start int, range_end int, vec_idx int, vec array<float>, error string")
+
 
-    rows = files.select("path", "content").mapInPandas(run, "path string, document_id string, section_idx int, range_start int, range_end int, vec_idx int, vec array<float>")
+def _in_path_order(rows: DataFrame) -> DataFrame:
+    order = rows.select("path").distinct().withColumn("doc_ord", F.expr("row_number() over (order by path) - 1").cast("int"))
     return rows.join(order, "path").select(*[c.split()[0] for c in VECTORS.split(", ")])
 
 
+def read_vector_files(spark: SparkSession, path: str) -> DataFrame:
+    """The store in all ``*.bin`` files below ``path`` (or in one file); documents are ordered by path. A broken file fails the read."""
+    rows = _vector_rows(spark, path)
+    fine = F.when(F.col("error").isNull(), F.col("document_id")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string"))
+    return _in_path_order(rows.withColumn("document_id", fine))
+
+
+def open_store(spark: SparkSession, source: str | bytes | DataFrame) -> DataFrame:
+    """A store from what is given: a path, one vector file's bytes, or rows of specs (or of vectors, which pass through)."""
+    if isinstance(source, str):
+        return read_vector_files(spark, source)
+    if isinstance(source, bytes | bytearray):
+        rows = [(r[0], 0, *r[1:]) for r in parse_vectors(bytes(source))]
+        return spark.createDataFrame(rows, VECTORS)
+    if isinstance(source, DataFrame):
+        return source if "vec" in source.columns else from_spec(source)
+    raise TypeError(f"neither a path, bytes nor rows: {type(source).__name__}")
+
+
+def load_store(store: DataFrame, path: str, *, clear: bool = True) -> DataFrame:
+    """The store in ``path``, instead of ``store`` or (``clear`` false) behind it: all of it or, if a file is broken, a failure."""
+    read = materialize(read_vector_files(store.sparkSession, path), "loaded-store")
+    return read if clear else append(store, read)
+
+
+def add_paths(store: DataFrame, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(store with every path that could be read as a whole, failures (path, error)): a broken file keeps out its own path only."""
+    spark, failures = store.sparkSession, []
+    for path in paths:
+        try:
+            rows = materialize(_vector_rows(spark, path), "added-store")
+        except Exception as e:  # a missing folder fails in ways of its store; the failure is collected
+            failures.append((path, str(e).split("\n")[0][:500]))
+            continue
+        broken = rows.filter("error is not null").select("path", "error").limit(1).collect()
+        if broken:
+            failures.append((path, f"{broken[0]['path']}: {broken[0]['error']}"))
+        else:
+            store = append(store, _in_path_order(rows))
+    return store, spark.createDataFrame(failures, "path string, error string")
+
+
 def pack_documents(store: DataFrame) -> DataFrame:
     """(document_id, content): each document of a store as a vector file."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.usage import outcomes
+from ..tables import materialize
 
 ENTRY = "path string, retries int, payload map<string,string>"
 MAX_RETRIES = 5
@@ -34,7 +35,7 @@ def enqueue(entries: DataFrame, folder: str) -> None:
 
 
 def pending(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(ENTRY).json(folder)
+    return spark.read.schema(ENTRY).option("recursiveFileLookup", True).json(folder)
 
 
 def drain(batch: DataFrame, work: Callable[[DataFrame], DataFrame], max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -48,13 +49,14 @@ def consume(spark: SparkSession, folder: str, results: str, dead: str, checkpoin
     """Starts a query that drains the folder until nothing is left; retries are entries of a later batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        done = drain(batch, work, max_retries).withColumn("batch_id", F.lit(batch_id))
+        # written once: the work runs once for all that is made of it
+        done = materialize(drain(batch, work, max_retries), "queue-done")
         # a batch that is run again after a failure replaces its own output
         done.filter("outcome <> 'retried'").write.mode("overwrite").partitionBy("outcome").parquet(f"{results}/batch_id={batch_id}")
         done.filter("outcome = 'failed'").select("path", "retries", "payload", "last_error", "failed_at").write.mode("overwrite").json(f"{dead}/batch_id={batch_id}")
         back = done.filter("outcome = 'retried'").select("path", "retries", "payload")
         if not back.isEmpty():
-            enqueue(back, folder)
+            normalize(back).write.mode("overwrite").json(f"{folder}/retries-of-{batch_id}")
 
-    source = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    source = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder)
     return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

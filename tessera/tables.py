@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back, so that it is computed once and survives lost executors.
 
-    Only where the session names no such folder a temporary one is made.
+    Only where the session names no such folder and the master is local a temporary one is made.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.functions.encoders import hash_vector
-from tessera.operators import flow, search, segments, spans, store, usage, validate
+from tessera.operators import flow, search, segments, spans, spelling, store, usage, validate
 from tessera.plans import answer
 from tessera.plans.queries import QUERIES
 from tessera.plans.sql import ORACLE_SQL
@@ -20,7 +20,7 @@ from tessera.streaming import queue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["vector_functions", "search_ranked", "adaptive_prune", "search_full", "union_hits", "threshold_suggestions", "classifier_label", "store_remove", "interval_ops", "token_estimate", "collapse_punctuation", "document_id", "frustration_score", "multi_part", "resolve_range", "usage_collapse", "usage_cost", "parse_json_rows", "response_errors", "latency_percentiles", "retry_outcomes"]
+CHECKED = ["vector_functions", "search_ranked", "adaptive_prune", "search_full", "union_hits", "threshold_suggestions", "classifier_label", "store_remove", "interval_ops", "token_estimate", "collapse_punctuation", "document_id", "frustration_score", "multi_part", "resolve_range", "usage_collapse", "usage_cost", "parse_json_rows", "response_errors", "latency_percentiles", "retry_outcomes", "search_trace", "usage_normalize", "turn_faults", "media_type", "serialize_context", "search_pivot", "interval_overlap_join"]
 
 
 def plain(rows):
@@ -240,3 +240,206 @@ def test_text_queries_read_whole_documents(spark, tmp_path):
     assert set(spelled) == {1, 2, 3, 4} and spelled[2] is None and spelled[4].count("THE sentence oF it.") == 3000
     parts = QUERIES["text_subsegments"](spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in parts} == {1, 4} and max(r["end"] for r in parts if r["doc_id"] == 4) >= 20 * 2999
+
+
+def unit(*x):
+    return np.array(x, float) / np.linalg.norm(x)
+
+
+def test_representative_spans_on_known_geometry():
+    x, y, z = np.eye(4)[:3]
+    rows = lambda v, t, **o: dict(spans.representative(np.array(v), t, **o))
+    assert rows([x], x) == {0: 1.0} and rows([-x], x) == {} and rows([x], 0 * x) == {}
+    assert set(rows([x, -x, unit(0.5, 0.87, 0, 0)], x, support=0)) <= {0, 2}
+    for v in ([x, y, z], [x, x, x]):
+        assert np.allclose(list(rows(v, unit(1, 1, 1, 0) if v[1] is y else x).values()), 1 / 3, atol=1e-3)
+    r = np.random.default_rng(3)
+    v = np.array([unit(*q) for q in r.normal(size=(30, 5)) + 0.5])
+    beta = r.random(30)
+    linear = spans.representative(v, v.mean(0), beta)
+    assert dict(linear) == pytest.approx(dict(spans.representative(v, v.mean(0), beta, edge=lambda s: np.maximum(1 - s, 0))))
+    # the matrix form, written out
+    rel = 2 * v @ v.mean(0)
+    keep = np.flatnonzero(rel > 0)
+    m = np.maximum(1 - v[keep] @ v[keep].T, 0) + beta[keep].max()
+    np.fill_diagonal(m, beta[keep].max() - beta[keep])
+    a = np.full(len(keep), 1 / len(keep))
+    for _ in range(300):
+        new = a * (m @ a + rel[keep])
+        new /= new.sum()
+        done, a = np.abs(new - a).max() < 1e-5, new
+        if done:
+            break
+    assert dict(linear) == pytest.approx({int(i): w for i, w in zip(keep, a) if w > 0.5 / 30})
+    few = spans.representative(v, v.mean(0), beta, adaptive="entropy")
+    assert {i for i, _ in few} <= {i for i, _ in linear} and dict(spans.representative(v, None, relevance=rel, beta=beta)) == pytest.approx(dict(linear))
+
+
+def test_first_component_follows_the_running_update():
+    r = np.random.default_rng(4)
+    v = r.normal(size=(40, 3)) * [3, 1, 1]
+    mean, axis, before, used = v[0].copy(), v[0] / np.linalg.norm(v[0]), 1.0, 1
+    for k, x in enumerate(v[1:], 2):
+        c, used = x - mean, k
+        mean += c / k
+        new = axis + c * (c @ axis) / k
+        new /= np.linalg.norm(new)
+        turned = 1 - abs(new @ axis)
+        axis = new
+        if turned < 0.01 and before < 0.01:
+            break
+        before = turned
+    got = spans.fold_component(v, None)
+    assert np.allclose(got[1], axis) and np.allclose(got[0], mean) and got[2] == used < 40
+    assert np.allclose(spans.fold_component(v[7:], spans.fold_component(v[:7], None, 1e-9), 1e-9)[1], spans.first_component(v, 1e-9))
+
+
+def test_classifier_margin_is_over_the_runner_up(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id long, vec array<double>")
+    at = lambda c: [c, math.sqrt(1 - c * c), 0.0]
+    anchors = spark.createDataFrame([("SUPPORT", at(0.8)), ("CONVERSATIONAL", at(0.75)), ("TECHNICAL", at(0.1))], "label string, vec array<double>")
+    got = {r["query_id"]: r for r in search.classify(q, anchors).collect()}
+    assert got[1]["label"] == "SUPPORT" and got[1]["confidence"] == pytest.approx(0.05) and got[1]["low_confidence"]
+    assert got[2]["label"] == "TECHNICAL" and not got[2]["low_confidence"] or got[2]["confidence"] < 0.4
+    near = spark.createDataFrame([("SUPPORT", at(0.6)), ("TECHNICAL", at(0.55))], "label string, vec array<double>")
+    flipped = search.classify(q.limit(1), near).first()
+    assert flipped["label"] == "TECHNICAL" and flipped["confidence"] == pytest.approx(-0.05)
+    second = lambda rows: rows.select("query_id", F.lit("SUPPORT").alias("label"), F.lit(0.9).alias("confidence"))
+    again = search.classify(q.limit(1), near, second=second).first()
+    assert again["label"] == "SUPPORT" and again["used_second"] and not again["low_confidence"]
+
+
+def test_cost_is_itemised(spark):
+    row = "input_tokens long, output_tokens long, cache boolean, cache_hit boolean, cache_miss boolean, cached_tokens_read long, cached_tokens_created long, succeeded int, errored int, duration double"
+    df = spark.createDataFrame([(1_000_000, 100_000, False, True, None, 500_000, 7, None, None, 1.0), (1_000_000, 0, True, False, True, 9, 200_000, 3, 0, 1.0), (None, None, None, None, None, None, None, None, None, None)], row)
+    got = [r["cost"] for r in usage.with_cost(df, usage.RATES | {"batch_discount": 0.5}).collect()]
+    assert [float(got[0][c]) for c in usage.ITEMS] == [3.0, 0.15, 0.0, 1.5, 4.65]
+    assert [float(got[1][c]) for c in usage.ITEMS] == [1.5, 0.0, 0.375, 0.0, 1.875] and float(got[2]["total"]) == 0
+
+
+def test_fixed_values_and_ids(spark):
+    paths = ["a.yaml", "b.CSV", "c.html", "notes.toon", "md", "x-json", "d.docx"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(T.media_type(F.col("p"))).collect()]
+    assert got == ["application/yaml", "application/csv", "text/plain", "text/toon", "text/markdown", "text/plain", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
+    levels = [r[0] for r in spark.createDataFrame([(x,) for x in (0.9, 0.5, 0.2, 0.1)], "s double").select(T.frustration_level(F.col("s"))).collect()]
+    assert levels == ["very_frustrated", "frustrated", "mildly_frustrated", None]
+    df = spark.createDataFrame([("up/My Theme/A b|md_2026-04-22T02-28-30-099Z.md", "other"), ("up/My Theme/A bmd_2026-04-22T02-28-30-099Z.md", "my theme"), ("plain.md", "other")], "p string, t string")
+    got = df.select(T.document_id(F.col("p")), T.theme_conflict(F.col("p"), F.col("t")), T.document_id(F.col("p"), F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("my_theme|a_b", True, "other|a_b"), ("my_theme|a_bmd_2026_04_22t02_28_30_099z", False, "my_theme|a_bmd_2026_04_22t02_28_30_099z"), ("root|plain", False, "other|plain")]
+    with pytest.raises(Exception, match="conflict"):
+        df.select(T.document_id(F.col("p"), F.col("t"), on_conflict="throw")).collect()
+    assert "between" in segments.STOP_WORDS and "your" not in segments.STOP_WORDS
+
+
+def test_ratio_cut_stops_at_the_noise_floor(spark):
+    for scores, k in (((0.9, 0.8, 0.0, 0.0), 2), ((0.9, 0.8, -0.5), 3), ((0.0, 0.0), 1), ((0.9, 0.2, 1e-12, 1e-13), 2)):
+        assert search.ratio_count(hits(spark, scores)).first()["k"] == k, scores
+
+
+def test_search_refuses_other_dimensions_and_reports(spark):
+    v = spark.createDataFrame([("a|b", 0, 0, 0, 5, 0, [1.0, 0.0]), ("a|c", 1, 0, 0, 5, 0, [0.9, 0.1])], "document_id string, doc_ord int, section_idx int, range_start int, range_end int, vec_idx int, vec array<float>")
+    with pytest.raises(Exception, match="differ in length"):
+        search.score_sections(v, spark.createDataFrame([(1, [1.0])], "query_id long, vec array<float>")).collect()
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, vec array<float>")
+    got = {r["query_id"]: r["report"] for r in search.report(search.trace(q, search.stages(v, q))).collect()}
+    assert got[1].startswith("scored: 2 hits, 0.900 to 1.000\npruned: 2 to 2") and got[2] == "scored: 0 hits\nfinal: 0"
+
+
+def test_load_and_add_paths(spark, tmp_path):
+    for name, data in (("good/x", files.format_vectors("good|x", [(0, 4, np.eye(2))], 2)), ("more/y", files.format_vectors("more|y", [(0, 4, np.ones((1, 2)))], 2)), ("bad/z", b"junk")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / (name + ".bin")).write_bytes(data)
+    at = lambda n: str(tmp_path / n)
+    one = files.load_store(store.create(spark), at("good"))
+    both, failures = files.add_paths(one, at("bad"), at("more"), at("nowhere"))
+    assert [r["path"] for r in failures.collect()] == [at("bad"), at("nowhere")]
+    assert {(r["document_id"], r["doc_ord"]) for r in both.collect()} == {("good|x", 0), ("more|y", 1)}
+    assert files.load_store(both, at("more")).count() == 1 and files.load_store(both, at("more"), clear=False).count() == 4
+    with pytest.raises(Exception, match="vector file|too short"):
+        files.load_store(both, str(tmp_path))
+    data = files.format_vectors("a|b", [(0, 4, np.eye(2))], 2)
+    assert files.open_store(spark, data).count() == 2 and files.open_store(spark, at("good")).count() == 2 and files.open_store(spark, one).count() == 2
+    with pytest.raises(ValueError, match="shorter"):
+        files.parse_vectors(data[:-4])
+    with pytest.raises(TypeError):
+        files.open_store(spark, 3)
+
+
+def test_section_tree_and_report(spark):
+    text = "intro\n\n# A\n\none\n\ntwo\n\n## B\n\nthree\n\n# C\n\nfour"
+    df = spark.createDataFrame([("d", text), ("e", "# Only\n\nx"), ("n", None), ("z", "")], "document_id string, content string")
+    tree = segments.section_tree(df)
+    rows = {k: [tuple(r)[1:] for r in tree.filter(F.col("document_id") == k).orderBy("node").collect()] for k in "denz"}
+    assert [(r[0], r[1], r[2], r[4], r[7]) for r in rows["d"]] == [(0, None, 0, None, 1), (1, 0, 1, "A", 2), (2, 1, 2, "B", 1), (3, 0, 1, "C", 1)]
+    assert rows["d"][2][5:7] == (text.index("## B"), text.index("# C")) and [(r[0], r[1], r[2], r[4]) for r in rows["e"]] == [(1, None, 0, "Only")]
+    got = {r["document_id"]: r["report"] for r in segments.partition_report(tree).collect()}
+    assert got["d"].split("\n")[2].startswith("    B [")
+
+
+def test_polling_and_turns(spark):
+    replies, waits = [(False, 200), RuntimeError("busy"), (False, 5), (True, 0)], []
+
+    def look():
+        r = replies.pop(0)
+        if isinstance(r, Exception):
+            raise r
+        return r
+
+    assert flow.poll(look, wait=10.0, sleep=waits.append) == 4 and waits == [10.0, 12.0, 18.0, pytest.approx(14.4)]
+    with pytest.raises(TimeoutError):
+        flow.poll(lambda: (False, 50), most=3, sleep=lambda _: None)
+    with pytest.raises(RuntimeError, match="look 11"):
+        flow.poll(lambda: 1 / 0, sleep=lambda _: None)
+    t = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", " "), (3, 0, "assistant", "x"), (3, 1, "user", "y"), (4, 0, None, None)], "conv_id int, turn int, role string, text string")
+    got = {r[0]: r[1] for r in flow.turn_faults(t).collect()}
+    assert got[3] is None and "empty" in got[2] and "user" in got[1] and "user" in got[4]
+
+
+def test_spelling_suggestions_match_brute_force(spark):
+    known = [("boiler", 3), ("boilers", 1), ("water", 9), ("wader", 9), ("a", 1), (None, 2)]
+    asked = ["boilr", "watr", "wter", "boilerss", "zzz", "water", "b", None, "watr"]
+    got = {r["word"]: (r["suggestion"], r["distance"]) for r in spelling.suggest(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(known, "word string, n long")).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for w in {w for w in asked if w} - {k for k, _ in known}:
+        near = sorted((distance(w, k), -n, k) for k, n in known if k and distance(w, k) <= 1)
+        if near:
+            want[w] = (near[0][2], near[0][0])
+    assert got == want
+
+
+def test_queue_runs_the_work_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(batch):
+        def run(parts):
+            for pdf in parts:
+                calls.add(len(pdf))
+                yield pdf.assign(ok=pdf["retries"] > 0, error="later")
+
+        return batch.mapInPandas(run, f"{queue.ENTRY}, ok boolean, error string")
+
+    folder = str(tmp_path / "queue")
+    queue.enqueue(spark.createDataFrame([("a",), ("b",), ("c",)], "path string"), folder)
+    for _ in range(2):
+        queue.consume(spark, folder, str(tmp_path / "results"), str(tmp_path / "dead"), str(tmp_path / "checkpoint"), work).awaitTermination()
+    assert calls.value == 6  # three that fail once and succeed then
+    assert spark.read.parquet(str(tmp_path / "results")).filter("outcome = 'succeeded'").count() == 3
+
+
+def test_many_queries_meet_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = spark.createDataFrame([(f"d|{i % 5}", i % 5, i, 0, 5, 0, r.normal(size=4).tolist()) for i in range(40)], "document_id string, doc_ord int, section_idx int, range_start int, range_end int, vec_idx int, vec array<float>")
+    q = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(11)], "query_id long, vec array<float>")
+    want = sorted(map(tuple, search.search(v, q).collect()))
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 9)
+    assert sorted(map(tuple, search.search(v, q).collect())) == want
