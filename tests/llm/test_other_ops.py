@@ -47,10 +47,20 @@ def test_url_distrust_of_a_host_with_many_linkers(spark):
     link = lambda *to: "".join(f'<a href="http://{t}/">t</a>' for t in to)
     rows = [(0, "http://bad.net/es/1", "")] + [(i, f"http://h{i}.org/", link("bad.net")) for i in range(1, 41)]
     rows += [(50, "http://far.org/", link("h1.org")), (51, "http://mixed.org/", link("bad.net", *[f"fine{i}.org" for i in range(9)])), (52, "http://none.org/", "")]
-    got = {r["page_id"]: r["verdict"] for r in url_trust.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    pages = spark.createDataFrame(rows, PAGES)
+    judged = url_trust.judge(pages).collect()
+    assert sorted(map(tuple, judged)) == sorted(by_sql(queries.ORACLE_SQL["op1_url_filter"], pages=pages))
+    got = {r["page_id"]: r["verdict"] for r in judged}
     assert {got[i] for i in range(41)} == {"block"} and got[50] == "block" and got[51] == got[52] == "allow"
 
 
+def test_url_links_at_the_end_of_a_long_page(spark):
+    far = "word " * 200_000 + '<a href="http://bad.net/">x</a>'
+    pages = spark.createDataFrame([(1, "http://bad.net/es/1", ""), (2, "http://friend.org/", far), (3, "http://bad.net/fr/" + "y" * 100_000, "")], PAGES)
+    got = {r["page_id"]: r for r in url_trust.judge(pages).collect()}
+    assert got[2]["verdict"] == "block" and len(got[3]["path"]) == 100_004 and got[3]["rule"] == "net/fr/"
+
+
 def test_url_scores_spread_to_the_end(spark):
     hosts, links = "abcd", [("a", "b", 3), ("b", "a", 1), ("a", "c", 1), ("c", "a", 2), ("d", "a", 1)]
     seeds = [("trust", "c", 0.5), ("distrust", "a", 1.0), ("distrust", "b", 0.25)]
@@ -151,6 +161,21 @@ def test_top_k_matches_sql_and_keeps_ties(spark):
     assert ball_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_repeated_query_ids_and_too_large_components(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (50, [1.0, 1.0]), (7, [3.0, 3.0]), (7, [3.0, 3.0]), (8, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ball_tree.top_k(df, F.col("vec_id") % 50 == 0, k=3).collect()))
+    ints = [(i, [int(x * 256) for x in v]) for i, v in rows]
+    want = []
+    for q, v in ((0, [256, 1280]), (50, [256, 256])):  # the smallest vector of a repeated id asks
+        found = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in ints if i != q)[:3]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+    large = spark.createDataFrame([(0, [1e9, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        ball_tree.top_k(large, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_gif_round_trip(spark):
     r = random.Random(4)
     texts = ["", None, "a", "é" * 31, "word " * 30000, "".join(chr(r.randrange(32, 900)) for _ in range(20000)), "x" * 64, "x" * 70000]
