@@ -13,7 +13,7 @@ an earlier line, in the order (id, text hash, line number), is at least
    a token's key is (log2 of its bucket's count, hash), so sorted keys stand rarest
    first. Any one order keeps the filters exact; rarity makes the lists short.
 4. Prefix filter: similar lines share one of the first n - ceil(t n) + 1 keys.
-   Entries (key, line) carry length, position and a 128-bit parity map of the set for the
+   Entries (key, line) carry length, position and a parity map of 64 or 128 bits of the set for the
    length, positional and bitmap filters; none loses a pair. Entries meet by 40
    bits of a key; more lines may meet by that, never fewer.
 5. Entries are dealt by key once. Each is held against the first line of its key and
@@ -47,6 +47,8 @@ THRESHOLD = 0.8
 #: Hash buckets that count tokens, and the bits of a key by which entries meet.
 BUCKETS, KEY_BITS = 1 << 17, 40
 BITS = ["bits0", "bits1"]
+#: Up to so many words, 64 bits of parity tell lines apart.
+SMALL = 64
 LAST_ID = (1 << 63) - 1
 HAS_WORD = r"[^\x20\x09-\x0D]"
 WHITE = "\t\x0b\f\r"
@@ -106,30 +108,34 @@ def rarity_levels(texts: DataFrame) -> list[int]:
     return levels
 
 
-def _bitmap(hashes: Column, half: int) -> Column:
-    """Half of 128 bits: for each, whether the number of hashes that name it is odd. A hash names one bit of one half."""
+def _bitmaps(hashes: Column, n: Column) -> list[Column]:
+    """64 bits of parity (whether the number of hashes that name a bit is odd); of more than ``SMALL`` words, of the negative hashes and of the others."""
     none = F.lit(0).cast("long")
-    own = lambda h: F.shiftrightunsigned(h, 26).bitwiseAND(1).bitwiseXOR(F.lit(1 - half).cast("long"))
-    bit = lambda h: F.call_function("shiftleft", own(h), F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int"))
-    return F.aggregate(hashes, none, lambda a, h: a.bitwiseXOR(bit(h)))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    whole = F.aggregate(hashes, none, lambda a, h: a.bitwiseXOR(bit(h)))
+    low = F.aggregate(hashes, none, lambda a, h: F.when(h < 0, a.bitwiseXOR(bit(h))).otherwise(a))
+    high = F.aggregate(hashes, none, lambda a, h: F.when(h < 0, a).otherwise(a.bitwiseXOR(bit(h))))
+    return [F.when(n <= SMALL, whole).otherwise(low), F.when(n <= SMALL, none).otherwise(high)]
 
 
 def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """(key, line, n, place, bitmap) for the keys of the prefix of each of ``lines`` (line, words)."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    table = F.split(F.lit(",".join(str(x << 58) for x in levels)), ",").cast("array<bigint>")
+    key = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 6))
     # explode_outer holds the hashes as a column, so that they aren't made anew for each use
     hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words"), F.col("odd")))).alias("hashes"))
     n = F.size("hashes")
     prefix = F.slice(F.sort_array(F.transform("hashes", key)), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    keyed = hashed.select("line", n.alias("n"), *[_bitmap(F.col("hashes"), i).alias(c) for i, c in enumerate(BITS)], prefix.alias("prefix"))
+    keyed = hashed.select("line", n.alias("n"), *[x.alias(c) for x, c in zip(_bitmaps(F.col("hashes"), n), BITS)], prefix.alias("prefix"))
     entries = keyed.select("line", "n", *BITS, F.posexplode_outer("prefix").alias("place", "key"))
     return entries.withColumn("key", F.col("key").bitwiseAND((1 << KEY_BITS) - 1))
 
 
 def _apart(a, b) -> Column:
-    """Bits that differ: at most the number of words that two lines don't share."""
-    return sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in BITS)
+    """Bits that differ: at most the number of words that two lines don't share. The halves' parities add up to that of all."""
+    differ = [a(c).bitwiseXOR(b(c)) for c in BITS]
+    halves = F.bit_count(differ[0]) + F.bit_count(differ[1])
+    return F.when((a("n") > SMALL) & (b("n") > SMALL), halves).otherwise(F.bit_count(differ[0].bitwiseXOR(differ[1])))
 
 
 def _may_match(a, b, threshold: float) -> Column:
