@@ -172,17 +172,38 @@ def _spelled_out(segment: str, symbols: np.ndarray, pieces: Pieces) -> bytes:
     return array("i", out).tobytes()
 
 
+class Growing:
+    """An array that grows at its end, by doubling."""
+
+    def __init__(self, kind, *shape: int):
+        self.room, self.n = np.empty((1024, *shape), kind), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, values) -> None:
+        values = np.asarray(values, self.room.dtype)
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate((self.all, np.empty((max(len(values), self.n) + 1024, *self.room.shape[1:]), self.room.dtype)))
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Encoder:
     """Encodes texts; keeps what short segments give if none or a few candidates are skipped."""
 
     def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = 0, table: MergeTable | None = None):
         self.pieces, self.dropout, self.table, self.seed = pieces, dropout, table or merge_table(pieces), seed
-        #: Entries by segment, and by (entry, first candidate that is skipped); what entries hold follows.
-        self.kept: list[dict] = [{}, {}]
+        #: Entries by segment; then, per entry, what it holds: its segment's hash, the candidates that are skipped, where its ids and
+        #: the candidates that are taken begin. Per taken candidate: the entry of its segment if that is skipped too, or -1.
+        self.kept: dict[str, int] = {}
         self.segments: list[str] = []
-        self.ids: list[bytes] = []
-        self.hashes, self.skips = np.empty(0, np.uint64), np.empty((0, KEPT_SKIPS), np.uint64)
-        self.starts, self.candidates = np.zeros(1, np.int64), np.empty(0, np.uint64)
+        self.hashes, self.skips = Growing(np.uint64), Growing(np.uint64, KEPT_SKIPS)
+        self.id_starts, self.ids = Growing(np.int64), Growing(np.int32)
+        self.starts, self.candidates, self.children = Growing(np.int64), Growing(np.uint64), Growing(np.int64)
+        self.id_starts.add([0])
+        self.starts.add([0])
 
     def _learn(self, segments: list[str], skips: np.ndarray) -> None:
         """Adds entries: the ids of each segment without the candidates that are skipped (0: none), and those that are taken."""
@@ -197,12 +218,14 @@ class Encoder:
             rows += [at[r] for r, _ in seen]
             candidates += [c for _, c in seen]
         row = np.concatenate(rows)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.bincount(row, minlength=len(segments)).cumsum()))
-        self.candidates = np.concatenate((self.candidates, np.concatenate(candidates)[row.argsort(kind="stable")]))
-        self.hashes = np.concatenate((self.hashes, np.array([hash_of(s) for s in segments], np.uint64)))
-        self.skips = np.concatenate((self.skips, skips))
+        self.starts.add(self.starts.all[-1] + np.bincount(row, minlength=len(segments)).cumsum())
+        self.candidates.add(np.concatenate(candidates)[row.argsort(kind="stable")])
+        self.children.add(np.full(len(row), -1))
+        self.hashes.add([hash_of(s) for s in segments])
+        self.skips.add(skips)
         self.segments += segments
-        self.ids += out
+        self.id_starts.add(self.id_starts.all[-1] + np.cumsum([len(ids) // 4 for ids in out]))
+        self.ids.add(np.frombuffer(b"".join(out), np.int32))
 
     @staticmethod
     def _like(order: list[int], segments: list[str]) -> Iterator[list[int]]:
@@ -216,48 +239,60 @@ class Encoder:
             at = end
 
     def _first_skipped(self, entry: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(occurrence, candidate): the first of its entry's candidates that each occurrence skips, if any."""
-        n = self.starts[entry + 1] - self.starts[entry]
+        """(occurrence, place among all candidates): the first of its entry's candidates that each occurrence skips, if any."""
+        starts = self.starts.all
+        n = starts[entry + 1] - starts[entry]
         of = np.repeat(np.arange(len(entry)), n)
-        candidate = self.candidates[np.arange(len(of)) + np.repeat(self.starts[entry] - n.cumsum() + n, n)]
-        hit = np.flatnonzero(mixed((self.hashes[entry] ^ keys)[of] ^ candidate) < np.uint64(min(int(self.dropout * (1 << 64)), MASK)))
+        place = np.arange(len(of)) + np.repeat(starts[entry] - n.cumsum() + n, n)
+        hit = np.flatnonzero(mixed((self.hashes.all[entry] ^ keys)[of] ^ self.candidates.all[place]) < np.uint64(min(int(self.dropout * (1 << 64)), MASK)))
         at, first = np.unique(of[hit], return_index=True)
-        return at, candidate[hit[first]]
+        return at, place[hit[first]]
+
+    def _skipping(self, place: np.ndarray, depth: int) -> np.ndarray:
+        """The entries in which the candidates at ``place`` are skipped too; -1 for those that aren't kept."""
+        if len(new := np.unique(place[self.children.all[place] < 0])[: max(0, KEPT - len(self.segments))]):
+            parents = self.starts.all.searchsorted(new, "right") - 1
+            skips = self.skips.all[parents]
+            skips[:, depth] = self.candidates.all[new]
+            self.children.all[new] = np.arange(len(self.segments), len(self.segments) + len(new))
+            self._learn([self.segments[e] for e in parents.tolist()], skips)
+        return self.children.all[place]
 
     def encode_all(self, texts: list[str], documents: list[str]) -> list[np.ndarray]:
         cut = [SEGMENT.findall(text) for text in texts]
         flat = [s for segments in cut for s in segments]
         keys = np.concatenate([np.empty(0, np.uint64), *[occurrence_keys(xxhash.xxh64_intdigest(f"{self.seed}:{d}"), len(x)) for d, x in zip(documents, cut)]])
-        entries, children = self.kept
-        if new := [s for s in dict.fromkeys(flat) if s not in entries and len(s) <= KEPT_CHARS][: max(0, KEPT - len(self.ids))]:
-            entries.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        if new := [s for s in dict.fromkeys(flat) if s not in self.kept and len(s) <= KEPT_CHARS][: max(0, KEPT - len(self.segments))]:
+            self.kept.update(zip(new, range(len(self.segments), len(self.segments) + len(new))))
             self._learn(new, np.zeros((len(new), KEPT_SKIPS), np.uint64))
-        entry = np.fromiter(map(entries.get, flat, repeat(-1)), np.int64, len(flat))
+        entry = np.fromiter(map(self.kept.get, flat, repeat(-1)), np.int64, len(flat))
         left, rest = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0).tolist()
         for depth in range(KEPT_SKIPS + 1 if self.dropout else 0):
-            at, candidate = self._first_skipped(entry[left], keys[left])
+            at, place = self._first_skipped(entry[left], keys[left])
             left = left[at]
             if depth == KEPT_SKIPS:
                 rest += left.tolist()
                 break
-            steps = list(zip(entry[left].tolist(), candidate.tolist()))
-            if new := [x for x in dict.fromkeys(steps) if x not in children][: max(0, KEPT - len(self.ids))]:
-                children.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-                skips = self.skips[[e for e, _ in new]]
-                skips[:, depth] = [c for _, c in new]
-                self._learn([self.segments[e] for e, _ in new], skips)
-            after = np.fromiter(map(children.get, steps, repeat(-1)), np.int64, len(steps))
+            after = self._skipping(place, depth)
             rest += left[after < 0].tolist()
             left = left[after >= 0]
             entry[left] = after[after >= 0]
         alone = {i: array("i", encode_segment(flat[i], self.pieces, self.dropout, int(keys[i]))).tobytes() for i in rest if len(flat[i]) > KEPT_CHARS}
         for part in self._like(sorted([i for i in rest if i not in alone], key=lambda i: len(flat[i])), flat):
             alone.update(zip(part, encode_short([flat[i] for i in part], keys[part].tolist(), self.pieces, self.table, self.dropout)))
-        found = [self.ids[e] for e in entry.tolist()] if self.ids else [b""] * len(flat)
-        for i, ids in alone.items():
-            found[i] = ids
-        ends = np.cumsum([0, *map(len, cut)]).tolist()
-        return [np.frombuffer(b"".join(found[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
+        # the ids of those that were encoded by themselves stand behind the kept ones
+        starts = self.id_starts.all
+        begin, n = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        by_entry = np.ones(len(flat), bool)
+        by_entry[list(alone)] = False
+        begin[by_entry], n[by_entry] = starts[entry[by_entry]], starts[entry[by_entry] + 1] - starts[entry[by_entry]]
+        sizes = np.array([len(ids) // 4 for ids in alone.values()], np.int64)
+        begin[list(alone)], n[list(alone)] = starts[-1] + sizes.cumsum() - sizes, sizes
+        source = np.concatenate((self.ids.all, np.frombuffer(b"".join(alone.values()), np.int32))) if alone else self.ids.all
+        ends = n.cumsum()
+        found = source[np.arange(n.sum()) + np.repeat(begin - ends + n, n)]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])].tolist()
+        return [found[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def __call__(self, text: str, document: str = "") -> np.ndarray:
         return self.encode_all([text], [document])[0]
