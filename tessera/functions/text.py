@@ -146,15 +146,22 @@ def document_id(path: Column, theme: Column | None = None, ascii_only: bool = Fa
     return F.when(is_document_id(path), path).otherwise(F.concat(sanitize(theme, ascii_only), F.lit("|"), sanitize(stem, ascii_only)))
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _letters(text: Column, kind: str = "A-Za-z") -> Column:
+    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+
+
 def caps_ratio(text: Column) -> Column:
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when(letters == 0, 0.0).otherwise(F.regexp_count(text, F.lit("[A-Z]")) / letters)
+    return _held(_letters(text), lambda letters: F.when(letters == 0, 0.0).otherwise(_letters(text, "A-Z") / letters))
 
 
 def shouting(text: Column) -> Column:
-    ratio = caps_ratio(text)
-    ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ratio - SHOUT_FROM) / (SHOUT_FULL - SHOUT_FROM)))
-    return F.when(F.regexp_count(text, F.lit("[A-Za-z]")) < SHOUT_LETTERS, 0.0).otherwise(ramp)
+    ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (caps_ratio(text) - SHOUT_FROM) / (SHOUT_FULL - SHOUT_FROM)))
+    return F.when(_letters(text) < SHOUT_LETTERS, 0.0).otherwise(ramp)
 
 
 def punctuation_excess(text: Column) -> Column:
@@ -164,23 +171,15 @@ def punctuation_excess(text: Column) -> Column:
     return F.aggregate(runs, F.lit(0.0), lambda a, r: a + weight(r))
 
 
-def _held(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def urgent_hits(text: Column) -> Column:
-    """Urgent words found, in list order; a longer phrase takes its characters from later words."""
-    patterns = [rf"(?<=^|\s){w}(?=\s|$|[.,!?])" if " " in w else START + w + END for w in URGENT]
-
-    def count_from(i: int, rest: Column, found: list[Column]) -> Column:
-        if i == len(URGENT):
-            return F.flatten(F.zip_with(F.array(*map(F.lit, URGENT)), F.array(*found), lambda name, n: F.array_repeat(name, n)))
-        blanked = F.regexp_replace(rest, patterns[i], "\u0001" * len(URGENT[i]))
-        return _held(blanked, lambda r: count_from(i + 1, r, [*found, F.regexp_count(rest, F.lit(patterns[i]))]))
+    """Urgent words found, in list order; a longer phrase takes its characters from later words.
 
-    none = F.array().cast("array<string>")
-    return _held(F.lower(text), lambda low: F.when(low.rlike("|".join(patterns)), count_from(0, low, [])).otherwise(none))
+    One pattern finds them all: of words that start at one place the first in the list
+    counts, and no word of the list begins inside one that stands before it there.
+    """
+    ways = [rf"(?<=^|\s){w}(?=\s|$|[.,!?])" if " " in w else w + END for w in URGENT]
+    hits = F.regexp_extract_all(F.lower(text), F.lit(f"{START}(?:{'|'.join(ways)})"), F.lit(0))
+    return _held(hits, lambda found: F.flatten(F.transform(F.array(*map(F.lit, URGENT)), lambda w: F.filter(found, lambda h: h == w))))
 
 
 def profanity_tier(text: Column) -> Column:

@@ -443,3 +443,23 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
     monkeypatch.setattr(search, "BLOCK_VECTORS", 9)
     assert sorted(map(tuple, search.search(v, q).collect())) == want
+
+
+def test_urgent_words_match_one_after_another(spark):
+    import random
+    import re
+
+    r = random.Random(12)
+    words = [w for phrase in T.URGENT for w in phrase.split(" ")] + ["x", "nowhere", "unbroken", "PLEASE", "Not", "away"]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", " ", ", ", "! ", "-", "  "]) for _ in range(r.randrange(1, 14))).strip() for _ in range(1500)] + [""]
+
+    def brute(text):
+        rest, out = text.lower(), []
+        for w in T.URGENT:
+            pattern = rf"(?:(?<=\s)|^){w}(?=\s|$|[.,!?])" if " " in w else rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])"
+            out += [w] * len(re.findall(pattern, rest))
+            rest = re.sub(pattern, "\x01" * len(w), rest)
+        return out
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.urgent_hits(F.col("t")).alias("u")).collect()
+    assert all(x["u"] == brute(x["t"]) for x in got), next((x["t"], x["u"], brute(x["t"])) for x in got if x["u"] != brute(x["t"]))
