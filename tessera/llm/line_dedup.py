@@ -45,7 +45,7 @@ from .common import bucketed, cut, discard, fresh
 
 THRESHOLD = 0.8
 #: Hash buckets that count tokens, and the bits of a key by which entries meet.
-BUCKETS, KEY_BITS = 1 << 17, 40
+BUCKETS, KEY_BITS = 1 << 16, 40
 BITS = ["bits0", "bits1"]
 #: Up to so many words, 64 bits of parity tell lines apart.
 SMALL = 64
@@ -119,37 +119,49 @@ def _bitmaps(hashes: Column, n: Column) -> list[Column]:
 
 
 def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
-    """(key, line, n, place, bitmap) for the keys of the prefix of each of ``lines`` (line, words)."""
-    table = F.split(F.lit(",".join(str(x << 58) for x in levels)), ",").cast("array<bigint>")
-    key = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 6))
+    """(key, line, size, bitmap) for the keys of the prefix of each of ``lines`` (line, words, odd); ``size`` holds the number of words over the place."""
+    # small numbers: the table stands in every description of the plan that the driver keeps
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
     # explode_outer holds the hashes as a column, so that they aren't made anew for each use
     hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words"), F.col("odd")))).alias("hashes"))
     n = F.size("hashes")
     prefix = F.slice(F.sort_array(F.transform("hashes", key)), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     keyed = hashed.select("line", n.alias("n"), *[x.alias(c) for x, c in zip(_bitmaps(F.col("hashes"), n), BITS)], prefix.alias("prefix"))
     entries = keyed.select("line", "n", *BITS, F.posexplode_outer("prefix").alias("place", "key"))
-    return entries.withColumn("key", F.col("key").bitwiseAND((1 << KEY_BITS) - 1))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    return entries.select(F.col("key").bitwiseAND((1 << KEY_BITS) - 1).alias("key"), "line", size.alias("size"), *BITS)
+
+
+def _n(a) -> Column:
+    """The number of words, from an entry's ``size``."""
+    return F.shiftright(a("size"), 32)
+
+
+def _after(a) -> Column:
+    """The words from an entry's place on."""
+    return _n(a) - a("size").bitwiseAND((1 << 32) - 1)
 
 
 def _apart(a, b) -> Column:
     """Bits that differ: at most the number of words that two lines don't share. The halves' parities add up to that of all."""
     differ = [a(c).bitwiseXOR(b(c)) for c in BITS]
     halves = F.bit_count(differ[0]) + F.bit_count(differ[1])
-    return F.when((a("n") > SMALL) & (b("n") > SMALL), halves).otherwise(F.bit_count(differ[0].bitwiseXOR(differ[1])))
+    return F.when((_n(a) > SMALL) & (_n(b) > SMALL), halves).otherwise(F.bit_count(differ[0].bitwiseXOR(differ[1])))
 
 
 def _may_match(a, b, threshold: float) -> Column:
     """Length, positional and bitmap filters for two entries of one key (field -> column).
 
     The positional filter takes the key for the first that the lines share: at that key no similar pair fails."""
-    total = a("n") + b("n")
+    total = _n(a) + _n(b)
     need = total * (threshold / (1 + threshold)) - 1e-9
-    shared = F.least(a("n") - a("place"), b("n") - b("place"))
-    length = F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * threshold - 1e-9
+    shared = F.least(_after(a), _after(b))
+    length = F.least(_n(a), _n(b)) >= F.greatest(_n(a), _n(b)) * threshold - 1e-9
     return length & (shared >= need) & (_apart(a, b) <= total - 2 * need)
 
 
-FIELDS = ["line", "n", "place", *BITS]
+FIELDS = ["line", "size", *BITS]
 
 
 def _as(prefix: str):
@@ -174,7 +186,7 @@ def _meetings(entries: DataFrame, threshold: float) -> DataFrame:
     asks = ranked.filter((F.col("first_line") < F.col("line")) | F.col("listed")).select("key", *FIELDS, "back", "listed", "first_line", "last_line")
     others = dealt.select("key", *[F.col(c).alias(f"y_{c}") for c in FIELDS])
     y = _as("y")
-    itself = F.col("listed") & (y("line") == F.col("line")) & (y("place") == F.col("place"))
+    itself = F.col("listed") & (y("line") == F.col("line")) & (y("size") == F.col("size"))
     # the line order first: it is cheap and halves the list
     open_to = ~F.col("back") | (y("line") == F.col("first_line")) | (y("line") == F.col("last_line"))
     meets = (y("line") < F.col("line")) & open_to & _may_match(F.col, y, threshold)
