@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, piece_dropout, simhash, source_mix, trie_counts, url_trust
+from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, merkle_manifest, piece_dropout, simhash, source_mix, trie_counts, url_trust
 from .common import table
 
 
@@ -53,7 +53,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_tampered(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts, op13_merkle)}
 
 
 def _op1_sql() -> str:
@@ -103,7 +107,34 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGIN
 """
 
 
+def _op13_sql() -> str:
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    bit = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295]::BIGINT[], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {bit}), 4294967295)"
+    parents = lambda t: f"SELECT g, level + 1, pos // 3, (size + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM {t} WHERE size > 1 GROUP BY g, level, pos // 3, size"
+    return f"""
+WITH RECURSIVE f AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS size FROM f),
+low(g, level, pos, size, d) AS (SELECT g, 0, pos, size, leaf FROM o UNION ALL {parents('low')}),
+subroots AS (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS size FROM low WHERE size = 1),
+high(g, level, pos, size, d) AS (SELECT '', 0, place, size, subroot FROM subroots UNION ALL {parents('high')}),
+nodes AS (SELECT g, level, pos, size, d FROM low UNION ALL SELECT '/', level + 1000, pos, size, d FROM high),
+sides AS (SELECT a.g, a.level, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.size > 1 GROUP BY a.g, a.level, a.pos),
+levels AS (SELECT unnest(range(40)) AS level),
+steps AS (SELECT o.g, o.pos, s.level, s.l, s.r FROM o, levels JOIN sides s ON s.level = levels.level WHERE s.g = o.g AND s.pos = o.pos // (3::HUGEINT ** levels.level)::HUGEINT
+  UNION ALL SELECT o.g, o.pos, s.level, s.l, s.r FROM o JOIN subroots t ON t.g = o.g, levels JOIN sides s ON s.level = levels.level + 1000 WHERE s.g = '/' AND s.pos = t.place // (3::HUGEINT ** levels.level)::HUGEINT),
+paths AS (SELECT g, pos, list({{'l': l, 'r': r}} ORDER BY level) AS path, sha256(string_agg(l || r, '' ORDER BY level)) AS proof FROM steps GROUP BY g, pos),
+done AS (SELECT doc_id, leaf, subroot, (SELECT d FROM high WHERE size = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  list_reduce(list_concat([{{'l': '', 'r': coalesce(tampered, leaf)}}], coalesce(path, [])), lambda a, s: {{'l': '', 'r': sha256(s.l || a.r || s.r)}}).r AS folded_root
+  FROM o JOIN subroots USING (g) LEFT JOIN paths ON paths.g = o.g AND paths.pos = o.pos)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
 ORACLE_SQL = {
+    "op13_merkle": _op13_sql(),
     "op1_url_filter": _op1_sql(),
     "op4_source_mix": _op4_sql(),
     "op7_top_k": """
