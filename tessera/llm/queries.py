@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, merkle_manifest, piece_dropout, simhash, source_mix, trie_counts, url_trust
+from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, merkle_manifest, phrase_arrays, piece_dropout, simhash, source_mix, trie_counts, url_trust
 from .common import table
 
 
@@ -53,11 +53,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_arrays.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify_tampered(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts, op11_phrases, op13_merkle)}
 
 
 def _op1_sql() -> str:
@@ -107,6 +111,29 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGIN
 """
 
 
+def _op11_sql() -> str:
+    grams = "\n  UNION ALL ".join(f"SELECT lang, {m}::INT AS m, array_to_string(ws[i:i + {m - 1}], ' ') AS phrase FROM starts WHERE i + {m - 1} <= len(ws)" for m in (1, 2, 3))
+    part = lambda i, j: f"array_to_string(string_split(phrase, ' ')[{i}:{j}], ' ')"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{url_trust.UPPER}', '{url_trust.LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM lists GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+grams AS ({grams}),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL),
+c AS (SELECT lang, m, phrase, n AS a FROM f WHERE m > 1 AND n >= {phrase_arrays.LEAST}),
+cuts AS (SELECT *, {part(1, 'k')} AS lp, {part('k + 1', 'm')} AS rp FROM (SELECT *, unnest(range(1, m))::INT AS k FROM c)),
+scored AS (SELECT x.*, l.n AS l, r.n AS r, ((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n))::BIGINT AS score FROM cuts x
+  JOIN f l ON l.lang = x.lang AND l.phrase = x.lp AND l.m = x.k JOIN f r ON r.lang = x.lang AND r.phrase = x.rp AND r.m = x.m - x.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+long AS (SELECT lang, {part(1, 2)} AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, {part(2, 3)}, a FROM c WHERE m = 3),
+kept AS (SELECT * FROM best b WHERE m = 3 OR NOT EXISTS (SELECT 1 FROM long g WHERE g.lang = b.lang AND g.phrase = b.phrase AND 100 * g.a >= {phrase_arrays.COVERED} * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrase_arrays.TOP}
+"""
+
+
 def _op13_sql() -> str:
     field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
     leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
@@ -134,6 +161,7 @@ SELECT *, folded_root = root AS verified FROM done
 
 
 ORACLE_SQL = {
+    "op11_phrases": _op11_sql(),
     "op13_merkle": _op13_sql(),
     "op1_url_filter": _op1_sql(),
     "op4_source_mix": _op4_sql(),
