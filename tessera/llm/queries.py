@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, merkle_manifest, phrase_arrays, piece_dropout, simhash, source_mix, trie_counts, url_trust
+from . import ball_tree, byte_cnn, gif_media, html_mincut, line_dedup, merge_replay, merkle_manifest, phrase_arrays, piece_dropout, simhash, source_mix, trie_counts, url_trust
 from .common import table
 
 
@@ -57,11 +57,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_arrays.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = merge_replay.decode_documents(merge_replay.encode_documents(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify_tampered(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts, op11_phrases, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_sentencepiece, op4_source_mix, op5_html_text, op6_quality, op7_top_k, op8_simhash, op9_gif_media, op10_token_counts, op11_phrases, op12_byte_bpe, op13_merkle)}
 
 
 def _op1_sql() -> str:
