@@ -13,7 +13,9 @@ The minimum cut, found by max-flow, labels the blocks; content blocks are joined
 page order.
 
 Scripts, styles, comments, forms' fields and everything in ``head`` have no
-blocks. Character references are decoded after markup is removed; white space in
+blocks. Elements that aren't shown (a ``hidden`` attribute, ``aria-hidden``, an inline
+style) are boilerplate, and so is a form, unless it holds half of the page's text or
+more: then it wraps the page. Character references are decoded after markup is removed; white space in
 a block becomes one space. Unclosed and stray tags are tolerated.
 
 Nulls: a null html is an empty one and gives empty text. Empty pages give empty
@@ -27,7 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ RAW = "script style noscript template textarea select iframe object svg canvas a
 BLOCKS = "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BOILERPLATE_TAGS = "nav footer aside form menu dialog button fieldset"
+BOILERPLATE_TAGS = "nav footer aside menu dialog button"
 CONTENT_TAGS = "article main"
 #: Words of class, id and role that name a zone.
 BOILERPLATE_WORDS = "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup popular privacy promo promoted promotion recommended related reply replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola teaser toolbar topbar warning widget"
@@ -51,8 +53,8 @@ BAD_TAGS, GOOD_TAGS = set(BOILERPLATE_TAGS.split()), set(CONTENT_TAGS.split())
 BAD_WORDS, GOOD_WORDS, NEUTRAL = set(BOILERPLATE_WORDS.split()), set(CONTENT_WORDS.split()), set(NEUTRAL_WORDS.split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 #: The linear classifier (log odds of content) and the smoothness edges.
@@ -70,6 +72,7 @@ class Zone:
     bad: bool = False
     hint_good: bool = False
     hint_bad: bool = False
+    form: int = 0  # the outermost form around the block
 
 
 @dataclass
@@ -88,26 +91,49 @@ class _Open:
     zone: Zone
 
 
-def _zone(tag: str, attributes: str, outer: Zone) -> Zone:
+def attributes_of(text: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a start tag's attributes; of a repeated name the first."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _unseen(attributes: dict[str, str]) -> bool:
+    """An element that isn't shown: by its own attributes, not by words in their values."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
+
+
+def _zone(tag: str, text: str, outer: Zone, node: int) -> Zone:
     """The zone inside an element; boilerplate stays so inside."""
     inside = outer.good or tag in GOOD_TAGS
-    zone = Zone(inside, outer.bad or tag in BAD_TAGS or tag == "header" and not outer.good, outer.hint_good, outer.hint_bad)
-    if attributes and tag not in ("body", "html"):
-        for m in NAMED.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").lower().split():
-                words = set(WORDS.findall(name))
-                bad, good = words & BAD_WORDS, words & GOOD_WORDS
-                if bad and not (good and bad == {"header"}):
-                    if words <= BAD_WORDS | NEUTRAL | GOOD_WORDS and tag not in GOOD_TAGS:
-                        zone.bad = True
-                    else:
-                        zone.hint_bad = True
-                elif good:
-                    zone.hint_good = True
-        zone.bad = zone.bad or bool(HIDDEN.search(attributes))
+    zone = Zone(inside, outer.bad or tag in BAD_TAGS or tag == "header" and not outer.good, outer.hint_good, outer.hint_bad, outer.form or (node if tag == "form" else 0))
+    if text and tag not in ("body", "html"):
+        attributes = attributes_of(text)
+        for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split():
+            words = set(WORDS.findall(name))
+            bad, good = words & BAD_WORDS, words & GOOD_WORDS
+            if bad and not (good and bad == {"header"}):
+                if words <= BAD_WORDS | NEUTRAL | GOOD_WORDS and tag not in GOOD_TAGS and tag != "form":
+                    zone.bad = True
+                else:
+                    zone.hint_bad = True
+            elif good:
+                zone.hint_good = True
+        zone.bad = zone.bad or _unseen(attributes)
     return zone
 
 
+def _without_forms(blocks: list[Block]) -> list[Block]:
+    """Calls blocks in a form boilerplate, but for a form that holds at least half of the page's text outside of boilerplate."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        if not b.zone.bad:
+            held[b.zone.form] = held.get(b.zone.form, 0) + len(b.text)
+    small = {form for form, n in held.items() if form and 2 * n < sum(held.values())}
+    return [replace(b, zone=replace(b.zone, bad=True)) if b.zone.form in small else b for b in blocks] if small else blocks
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("", 0, Zone())]
@@ -168,10 +194,10 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
             elif stack[-1].tag == "p":
                 stack.pop()
-            stack.append(_Open(tag, nodes, _zone(tag, m[3], stack[-1].zone)))
+            stack.append(_Open(tag, nodes, _zone(tag, m[3], stack[-1].zone, nodes)))
             nodes += 1
     flush()
-    return out
+    return _without_forms(out)
 
 
 def log_odds(b: Block) -> float:

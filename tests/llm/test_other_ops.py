@@ -103,6 +103,23 @@ def test_html_misleading_names_plain_divs_and_empty_table(spark):
     assert html_mincut.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_attributes_and_forms():
+    para = "The river had been rising for three days when the town council met to decide whether the old bridge should be closed until spring."
+    three = f"<h1>Title</h1><p>{para}</p><p>{para} Twice.</p>"
+    want = f"Title\n\n{para}\n\n{para} Twice."
+    shown = ["class='overflow-hidden'", "title='A hidden gem'", "class=hidden-gem", 'data-hidden="1"', "style='overflow: hidden'", "data-x='a hidden b' class=plain", "alt=hidden", "aria-label='display: none'", "aria-hidden='false'"]
+    for a in shown:
+        assert html_mincut.extract(f"<body><div {a}>{three}</div></body>") == want, a
+        assert html_mincut.extract(f"<article {a}>{three}</article>") == want, a
+    for a in ["hidden", "HIDDEN=''", "class=x hidden", "aria-hidden = 'true'", "style='color:red; display:none'", 'style="visibility: hidden"', "hidden='until-found'"]:
+        assert html_mincut.extract(f"<article>{three}<div {a}><p>{para}</p></div></article>") == want, a
+    signup = f"<form class=newsletter><p>{para}</p><label>Mail</label></form>"
+    assert html_mincut.extract(f"<body><form id=aspnetForm action=/x><div>{three}</div></form></body>") == want
+    assert html_mincut.extract(f"<body><form><nav><a href=/>Home</a></nav><main>{three}</main><form>{para}</form></form></body>").startswith(want)
+    assert html_mincut.extract(f"<body><article>{three}</article>{signup}</body>") == want
+    assert html_mincut.extract(f"<body><article>{three}{signup}</article></body>") == want
+
+
 def test_minimum_cut_matches_brute_force():
     r = random.Random(5)
     for _ in range(150):
