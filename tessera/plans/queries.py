@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import flow, intervals, search, segments, spans, spelling, store, usage, validate
 from ..operators.search import Options
+from ..sources import vect
 from ..sources.files import html_to_markdown
+from ..tables import delete_folder, materialize, new_folder
 from . import answer
 
 
@@ -159,6 +161,18 @@ def store_collisions(spark, d):
     return store.collisions(docs, vectors_of(spark, d).select("document_id"))
 
 
+def vector_files(spark, d):
+    """The store written as vector files, a version without one document, and that version read by the data source."""
+    folder = new_folder(spark, "vector-files")
+    versioned = vect.Versioned(spark, folder)
+    versioned.reload(vectors_of(spark, d))
+    versioned.remove("label|0")
+    read = versioned.snapshot().groupBy("document_id", "doc_ord", "section_idx", "range_start", "range_end").agg(F.count("*").alias("n"), F.max("vec_idx").alias("last"), r6(F.sum(F.element_at("vec", 1).cast("double"))).alias("first_sum"), r6(F.sum(F.element_at("vec", -1).cast("double"))).alias("last_sum"))
+    out = materialize(read, "vector-files-read")
+    delete_folder(spark, folder)
+    return out
+
+
 def vec_offsets(spark, d):
     return store.vec_offsets(vectors_of(spark, d))
 
@@ -400,7 +414,7 @@ def analyze_queries(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
-    rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vec_offsets, store_dimension,
+    rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,
     latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,

@@ -120,6 +120,7 @@ ORACLE_SQL = {
     "store_remove": f"WITH {STORE} x AS (SELECT 1) SELECT document_id, count(*) AS n FROM v WHERE document_id NOT IN (SELECT document_id FROM v WHERE section_idx % 2 = 0 AND doc_ord < 3) GROUP BY 1",
     "store_append": f"WITH {STORE} x AS (SELECT max(doc_ord) + 1 AS m FROM v) SELECT document_id, doc_ord::INT AS doc_ord, count(*) AS n FROM (SELECT document_id, doc_ord FROM v UNION ALL SELECT document_id, doc_ord + m FROM v, x) GROUP BY 1, 2",
     "store_collisions": "SELECT source AS document_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "vector_files": f"WITH {STORE} p AS (SELECT document_id, section_idx AS s, range_start, range_end, count(*) AS n, round(sum(vec[1]), 6) AS first_sum, round(sum(vec[-1]), 6) AS last_sum FROM v WHERE document_id <> 'label|0' GROUP BY ALL) SELECT document_id, (dense_rank() OVER (ORDER BY document_id) - 1)::INT AS doc_ord, (row_number() OVER (PARTITION BY document_id ORDER BY s) - 1)::INT AS section_idx, range_start::INT AS range_start, range_end::INT AS range_end, n, (n - 1)::INT AS last, first_sum, last_sum FROM p",
     "vec_offsets": f"WITH {STORE} p AS (SELECT document_id, doc_ord, section_idx, count(*) AS vec_count FROM v GROUP BY ALL) SELECT document_id, doc_ord, section_idx::INT AS section_idx, vec_count, coalesce(sum(vec_count) OVER (PARTITION BY document_id, doc_ord ORDER BY section_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS vec_offset FROM p",
     "store_dimension": "SELECT max(len(embedding))::INT AS vec_dim, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings",
     "from_spec": f"WITH {STORE} s AS (SELECT document_id, (dense_rank() OVER (PARTITION BY document_id ORDER BY section_idx) - 1)::INT AS section_idx, vec[1] AS x FROM v) SELECT document_id, section_idx, count(*) AS n, round(sum(x), 6) AS s FROM s GROUP BY 1, 2",

@@ -2,85 +2,33 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import document_id
 from ..operators.store import VECTORS, append, collisions, from_spec
 from ..tables import materialize
+from . import vect
+from .vect import format_vectors  # noqa: F401
 
-# The binary vector file. Ten little-endian 32-bit words: magic,
-# version, dimension, sections, vectors, id bytes, and the byte offsets of id, index
-# and vectors, and the file's size; then the id padded to 4 bytes, the index
-# (start, end, vectors per section) and 32-bit floats.
-MAGIC, VERSION, HEADER = 0x56454354, 2, struct.Struct("<10I")
-
+STORE = [c.split()[0] for c in VECTORS.split(", ")]
 
 def parse_vectors(data: bytes) -> list[tuple]:
-    """Rows (document_id, section_idx, start, end, vec_idx, vec); ValueError for another format or version."""
-    if len(data) < HEADER.size:
-        raise ValueError("too short")
-    magic, version, dim, sections, vectors, id_bytes, id_at, index_at, vec_at, size = HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a vector file of this version")
-    if size > len(data):
-        raise ValueError("the file is shorter than it says")
-    name = data[id_at : id_at + id_bytes].decode()
-    index = np.frombuffer(data, "<u4", 3 * sections, index_at).reshape(-1, 3)
-    values = np.frombuffer(data, "<f4", vectors * dim, vec_at).reshape(-1, dim)
-    rows, at = [], 0
-    for s, (start, end, count) in enumerate(index.tolist()):
-        rows += [(name, s, start, end, i, values[at + i].tolist()) for i in range(count)]
-        at += count
-    return rows
-
-
-def format_vectors(name: str, sections: list[tuple[int, int, np.ndarray]], dim: int) -> bytes:
-    """A vector file from (start, end, vectors) sections."""
-    raw = name.encode()
-    padded = raw + bytes(-len(raw) % 4)
-    index = np.array([(s, e, len(v)) for s, e, v in sections], "<u4").reshape(-1, 3).tobytes()
-    values = b"".join(np.asarray(v, "<f4").tobytes() for _, _, v in sections)
-    index_at = HEADER.size + len(padded)
-    vec_at = index_at + len(index)
-    head = HEADER.pack(MAGIC, VERSION, dim, len(sections), sum(len(v) for _, _, v in sections), len(raw), HEADER.size, index_at, vec_at, vec_at + len(values))
-    return head + padded + index + values
-
-
-def _vector_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all ``*.bin`` files below ``path``, or a row with ``error`` for a file that can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bin").load(path)
-    names = ["path", "document_id", "section_idx", "range_start", "range_end", "vec_idx", "vec", "error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, data in zip(pdf["path"], pdf["content"]):
-                try:
-                    made = [(p, *r, None) for r in parse_vectors(bytes(data))]
-                except (ValueError, struct.error) as e:
-                    made = [(p, *[None] * 6, str(e))]
-                yield pd.DataFrame(made, columns=names)
-
-    return files.select("path", "content").mapInPandas(run, "path string, document_id string, section_idx int, range_start int, range_end int, vec_idx int, vec array<float>, error string")
-
-
-def _in_path_order(rows: DataFrame) -> DataFrame:
-    order = rows.select("path").distinct().withColumn("doc_ord", F.expr("row_number() over (order by path) - 1").cast("int"))
-    return rows.join(order, "path").select(*[c.split()[0] for c in VECTORS.split(", ")])
+    """Rows (document_id, section_idx, start, end, vec_idx, vec) of one file's bytes; ValueError for another format or version."""
+    file = pa.BufferReader(data)
+    head = vect.read_head(file)
+    batches = vect.section_rows(file, head, 0, len(head.index))
+    return [(name, s, start, end, i, vec) for b in batches for name, _, s, start, end, i, vec in zip(*(c.to_pylist() for c in b.columns))]
 
 
 def read_vector_files(spark: SparkSession, path: str) -> DataFrame:
     """The store in all ``*.bin`` files below ``path`` (or in one file); documents are ordered by path. A broken file fails the read."""
-    rows = _vector_rows(spark, path)
-    fine = F.when(F.col("error").isNull(), F.col("document_id")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string"))
-    return _in_path_order(rows.withColumn("document_id", fine))
+    return vect.read(spark, path).select(*STORE)
 
 
 def open_store(spark: SparkSession, source: str | bytes | DataFrame) -> DataFrame:
@@ -102,48 +50,27 @@ def load_store(store: DataFrame, path: str, *, clear: bool = True) -> DataFrame:
 
 
 def add_paths(store: DataFrame, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(store with every path that could be read as a whole, failures (path, error)): a broken file keeps out its own path only."""
-    spark, failures = store.sparkSession, []
-    for path in paths:
-        try:
-            rows = materialize(_vector_rows(spark, path), "added-store")
-        except Exception as e:  # a missing folder fails in ways of its store; the failure is collected
-            failures.append((path, str(e).split("\n")[0][:500]))
-            continue
-        broken = rows.filter("error is not null").select("path", "error").limit(1).collect()
-        if broken:
-            failures.append((path, f"{broken[0]['path']}: {broken[0]['error']}"))
-        else:
-            store = append(store, _in_path_order(rows))
-    return store, spark.createDataFrame(failures, "path string, error string")
-
-
-def pack_documents(store: DataFrame) -> DataFrame:
-    """(document_id, content): each document of a store as a vector file."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["section_idx", "vec_idx"])
-        parts = [(int(g["range_start"].iloc[0]), int(g["range_end"].iloc[0]), np.stack(g["vec"].to_numpy())) for _, g in pdf.groupby("section_idx")]
-        name = pdf["document_id"].iloc[0]
-        return pd.DataFrame({"document_id": [name], "content": [format_vectors(name, parts, parts[0][2].shape[1])]})
-
-    return store.groupBy("document_id").applyInPandas(run, "document_id string, content binary")
+    """(store with every path that could be read as a whole, failures (path, error)): a broken file keeps out its own path only.
+
+    All paths are read side by side by one scan; the failures are a row for each path at most.
+    """
+    spark = store.sparkSession
+    rows = materialize(vect.read(spark, *paths, mode="permissive"), "added-store")
+    first = rows.filter("error is not null").groupBy("root").agg(F.min(F.struct("path", "error")).alias("first"))
+    whole = F.when(F.col("first.path") == F.col("root"), F.col("first.error")).otherwise(F.concat("first.path", F.lit(": "), "first.error"))
+    failures = first.select(F.col("root").alias("path"), whole.alias("error"))
+    fine = rows.join(failures.select(F.col("path").alias("root")), "root", "left_anti")
+    # numbers go on from one path that was read to the next; this table has a row for each path
+    earlier = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    spans = fine.groupBy("root").agg(F.min("doc_ord").alias("first"), (F.max("doc_ord") - F.min("doc_ord") + 1).alias("n"))
+    shift = spans.select("root", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).cast("int").alias("shift"))
+    placed = fine.join(shift, "root").withColumn("doc_ord", F.col("doc_ord") + F.col("shift"))
+    return append(store, placed.select(*STORE)), failures
 
 
 def write_vector_files(store: DataFrame, folder: str) -> int:
-    """Writes ``theme/stem.bin`` per document below a local or mounted folder; the number of files."""
-    import os
-
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            to = os.path.join(folder, *r["document_id"].split("|")) + ".bin"
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            with open(to + ".tmp", "wb") as f:
-                f.write(r["content"])
-            os.replace(to + ".tmp", to)
-
-    packed = pack_documents(store)
-    packed.foreachPartition(write)
+    """Writes ``theme/stem.bin`` per document below a folder that all executors reach: all files, or none. The number of files."""
+    vect.write(store, folder)
     return store.select("document_id").distinct().count()
 
 
