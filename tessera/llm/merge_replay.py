@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS, KEPT_CHARS = 1 << 22, 1 << 24
+RUN_CHARS, KEPT_CHARS = 1 << 22, 1 << 22
 NONE = np.iinfo(np.int32).max
 
 

@@ -9,9 +9,9 @@ count.
 
 Counts are merged globally by key, in two steps. First every shard sends 64-bit
 fingerprints of its phrases with their counts, packed by bucket of the fingerprint,
-and a bucket returns to every shard those that reach ``least`` occurrences in all:
-what is rarer can be neither a candidate nor part of one. Then the shards write out
-the words of what came back, and rows of (lang, phrase) are summed exactly; a
+and a bucket returns to every shard a bit for each, whether it reaches ``least``
+occurrences in all: what is rarer can be neither a candidate nor part of one. Then the
+shards write out the words of those that do, and rows of (lang, phrase) are summed exactly; a
 collision of fingerprints only writes out a rare phrase, which the exact count drops.
 A bucket holds about as many phrases as a shard, however large the corpus is. The
 score's products are decimals of 38 digits.
@@ -42,11 +42,13 @@ from .common import cut, discard
 LEAST, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate inside a longer one goes if the longer one makes up this share of it, in per cent.
 COVERED = 50
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 #: ``.`` ends pieces; what ends a piece or parts words is no letter of UTF-8's longer sequences.
 SIGNS = bytes.maketrans(b"\t,;:!?\n\x0b\x0c\r", b" .........")
+#: Bytes of a fingerprint that are sent; the rest of its eight names the bucket.
+PRINT_BYTES = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
-SHARDS = "shard long, langs array<string>, words binary, lang_of binary, ids binary, n_tokens long"
+SHARDS = "shard long, langs array<string>, n_words long, n_tokens long, n_letters long, words binary, lang_of binary, ids binary"
 
 
 class _Shard:
@@ -72,7 +74,8 @@ class _Shard:
             for word, at in self.vocabulary[lang].items():
                 words[at] = word
                 lang_of[at] = i
-        return {"shard": shard, "langs": langs, "words": b" ".join(words), "lang_of": lang_of.tobytes(), "ids": np.concatenate(self.ids).tobytes(), "n_tokens": self.n}
+        packed = [pa.compress(x, "zstd", asbytes=True) for x in (b" ".join(words), lang_of.tobytes(), np.concatenate(self.ids).tobytes())]
+        return {"shard": shard, "langs": langs, "n_words": n, "n_tokens": self.n, "n_letters": sum(map(len, words)) + n, **dict(zip(("words", "lang_of", "ids"), packed))}
 
 
 def _shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -94,9 +97,9 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n, width = len(ids), 1
     rank = np.zeros(n + 2 * depth, np.int64)
     rank[:n] = ids
-    starts = np.flatnonzero(ids)
+    starts = np.flatnonzero(ids).astype(np.int32)
     while width < depth:
-        # suffixes that start with an end need a rank too; all of them share rank 0 and are told apart no further
+        # suffixes that start with an end keep rank 0 and are told apart no further
         key = rank[starts] << np.int64(32) | rank[starts + width]
         order = key.argsort(kind="stable")
         starts, key = starts[order], key[order]
@@ -130,8 +133,10 @@ class _Read:
     """A stored shard."""
 
     def __init__(self, row: dict):
-        self.langs, self.words = row["langs"], row["words"].split(b" ")
-        self.lang_of, self.ids = np.frombuffer(row["lang_of"], np.int32), np.frombuffer(row["ids"], np.int32)
+        unpacked = lambda name, size: pa.decompress(row[name], size, "zstd", asbytes=True)
+        self.langs, self.words = row["langs"], unpacked("words", row["n_letters"]).split(b" ")
+        self.lang_of = np.frombuffer(unpacked("lang_of", 4 * (row["n_words"] + 1)), np.int32)
+        self.ids = np.frombuffer(unpacked("ids", 4 * row["n_tokens"]), np.int32)
         seeds = [xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")) for lang in self.langs]
         hashed = [xxhash.xxh64_intdigest(w, seeds[i]) for w, i in zip(self.words, self.lang_of.tolist())]
         self.hashes = np.array(hashed, np.uint64)
@@ -143,67 +148,76 @@ class _Read:
             out = (out ^ (out >> np.uint64(29))) * MIX + self.hashes[self.ids[starts + j]]
         return out ^ (out >> np.uint64(32))
 
+    def dealt(self, depth: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+        """(m, starts, counts, prints, edges) of the phrases of each length, by bucket and in it those that stand once first;
+        a bucket's phrases stand between two edges. A shard gives the same order whenever it is read."""
+        for m, starts, counts in phrases(self.ids, depth):
+            prints = self.prints(m, starts)
+            bucket = (prints >> np.uint64(8 * PRINT_BYTES)) * np.uint64(buckets) >> np.uint64(64 - 8 * PRINT_BYTES)
+            order = (bucket.astype(np.int32) * 2 + (counts > 1)).argsort(kind="stable")
+            yield m, starts[order], counts[order], prints[order], np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time: a shard is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
 
 def _send(batches: Iterator[pa.RecordBatch], schema: pa.Schema, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Fingerprints and counts of a shard's phrases, packed by bucket: those that stand once, then others with their counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            read = _Read(row)
-            found = [(read.prints(m, starts), counts) for m, starts, counts in phrases(read.ids, depth)]
-            prints, counts = np.concatenate([p for p, _ in found]), np.concatenate([c for _, c in found])
-            bucket = (prints % np.uint64(buckets)).astype(np.int64)
-            order = (bucket * 2 + (counts > 1)).argsort(kind="stable")
-            prints, counts, bucket = prints[order], counts[order].astype(np.uint32), bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-            once = np.cumsum(np.concatenate(([0], counts == 1)))
+    for row in _rows(batches):
+        for m, _, counts, prints, edges in _Read(row).dealt(depth, buckets):
+            low = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]
+            once = np.cumsum(np.append(0, counts == 1), dtype=np.int32)
             rows = []
-            for b, (i, j) in enumerate(zip(edges, edges[1:])):
-                if i < j:
-                    more = i + int(once[j] - once[i])
-                    rows.append({"bucket": b, "shard": row["shard"], "prints": prints[i:j].tobytes(), "counts": counts[more:j].tobytes()})
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                i, j = edges[b], edges[b + 1]
+                more = i + int(once[j] - once[i])
+                rows.append({"bucket": b, "shard": row["shard"], "m": m, "prints": low[i:j].tobytes(), "counts": counts[more:j].astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def _common(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """What each shard has of a bucket's fingerprints that reach ``least`` occurrences in all shards."""
-    parts, counts = [np.frombuffer(x, np.uint64) for x in rows["prints"]], []
-    for p, c in zip(parts, rows["counts"]):
-        more = np.frombuffer(c, np.uint32)
-        counts += [np.ones(len(p) - len(more), np.int64), more.astype(np.int64)]
-    sizes = np.array([len(p) for p in parts])
-    prints, counts, owner = np.concatenate(parts), np.concatenate(counts), np.repeat(np.arange(len(parts)), sizes)
+    """For each row of a bucket a bit for each of its phrases: whether that reaches ``least`` occurrences in all shards."""
+    sizes, counts = np.array([len(p) // PRINT_BYTES for p in rows["prints"]]), []
+    prints = np.zeros((sizes.sum(), 8), np.uint8)
+    prints[:, :PRINT_BYTES] = np.frombuffer(b"".join(rows["prints"]), np.uint8).reshape(-1, PRINT_BYTES)
+    for n, c in zip(sizes.tolist(), rows["counts"]):
+        counts += [np.ones(n - len(c) // 4, np.uint32), np.frombuffer(c, np.uint32)]
+    # phrases of other lengths have fingerprints of their own
+    prints, counts = prints.view("<u8")[:, 0], np.concatenate(counts)
     order = prints.argsort(kind="stable")
-    prints, counts, owner = prints[order], counts[order], owner[order]
-    begin = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
-    enough = np.repeat(np.add.reduceat(counts, begin) >= least, np.diff(np.append(begin, len(prints))))
-    prints, owner = prints[enough], owner[enough]
-    order = owner.argsort(kind="stable")
-    split = np.split(prints[order], np.searchsorted(owner[order], np.arange(1, len(parts))))
-    return pd.DataFrame({"shard": rows["shard"], "found": [x.tobytes() for x in split]})
+    prints = prints[order]
+    begin = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+    enough = np.empty(len(prints), bool)
+    enough[order] = np.repeat(np.add.reduceat(counts[order], begin, dtype=np.int64) >= least, np.diff(np.append(begin, len(prints))))
+    bits = [np.packbits(x).tobytes() for x in np.split(enough, sizes.cumsum()[:-1])]
+    return pd.DataFrame({"shard": rows["shard"], "m": rows["m"], "bucket": rows["bucket"], "bits": bits})
 
 
-def _spell(batches: Iterator[pa.RecordBatch], schema: pa.Schema, depth: int) -> Iterator[pa.RecordBatch]:
+def _spell(batches: Iterator[pa.RecordBatch], schema: pa.Schema, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, n_words, phrase, n) of the phrases that came back to a shard, and its words by language with no phrase."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            read = _Read(row)
-            wanted = np.sort(np.frombuffer(b"".join(row["found"] or []), np.uint64))
-            lang_of, words, ids = read.lang_of, read.words, read.ids
-            totals = np.bincount(lang_of[ids[ids != 0]], minlength=len(read.langs))
-            columns = [[lang for lang in read.langs], [0] * len(read.langs), [b""] * len(read.langs), totals.tolist()]
-            for m, starts, counts in phrases(ids, depth) if len(wanted) else ():
-                prints = read.prints(m, starts)
-                at = np.searchsorted(wanted, prints)
-                hit = wanted[np.minimum(at, len(wanted) - 1)] == prints
-                starts, counts = starts[hit], counts[hit]
-                spelled = [words[i] for i in ids[starts].tolist()]
-                for j in range(1, m):
-                    spelled = [a + b" " + words[i] for a, i in zip(spelled, ids[starts + j].tolist())]
-                columns[0] += [read.langs[i] for i in lang_of[ids[starts]].tolist()]
-                columns[1] += [m] * len(starts)
-                columns[2] += spelled
-                columns[3] += counts.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+    for row in _rows(batches):
+        read = _Read(row)
+        found = {(x["m"], x["bucket"]): x["bits"] for x in row["found"] or []}
+        lang_of, words, ids = read.lang_of, read.words, read.ids
+        totals = np.bincount(lang_of[ids[ids != 0]], minlength=len(read.langs))
+        columns = [[lang for lang in read.langs], [0] * len(read.langs), [b""] * len(read.langs), totals.tolist()]
+        for m, starts, counts, _, edges in read.dealt(depth, buckets) if found else ():
+            hit = np.zeros(len(starts), bool)
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                hit[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(found[m, b], np.uint8), count=edges[b + 1] - edges[b])
+            starts, counts = starts[hit], counts[hit]
+            spelled = [words[i] for i in ids[starts].tolist()]
+            for j in range(1, m):
+                spelled = [a + b" " + words[i] for a, i in zip(spelled, ids[starts + j].tolist())]
+            columns[0] += [read.langs[i] for i in lang_of[ids[starts]].tolist()]
+            columns[1] += [m] * len(starts)
+            columns[2] += spelled
+            columns[3] += counts.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -220,12 +234,16 @@ def count_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     shards = cut(rows.mapInArrow(partial(_shards, schema=_arrow(SHARDS)), SHARDS), "phrase-shards")
     tokens = shards.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = 1 + tokens // SHARD_TOKENS
-    sent = "bucket long, shard long, prints binary, counts binary"
+    sent = "bucket int, shard long, m int, prints binary, counts binary"
     packed = shards.mapInArrow(partial(_send, schema=_arrow(sent), depth=max_words, buckets=buckets), sent)
-    common = packed.groupBy("bucket").applyInPandas(partial(_common, least=least), "shard long, found binary")
-    back = common.groupBy("shard").agg(F.collect_list("found").alias("found"))
+
+    def common(rows: pd.DataFrame) -> pd.DataFrame:
+        return _common(rows, least)
+
+    back = packed.groupBy("bucket").applyInPandas(common, "shard long, m int, bucket int, bits binary")
+    back = back.groupBy("shard").agg(F.collect_list(F.struct("m", "bucket", "bits")).alias("found"))
     spelled = "lang string, n_words int, phrase binary, n long"
-    rows = shards.join(back, "shard", "left").mapInArrow(partial(_spell, schema=_arrow(spelled), depth=max_words), spelled)
+    rows = shards.join(back, "shard", "left").mapInArrow(partial(_spell, schema=_arrow(spelled), depth=max_words, buckets=buckets), spelled)
     counted = rows.groupBy("lang", "n_words", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
     out = cut(counted.filter((F.col("n") >= least) | (F.col("n_words") == 0)), "phrase-counts")
     discard(shards)
