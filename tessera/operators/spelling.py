@@ -1,8 +1,13 @@
-"""Spelling suggestions: dictionary words within an edit distance, found by shared deletions.
+"""Spelling: dictionaries from stems and affix rules, suggestions, and corrected texts.
 
+Suggestions are dictionary words within an edit distance, found by shared deletions.
 Two words within ``most`` edits have a string in common that each reaches by at most
 ``most`` deletions, so an equality join on these strings finds every pair; the
 Levenshtein distance is then checked. No word meets the whole dictionary.
+
+Texts are corrected word by word without moving them: the distinct words of distinct
+texts are resolved once for all texts, what changes comes back to each text as a map,
+and the text's own tokens are put together again in their order.
 """
 
 from __future__ import annotations
@@ -10,6 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_punctuation
+
+#: A word: letters of any language and their marks, apostrophes between letters.
+WORD = r"\p{L}(?:[\p{L}\p{M}'’]*[\p{L}\p{M}])?"
+RULES = "flag string, kind string, strip string, add string, condition string, cross boolean"
+
 
 def _without_one(word: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
@@ -37,3 +48,100 @@ def suggest(words: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame
     near = pairs.withColumn("distance", F.levenshtein("word", "suggestion")).filter(F.col("distance") <= most)
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "suggestion")).alias("best"))
     return best.select("word", "best.suggestion", "best.distance")
+
+
+def expand(stems: DataFrame, rules: DataFrame) -> DataFrame:
+    """(word, n) of a dictionary of ``stems(word, n, flags array<string>)`` and affix ``rules`` (``RULES``).
+
+    A rule with one of a stem's flags takes ``strip`` off the end (kind ``suffix``) or
+    the beginning (``prefix``) of a stem that matches ``condition`` (a regular
+    expression; null: any) and puts ``add`` there. Prefixes also go on forms with a suffix
+    where both rules say ``cross``. Every form has its stem's ``n``; a form that is made
+    twice adds up. Nulls in strip and add are empty; a stem without flags stays as it is.
+    """
+    flags = F.col("flags") if "flags" in stems.columns else F.array().cast("array<string>")
+    base = stems.filter("word is not null").select("word", "n", flags.alias("flags"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    made = rules.select("flag", "kind", text("strip").alias("strip"), text("add").alias("add"), text("condition").alias("condition"), F.coalesce("cross", F.lit(False)).alias("cross"))
+
+    def forms(rows: DataFrame, kind: str, crossing: bool) -> DataFrame:
+        """``rows`` (stem, word, n, flags) with one rule of a kind each; the condition is about the stem."""
+        own = made.filter((F.col("kind") == kind) & (F.col("cross") | F.lit(not crossing)))
+        met = rows.select("*", F.explode("flags").alias("flag")).join(own, "flag").filter((F.col("condition") == "") | F.expr("rlike(stem, condition)"))
+        whole, n = F.col("word"), F.length("strip")
+        if kind == "suffix":
+            fits, word = F.endswith(whole, F.col("strip")), F.concat(F.substring(whole, F.lit(1), F.length(whole) - n), F.col("add"))
+        else:
+            fits, word = F.startswith(whole, F.col("strip")), F.concat(F.col("add"), F.substring(whole, n + 1, F.length(whole)))
+        return met.filter(fits & (F.length(whole) > n)).select("stem", word.alias("word"), "n", "flags", F.col("cross").alias("crossed"))
+
+    plain = base.select(F.col("word").alias("stem"), "word", "n", "flags")
+    suffixed = forms(plain, "suffix", False)
+    both = forms(suffixed.filter("crossed").drop("crossed"), "prefix", True)
+    every = [df.select("word", "n") for df in (base, suffixed, forms(plain, "prefix", False), both)]
+    return every[0].union(every[1]).union(every[2]).union(every[3]).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def tokens(text: Column) -> Column:
+    """Words and what stands between them, in order, of a text with its punctuation normalised; white space between words becomes single spaces."""
+    tidy = F.regexp_replace(normalize_punctuation(text), r"^\s+|\s+$", "")
+    return F.regexp_extract_all(F.regexp_replace(tidy, r"\s+", " "), F.lit(rf"{WORD}|[^\p{{L}}]+"), F.lit(0))
+
+
+def is_word(token: Column) -> Column:
+    return token.rlike(r"^\p{L}")
+
+
+def cased_like(word: Column, model: Column) -> Column:
+    """``word`` in capitals or with one first, if ``model`` is written so."""
+    capitals = (model == F.upper(model)) & (F.length(model) > 1)
+    first = F.substring(model, 1, 1)
+    return F.when(capitals, F.upper(word)).when(first != F.lower(first), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))).otherwise(word)
+
+
+def resolve(words: DataFrame, dictionary: DataFrame, corrections: DataFrame | None = None, most: int = 1) -> DataFrame:
+    """(word, fix) for the ``words(word)`` that change, as they are written.
+
+    A correction (``corrections(word, fix)``, keys in any case) comes first, as it is
+    given. A word that the dictionary has, as it is written or in small letters, stays.
+    Then the best suggestion for the word in small letters, cased like the word; a word
+    without one stays.
+    """
+    asked = words.select("word").filter("word is not null").distinct().withColumn("low", F.lower("word"))
+    given = None
+    if corrections is not None:
+        given = corrections.filter("word is not null and fix is not null").groupBy(F.lower("word").alias("low")).agg(F.max("fix").alias("fix"))
+        left = asked.join(given.select("low"), "low", "left_anti")
+    else:
+        left = asked
+    exact = dictionary.select("word").filter("word is not null").distinct()
+    left = left.join(exact, "word", "left_anti")
+    small = dictionary.select(F.lower("word").alias("word"), "n")
+    found = suggest(left.select(F.col("low").alias("word")), small, most).select(F.col("word").alias("low"), "suggestion")
+    fixes = left.join(found, "low").select("word", cased_like(F.col("suggestion"), F.col("word")).alias("fix"))
+    if given is not None:
+        fixes = fixes.union(asked.join(given, "low").select("word", "fix"))
+    return fixes.filter("fix <> word")
+
+
+def correct(texts: DataFrame, dictionary: DataFrame, corrections: DataFrame | None = None, *, text_col: str = "text", out: str = "corrected", most: int = 1) -> DataFrame:
+    """``texts`` with the corrected text in a column ``out`` (null texts: null).
+
+    ``dictionary`` is (word, n); ``corrections`` is (word, fix). Rows, copies among them,
+    keep their other columns; equal texts are resolved once.
+    """
+    held = texts.withColumn("_text_key", F.xxhash64(text_col))
+    # fixes are the same for all texts, so texts that share a key may share a map
+    own = F.array_distinct(F.filter(tokens(F.col(text_col)), is_word))
+    words = held.select("_text_key", F.explode(own).alias("word")).distinct()
+    fixes = resolve(words, dictionary, corrections, most)
+    maps = words.join(fixes, "word").groupBy("_text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("_fixes"))
+    joined = held.join(maps, "_text_key", "left")
+    fixed = F.transform(tokens(F.col(text_col)), lambda t: F.coalesce(F.try_element_at("_fixes", t), t))
+    return joined.withColumn(out, F.array_join(fixed, "")).drop("_text_key", "_fixes")
+
+
+def frequent_words(texts: DataFrame, least: int, text_col: str = "text") -> DataFrame:
+    """(word, n): words, in small letters, that stand at least ``least`` times in all texts."""
+    words = texts.select(F.explode(F.filter(tokens(F.col(text_col)), is_word)).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    return words.filter(F.col("n") >= least)

@@ -378,10 +378,19 @@ def partition_report(spark, d):
 
 
 def spell_suggest(spark, d):
-    """Every word of the documents that the benchmark's texts lack, against these texts' words."""
-    words = lambda t: F.explode(F.filter(T.split_words(F.lower(t)), lambda w: w.rlike("^[a-z]{4,}$"))).alias("word")
-    known = table(spark, d, "benchmark").select(words(F.col("text"))).groupBy("word").agg(F.count("*").alias("n"))
-    return spelling.suggest(table(spark, d, "documents").select(words(F.col("text"))), known)
+    """Every word of the documents, in small letters, that stands fewer than ten times, against those that stand ten times or more."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode(F.filter(spelling.tokens(F.col("text")), spelling.is_word)).alias("word")).select(F.lower("word").alias("word"))
+    return spelling.suggest(words, spelling.frequent_words(docs, 10))
+
+
+def spell_correct(spark, d):
+    """Every document with its words corrected: a map that parts words of over twelve letters, then the documents' own frequent words."""
+    docs = table(spark, d, "documents")
+    long = docs.select(F.explode(F.filter(spelling.tokens(F.col("text")), lambda w: spelling.is_word(w) & (F.length(w) > 12))).alias("word"))
+    slips = long.select(F.lower("word").alias("word")).distinct().withColumn("fix", F.concat(F.substring("word", 1, 12), F.lit("-"), F.substring(F.col("word"), F.lit(13), F.length("word"))))
+    got = spelling.correct(docs.select("doc_id", "text"), spelling.frequent_words(docs, 10), slips)
+    return got.select("doc_id", F.length("corrected").alias("n_chars"), F.md5(F.col("corrected").cast("binary")).alias("digest"))
 
 
 def text_segments(spark, d):
@@ -417,5 +426,5 @@ QUERIES = {f.__name__: f for f in (
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,
-    latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
+    latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

@@ -96,6 +96,19 @@ USAGE = "u AS (SELECT l_suppkey, l_quantity AS duration, floor(l_extendedprice):
 COUNTS = r"strlen({0}) AS num_bytes, len(regexp_extract_all({0}, '[a-zA-Z0-9]+')) AS num_words, len(regexp_extract_all({0}, '[^a-zA-Z0-9\s]')) AS num_special, len(regexp_extract_all({0}, '\s+')) AS num_spaces"
 TOKENS = "ceil((num_bytes - num_special - num_spaces) / 4 + num_spaces / 2 + num_special)::BIGINT"
 
+#: Tokens of the documents, their frequent words, and the best suggestion within one edit for the others (words that share a deletion).
+SPELL = r"""
+t AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(NORM, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '\p{L}(?:[\p{L}\p{M}''’]*[\p{L}\p{M}])?|[^\p{L}]+') AS ts FROM documents),
+w AS (SELECT DISTINCT x AS word, lower(x) AS low FROM (SELECT unnest(ts) AS x FROM t) WHERE regexp_matches(x, '^\p{L}')),
+k AS (SELECT lower(x) AS word, count(*) AS n FROM (SELECT unnest(ts) AS x FROM t) WHERE regexp_matches(x, '^\p{L}') GROUP BY 1 HAVING count(*) >= 10),
+a AS (SELECT DISTINCT low AS word FROM w WHERE low NOT IN (SELECT word FROM k)),
+ka AS (SELECT word, n, unnest(list_prepend(word, list_transform(range(1, len(word) + 1), lambda i: word[:i - 1] || word[i + 1:]))) AS key FROM k),
+aa AS (SELECT word, unnest(list_prepend(word, list_transform(range(1, len(word) + 1), lambda i: word[:i - 1] || word[i + 1:]))) AS key FROM a),
+p AS (SELECT DISTINCT aa.word, ka.word AS suggestion, n FROM aa JOIN ka USING (key)),
+one AS (SELECT * FROM p WHERE abs(len(word) - len(suggestion)) = 1 OR len(word) = len(suggestion) AND len(list_filter(range(1, len(word) + 1), lambda i: word[i] <> suggestion[i])) = 1),
+s AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, suggestion) = 1),
+""".replace("NORM", r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ',+', ',', 'g'), '!+', '!', 'g'), '\?+', '?', 'g'), '\.{4,}|\.{2}', '...', 'g'), '-{2,}', '—', 'g'), '[_~]', '-', 'g')""")
+
 ORACLE_SQL = {
     "search_full": FULL,
     "vector_functions": "WITH f AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, embedding::DOUBLE[] AS a, q FROM embeddings, f) SELECT vec_id, round(list_dot_product(a, q), 6) AS dot, round(list_cosine_similarity(a, q), 6) AS cosine, round(sqrt(list_dot_product(a, a)), 6) AS l2, round(list_dot_product(a, a), 6) AS l2_squared, round(list_cosine_similarity(a, q), 6) AS similarity, round(greatest(0, 1 - list_cosine_similarity(a, q)), 6) AS hinge, round(a[1] / sqrt(list_dot_product(a, a)), 6) AS normalized_1 FROM t",
@@ -159,4 +172,12 @@ SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS
     "error_tally": "SELECT event_type, substring(props, 1, 9) AS message, count(*) AS n FROM events GROUP BY 1, 2",
     "latency_percentiles": "WITH t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(max(value) FILTER (p = least(n - 1, floor(n * 0.5))), 6) AS median, round(max(value) FILTER (p = least(n - 1, floor(n * 0.95::DOUBLE))), 6) AS p95 FROM t GROUP BY 1",
     "match_results": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'succeeded' ELSE 'errored' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'no result for this request' END AS error FROM orders",
+    "spell_suggest": f"WITH {SPELL} x AS (SELECT 1) SELECT word, suggestion, 1 AS distance FROM s",
+    "spell_correct": f"""WITH {SPELL}
+slip AS (SELECT DISTINCT low, low[:12] || '-' || low[13:] AS fix FROM w WHERE len(word) > 12),
+fix AS (SELECT w.word, CASE WHEN slip.fix IS NOT NULL THEN slip.fix WHEN w.low IN (SELECT word FROM k) THEN w.word
+  WHEN w.word = upper(w.word) AND len(w.word) > 1 THEN upper(suggestion) WHEN w.word[1] <> lower(w.word[1]) THEN upper(suggestion[1]) || suggestion[2:] ELSE suggestion END AS fix FROM w LEFT JOIN s ON s.word = w.low LEFT JOIN slip ON slip.low = w.low),
+e AS (SELECT doc_id, unnest(ts) AS x, generate_subscripts(ts, 1) AS i FROM t),
+o AS (SELECT doc_id, string_agg(coalesce(fix, x), '' ORDER BY i) AS c FROM e LEFT JOIN fix ON fix.word = e.x GROUP BY doc_id)
+SELECT d.doc_id, len(coalesce(c, left(d.text, 0)))::INT AS n_chars, md5(coalesce(c, left(d.text, 0))) AS digest FROM documents d LEFT JOIN o USING (doc_id)""",
 }
