@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, score_f32, weighted_score
 from ..tables import materialize
+from .blocked import SECTION, in_order, top_sections
 
-SECTION = ["document_id", "doc_ord", "section_idx", "range_start", "range_end"]
 #: Queries that are broadcast to the vectors; above it both sides are dealt into blocks of about so many rows.
 BROADCAST_QUERIES, BLOCK_VECTORS = 4096, 50_000
 
@@ -64,6 +64,13 @@ def score_sections(vectors: DataFrame, queries: DataFrame, floor: float | None =
     go before the shuffle, which carries numbers only; the best vectors are joined to
     the sections that are left. ``vec_idx`` names one vector of a section.
     """
+    hits = best_scores(vectors, queries, floor)
+    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*SECTION, "vec_idx"]]
+    return hits.alias("h").join(vectors.alias("v"), on).select("h.query_id", *[F.col(f"h.{c}") for c in SECTION], "h.score", F.col("v.vec").alias("best_vec"))
+
+
+def best_scores(vectors: DataFrame, queries: DataFrame, floor: float | None = 0.3) -> DataFrame:
+    """``score_sections`` without the vectors: query_id, section, score and the ``vec_idx`` of the best vector."""
     q = queries.select("query_id", F.col("vec").alias("query_vec"))
     fits = F.assert_true(F.size("vec") == F.size("query_vec"), F.lit("vectors and queries differ in length")).isNull()
     # explode_outer holds the score as a column: the floor below doesn't compute it a second time
@@ -71,13 +78,7 @@ def score_sections(vectors: DataFrame, queries: DataFrame, floor: float | None =
     if floor is not None:
         scored = scored.filter(F.col("score") >= floor)
     best = scored.groupBy("query_id", *SECTION).agg(F.max(F.struct("score", (-F.col("vec_idx")).alias("nth"))).alias("best"))
-    hits = best.select("query_id", *SECTION, "best.score", (-F.col("best.nth")).alias("vec_idx"))
-    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*SECTION, "vec_idx"]]
-    return hits.alias("h").join(vectors.alias("v"), on).select("h.query_id", *[F.col(f"h.{c}") for c in SECTION], "h.score", F.col("v.vec").alias("best_vec"))
-
-
-def in_order(score: str = "score") -> list[Column]:
-    return [F.desc(score), F.asc("doc_ord"), F.asc("section_idx"), F.asc("range_start")]
+    return best.select("query_id", *SECTION, "best.score", (-F.col("best.nth")).alias("vec_idx"))
 
 
 def ranked(hits: DataFrame, score: str = "score", name: str = "rank") -> DataFrame:
@@ -134,7 +135,7 @@ def pivot_rows(candidates: DataFrame, vectors: DataFrame, o: Options) -> DataFra
     few = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
     anchors = candidates.filter((F.col("rank") == 1) & (F.col("score") >= o.pivot_min_anchor)).join(few.filter(F.col("n") <= o.pivot_min_results), "query_id")
     anchors = anchors.select("query_id", F.col("best_vec").alias("vec"), F.col("score").alias("anchor_score"))
-    near = ranked(score_sections(vectors, anchors, o.floor)).filter(F.col("rank") <= o.pivot_max).drop("rank")
+    near = top_sections(vectors, anchors.select("query_id", "vec"), o.pivot_max, o.floor).drop("rank")
     new = near.join(candidates.select("query_id", *SECTION), ["query_id", *SECTION], "left_anti")
     new = new.join(anchors.select("query_id", "anchor_score"), "query_id").withColumn("score", F.col("score") * F.col("anchor_score")).drop("anchor_score")
     return ranked(candidates.drop("rank").unionByName(new))
@@ -167,9 +168,17 @@ def rerank(candidates: DataFrame, hits: DataFrame, queries: DataFrame, o: Option
 
 
 def stages(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> dict[str, DataFrame]:
-    """The tables that a search goes through: hits, candidates, pivoted, pool, reranked (with ``rerank``) and found."""
-    hits = materialize(ranked(score_sections(vectors, queries, o.floor)), "hits")
-    out = {"hits": hits, "candidates": materialize(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")}
+    """The tables that a search goes through: hits, candidates, pivoted, pool, reranked (with ``rerank``) and found.
+
+    ``hits`` are as many of the best sections as later stages can look at: the cut, what
+    a pivot may add, and the extension behind them. ``counts`` (not computed unless it is
+    read) has the number and the range of all.
+    """
+    looked_at = max(o.max_cut if o.max_cut > 0 else 30, o.min_rows) + o.extension_max + (o.pivot_max if o.pivot else 0)
+    hits = materialize(top_sections(vectors, queries, looked_at, o.floor), "hits")
+    scores = best_scores(vectors, queries, o.floor)
+    counts = scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    out = {"hits": hits, "counts": counts, "candidates": materialize(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")}
     candidates = out["pivoted"] = materialize(pivot_rows(out["candidates"], vectors, o), "candidates") if o.pivot else out["candidates"]
     if o.rerank:
         pool = out["pool"] = materialize(rerank(candidates, hits, queries, o), "pool")
@@ -200,7 +209,7 @@ def search(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> Da
 def trace(queries: DataFrame, tables: dict[str, DataFrame], o: Options = Options()) -> DataFrame:
     """What each stage did, one row per query: sizes, score range, the cut and the score behind it, pivot and rerank, the final number."""
     size = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    hits = tables["hits"].groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    hits = tables["counts"]
     cut = tables["candidates"].groupBy("query_id").agg(F.count("*").alias("pruned_to"), F.max("rank").alias("last_rank"), F.min("score").alias("cut_score"))
     out = queries.select("query_id").distinct().join(hits, "query_id", "left").join(cut, "query_id", "left")
     behind = tables["hits"].select("query_id", F.col("rank").alias("r"), F.col("score").alias("next_score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import flow, intervals, search, segments, spans, spelling, store, usage, validate
+from ..operators import blocked, flow, intervals, search, segments, spans, spelling, store, usage, validate
 from ..operators.search import Options
 from ..sources import vect
 from ..sources.files import html_to_markdown
@@ -66,6 +66,11 @@ def search_ranked(spark, d):
     return _out(_hits(spark, d))
 
 
+def search_top(spark, d):
+    """The first 52 sections of every query, by blocks."""
+    return _out(blocked.top_sections(vectors_of(spark, d), queries_of(spark, d), 52))
+
+
 def entropy_effective_count(spark, d):
     return search.entropy_count(_hits(spark, d))
 
@@ -422,7 +427,7 @@ def analyze_queries(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
+    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,

@@ -115,6 +115,7 @@ ORACLE_SQL = {
     "section_score_max": f"WITH {STORE} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, round(score, 6) AS score FROM best",
     "section_argmax_vector": f"WITH {STORE} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, round(best_vec[1], 6) AS best_first FROM hits",
     "search_ranked": f"WITH {STORE} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, rank::INT AS rank, round(score, 6) AS score FROM hits",
+    "search_top": f"WITH {STORE} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, rank::INT AS rank, round(score, 6) AS score FROM hits WHERE rank <= 52",
     "entropy_effective_count": f"WITH {STORE} {CAND} x AS (SELECT 1) SELECT query_id, k::INT AS k FROM cand0_k",
     "ratio_effective_count": f"WITH {STORE} g AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS gap FROM hits) SELECT query_id, (CASE WHEN max(gap) >= 1.2 THEN arg_max(rank, (gap, -rank)) FILTER (gap IS NOT NULL) - 1 ELSE count(*) END)::INT AS k FROM g GROUP BY 1",
     "search_trace": f"WITH {STORE} {CAND} h AS (SELECT query_id, count(*) AS hits, min(score) AS l, max(score) AS u FROM hits GROUP BY 1), c AS (SELECT query_id, count(*) AS n, max(rank) AS r, min(score) AS cut FROM cand0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(hits, 0) AS hits, round(l, 6) AS lowest, round(u, 6) AS highest, coalesce(n, 0) AS pruned_to, round(cut, 6) AS cut_score, round(x.score, 6) AS next_score, 0::BIGINT AS pivot_added, least(coalesce(n, 0), 12)::BIGINT AS final FROM embeddings LEFT JOIN h ON h.query_id = vec_id LEFT JOIN c ON c.query_id = vec_id LEFT JOIN hits x ON x.query_id = vec_id AND x.rank = r + 1 WHERE vec_id % 20 = 0",
