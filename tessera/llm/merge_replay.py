@@ -208,14 +208,14 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], ranks, run_chars: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(ranks.value)
     for batch in batches:
         texts = batch.column(1)
         start = chars = 0
         for i, text in enumerate(texts):
             chars += len(text.as_py() or "")
-            if chars >= RUN_CHARS or i + 1 == len(texts):
+            if chars >= run_chars or i + 1 == len(texts):
                 ids = encoder.encode_all([t or "" for t in texts.slice(start, i + 1 - start).to_pylist()])
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers; ``unpacked`` makes an array)."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path, pattern))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(partial(_encode, ranks=ranks), "doc_id string, n_tokens long, ids binary")
+    out = rows.mapInArrow(partial(_encode, ranks=ranks, run_chars=RUN_CHARS), "doc_id string, n_tokens long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 

@@ -78,13 +78,13 @@ class _Shard:
         return {"shard": shard, "langs": langs, "n_words": n, "n_tokens": self.n, "n_letters": sum(map(len, words)) + n, **dict(zip(("words", "lang_of", "ids"), packed))}
 
 
-def _shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokens: int) -> Iterator[pa.RecordBatch]:
     number = count(TaskContext.get().partitionId() << 32)
     held = _Shard()
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1)):
             held.add(text.as_py() or b"", lang.as_py())
-            if held.n >= SHARD_TOKENS:
+            if held.n >= tokens:
                 yield pa.RecordBatch.from_pylist([held.row(next(number))], schema)
                 held = _Shard()
     if held.n:
@@ -231,7 +231,7 @@ def count_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     The row with 0 words holds the number of all word occurrences of a language.
     """
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    shards = cut(rows.mapInArrow(partial(_shards, schema=_arrow(SHARDS)), SHARDS), "phrase-shards")
+    shards = cut(rows.mapInArrow(partial(_shards, schema=_arrow(SHARDS), tokens=SHARD_TOKENS), SHARDS), "phrase-shards")
     tokens = shards.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = 1 + tokens // SHARD_TOKENS
     sent = "bucket int, shard long, m int, prints binary, counts binary"
