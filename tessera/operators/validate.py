@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+CLOSERS = {"[": "]", "{": "}"}
+#: Brackets, and strings (closed or not), inside of which brackets don't count.
+BRACKETS = re.compile(r'''"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[\[\]{}]''', re.S)
+FENCE, INNER_FENCE = re.compile(r"^\s*```(?:json)?\s*", re.I), re.compile(r"```(?:json)?[ \t]*\n", re.I)
+
+
 def _is(value: Column, *kinds: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).rlike("^(" + "|".join(kinds) + ")"), F.lit(False))
 
@@ -54,17 +61,40 @@ def row_texts(raw: Column) -> Column:
     return F.when(F.try_parse_json(unfenced).isNotNull(), F.filter(F.flatten(F.transform(asked, one)), lambda t: F.coalesce(F.trim(t), F.lit("")) != ""))
 
 
+def _opening_value(text: str) -> str | None:
+    """The value that opens ``text``: up to the bracket that closes its first one, strings left out; null if that isn't JSON."""
+    opener = text[:1]
+    if opener not in CLOSERS:
+        return None
+    depth = 0
+    for m in BRACKETS.finditer(text):
+        depth += (m[0] == opener) - (m[0] == CLOSERS[opener])
+        if depth == 0 and m[0] == CLOSERS[opener]:
+            text = text[: m.end()]
+            break
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=False)
+    except (ValueError, RecursionError):  # deeper than the parser goes: no reply that anything here can use
+        return None
+
+
 def first_json(text: str | None) -> str | None:
-    """The first balanced JSON value of a reply, fences and talk around it left out; None if there is none."""
-    decoder, text = json.JSONDecoder(), text or ""
-    for at, c in enumerate(text):
-        if c in "{[":
-            try:
-                value, _ = decoder.raw_decode(text, at)
-                return json.dumps(value, ensure_ascii=False)
-            except ValueError:
-                continue
-    return None
+    """The JSON value of a reply; null if it has none.
+
+    Only a value that opens the reply counts, or one that opens a fenced block: a
+    citation such as ``[1]`` in running text doesn't. Talk behind the value is left out.
+    A response envelope (``{"output": {"text": ...}}``) is unwrapped. Reads each
+    character once, whatever the reply holds.
+    """
+    stripped = FENCE.sub("", text or "", count=1).strip()
+    value = _opening_value(stripped.removesuffix("```").rstrip())
+    if value is None and (fenced := INNER_FENCE.search(text or "")):
+        value = _opening_value(text[fenced.end() :].lstrip())
+    if value is not None and value.startswith('{"output"'):
+        inner = json.loads(value)["output"]
+        if isinstance(inner, dict) and isinstance(inner.get("text"), str):
+            return first_json(inner["text"])
+    return value
 
 
 @F.pandas_udf(StringType())

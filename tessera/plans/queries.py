@@ -335,6 +335,21 @@ def intent_set(spark, d):
     return usage.intents(t, "conv_id").select("conv_id", F.array_join("intents", ",").alias("intents"))
 
 
+def reply_json(spark, d):
+    """The JSON of replies made of every event's properties: plain, fenced, with talk behind it, enveloped, behind talk, nested too deep, cut off, and fenced behind talk."""
+    e = table(spark, d, "events").select("event_id", F.coalesce("props", F.lit("{}")).alias("p"))
+    body = F.concat(F.lit('{"event": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("p"), F.lit("}"))
+    escaped = F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    kinds = [
+        body, F.concat(F.lit("```json\n"), body, F.lit("\n```\n")), F.concat(F.lit("\n["), body, F.lit("] **Reasoning:** see [3] and {x}")), F.concat(F.lit('{"output": {"text": "'), escaped, F.lit('"}}')),
+        F.concat(F.lit("As noted in [1], "), body), F.repeat(F.lit("["), 20_000), F.concat(F.lit('{"open": ['), body), F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nIs that fine?")),
+    ]
+    reply = kinds[-1]
+    for i, kind in reversed(list(enumerate(kinds[:-1]))):
+        reply = F.when(F.col("event_id") % len(kinds) == i, kind).otherwise(reply)
+    return e.select("event_id", validate.extract_json(reply).alias("json"))
+
+
 def parse_json_rows(spark, d):
     rows = F.concat(F.lit('```json\n[{"question":"q'), F.col("event_id").cast("string"), F.lit('","anchors":["a","b"],"variants":["v"]},{"anchors":["x"]}]\n```'))
     texts = validate.row_texts(F.when(F.col("event_id") % 7 == 0, F.lit("oops")).otherwise(rows))
@@ -430,6 +445,6 @@ QUERIES = {f.__name__: f for f in (
     search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
-    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, parse_json_rows, response_errors, retry_outcomes, error_tally,
+    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
     latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

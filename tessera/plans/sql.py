@@ -167,10 +167,12 @@ SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS
     "usage_normalize": f"WITH {USAGE}, a AS (SELECT cache, ok, i, o, r FROM u UNION ALL SELECT false, NULL, user_id, 0, NULL FROM events) SELECT cache, ok AS succeeded, count(*) AS n, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(r) AS read FROM a GROUP BY 1, 2",
     "turn_faults": "WITH l AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM conversations) SELECT conv_id, CASE WHEN coalesce(role, '') <> 'user' THEN 'the last turn is not the user''s' WHEN trim(coalesce(text, '')) = '' THEN 'the last turn is empty' END AS fault FROM l WHERE n = 1",
     "intent_set": "WITH t AS (SELECT DISTINCT conv_id, CASE WHEN turn = 0 THEN 'GREETING' ELSE upper(role) END AS l FROM conversations) SELECT conv_id, string_agg(l, ',' ORDER BY l <> 'GREETING', l) AS intents FROM t GROUP BY 1",
+    "reply_json": """WITH e AS (SELECT event_id, '{"event": ' || event_id || ', "props": ' || coalesce(props, '{}') || '}' AS b FROM events)
+SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 3, 7) THEN b WHEN event_id % 8 = 2 THEN '[' || b || ']' END AS json FROM e""",
     "parse_json_rows": "SELECT event_id, unnest(['q' || event_id, 'a', 'b', 'v']) AS text FROM events WHERE event_id % 7 <> 0",
     "response_errors": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END::INT AS faults FROM events",
     "retry_outcomes": "WITH e AS (SELECT event_type, (event_id % 6)::INT AS r, event_id % 3 = 0 AS ok FROM events) SELECT event_type, CASE WHEN ok THEN 'succeeded' WHEN r + 1 >= 5 THEN 'failed' ELSE 'retried' END AS outcome, count(*) AS n, max(CASE WHEN ok THEN r ELSE r + 1 END) AS retries FROM e GROUP BY 1, 2",
-    "error_tally": "SELECT event_type, substring(props, 1, 9) AS message, count(*) AS n FROM events GROUP BY 1, 2",
+    "error_tally": "SELECT event_type, substring(props, 1, 140) AS message, count(*) AS n FROM events GROUP BY 1, 2",
     "latency_percentiles": "WITH t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(max(value) FILTER (p = least(n - 1, floor(n * 0.5))), 6) AS median, round(max(value) FILTER (p = least(n - 1, floor(n * 0.95::DOUBLE))), 6) AS p95 FROM t GROUP BY 1",
     "match_results": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'succeeded' ELSE 'errored' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'no result for this request' END AS error FROM orders",
     "spell_suggest": f"WITH {SPELL} x AS (SELECT 1) SELECT word, suggestion, 1 AS distance FROM s",

@@ -146,6 +146,15 @@ def test_sources(spark, tmp_path):
 def test_json_repair_and_themes(spark):
     assert json.loads(validate.first_json('Sure: ```json\n{"a": "x}\\"", "b": [1]}\n``` bye')) == {"a": 'x}"', "b": [1]}
     assert validate.first_json("none") is None
+    cases = {
+        "[]": "[]", "": None, 'As noted in [1], {"answer": 1}': None, '```json\n{"a": "}"}\n``` ': '{"a": "}"}', "[1, 2] **Reasoning:** [3]": "[1, 2]", '{"a": [1, 2': None, '{"a": "x': None, '  \n{"a":1}x': '{"a": 1}', "{]}": None, '"x"': None,
+        '{"output": {"text": "```json\\n{\\"a\\": 1}\\n```"}, "usage": 1}': '{"a": 1}', '{"output": 3}': '{"output": 3}', '{"output": {"text": "plain"}}': None, '{"a\\\\": "]"} [': '{"a\\\\": "]"}',
+    }
+    assert {k: validate.first_json(k) for k in cases} == cases
+    for hostile in ("[" * 20_000, "[" * 500_000, '{"a":' * 20_000 + "1" + "}" * 20_000, '{"' + "\\" * 300_000, " " * 300_000 + "x" + " " * 300_000 + "y", '{"output": {"text": ' * 3_000):
+        assert validate.first_json(hostile) is None
+    replies = spark.createDataFrame([("[" * 20_000,), ('{"a": 1} bye',), (None,)], "t string")
+    assert [r[0] for r in replies.select(validate.extract_json("t")).collect()] == [None, '{"a": 1}', None]
     t = spark.range(1).select(validate.theme_errors(F.lit('{"theme":"z","confidence":2,"rationale":""}'), ["a"]), validate.theme_errors(F.lit('{"theme":"a","confidence":1,"rationale":"r"}'), ["a"])).first()
     assert len(t[0]) == 3 and t[1] == []
 
