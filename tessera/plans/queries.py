@@ -11,6 +11,7 @@ from ..operators import blocked, flow, intervals, search, segments, spans, spell
 from ..operators.search import Options
 from ..sources import vect
 from ..sources.files import html_to_markdown
+from ..streaming import stateful
 from ..tables import delete_folder, materialize, new_folder
 from . import answer
 
@@ -363,6 +364,25 @@ def response_errors(spark, d):
     return t.select("event_id", F.size("e").alias("faults"))
 
 
+def _fails_by_user(path: str, payload: dict, retries: int) -> None:
+    if retries < int(payload["failures"]):
+        raise ValueError(f"not yet: {retries}")
+
+
+def queue_outcomes(spark, d):
+    """Every user of the events as an entry of the stateful queue, whose work fails as often as the user's id modulo 6; four failures end it."""
+    e = table(spark, d, "events").filter("user_id is not null").select(F.concat(F.lit("user|"), F.col("user_id").cast("string")).alias("path"), F.create_map(F.lit("failures"), (F.col("user_id") % 6).cast("string")).alias("payload"))
+    root = new_folder(spark, "event-queue")
+    q = stateful.Queue(spark, f"{root}/in", f"{root}/out", f"{root}/state", _fails_by_user, max_retries=4, first_wait=0.05, most_wait=0.2, every="0 seconds")
+    q.enqueue(e)
+    q.drain()
+    last = q.done().filter("outcome <> 'retried'").groupBy("path").agg(F.count("*").alias("ends"), F.max("outcome").alias("outcome"), F.max("retries").alias("retries"), F.max("last_error").alias("last_error"))
+    tries = q.done().groupBy("path").agg(F.count("*").alias("tries"))
+    out = materialize(last.join(tries, "path"), "queue-outcomes")
+    delete_folder(spark, root)
+    return out
+
+
 def retry_outcomes(spark, d):
     e = table(spark, d, "events").select("event_type", (F.col("event_id") % 6).cast("int").alias("retries"), (F.col("event_id") % 3 == 0).alias("ok"))
     return usage.outcomes(e).groupBy("event_type", "outcome").agg(F.count("*").alias("n"), F.max("retries").alias("retries"))
@@ -446,5 +466,5 @@ QUERIES = {f.__name__: f for f in (
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
-    latency_percentiles, match_results, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
+    latency_percentiles, match_results, queue_outcomes, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

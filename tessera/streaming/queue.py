@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.usage import outcomes
-from ..tables import materialize
+from ..tables import discard, materialize
 
 ENTRY = "path string, retries int, payload map<string,string>"
 MAX_RETRIES = 5
@@ -57,6 +57,7 @@ def consume(spark: SparkSession, folder: str, results: str, dead: str, checkpoin
         back = done.filter("outcome = 'retried'").select("path", "retries", "payload")
         if not back.isEmpty():
             normalize(back).write.mode("overwrite").json(f"{folder}/retries-of-{batch_id}")
+        discard(done)
 
     source = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder)
     return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
