@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..operators import blocked, flow, intervals, search, segments, spans, spell
 from ..operators.search import Options
 from ..sources import vect
 from ..sources.files import html_to_markdown
-from ..streaming import stateful
+from ..streaming import batches, stateful
 from ..tables import delete_folder, materialize, new_folder
 from . import answer
 
@@ -364,6 +367,38 @@ def response_errors(spark, d):
     return t.select("event_id", F.size("e").alias("faults"))
 
 
+class _Replies:
+    """A stand-in for a batch service: a batch's id holds its requests' ids, and a request's id says what comes of it."""
+
+    def create(self, requests: list[dict], key: str) -> str:
+        return base64.b64encode(zlib.compress(" ".join(r["request_id"] for r in requests).encode())).decode()
+
+    def _answers(self, batch_id: str) -> list[dict]:
+        ids = zlib.decompress(base64.b64decode(batch_id)).decode().split()
+        kinds = {0: {"status": "succeeded", "text": "yes"}, 1: {"status": "errored", "error": "overloaded"}, 3: {"status": "expired"}}
+        sent = [(i, sum(map(int, i.split(":"))) % 4) for i in ids]
+        return [{"request_id": i, "input_tokens": 10 * k, "output_tokens": 1} | kinds[k] for i, k in sent if k != 2]
+
+    def look(self, batch_id: str) -> tuple[bool, int, int]:
+        return True, 0, len(self._answers(batch_id))
+
+    def results(self, batch_id: str, first: int, last: int) -> list[dict]:
+        return self._answers(batch_id)[first:last]
+
+
+def batch_responses(spark, d):
+    """A request for every turn of the conversations, sent in batches, followed by the streaming source and answered in order."""
+    t = table(spark, d, "conversations").filter("conv_id is not null and turn is not null")
+    requests = t.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.coalesce("text", F.lit("")).alias("prompt"))
+    root = new_folder(spark, "batch-run")
+    run = batches.Batches(spark, root, _Replies, first_wait=0.05)
+    run.submit(requests, size=500)
+    got = run.wait()
+    out = materialize(got.drop("batch_id", "stop_reason"), "batch-responses")
+    delete_folder(spark, root)
+    return out
+
+
 def _fails_by_user(path: str, payload: dict, retries: int) -> None:
     if retries < int(payload["failures"]):
         raise ValueError(f"not yet: {retries}")
@@ -466,5 +501,5 @@ QUERIES = {f.__name__: f for f in (
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
-    latency_percentiles, match_results, queue_outcomes, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
+    latency_percentiles, match_results, batch_responses, queue_outcomes, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

@@ -171,6 +171,9 @@ SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS
 SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 3, 7) THEN b WHEN event_id % 8 = 2 THEN '[' || b || ']' END AS json FROM e""",
     "parse_json_rows": "SELECT event_id, unnest(['q' || event_id, 'a', 'b', 'v']) AS text FROM events WHERE event_id % 7 <> 0",
     "response_errors": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END::INT AS faults FROM events",
+    "batch_responses": """WITH t AS (SELECT conv_id || ':' || turn AS request_id, conv_id * 1000 + turn AS position, (conv_id + turn) % 4 AS k FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT position, request_id, CASE WHEN k = 0 THEN 'succeeded' ELSE 'errored' END AS status, CASE k WHEN 1 THEN 'overloaded' WHEN 2 THEN 'no result for this request' WHEN 3 THEN 'the request expired' END AS error, CASE WHEN k = 0 THEN 'yes' END AS text,
+  CASE WHEN k = 2 THEN 0 ELSE 10 * k END AS input_tokens, CASE WHEN k = 2 THEN 0 ELSE 1 END AS output_tokens, 0 AS cached_read, 0 AS cached_created FROM t""",
     "queue_outcomes": "WITH u AS (SELECT DISTINCT user_id, user_id % 6 AS f FROM events WHERE user_id IS NOT NULL) SELECT 'user|' || user_id AS path, 1::BIGINT AS ends, CASE WHEN f < 4 THEN 'succeeded' ELSE 'failed' END AS outcome, least(f, 4)::INT AS retries, CASE WHEN f >= 4 THEN 'ValueError: not yet: 3' END AS last_error, least(f + 1, 4)::BIGINT AS tries FROM u",
     "retry_outcomes": "WITH e AS (SELECT event_type, (event_id % 6)::INT AS r, event_id % 3 = 0 AS ok FROM events) SELECT event_type, CASE WHEN ok THEN 'succeeded' WHEN r + 1 >= 5 THEN 'failed' ELSE 'retried' END AS outcome, count(*) AS n, max(CASE WHEN ok THEN r ELSE r + 1 END) AS retries FROM e GROUP BY 1, 2",
     "error_tally": "SELECT event_type, substring(props, 1, 140) AS message, count(*) AS n FROM events GROUP BY 1, 2",

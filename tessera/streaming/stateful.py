@@ -14,18 +14,18 @@ of starting a second one; Spark refuses a second one with the same checkpoint el
 
 from __future__ import annotations
 
-import sys
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from . import by_value
+
 ENTRY = "path string, retries int, payload map<string,string>"
 OUTCOME = "path string, outcome string, retries int, payload map<string,string>, last_error string, due timestamp, joined int"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -98,8 +98,7 @@ def outcomes(entries: DataFrame, handler: Handler, *, max_retries: int = MAX_RET
     Rows without a path are left out; missing retries are 0, a missing payload is empty.
     """
     entries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    # the worker that checks the state's schema on the driver gets no files of the application
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    by_value(Worker, handler)
     have = entries.columns
     retries = F.coalesce(F.col("retries"), F.lit(0)).cast("int") if "retries" in have else F.lit(0)
     payload = F.col("payload").cast("map<string,string>") if "payload" in have else F.create_map().cast("map<string,string>")
