@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, score_f32, weighted_score
-from ..tables import materialize
+from ..tables import discard, materialize
 from .blocked import SECTION, in_order, top_sections
 
 #: Queries that are broadcast to the vectors; above it both sides are dealt into blocks of about so many rows.
@@ -167,25 +167,25 @@ def rerank(candidates: DataFrame, hits: DataFrame, queries: DataFrame, o: Option
     return pool.withColumn("rerank_score", F.when(~F.col("skip"), weighted_score(F.col("best_vec"), F.col("query_vec"), F.col("weights")))).drop("query_vec", "weights", "weak")
 
 
-def stages(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> dict[str, DataFrame]:
+def stages(vectors: DataFrame, queries: DataFrame, o: Options = Options(), keep: Callable[[DataFrame, str], DataFrame] = materialize) -> dict[str, DataFrame]:
     """The tables that a search goes through: hits, candidates, pivoted, pool, reranked (with ``rerank``) and found.
 
     ``hits`` are as many of the best sections as later stages can look at: the cut, what
     a pivot may add, and the extension behind them. ``counts`` (not computed unless it is
-    read) has the number and the range of all.
+    read) has the number and the range of all. ``keep`` writes a stage and reads it back.
     """
     looked_at = max(o.max_cut if o.max_cut > 0 else 30, o.min_rows) + o.extension_max + (o.pivot_max if o.pivot else 0)
-    hits = materialize(top_sections(vectors, queries, looked_at, o.floor), "hits")
+    hits = keep(top_sections(vectors, queries, looked_at, o.floor), "hits")
     scores = best_scores(vectors, queries, o.floor)
     counts = scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
-    out = {"hits": hits, "counts": counts, "candidates": materialize(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")}
-    candidates = out["pivoted"] = materialize(pivot_rows(out["candidates"], vectors, o), "candidates") if o.pivot else out["candidates"]
+    out = {"hits": hits, "counts": counts, "candidates": keep(prune(hits, o.max_cut, o.min_gap, o.eps), "candidates")}
+    candidates = out["pivoted"] = keep(pivot_rows(out["candidates"], vectors, o), "pivoted") if o.pivot else out["candidates"]
     if o.rerank:
-        pool = out["pool"] = materialize(rerank(candidates, hits, queries, o), "pool")
+        pool = out["pool"] = keep(rerank(candidates, hits, queries, o), "pool")
         kept = pool.filter("skip").drop("rerank_score", "skip", "extra")
         again = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("extra"), F.asc("rank"))
         new = pool.filter("not skip").withColumn("score", F.col("rerank_score")).withColumn("rank", F.row_number().over(again)).drop("rerank_score", "skip", "extra")
-        new = out["reranked"] = materialize(prune(new, 30, o.min_gap, o.eps), "reranked")
+        new = out["reranked"] = keep(prune(new, 30, o.min_gap, o.eps), "reranked")
         few = new.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < o.min_rows).select("query_id")
         again_scores = pool.filter("not skip").select("query_id", *SECTION, "rerank_score")
         saved = hits.filter(F.col("rank") <= o.min_rows).join(few, "query_id", "left_semi").join(again_scores, ["query_id", *SECTION], "left")
@@ -201,9 +201,12 @@ def _bounded(found: DataFrame, o: Options) -> DataFrame:
     return found.filter(F.col("rank") <= most).select("query_id", "rank", "document_id", "doc_ord", "section_idx", "range_start", "range_end", "score")
 
 
-def search(vectors: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
-    """Hits per query: rank, document_id, range, score."""
-    return _bounded(stages(vectors, queries, o)["found"], o)
+def search(vectors: DataFrame, queries: DataFrame, o: Options = Options(), keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """Hits per query: rank, document_id, range, score. The stages' tables go when the result is written."""
+    tables = stages(vectors, queries, o, keep)
+    found = keep(_bounded(tables["found"], o), "found")
+    discard(*{t.written_to: t for t in tables.values() if hasattr(t, "written_to")}.values())
+    return found
 
 
 def trace(queries: DataFrame, tables: dict[str, DataFrame], o: Options = Options()) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.encoders import hashing_encoder
 from ..operators import flow, search, segments, usage, validate
+from ..operators.trace import Trace
+from ..tables import materialize
 
 
 def analyze(queries: DataFrame, corrections: dict[str, str] | None = None) -> DataFrame:
@@ -30,15 +32,27 @@ def segment_vectors(analyzed: DataFrame, encoder: Callable[[Column], Column] = h
     return parts.join(parts.select("text").distinct().withColumn("vec", encoder(F.col("text"))), "text")
 
 
-def find(analyzed: DataFrame, vectors: DataFrame, sources: DataFrame, anchors: DataFrame | None = None, options: search.Options = search.Options(), encoder: Callable[[Column], Column] = hashing_encoder) -> DataFrame:
-    """Hits of all segments of a question, united, resolved to their text and bounded."""
+def find(analyzed: DataFrame, vectors: DataFrame, sources: DataFrame, anchors: DataFrame | None = None, options: search.Options = search.Options(), encoder: Callable[[Column], Column] = hashing_encoder, traced: Trace | None = None) -> DataFrame:
+    """Hits of all segments of a question, united, resolved to their text and bounded.
+
+    ``traced`` gets an event for each stage: the segments, those that are searched, the
+    stages of the search, the union and what resolves.
+    """
+    keep = traced.keep if traced else materialize
     parts = segment_vectors(analyzed, encoder).withColumn("part", F.struct("query_id", "segment_idx"))
+    if traced:
+        parts = traced.keep(parts, "segments")
     if anchors is not None:
         labels = search.classify(parts.select(F.col("part").alias("query_id"), "vec"), anchors).select(F.col("query_id").alias("part"), "label", F.col("best_other").alias("label_score"))
         parts = search.searchable(parts.join(labels, "part"))
-    hits = search.search(vectors, parts.select(F.col("part").alias("query_id"), "vec"), options)
+        parts = traced.keep(parts, "searched") if traced else parts
+    hits = search.search(vectors, parts.select(F.col("part").alias("query_id"), "vec"), options, keep)
     hits = hits.withColumn("segment_idx", F.col("query_id.segment_idx")).withColumn("query_id", F.col("query_id.query_id"))
-    return search.resolve(search.union_hits(hits), sources).filter(F.col("rank") <= options.max_rows)
+    united = search.union_hits(hits)
+    united = traced.keep(united, "united") if traced else united
+    resolved = search.resolve(united, sources, keep_missing=True)
+    resolved = traced.keep(resolved, "resolved") if traced else resolved
+    return resolved.filter(F.col("section_text").isNotNull() & (F.col("rank") <= options.max_rows))
 
 
 def contexts(analyzed: DataFrame, hits: DataFrame, intents: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import blocked, flow, intervals, search, segments, spans, spelling, store, usage, validate
 from ..operators.search import Options
+from ..operators.trace import Trace
 from ..sources import vect
 from ..sources.files import html_to_markdown
 from ..streaming import batches, stateful
@@ -114,6 +115,15 @@ def search_report(spark, d):
     return search.report(search.trace(q, search.stages(v, q)))
 
 
+def search_events(spark, d):
+    """The events of a whole search and of the union of its hits by three segments, gathered while they ran."""
+    traced = Trace()
+    hits = search.search(vectors_of(spark, d), queries_of(spark, d), keep=traced.keep)
+    parts = hits.withColumn("segment_idx", (F.col("query_id") % 3).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 60))
+    traced.keep(search.union_hits(parts), "united")
+    return traced.table(spark).select("nth", "stage", "rows", "queries", r6("lowest").alias("lowest"), r6("highest").alias("highest"))
+
+
 def rerank_centroid(spark, d):
     c = search.centroids(search.prune(_hits(spark, d)))
     return c.select("query_id", r6(F.element_at("centroid", 1)).alias("c1"), r6(V.l2(F.col("centroid"))).alias("length"))
@@ -497,7 +507,7 @@ def analyze_queries(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report,
+    search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report, search_events,
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,

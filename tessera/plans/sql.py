@@ -120,6 +120,13 @@ ORACLE_SQL = {
     "ratio_effective_count": f"WITH {STORE} g AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS gap FROM hits) SELECT query_id, (CASE WHEN max(gap) >= 1.2 THEN arg_max(rank, (gap, -rank)) FILTER (gap IS NOT NULL) - 1 ELSE count(*) END)::INT AS k FROM g GROUP BY 1",
     "search_trace": f"WITH {STORE} {CAND} h AS (SELECT query_id, count(*) AS hits, min(score) AS l, max(score) AS u FROM hits GROUP BY 1), c AS (SELECT query_id, count(*) AS n, max(rank) AS r, min(score) AS cut FROM cand0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(hits, 0) AS hits, round(l, 6) AS lowest, round(u, 6) AS highest, coalesce(n, 0) AS pruned_to, round(cut, 6) AS cut_score, round(x.score, 6) AS next_score, 0::BIGINT AS pivot_added, least(coalesce(n, 0), 12)::BIGINT AS final FROM embeddings LEFT JOIN h ON h.query_id = vec_id LEFT JOIN c ON c.query_id = vec_id LEFT JOIN hits x ON x.query_id = vec_id AND x.rank = r + 1 WHERE vec_id % 20 = 0",
     "adaptive_prune": f"WITH {STORE} {CAND} x AS (SELECT 1) SELECT query_id, document_id, range_start::INT AS range_start, range_end::INT AS range_end, rank::INT AS rank, round(score, 6) AS score FROM cand0",
+    "search_events": f"WITH {STORE} {CAND} {PLAIN} {RERANK}," + """
+found AS (SELECT * FROM final WHERE rank <= 12),
+parts AS (SELECT query_id // 60 AS query_id, document_id, range_start, range_end, max(score) AS score FROM found GROUP BY ALL),
+united AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM parts),
+e AS (SELECT 0 AS nth, 'hits' AS stage, score, rank FROM hits WHERE rank <= 42 UNION ALL SELECT 1, 'candidates', score, rank FROM cand UNION ALL SELECT 2, 'pool', score, rank FROM pool
+  UNION ALL SELECT 3, 'reranked', score, rank FROM re2 UNION ALL SELECT 4, 'found', score, rank FROM found UNION ALL SELECT 5, 'united', score, rank FROM united)
+SELECT nth, stage, count(*) AS rows, count(*) FILTER (rank = 1) AS queries, round(min(score), 6) AS lowest, round(max(score), 6) AS highest FROM e GROUP BY nth, stage""",
     "search_no_rerank": NO_RERANK,
     "search_pivot": f"WITH {STORE} {CAND} {PIVOT} {RERANK} {OUT.format('final')}",
     "search_pivot_no_rerank": f"WITH {STORE} {CAND} {PIVOT} final AS (SELECT * FROM cand) {OUT.format('final')}",
