@@ -24,6 +24,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -270,8 +271,12 @@ def collocations(counts: DataFrame, *, top: int = TOP, covered: int = COVERED) -
     inside = candidates.filter("n_words > 2").select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("longer"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(inside, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < covered * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.col("best.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.col("best.score").desc(), F.col("a").desc(), F.asc("phrase")]
+    # first by parts of a language, so that no task gets the best of all partitions at once
+    parts = 1 + math.isqrt(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    best_of = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = best_of(best_of(kept.withColumn("part", part), "lang", "part").drop("rank", "part"), "lang")
     totals = counts.filter("n_words = 0").select("lang", F.col("n").alias("total"))
     out = ranked.join(totals, "lang").withColumnRenamed("total", "n")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
