@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import blocked, flow, intervals, search, segments, spans, spelling, store, usage, validate
+from ..operators import blocked, flow, intervals, readers, search, segments, spans, spelling, store, usage, validate
 from ..operators.search import Options
 from ..operators.trace import Trace
 from ..sources import vect
@@ -164,6 +164,44 @@ def classifier_label(spark, d):
     return got.select("query_id", "label", r6("confidence").alias("confidence"), r6("open_score").alias("open_score"), "low_confidence")
 
 
+class _Letters:
+    """A stand-in for an entailment model: the part of a premise's letters that the hypothesis' last word has."""
+
+    def __call__(self, premises: list[str], hypotheses: list[str]) -> list[tuple[float, float]]:
+        return [(0.5, 10 * sum(p.count(c) for c in set(h.split()[-1])) / (1 + len(p))) for p, h in zip(premises, hypotheses)]
+
+
+def zero_shot_labels(spark, d):
+    """The best of four labels for every document, and its score."""
+    got = readers.zero_shot(table(spark, d, "documents").select("doc_id", "text"), ["tin", "reason", "que", "schub"], _Letters, key="letters")
+    return got.select("doc_id", "label", r6("confidence").alias("confidence"))
+
+
+class _Lengths:
+    """A stand-in for a question-answering model: long words begin an answer, words with many e end it."""
+
+    def __call__(self, questions: list[str], windows: list[list[str]]) -> tuple[list, list]:
+        return [[float(len(w)) for w in ws] for ws in windows], [[float(w.count("e")) for w in ws] for ws in windows]
+
+
+def extract_answers(spark, d):
+    """The best span of up to 15 words in every document, looked for in overlapping windows."""
+    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("pair_id"), F.lit("which?").alias("question"), F.col("text").alias("context"))
+    return readers.extract_answers(pairs, _Lengths, key="lengths").select("pair_id", "rank", "start", "end", "score", F.md5(F.col("answer").cast("binary")).alias("digest"))
+
+
+class _Firsts:
+    """A stand-in for a summary model: the first five words of a chunk."""
+
+    def __call__(self, chunks: list[str]) -> list[str]:
+        return [" ".join(c.split()[:5]) for c in chunks]
+
+
+def summaries(spark, d):
+    """Every document summarised in rounds, by a model that reads 200 words at a time."""
+    return readers.summarize(table(spark, d, "documents").select("doc_id", "text"), _Firsts, key="firsts", budget=200)
+
+
 def store_remove(spark, d):
     v = vectors_of(spark, d)
     ids = v.filter("section_idx % 2 = 0 and doc_ord < 3").select("document_id")
@@ -508,7 +546,7 @@ def analyze_queries(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report, search_events,
-    rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
+    rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, zero_shot_labels, extract_answers, summaries, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
     greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
     latency_percentiles, match_results, batch_responses, queue_outcomes, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,

@@ -181,6 +181,16 @@ SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 3, 7) THEN b WHEN event_id % 8
     "batch_responses": """WITH t AS (SELECT conv_id || ':' || turn AS request_id, conv_id * 1000 + turn AS position, (conv_id + turn) % 4 AS k FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
 SELECT position, request_id, CASE WHEN k = 0 THEN 'succeeded' ELSE 'errored' END AS status, CASE k WHEN 1 THEN 'overloaded' WHEN 2 THEN 'no result for this request' WHEN 3 THEN 'the request expired' END AS error, CASE WHEN k = 0 THEN 'yes' END AS text,
   CASE WHEN k = 2 THEN 0 ELSE 10 * k END AS input_tokens, CASE WHEN k = 2 THEN 0 ELSE 1 END AS output_tokens, 0 AS cached_read, 0 AS cached_created FROM t""",
+    "zero_shot_labels": """WITH l(label, nth, letters) AS (VALUES ('tin', 0, ['t', 'i', 'n']), ('reason', 1, ['r', 'e', 'a', 's', 'o', 'n']), ('que', 2, ['q', 'u', 'e']), ('schub', 3, ['s', 'c', 'h', 'u', 'b'])),
+g AS (SELECT doc_id, label, nth, exp(10 * list_sum(list_transform(letters, lambda c: len(t) - len(replace(t, c, '')))) / (1 + len(t))) AS e FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), l)
+SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS confidence FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e DESC, nth) = 1""",
+    "extract_answers": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, unnest(regexp_extract_all(t, '\S+|\s+')) AS x, generate_subscripts(regexp_extract_all(t, '\S+|\s+'), 1) AS i FROM t),
+p AS (SELECT *, coalesce(sum(len(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM k),
+w AS (SELECT doc_id, a, a + len(x) AS b, len(x) AS s, len(x) - len(replace(x, 'e', '')) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM p WHERE regexp_matches(x, '^\S')),
+f AS (SELECT doc_id, a, s, max(e) OVER r AS e, arg_min(b, (-e, n)) OVER r AS b FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s + e DESC, a, b) = 1)
+SELECT doc_id AS pair_id, 1 AS rank, a::INT AS start, b::INT AS "end", (s + e)::DOUBLE AS score, md5(substring(t.t, a::INT + 1, (b - a)::INT)) AS digest FROM o JOIN t USING (doc_id)""",
     "queue_outcomes": "WITH u AS (SELECT DISTINCT user_id, user_id % 6 AS f FROM events WHERE user_id IS NOT NULL) SELECT 'user|' || user_id AS path, 1::BIGINT AS ends, CASE WHEN f < 4 THEN 'succeeded' ELSE 'failed' END AS outcome, least(f, 4)::INT AS retries, CASE WHEN f >= 4 THEN 'ValueError: not yet: 3' END AS last_error, least(f + 1, 4)::BIGINT AS tries FROM u",
     "retry_outcomes": "WITH e AS (SELECT event_type, (event_id % 6)::INT AS r, event_id % 3 = 0 AS ok FROM events) SELECT event_type, CASE WHEN ok THEN 'succeeded' WHEN r + 1 >= 5 THEN 'failed' ELSE 'retried' END AS outcome, count(*) AS n, max(CASE WHEN ok THEN r ELSE r + 1 END) AS retries FROM e GROUP BY 1, 2",
     "error_tally": "SELECT event_type, substring(props, 1, 140) AS message, count(*) AS n FROM events GROUP BY 1, 2",
