@@ -81,15 +81,16 @@ WITH RECURSIVE placed AS (SELECT page_id, html, {host('url')} AS host, coalesce(
 ruled AS (SELECT *, CASE {fits} END AS rule FROM placed),
 judged AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({allowed}) THEN 'allow' ELSE 'block' END AS v FROM ruled),
 shares AS (SELECT host, count(*) FILTER (v = 'allow') / count(*) AS t, count(*) FILTER (v = 'block') / count(*) AS d FROM judged WHERE host <> '' GROUP BY host),
-r0 AS (SELECT 'trust' AS kind, host, t * (1 - {url_trust.DAMPING}) AS score FROM shares WHERE t > 0 UNION ALL SELECT 'distrust', host, d * (1 - {url_trust.DAMPING}) FROM shares WHERE d > 0),
+r0 AS (SELECT 'trust' AS kind, host, t * (1 - {url_trust.DAMPING}) AS score FROM shares WHERE t > 0 UNION ALL SELECT 'distrust', host, d * (1 - {url_trust.DAMPING}) FROM shares WHERE d > 0 UNION ALL SELECT 'reach', host, 1 - {url_trust.DAMPING} FROM shares),
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1, 'i')) AS t FROM placed),
 pairs AS (SELECT src, {host("CASE WHEN starts_with(t, '//') THEN 'x:' || t ELSE t END")} AS dst FROM found),
 links AS (SELECT src, dst, count(*) AS n FROM pairs WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
-edges AS (SELECT 'trust' AS kind, src AS host, dst AS next, n / sum(n) OVER (PARTITION BY src) AS part FROM links
+edges AS (SELECT unnest(['trust', 'reach']) AS kind, src AS host, dst AS next, n / sum(n) OVER (PARTITION BY src) AS part FROM links
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY src) FROM links),
 flow AS (SELECT kind, host, score::DOUBLE AS score, 0 AS step FROM r0
   UNION ALL SELECT f.kind, e.next, sum(f.score * e.part) * {url_trust.DAMPING}::DOUBLE, f.step + 1 FROM flow f JOIN edges e ON f.kind = e.kind AND f.host = e.host WHERE f.step < {url_trust.ROUNDS} GROUP BY f.kind, e.next, f.step),
-blocked AS (SELECT host FROM flow GROUP BY host HAVING sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) >= {url_trust.THRESHOLD})
+sums AS (SELECT host, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS d, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS t, sum(score) FILTER (kind = 'reach') AS w FROM flow GROUP BY host),
+blocked AS (SELECT host FROM sums WHERE d - {url_trust.TRUST_WEIGHT} * coalesce(t / w, 0) >= {url_trust.THRESHOLD})
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
 

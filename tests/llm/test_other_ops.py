@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ball_tree, byte_cnn, gif_media, html_mincut, queries, url_trust
+from tessera.llm import ball_tree, byte_cnn, common, gif_media, html_mincut, queries, url_trust
 
 PAGES = "page_id long, url string, html string"
 
@@ -54,6 +54,29 @@ def test_url_distrust_of_a_host_with_many_linkers(spark):
     assert {got[i] for i in range(41)} == {"block"} and got[50] == "block" and got[51] == got[52] == "allow"
 
 
+@pytest.mark.parametrize("n", [1, 10, 1000])
+def test_url_trusted_links_do_not_clear_and_numbers_do_not_matter(spark, n):
+    link = lambda *to: "".join(f'<a href="http://{t}/">t</a>' for t in to)
+    rows = [(0, "http://bad.net/es/1", ""), (1, "http://friend.org/", link("bad.net")), (2, "http://mixed.org/", link("bad.net", "fine.org")), (3, "http://poor.org/", link("bad.net", "fine.org")), (4, "http://fine.org/", "")]
+    # n trusted hosts link to the host that links only to a blocked one, and to one whose links are mixed
+    rows += [(10 + i, f"http://t{i}.com/", link("friend.org", "mixed.org")) for i in range(n)]
+    rows += [(5000 + i, f"http://d{i}.org/", link("bad.net")) for i in range(n)]
+    # hosts below t0.com share its rule when there are many
+    pages = spark.createDataFrame(rows, PAGES).withColumn("url", F.regexp_replace("url", "//t([0-9]+)[.]com", "//t$1.t0.com"))
+    before = list(common.WRITTEN)
+    got = {r["page_id"]: r["verdict"] for r in url_trust.judge(pages, rules=(*url_trust.RULES, ("allow", "t0.com/")), threshold=0.06).collect()}
+    left = [p for p in common.WRITTEN if p not in before]
+    assert sum("host-scores" in p for p in left) == 1 and not any("host-edges" in p for p in left)
+    assert got[1] == "block" and got[2] == "allow" and got[3] == "block" and got[4] == "allow"
+    assert {got[5000 + i] for i in range(n)} == {"block"}
+
+
+def test_url_hrefs(spark):
+    page = "<a data-href='http://bad.net/'>x</a><a xhref=//bad.net/><a href=' http://one.org/'><a HREF = \"//two.org\"><a\nhref=http://three.org/a>"
+    got = url_trust.host_links(spark.createDataFrame([(1, "http://a.org", page)], PAGES), "url", "html").collect()
+    assert sorted(r["dst"] for r in got) == ["one.org", "three.org", "two.org"]
+
+
 def test_url_links_at_the_end_of_a_long_page(spark):
     far = "word " * 200_000 + '<a href="http://bad.net/">x</a>'
     pages = spark.createDataFrame([(1, "http://bad.net/es/1", ""), (2, "http://friend.org/", far), (3, "http://bad.net/fr/" + "y" * 100_000, "")], PAGES)
