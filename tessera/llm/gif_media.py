@@ -358,11 +358,21 @@ def features_of(media: bytes) -> tuple:
 
 
 def media_features(media: Column) -> Column:
-    """Struct ``FEATURES`` from stored bytes: the samples are decoded, not taken from the text."""
+    """Struct ``FEATURES`` from stored bytes: the samples are decoded, not taken from the text.
+
+    Null media have null features. Media that are broken or no GIF have their own size
+    and digest, and ``error:`` with the reason as feature; the rest is null.
+    """
+
+    def one(media: bytes) -> tuple:
+        try:
+            return features_of(media)
+        except (ValueError, IndexError, KeyError, struct.error, MemoryError) as e:
+            return None, None, None, len(media), hashlib.sha256(media).hexdigest(), f"error: {e}"
 
     @F.pandas_udf(FEATURES)
     def features(stored: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 6 if m is None else features_of(bytes(m)) for m in stored]
+        rows = [(None,) * 6 if m is None else one(bytes(m)) for m in stored]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
     return features(media)

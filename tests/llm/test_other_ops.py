@@ -264,6 +264,18 @@ def test_gif_disposal_transparency_and_interlace(spark):
     assert [x for x in got if x["media_id"] == 4][-1]["error"] is not None
 
 
+def test_features_of_broken_and_foreign_media(spark):
+    good = gif_media.encode_gif(b"x" * 64)
+    media = [b"", b"GIF89a", b"\x89PNG\r\n\x1a\n" + bytes(50), good[:-20], good[:40] + b"\xff" * 30, bytes(range(256)) * 4, None, good]
+    df = spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in enumerate(media)], "i long, media binary")
+    got = {r["i"]: r["f"] for r in df.select("i", gif_media.media_features(F.col("media")).alias("f")).collect()}
+    import hashlib
+
+    for i, m in enumerate(media[:6]):
+        assert got[i]["feature"].startswith("error: ") and got[i]["payload_bytes"] is None and got[i]["media_bytes"] == len(m) and got[i]["media_sha256"] == hashlib.sha256(m).hexdigest(), i
+    assert list(got[6]) == [None] * 6 and got[7]["payload_bytes"] == 64 and got[7]["feature"].startswith("frames=1")
+
+
 def test_gif_strips_give_the_whole_canvas(spark, monkeypatch):
     media = gif([(0, 0, 4, 4, 5, 1, None, 0, [1] * 16), (1, 1, 2, 2, 7, 2, 0, 0, [2, 0, 0, 2]), (0, 0, 4, 1, 3, 3, None, 0, [3] * 4), (0, 0, 4, 4, 1, 0, 1, 1, [2] * 4 + [1] * 12), (3, 3, 4, 4, 1, 0, None, 0, [3] * 16)])
     whole = [x.canvas.copy() for x in gif_media.compose(gif_media.decode_gif(media))]
