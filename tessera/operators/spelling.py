@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_punctuation
+from ..tables import materialize
 
 #: A word: letters of any language and their marks, apostrophes between letters.
 WORD = r"\p{L}(?:[\p{L}\p{M}'’]*[\p{L}\p{M}])?"
+#: Fixes that are broadcast, at most: tens of MB.
+BROADCAST_FIXES = 500_000
 RULES = "flag string, kind string, strip string, add string, condition string, cross boolean"
 
 
@@ -88,6 +91,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(tidy, r"\s+", " "), F.lit(rf"{WORD}|[^\p{{L}}]+"), F.lit(0))
 
 
+def words_of(text: Column | str) -> Column:
+    """The words of a text, in order: those of ``tokens``, which leaves words as they are."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
 def is_word(token: Column) -> Column:
     return token.rlike(r"^\p{L}")
 
@@ -124,24 +132,30 @@ def resolve(words: DataFrame, dictionary: DataFrame, corrections: DataFrame | No
     return fixes.filter("fix <> word")
 
 
-def correct(texts: DataFrame, dictionary: DataFrame, corrections: DataFrame | None = None, *, text_col: str = "text", out: str = "corrected", most: int = 1) -> DataFrame:
+def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): the words of all texts as they are written, and how often."""
+    return texts.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def frequent_words(known: DataFrame, least: int) -> DataFrame:
+    """(word, n): words of a ``vocabulary``, in small letters, that stand at least ``least`` times."""
+    return known.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
+def correct(texts: DataFrame, dictionary: DataFrame, corrections: DataFrame | None = None, *, known: DataFrame | None = None, text_col: str = "text", out: str = "corrected", most: int = 1) -> DataFrame:
     """``texts`` with the corrected text in a column ``out`` (null texts: null).
 
-    ``dictionary`` is (word, n); ``corrections`` is (word, fix). Rows, copies among them,
-    keep their other columns; equal texts are resolved once.
+    ``dictionary`` is (word, n); ``corrections`` is (word, fix); ``known`` is the texts'
+    ``vocabulary``, where it is there already. Rows, copies among them, keep their other
+    columns; equal texts share what was resolved.
     """
     held = texts.withColumn("_text_key", F.xxhash64(text_col))
+    fixes = materialize(resolve(vocabulary(texts, text_col) if known is None else known, dictionary, corrections, most), "spelling-fixes")
+    # up to so many fixes go to the words; beyond, both are dealt by word
+    near = F.broadcast(fixes) if fixes.count() <= BROADCAST_FIXES else fixes
     # fixes are the same for all texts, so texts that share a key may share a map
-    own = F.array_distinct(F.filter(tokens(F.col(text_col)), is_word))
-    words = held.select("_text_key", F.explode(own).alias("word")).distinct()
-    fixes = resolve(words, dictionary, corrections, most)
-    maps = words.join(fixes, "word").groupBy("_text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("_fixes"))
+    words = held.select("_text_key", F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("word"))
+    maps = words.join(near, "word").groupBy("_text_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("_fixes"))
     joined = held.join(maps, "_text_key", "left")
     fixed = F.transform(tokens(F.col(text_col)), lambda t: F.coalesce(F.try_element_at("_fixes", t), t))
     return joined.withColumn(out, F.array_join(fixed, "")).drop("_text_key", "_fixes")
-
-
-def frequent_words(texts: DataFrame, least: int, text_col: str = "text") -> DataFrame:
-    """(word, n): words, in small letters, that stand at least ``least`` times in all texts."""
-    words = texts.select(F.explode(F.filter(tokens(F.col(text_col)), is_word)).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    return words.filter(F.col("n") >= least)
