@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import blocked, flow, intervals, readers, search, segments, spans, spelling, store, usage, validate
+from ..operators import blocked, flow, intervals, readers, search, segments, spans, spelling, store, turns, usage, validate
 from ..operators.search import Options
 from ..operators.trace import Trace
 from ..sources import vect
@@ -382,6 +382,14 @@ def turn_faults(spark, d):
     return flow.turn_faults(table(spark, d, "conversations"))
 
 
+def conversation_runs(spark, d):
+    """The conversations as mixed sources (prompts, responses and turns with a role), normalised, numbered and put together in runs."""
+    t = table(spark, d, "conversations")
+    kind = F.when(F.col("role") == "user", "text").when(F.col("role") == "assistant", "response").otherwise("turn")
+    sources = t.select("conv_id", F.col("turn").alias("call"), F.lit(0).alias("nth"), kind.alias("kind"), "role", F.col("text").alias("content"))
+    return turns.runs(turns.numbered(turns.normalize(sources)))
+
+
 def intent_set(spark, d):
     t = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") == 0, "GREETING").otherwise(F.upper("role")).alias("label"))
     return usage.intents(t, "conv_id").select("conv_id", F.array_join("intents", ",").alias("intents"))
@@ -548,6 +556,6 @@ QUERIES = {f.__name__: f for f in (
     search_full, vector_functions, section_score_max, section_argmax_vector, search_ranked, search_top, entropy_effective_count, ratio_effective_count, adaptive_prune, search_no_rerank, search_pivot, search_pivot_no_rerank, search_trace, search_report, search_events,
     rerank_centroid, rerank_weights, union_hits, distribution_stats, threshold_suggestions, rerank_effect, rank_changes, classifier_label, zero_shot_labels, extract_answers, summaries, store_remove, store_append, store_collisions, vector_files, vec_offsets, store_dimension,
     from_spec, interval_ops, interval_overlap_join, word_bucket, token_estimate, content_stats, text_normalize, collapse_punctuation, normalize_punctuation, document_id, media_type, frustration_score, multi_part,
-    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
+    greedy_split, peel_greeting, greeting_template, query_prefix, spell_map, resolve_range, serialize_context, usage_collapse, usage_cost, usage_normalize, turn_faults, conversation_runs, intent_set, reply_json, parse_json_rows, response_errors, retry_outcomes, error_tally,
     latency_percentiles, match_results, batch_responses, queue_outcomes, text_sections, section_tree, partition_report, spell_suggest, spell_correct, text_segments, text_subsegments, pca_first_component, representative_spans, knowledge_base, analyze_queries,
 )}

@@ -173,6 +173,10 @@ SELECT conv_id, turn, round(caps_ratio, 6) AS caps_ratio, round(shouting, 6) AS
     "usage_cost": f"WITH {USAGE}, c AS (SELECT l_suppkey, " + ", ".join(f"coalesce({n}, 0) * {RATES[k]}::DECIMAL(6, 2) * p AS {x}" for n, k, x in (("i", "input", "uncached_input"), ("CASE WHEN hit THEN r END", "cache_read", "cache_read"), ("CASE WHEN miss THEN c END", "cache_write", "cache_write"), ("o", "output", "output"))) + " FROM (SELECT *, CASE WHEN ok IS NULL THEN 1::DECIMAL(2, 1) ELSE 0.5::DECIMAL(2, 1) END AS p FROM u)) SELECT l_suppkey, " + ", ".join(f"round(sum({x}), 0)::DOUBLE / 1000000 AS {n}_cost" for x, n in ((x, x) if x != "t" else ("uncached_input + cache_read + cache_write + output", "total") for x in ("uncached_input", "cache_read", "cache_write", "output", "t"))) + " FROM c GROUP BY 1",
     "usage_normalize": f"WITH {USAGE}, a AS (SELECT cache, ok, i, o, r FROM u UNION ALL SELECT false, NULL, user_id, 0, NULL FROM events) SELECT cache, ok AS succeeded, count(*) AS n, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, count(r) AS read FROM a GROUP BY 1, 2",
     "turn_faults": "WITH l AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM conversations) SELECT conv_id, CASE WHEN coalesce(role, '') <> 'user' THEN 'the last turn is not the user''s' WHEN trim(coalesce(text, '')) = '' THEN 'the last turn is empty' END AS fault FROM l WHERE n = 1",
+    "conversation_runs": """WITH u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t FROM conversations WHERE text IS NOT NULL AND NOT (role = 'user' AND text = '')),
+c AS (SELECT *, coalesce((lag(role) OVER (PARTITION BY conv_id ORDER BY t) <> role)::INT, 0) AS change FROM u),
+r AS (SELECT *, sum(change) OVER (PARTITION BY conv_id ORDER BY t) AS run FROM c)
+SELECT conv_id, run::BIGINT AS run, max(role) AS role, min(t) AS first_turn, max(t) AS last_turn, count(*) AS turns, sum(len(text))::BIGINT AS chars FROM r GROUP BY conv_id, run""",
     "intent_set": "WITH t AS (SELECT DISTINCT conv_id, CASE WHEN turn = 0 THEN 'GREETING' ELSE upper(role) END AS l FROM conversations) SELECT conv_id, string_agg(l, ',' ORDER BY l <> 'GREETING', l) AS intents FROM t GROUP BY 1",
     "reply_json": """WITH e AS (SELECT event_id, '{"event": ' || event_id || ', "props": ' || coalesce(props, '{}') || '}' AS b FROM events)
 SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 3, 7) THEN b WHEN event_id % 8 = 2 THEN '[' || b || ']' END AS json FROM e""",
