@@ -1,20 +1,27 @@
 """Segments, headers and sections of texts as table functions.
 
 One row per text goes in, rows of spans come out: ``segments`` (start, end,
-header level, flags), ``sections`` (spans with their heading trail) and
-``subsegments`` (clauses, phrases, words and word pairs). Offsets are code points.
+header level, flags), ``sections`` (spans with their heading trail), ``section_tree``
+and ``subsegments`` (clauses, phrases, words and word pairs). Offsets are code points.
+
+A small function cuts a text into pieces, because a dot in a number, a name or an
+address ends nothing. All else is columns: a piece goes with the one before it or
+begins a segment by what stands between them; a heading stands alone between blanks;
+paragraphs and headings are numbered by windows over a text's rows, which are written
+once, and the headings' trails are an aggregate of each text's headings, joined to what
+stands under them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import HONORIFICS, bucket, word_count
+from ..tables import materialize
 
 # What a dot does not end.
 PROTECTED = [
@@ -35,131 +42,144 @@ STOP_WORDS = set(
     "between among across through within against during despite under over into onto upon from with without "
     "use uses used using have has had having make makes made making take takes took taking give gives gave giving".split()
 )
-KEEP = [re.compile(p, re.ASCII) for p in PROTECTED]
-EDGE = " \t\n\v\f\r!,.:;?"
-SPACE = " \t\n\v\f\r"
+# What stands between pieces, a rule, and the numbers of a heading such as ``1.2 Title`` or ``A) Title``.
+EDGE, SPACE, ENDS = " \t\n\v\f\r!,.:;?", " \t\n\v\f\r", "\n\v\f\r!.;?"
 RULE = re.compile(r"([*+\-=_~])\1{2,}\Z")
 TOKEN = r"(?:\d+|[IVXLCDM]{2,7}|[ivxlcdm]{2,7}|[A-Za-z])"
-NUMBERED = re.compile(rf"\s*[(§]?\s*(?P<tokens>(?:{TOKEN}[.)\-/:](?!\s*[.)\-/:])\s*)+(?:{TOKEN})?)\s*[.):]?\s+")
-COUNTED = re.compile(rf"{TOKEN}(?=[.)\-/:\s]|$)")
+NUMBERED = rf"(?U)^\s*[(§]?\s*((?:{TOKEN}[.)\-/:](?!\s*[.)\-/:])\s*)+(?:{TOKEN})?)\s*[.):]?\s+"
+COUNTED = rf"(?U){TOKEN}(?=[.)\-/:\s]|\z)"
+
+KEEP = [re.compile(p, re.ASCII) for p in PROTECTED]
+CUT = re.compile(f"[{ENDS}]")
 
 
-def protected(text: str) -> list[bool]:
-    """Per character: it stands in something whose dots don't end a sentence."""
-    mask = [False] * len(text)
+def cut_pieces(text: str | None) -> list[dict]:
+    """The pieces of a text between line ends and ! . ; ?, trimmed, but for rules; each with the ``gap`` since the one before and whether a rule stands there."""
+    text = text or ""
+    kept = bytearray(len(text))
     for pattern in KEEP:
         for m in pattern.finditer(text):
-            if not any(mask[m.start() : m.end()]):
-                mask[m.start() : m.end()] = [True] * (m.end() - m.start())
-    return mask
+            if not any(kept[m.start() : m.end()]):
+                kept[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    first, last = 0, len(text)
+    while first < last and text[first] in EDGE and not kept[first]:
+        first += 1
+    while last > first and text[last - 1] in EDGE and not kept[last - 1]:
+        last -= 1
+    marks = [m.start() for m in CUT.finditer(text, first, last) if not kept[m.start()]]
+    out, before, ruled = [], first, False
+    for a, b in zip([first, *[i + 1 for i in marks]], [*marks, last]):
+        piece = text[a:b].strip(SPACE)
+        if RULE.match(piece):
+            ruled = True
+        elif piece:
+            a += len(text[a:b]) - len(text[a:b].lstrip(SPACE))
+            out.append({"start": a, "end": a + len(piece), "text": piece, "gap": text[before:a], "ruled": ruled})
+            before, ruled = a + len(piece), False
+    return out
 
 
-def ordered_header(text: str) -> tuple[int, int] | None:
-    """(level, offset of the title) of a numbered heading such as ``1.2 Title`` or ``A) Title``."""
-    m = NUMBERED.match(text)
-    if not m:
-        return None
-    tokens = COUNTED.findall(m["tokens"].strip(" .):"))
-    return (len(tokens), m.end()) if tokens else None
+def _pieces(text: Column) -> Column:
+    @F.pandas_udf("array<struct<start:int,end:int,text:string,gap:string,ruled:boolean>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(cut_pieces)
 
+    return pieces(text)
 
-def segment(text: str | None, headers: bool = False) -> list[dict]:
-    """Sentences: cut at line ends and ! . ; ?, lines without a mark between them joined, rules dropped."""
-    text = text or ""
-    mask = protected(text)
-    start, end = 0, len(text)
-    while start < end and text[start] in EDGE and not mask[start]:
-        start += 1
-    while end > start and text[end - 1] in EDGE and not mask[end - 1]:
-        end -= 1
-    pieces, at = [], start
-    for i in range(start, end + 1):
-        if i == end or text[i] in "\n\v\f\r!.;?" and not mask[i]:
-            a, b = at, i
-            while a < b and text[a] in SPACE:
-                a += 1
-            while b > a and text[b - 1] in SPACE:
-                b -= 1
-            if a < b:
-                pieces.append((a, b))
-            at = i + 1
-    out: list[dict] = []
-    ruled = False
-    for a, b in pieces:
-        if RULE.match(text[a:b]):
-            ruled = True
-            continue
-        row = {"start": a, "end": b, "blank_before": False, "rule_before": ruled, "newline": False, "level": 0, "title_offset": 0}
-        if out and not ruled:
-            gap = text[out[-1]["end"] : a]
-            if gap.count("\n") < 2 and not gap.strip(SPACE):
-                out[-1] |= {"end": b, "newline": True}
-                continue
-            row["blank_before"] = gap.count("\n") > 1
-        ruled = False
-        out.append(row)
-    if headers:
-        for i, row in enumerate(out):
-            apart = i == 0 or row["blank_before"] or row["rule_before"]
-            apart = apart and (i + 1 == len(out) or out[i + 1]["blank_before"] or out[i + 1]["rule_before"])
-            if not apart or row["newline"]:
-                continue
-            own = text[row["start"] : row["end"]]
-            marks = len(own) - len(own.lstrip("#"))
-            body = own[marks:].lstrip()
-            found = ordered_header(body if marks else own)
-            if marks:
-                row |= {"level": marks, "title_offset": len(own) - len(body) + (found[1] if found else 0)}
-            elif found:
-                row |= {"level": found[0], "title_offset": found[1]}
-    return out
 
+def _segmented(pieces: Column, headers: bool) -> Column:
+    """Segments, structs of start, end, text, level, title_offset and flags, of an array of pieces."""
+    held = lambda value, use: F.transform(F.array(value), use)[0]
 
-def sections_of(text: str | None) -> list[dict]:
-    """Paragraphs under their headings: span, content, the heading trail (titles and depth), place among siblings."""
-    text = text or ""
-    trail: list[tuple[int, str, int]] = []
-    out, siblings, fresh = [], 0, True
-    for row in segment(text, headers=True):
-        own = text[row["start"] : row["end"]]
-        if row["level"]:
-            trail = [t for t in trail if t[0] < row["level"]]
-            trail.append((row["level"], own[row["title_offset"] :].strip(), row["start"]))
-            siblings, fresh = 0, True
-        elif fresh or row["blank_before"]:
-            first = siblings == 0 and trail
-            out.append({"range_start": trail[-1][2] if first else row["start"], "range_end": row["end"], "content": own, "titles": [t[1] for t in trail], "paragraph": siblings, "sentences": [own], "from": row["start"]})
-            siblings, fresh = siblings + 1, False
-        else:
-            out[-1]["range_end"] = row["end"]
-            out[-1]["sentences"].append(own)
-            out[-1]["content"] = text[out[-1].setdefault("from", row["start"]) : row["end"]]
-    return out
+    def flags(kept: Column) -> Column:
+        """Pieces with whether blank lines stand before, and whether they begin a segment."""
+        lines = lambda y: F.length(y["gap"]) - F.length(F.replace(y["gap"], F.lit("\n"), F.lit("")))
+        return F.transform(kept, lambda y, i: F.struct(
+            y.alias("x"), ((i > 0) & ~y["ruled"] & (lines(y) > 1)).alias("blank"),
+            ((i == 0) | y["ruled"] | (lines(y) > 1) | (F.btrim(y["gap"], F.lit(SPACE)) != "")).alias("begins"),
+        ))
 
+    def joined(kept: Column) -> Column:
+        """One struct for each run of pieces that begins with one that ``begins``."""
+        places = F.filter(F.transform(kept, lambda y, i: F.when(y["begins"], i)), lambda i: i.isNotNull())
 
-def tree_of(text: str | None) -> list[tuple]:
-    """(node, parent, depth, level, title, start, end, paragraphs) of the heading tree; node 0 is the text itself, left out if one heading holds all."""
-    text = text or ""
-    nodes = [[0, None, 0, 0, None, 0, len(text), 0]]
-    open_nodes = [0]
-    for row in segment(text, headers=True):
-        if not row["level"]:
-            nodes[open_nodes[-1]][7] += 1
-            continue
-        while len(open_nodes) > 1 and nodes[open_nodes[-1]][3] >= row["level"]:
-            nodes[open_nodes.pop()][6] = row["start"]
-        title = text[row["start"] : row["end"]][row["title_offset"] :].strip()
-        nodes.append([len(nodes), open_nodes[-1], len(open_nodes), row["level"], title, row["start"], len(text), 0])
-        open_nodes.append(len(nodes) - 1)
-    only = [n for n in nodes if n[1] == 0]
-    if len(only) == 1 and not nodes[0][7]:
-        nodes = [[n[0], n[1] or None, n[2] - 1, *n[3:]] for n in nodes[1:]]
-    return [tuple(n) for n in nodes]
+        def one(at: Column) -> Column:
+            def row(i: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(at, k + 1), F.size(kept)) - i
+                first, last = F.get(kept, i), F.get(kept, i + n - 1)
+                text = F.array_join(F.transform(F.slice(kept, i + 1, n), lambda y, j: F.when(j == 0, y["x"]["text"]).otherwise(F.concat(y["x"]["gap"], y["x"]["text"]))), "")
+                return F.struct(first["x"]["start"].alias("start"), last["x"]["end"].alias("end"), text.alias("text"), first["x"]["gap"].alias("gap"), first["blank"].alias("blank_before"), first["x"]["ruled"].alias("rule_before"), (n > 1).alias("newline"))
+
+            return F.transform(at, row)
+
+        return held(places, one)
+
+    def headed(rows: Column) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            apart = lambda y: y["blank_before"] | y["rule_before"]
+            alone = ((i == 0) | apart(x)) & ((i + 1 == F.size(rows)) | F.coalesce(apart(F.get(rows, i + 1)), F.lit(False))) & ~x["newline"]
+            marks = F.length(x["text"]) - F.length(F.ltrim(x["text"], F.lit("#")))
+            body = F.regexp_replace(F.ltrim(x["text"], F.lit("#")), r"(?U)^\s+", "")
+            own = F.when(marks > 0, body).otherwise(x["text"])
+            numbers = F.regexp_count(F.btrim(F.regexp_extract(own, NUMBERED, 1), F.lit(" .):")), F.lit(COUNTED))
+            offset = F.when(numbers > 0, F.length(F.regexp_extract(own, NUMBERED, 0))).otherwise(0)
+            level = F.when(~F.lit(headers) | ~alone, 0).when(marks > 0, marks).otherwise(numbers)
+            shift = F.when(marks > 0, F.length(x["text"]) - F.length(body)).otherwise(0)
+            return F.struct(*[x[c].alias(c) for c in ("start", "end", "text", "gap", "blank_before", "rule_before", "newline")], level.cast("int").alias("level"), F.when(level > 0, shift + offset).otherwise(0).cast("int").alias("title_offset"))
+
+        return F.transform(rows, row)
+
+    return held(held(held(pieces, flags), joined), headed)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each segment of each text, with ``row`` (the text's own number), idx, segment ``s`` and ``heading``, the number of headings up to it.
+
+    A text without segments has a row with a null ``s``. The rows are written once: every
+    text has its number, whatever its id.
+    """
+    numbered = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("length"), F.monotonically_increasing_id().alias("row"), _segmented(_pieces(F.col(text_col)), True).alias("all"))
+    held = materialize(numbered, "segmented").select("row", "id", "length", F.posexplode_outer("all").alias("idx", "s"))
+    upto = Window.partitionBy("row").orderBy("idx")
+    return held.withColumn("heading", F.coalesce(F.sum((F.col("s.level") > 0).cast("int")).over(upto), F.lit(0)))
+
+
+def _trails(rows: DataFrame) -> DataFrame:
+    """(row, heading, trail): for each heading the headings around it and itself, as (heading, level, title, start)."""
+    title = F.regexp_replace(F.substring(F.col("s.text"), F.col("s.title_offset") + 1, F.length("s.text")), r"(?U)^\s+|\s+$", "")
+    one = F.struct("heading", F.col("s.level").alias("level"), title.alias("title"), F.col("s.start").alias("start"))
+    own = rows.filter("s.level > 0").groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("hs"))
+    none = F.array().cast("array<struct<heading:bigint,level:int,title:string,start:int>>")
+    # a heading closes those of its level or deeper; the trails so far are carried along
+    step = lambda acc, h: F.struct(*[F.array_append(F.filter(acc["open"], lambda o: o["level"] < h["level"]), h).alias("open")])
+    grown = lambda acc, h: F.transform(F.array(step(acc, h)["open"]), lambda o: F.struct(o.alias("open"), F.array_append(acc["all"], o).alias("all")))[0]
+    begin = F.struct(none.alias("open"), F.array().cast("array<array<struct<heading:bigint,level:int,title:string,start:int>>>").alias("all"))
+    trails = F.aggregate("hs", begin, grown, lambda acc: acc["all"])
+    return own.select("row", F.posexplode(trails).alias("nth", "trail")).select("row", (F.col("nth") + 1).cast("long").alias("heading"), "trail")
 
 
 def section_tree(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
-    """One row per heading, in page order: node, parent, depth, level, title, start, end and its own paragraphs."""
-    return _each(docs, tree_of, "node int, parent int, depth int, level int, title string, start int, end int, paragraphs int", id_col, text_col)
+    """One row per heading: node, parent, depth, level, title, start, end and its own paragraphs.
+
+    Node 0 is the text itself; it is left out if one heading holds all. A heading ends
+    where the next one of its level or above begins, or with the text.
+    """
+    rows = _rows(docs, id_col, text_col)
+    trails = _trails(rows)
+    texts = rows.groupBy("row", "id").agg(F.max("length").alias("length"))
+    paragraphs = rows.filter("s.level = 0").groupBy("row", "heading").agg(F.count("*").cast("int").alias("paragraphs"))
+    # the last heading whose trail holds a heading is the last one inside it
+    last = trails.select("row", F.col("heading").alias("inside"), F.explode("trail.heading").alias("heading")).groupBy("row", "heading").agg(F.max("inside").alias("inside"))
+    starts = trails.select("row", (F.col("heading") - 1).alias("inside"), F.element_at("trail", -1)["start"].alias("next"))
+    own, up = F.element_at("trail", -1), F.try_element_at("trail", F.lit(-2))
+    nodes = trails.join(last, ["row", "heading"]).join(starts, ["row", "inside"], "left").join(texts, "row")
+    nodes = nodes.select("row", "id", F.col("heading").alias("node"), F.coalesce(up["heading"], F.lit(0)).alias("parent"), F.size("trail").alias("depth"), own["level"].alias("level"), own["title"].alias("title"), own["start"].alias("start"), F.coalesce("next", "length").alias("end"))
+    root = texts.select("row", "id", F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("start"), F.col("length").alias("end"))
+    every = root.unionByName(nodes).join(paragraphs.withColumnRenamed("heading", "node"), ["row", "node"], "left").withColumn("paragraphs", F.coalesce("paragraphs", F.lit(0)))
+    whole = every.groupBy("row").agg(F.count_if(F.col("parent") == 0).alias("tops"), F.max(F.when(F.col("node") == 0, F.col("paragraphs"))).alias("loose"))
+    single = (F.col("tops") == 1) & (F.col("loose") == 0)
+    out = every.join(whole, "row").filter(~single | (F.col("node") > 0))
+    return out.select(F.col("id").alias(id_col), F.col("node").cast("int").alias("node"), F.when(~single | (F.col("parent") > 0), F.col("parent")).cast("int").alias("parent"), F.when(single, F.col("depth") - 1).otherwise(F.col("depth")).alias("depth"), "level", "title", "start", "end", "paragraphs")
 
 
 def partition_report(tree: DataFrame, id_col: str = "document_id") -> DataFrame:
@@ -169,59 +189,60 @@ def partition_report(tree: DataFrame, id_col: str = "document_id") -> DataFrame:
     return lines.select(id_col, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("report"))
 
 
-def subsegment(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """(tier, start, end): clauses (: ;), phrases (quotes, brackets, commas), long words, pairs and triplets of them."""
+def subsegment(text: str, at: int) -> list[tuple[int, int, int]]:
+    """(tier, start, end) in a sentence that stands at ``at``: clauses (: ;), phrases (quotes, brackets, commas), long words, pairs and triplets of them."""
     out = []
     for tier, cut in ((0, ":;"), (1, "\"(),:;[]")):
-        parts = [(m.start() + start, m.end() + start) for m in re.finditer(f"[^{re.escape(cut)}]+", text[start:end])]
-        trimmed = []
-        for a, b in parts:
-            while a < b and text[a] in SPACE:
-                a += 1
-            while b > a and text[b - 1] in SPACE:
-                b -= 1
-            if a < b:
-                trimmed.append((a, b))
-        if len(trimmed) > 1:
-            out += [(tier, a, b) for a, b in trimmed]
-    words = [(m.start() + start, m.end() + start) for m in re.finditer(r"\w[\w'’-]*", text[start:end])]
-    words = [(a, b) for a, b in words if b - a > 4 and text[a:b].lower() not in STOP_WORDS]
+        parts = []
+        for m in re.finditer(f"[^{re.escape(cut)}]+", text):
+            inner = m[0].strip(SPACE)
+            if inner:
+                a = m.start() + len(m[0]) - len(m[0].lstrip(SPACE))
+                parts.append((tier, at + a, at + a + len(inner)))
+        out += parts if len(parts) > 1 else []
+    words = [(m.start() + at, m.end() + at) for m in re.finditer(r"\w[\w'’-]*", text) if len(m[0]) > 4 and m[0].lower() not in STOP_WORDS]
     for tier, n in ((2, 1), (3, 2), (4, 3)):
         out += [(tier, words[i][0], words[i + n - 1][1]) for i in range(len(words) - n + 1)]
     return out
 
 
-def _each(docs: DataFrame, rows, schema: str, id_col: str, text_col: str) -> DataFrame:
-    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [[i, *r] for i, t in zip(pdf["id"], pdf["text"]) for r in rows(t)]
-            yield pd.DataFrame(made, columns=["id", *names])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
-
-
 def segments(docs: DataFrame, id_col: str = "document_id", text_col: str = "content", headers: bool = False) -> DataFrame:
-    schema = "idx int, start int, end int, level int, title_offset int, blank_before boolean, rule_before boolean, newline boolean"
-    order = ("start", "end", "level", "title_offset", "blank_before", "rule_before", "newline")
-    return _each(docs, lambda t: [(i, *(s[c] for c in order)) for i, s in enumerate(segment(t, headers))], schema, id_col, text_col)
+    """One row per sentence: idx, start, end, level and title_offset (with ``headers``), and what stands before it."""
+    found = docs.select(F.col(id_col), F.posexplode(_segmented(_pieces(F.col(text_col)), headers)).alias("idx", "s"))
+    return found.select(id_col, "idx", "s.start", "s.end", "s.level", "s.title_offset", "s.blank_before", "s.rule_before", "s.newline")
 
 
 def subsegments(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
-    rows = lambda t: [(i, *x) for i, s in enumerate(segment(t)) for x in subsegment(t, s["start"], s["end"])]
-    return _each(docs, rows, "idx int, tier int, start int, end int", id_col, text_col)
+    """One row per clause, phrase, long word, pair and triplet of them in each sentence: idx, tier, start, end."""
+    found = docs.select(F.col(id_col), F.posexplode(_segmented(_pieces(F.col(text_col)), False)).alias("idx", "s"))
+
+    @F.pandas_udf("array<struct<tier:int,start:int,end:int>>")
+    def inside(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("tier", "start", "end"), x)) for x in subsegment(t, a)] for t, a in zip(texts, starts)])
+
+    return found.select(id_col, "idx", F.explode(inside("s.text", "s.start")).alias("x")).select(id_col, "idx", "x.*")
 
 
 def sections(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
-    """One row per paragraph with its breadcrumbs, word count, bucket and chunks."""
-    rows = lambda t: [(i, s["range_start"], s["range_end"], s["paragraph"], s["titles"], s["content"], s["sentences"]) for i, s in enumerate(sections_of(t))]
-    t = _each(docs, rows, "section_idx int, range_start int, range_end int, paragraph int, titles array<string>, content string, sentences array<string>", id_col, text_col)
-    t = t.withColumn("breadcrumbs", F.array_join("titles", ", ")).withColumn("word_count", word_count(F.col("content")))
-    t = t.withColumn("bucket", bucket(F.col("word_count")))
-    return t.withColumn("chunks", chunks(F.col("content"), F.col("sentences"), F.col("bucket"))).drop("titles")
+    """One row per paragraph, in order: its span, place under its heading, breadcrumbs, content, sentences, word count, bucket and chunks.
+
+    A paragraph begins after a heading, after blank lines and at the beginning; the first
+    one under a heading has the heading in its span.
+    """
+    rows = _rows(docs, id_col, text_col).filter("s is not null")
+    upto, under = Window.partitionBy("row").orderBy("idx"), Window.partitionBy("row", "heading").orderBy("idx")
+    begins = (F.col("s.level") == 0) & (F.coalesce(F.lag("s.level").over(upto) > 0, F.lit(True)) | F.col("s.blank_before"))
+    rows = rows.withColumn("begins", begins.cast("int"))
+    rows = rows.withColumns({"section_idx": (F.sum("begins").over(upto) - 1).cast("int"), "paragraph": (F.sum("begins").over(under) - 1).cast("int")})
+    part = F.struct("idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"), F.col("s.gap").alias("gap"))
+    made = rows.filter("s.level = 0").groupBy("row", "id", "heading", "section_idx", "paragraph").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    made = made.join(_trails(rows), ["row", "heading"], "left")
+    content = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(x["gap"], x["text"]))), "")
+    start = F.when((F.col("paragraph") == 0) & F.col("trail").isNotNull(), F.element_at("trail", -1)["start"]).otherwise(F.col("p")[0]["start"])
+    titles = F.coalesce(F.transform("trail", lambda t: t["title"]), F.array().cast("array<string>"))
+    t = made.select(F.col("id").alias(id_col), "section_idx", start.alias("range_start"), F.element_at("p", -1)["end"].alias("range_end"), "paragraph", content.alias("content"), F.transform("p", lambda x: x["text"]).alias("sentences"), F.array_join(titles, ", ").alias("breadcrumbs"))
+    t = t.withColumn("word_count", word_count(F.col("content"))).withColumn("bucket", bucket(F.col("word_count")))
+    return t.withColumn("chunks", chunks(F.col("content"), F.col("sentences"), F.col("bucket")))
 
 
 def chunks(content: Column, sentences: Column, size: Column, words: int = 80) -> Column:

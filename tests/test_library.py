@@ -100,11 +100,14 @@ MARKDOWN = "# One\n\nHello there. See e.g. this, 3.14.\n\n## Two\n\nWords of the
 
 
 def test_segments_and_sections(spark):
-    got = segments.segment(MARKDOWN, True)
+    def found(text, headers=False):
+        return segments.segments(spark.createDataFrame([("d", text)], "document_id string, content string"), headers=headers).orderBy("idx").collect()
+
+    got = found(MARKDOWN, True)
     assert [MARKDOWN[s["start"] : s["end"]] for s in got] == ["# One", "Hello there", "See e.g. this, 3.14", "## Two", "Words of the second part", "more", "1.2 Three", "End"]
     assert [s["level"] for s in got] == [1, 0, 0, 2, 0, 0, 2, 0]
-    assert segments.segment("# Foo\nbar", True)[0]["level"] == 0 and segments.segment("---") == [] and segments.segment(None) == []
-    assert [MARKDOWN2["text"][s["start"] : s["end"]] for s in segments.segment(MARKDOWN2["text"])] == MARKDOWN2["want"]
+    assert found("# Foo\nbar", True)[0]["level"] == 0 and found("---") == [] and found(None) == []
+    assert [MARKDOWN2["text"][s["start"] : s["end"]] for s in found(MARKDOWN2["text"])] == MARKDOWN2["want"]
     df = spark.createDataFrame([("d|a", MARKDOWN), ("d|b", None)], "document_id string, content string")
     rows = segments.sections(df).orderBy("section_idx").collect()
     assert [r["breadcrumbs"] for r in rows] == ["One", "One, Two", "One, Three"] and rows[0]["bucket"] == "short"
