@@ -5,13 +5,14 @@ Two words within ``most`` edits have a string in common that each reaches by at
 ``most`` deletions, so an equality join on these strings finds every pair; the
 Levenshtein distance is then checked. No word meets the whole dictionary.
 
-Texts are corrected word by word without moving them: the distinct words of distinct
-texts are resolved once for all texts, what changes comes back to each text as a map,
-and the text's own tokens are put together again in their order.
+Texts are corrected word by word: the distinct words of all texts are resolved once, what
+changes comes back to each text, and is put in its place in the tidied text.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from ..tables import materialize
 
 #: A word: letters of any language and their marks, apostrophes between letters.
 WORD = r"\p{L}(?:[\p{L}\p{M}'’]*[\p{L}\p{M}])?"
-#: Fixes that are broadcast, at most: tens of MB.
-BROADCAST_FIXES = 500_000
+#: Words that are broadcast, at most: the commonest of those that stay as they are.
+COMMON_WORDS = 100_000
 RULES = "flag string, kind string, strip string, add string, condition string, cross boolean"
 
 
@@ -85,10 +86,14 @@ def expand(stems: DataFrame, rules: DataFrame) -> DataFrame:
     return every[0].union(every[1]).union(every[2]).union(every[3]).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def tidy(text: Column) -> Column:
+    """The text trimmed, with its punctuation normalised and single spaces for white space."""
+    return F.regexp_replace(F.regexp_replace(normalize_punctuation(text), r"^\s+|\s+$", ""), r"\s+", " ")
+
+
 def tokens(text: Column) -> Column:
-    """Words and what stands between them, in order, of a text with its punctuation normalised; white space between words becomes single spaces."""
-    tidy = F.regexp_replace(normalize_punctuation(text), r"^\s+|\s+$", "")
-    return F.regexp_extract_all(F.regexp_replace(tidy, r"\s+", " "), F.lit(rf"{WORD}|[^\p{{L}}]+"), F.lit(0))
+    """Words and what stands between them, in order, of the ``tidy`` text."""
+    return F.regexp_extract_all(tidy(text), F.lit(rf"{WORD}|[^\p{{L}}]+"), F.lit(0))
 
 
 def words_of(text: Column | str) -> Column:
@@ -150,12 +155,24 @@ def correct(texts: DataFrame, dictionary: DataFrame, corrections: DataFrame | No
     columns; equal texts share what was resolved.
     """
     held = texts.withColumn("_text_key", F.xxhash64(text_col))
-    fixes = materialize(resolve(vocabulary(texts, text_col) if known is None else known, dictionary, corrections, most), "spelling-fixes")
-    # up to so many fixes go to the words; beyond, both are dealt by word
-    near = F.broadcast(fixes) if fixes.count() <= BROADCAST_FIXES else fixes
+    known = vocabulary(texts, text_col) if known is None else known
+    fixes = materialize(resolve(known, dictionary, corrections, most), "spelling-fixes")
+    # the commonest words that stay are most of what texts consist of: they go before anything is dealt
+    stay = known.join(fixes.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
     # fixes are the same for all texts, so texts that share a key may share a map
-    words = held.select("_text_key", F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("word"))
-    maps = words.join(near, "word").groupBy("_text_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("_fixes"))
+    words = held.select("_text_key", F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("word")).join(F.broadcast(stay), "word", "left_anti")
+    maps = words.join(fixes, "word").groupBy("_text_key").agg(F.collect_set(F.struct("word", "fix")).alias("_fixes"))
+
+    @F.pandas_udf("string")
+    def replaced(tidied: pd.Series, was: pd.Series, now: pd.Series) -> pd.Series:
+        word = regex.compile(WORD)
+        out = []
+        for text, a, b in zip(tidied, was, now):
+            if text is not None and a is not None:
+                by = dict(zip(a, b))
+                text = word.sub(lambda m: by.get(m[0], m[0]), text)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
     joined = held.join(maps, "_text_key", "left")
-    fixed = F.transform(tokens(F.col(text_col)), lambda t: F.coalesce(F.try_element_at("_fixes", t), t))
-    return joined.withColumn(out, F.array_join(fixed, "")).drop("_text_key", "_fixes")
+    return joined.withColumn(out, replaced(tidy(F.col(text_col)), F.col("_fixes.word"), F.col("_fixes.fix"))).drop("_text_key", "_fixes")
