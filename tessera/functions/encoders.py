@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import plain_text
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,8 +35,13 @@ def hashing_encoder(text: Column, dim: int = 64) -> Column:
     return encode(text)
 
 
-def model_encoder(text: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Column:
-    """``load`` runs once per worker; texts go to the model in batches."""
+def model_encoder(text: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]], *, normalize_text: bool | Callable[[Column], Column] = False) -> Column:
+    """``load`` runs once per task; texts go to the model in batches, null ones as empty.
+
+    ``normalize_text`` is a column function, or true for ``plain_text``.
+    """
+    if normalize_text:
+        text = (plain_text if normalize_text is True else normalize_text)(F.coalesce(text, F.lit("")))
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -193,6 +193,10 @@ def stages(vectors: DataFrame, queries: DataFrame, o: Options = Options(), keep:
         out["found"] = kept.unionByName(new.join(few, "query_id", "left_anti")).unionByName(saved)
     else:
         out["found"] = candidates
+    if o.floor is None or o.floor <= 0:
+        # without a positive floor the cut may leave nothing of a query: its first hits then
+        cut_away = hits.join(out["candidates"].select("query_id").distinct(), "query_id", "left_anti").filter(F.col("rank") <= o.min_rows)
+        out["found"] = out["found"].unionByName(cut_away)
     return out
 
 

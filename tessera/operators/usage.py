@@ -68,9 +68,10 @@ def collapse(usage: DataFrame, *by: str) -> DataFrame:
 
 
 def content_stats(items: DataFrame, text: str, *by: str) -> DataFrame:
-    """Number of items, bytes, words and estimated tokens."""
+    """Number of items, bytes, words and estimated tokens, and whether any item is to be cached if there is a column ``cache``."""
     t = items.withColumn("counts", token_counts(F.col(text)))
-    return t.groupBy(*by).agg(F.count("*").alias("items"), *[F.sum(f"counts.{c}").cast("long").alias(c) for c in ("num_bytes", "num_words", "num_special", "num_spaces", "tokens")])
+    cached = [F.coalesce(F.bool_or("cache"), F.lit(False)).alias("cache")] if "cache" in items.columns else []
+    return t.groupBy(*by).agg(F.count("*").alias("items"), *cached, *[F.sum(f"counts.{c}").cast("long").alias(c) for c in ("num_bytes", "num_words", "num_special", "num_spaces", "tokens")])
 
 
 def nearest_rank(rows: DataFrame, value: str, parts: dict[str, float], *by: str) -> DataFrame:
