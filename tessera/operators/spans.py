@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import discard, materialize
 
 #: Vectors that are folded at once.
 BLOCK_ROWS = 20_000
@@ -147,7 +147,8 @@ def pca(vectors: DataFrame, by: str, order: str, vec: str = "vec", block_rows: i
     ranges = materialize(rows.repartitionByRange(n, "g", "o").withColumn("part", F.spark_partition_id()), "pca-ranges")
     ends = ranges.groupBy(F.col("g").alias("h")).agg(F.min("part").alias("first"), F.max("part").alias("end"))
     turns = ranges.join(ends, ranges["g"].eqNullSafe(ends["h"])).select("g", "o", "v", (F.col("part") - F.col("first")).alias("turn"), (F.col("end") - F.col("first")).alias("last"))
-    turns = materialize(turns, "pca-turns")
+    turns = materialize(turns, "pca-turns", by="turn")  # a turn reads its own rows only
+    discard(ranges)
     shape = f"g {kind}, last int, n long, stopped boolean, turned double, mean array<double>, axis array<double>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,6 +178,7 @@ def pca(vectors: DataFrame, by: str, order: str, vec: str = "vec", block_rows: i
         ended, live = state.filter(over), state.filter(~over)
         done = ended if done is None else done.unionByName(ended)
         turn += 1
+    discard(turns)
     return done.select(F.col("g").alias(by), F.coalesce("axis", F.transform("mean", lambda x: F.lit(0.0))).alias("component"), F.col("n").alias("consumed"))
 
 

@@ -19,11 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back, so that it is computed once and survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back, so that it is computed once and survives lost executors.
+
+    With ``by``, a column of integers, each value's rows have a folder of their own: a filter on it reads no other.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
