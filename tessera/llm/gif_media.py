@@ -108,20 +108,23 @@ def lzw_blocks(stream: bytes, bits: int, most: int) -> Iterator[bytes]:
             codes[use] |= flat[starts[use] + i].astype(np.int64) << i
         stop = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stop[0]) if len(stop) else fit
-        out, grow = [], table.append
+        out: list[bytes] = []
+        put, grow, n = out.append, table.append, len(table)
         for code in codes[:upto].tolist():
-            if code < len(table):
+            if code < n:
                 entry = table[code]
-                if prev and len(table) < FULL:
+                if prev and n < FULL:
                     grow(prev + entry[:1])
-            elif code == len(table) and prev and code < FULL:
+                    n += 1
+            elif code == n and prev and n < FULL:
                 entry = prev + prev[:1]
                 grow(entry)
+                n += 1
             else:
                 raise ValueError("code without meaning")
-            out.append(entry)
-            size += len(entry)
+            put(entry)
             prev = entry
+        size += sum(map(len, out))
         read += upto
         if len(stop):
             at = int(ends[upto])
