@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-CLOSERS = {"[": "]", "{": "}"}
-#: Brackets, and strings (closed or not), inside of which brackets don't count.
-BRACKETS = re.compile(r'''"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[\[\]{}]''', re.S)
+DECODER = json.JSONDecoder()
 FENCE, INNER_FENCE = re.compile(r"^\s*```(?:json)?\s*", re.I), re.compile(r"```(?:json)?[ \t]*\n", re.I)
 
 
@@ -62,18 +60,11 @@ def row_texts(raw: Column) -> Column:
 
 
 def _opening_value(text: str) -> str | None:
-    """The value that opens ``text``: up to the bracket that closes its first one, strings left out; null if that isn't JSON."""
-    opener = text[:1]
-    if opener not in CLOSERS:
+    """The value that opens ``text``, whatever stands behind it; null if it is no list or object, or not JSON."""
+    if text[:1] not in ("[", "{"):
         return None
-    depth = 0
-    for m in BRACKETS.finditer(text):
-        depth += (m[0] == opener) - (m[0] == CLOSERS[opener])
-        if depth == 0 and m[0] == CLOSERS[opener]:
-            text = text[: m.end()]
-            break
     try:
-        return json.dumps(json.loads(text), ensure_ascii=False)
+        return json.dumps(DECODER.raw_decode(text)[0], ensure_ascii=False)
     except (ValueError, RecursionError):  # deeper than the parser goes: no reply that anything here can use
         return None
 

@@ -16,7 +16,7 @@ from ..operators.trace import Trace
 from ..sources import vect
 from ..sources.files import html_to_markdown
 from ..streaming import batches, stateful
-from ..tables import delete_folder, materialize, new_folder
+from ..tables import delete_folder, materialize, new_folder, spread
 from . import answer
 
 
@@ -402,7 +402,7 @@ def intent_set(spark, d):
 
 def reply_json(spark, d):
     """The JSON of replies made of every event's properties: plain, fenced, with talk behind it, enveloped, behind talk, nested too deep, cut off, and fenced behind talk."""
-    e = table(spark, d, "events").select("event_id", F.coalesce("props", F.lit("{}")).alias("p"))
+    e = spread(table(spark, d, "events").select("event_id", F.coalesce("props", F.lit("{}")).alias("p")))
     body = F.concat(F.lit('{"event": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("p"), F.lit("}"))
     escaped = F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     kinds = [

@@ -32,6 +32,12 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt into as many parts as the session shuffles into, for work that is not in proportion to a table's bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of results of ``materialize`` that nothing reads any more."""
     for df in tables:
