@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 #: Makes a model.
 Load = Callable[[], Any]
@@ -38,20 +41,54 @@ def forget(key: str) -> None:
         _models.pop(key, None)
 
 
-def model_udf(key: str, load: Load, run: Callable[..., pd.Series | pd.DataFrame], returns: str) -> Callable[..., Column]:
-    """A column function: ``run(model, *columns)`` on Arrow batches, with the worker's own model."""
+#: Rows that are Python objects at once; an Arrow batch has ten thousand, whatever their length.
+ROWS_AT_ONCE = 128
+
 
-    def over(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        held = None
+def sliced(start: Callable[[], Callable[..., pa.Array]], returns: str) -> Callable[..., Column]:
+    """A column function: ``start()`` gives a task's function on Arrow arrays of up to ``ROWS_AT_ONCE`` rows.
+
+    Batches are cut before they become Python objects and what is made of them is Arrow
+    data at once, so a worker's memory goes with the bytes of a batch.
+    """
+
+    def over(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        run = None
         for columns in batches:
-            held = model(key, load) if held is None else held
-            yield run(held, *(columns if isinstance(columns, tuple) else (columns,)))  # a single column comes bare
+            run = start() if run is None else run
+            columns = columns if isinstance(columns, tuple) else (columns,)  # a single column comes bare
+            n = max(1, len(columns[0]))
+            yield pa.concat_arrays([run(*(c.slice(at, ROWS_AT_ONCE) for c in columns)) for at in range(0, n, ROWS_AT_ONCE)])
 
-    over.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame if returns.startswith("struct") else pd.Series]}
-    made = F.pandas_udf(over, returns)
+    over.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(over, returns)
     return lambda *columns: made(*columns)
 
 
+def each_row(function: Callable[..., Any], returns: str) -> Callable[..., Column]:
+    """``function`` of every row's values, by slices."""
+    kind = to_arrow_type(DataType.fromDDL(returns))
+    return sliced(lambda: lambda *columns: pa.array([function(*values) for values in zip(*(c.to_pylist() for c in columns))], kind), returns)
+
+
+def model_udf(key: str, load: Load, run: Callable[..., pd.Series | pd.DataFrame], returns: str) -> Callable[..., Column]:
+    """A column function: ``run(model, *columns)`` on series of up to ``ROWS_AT_ONCE`` rows, with the worker's own model."""
+    spark_type = DataType.fromDDL(returns)
+
+    def start() -> Callable[..., pa.Array]:
+        held = model(key, load)
+
+        def one(*columns: pa.Array) -> pa.Array:
+            got = run(held, *(c.to_pandas() for c in columns))
+            if isinstance(spark_type, StructType):
+                return pa.StructArray.from_arrays([pa.array(got[f.name], to_arrow_type(f.dataType), from_pandas=True) for f in spark_type], names=spark_type.names)
+            return pa.array(got, to_arrow_type(spark_type), from_pandas=True)
+
+        return one
+
+    return sliced(start, returns)
+
+
 def warm(spark: SparkSession, key: str, load: Load, workers: int | None = None) -> DataFrame:
     """Loads a model in ``workers`` processes at once (all slots without it): a row (pid, loaded) for each.
 

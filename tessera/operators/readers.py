@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import Load, model_udf
+from ..functions.registry import Load, each_row, model_udf
 from ..tables import discard, materialize
 
 TEMPLATE = "This text is about {}"
@@ -78,17 +78,13 @@ def _tidy(text: str | None) -> str:
     return unicodedata.normalize("NFC", text or "").strip()
 
 
-def _windows(size: int, stride: int) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<struct<words:array<string>,starts:array<int>,ends:array<int>>>")
-    def cut(contexts: pd.Series) -> pd.Series:
-        out = []
-        for context in contexts:
-            found = [(m[0], m.start(), m.end()) for m in WORD.finditer(_tidy(context))]
-            firsts = range(0, max(1, len(found) - size + stride), stride) if found else ()
-            out.append([dict(zip(("words", "starts", "ends"), map(list, zip(*found[i : i + size])))) for i in firsts])
-        return pd.Series(out)
+def _windows(size: int, stride: int) -> Callable[..., Column]:
+    def cut(context: str | None) -> list[dict]:
+        found = [(m[0], m.start(), m.end()) for m in WORD.finditer(_tidy(context))]
+        firsts = range(0, max(1, len(found) - size + stride), stride) if found else ()
+        return [dict(zip(("words", "starts", "ends"), map(list, zip(*found[i : i + size])))) for i in firsts]
 
-    return cut
+    return each_row(cut, "array<struct<words:array<string>,starts:array<int>,ends:array<int>>>")
 
 
 def extract_answers(pairs: DataFrame, load: Load, *, key: str = "answers", top: int = 1, size: int = WINDOW, stride: int = STRIDE, most_words: int = ANSWER_WORDS) -> DataFrame:
@@ -124,10 +120,7 @@ def extract_answers(pairs: DataFrame, load: Load, *, key: str = "answers", top:
     order = Window.partitionBy("pair_id").orderBy(F.desc("score"), "start", "end")
     first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
-    @F.pandas_udf("string")
-    def tidy(texts: pd.Series) -> pd.Series:
-        return texts.map(_tidy)
-
+    tidy = each_row(_tidy, "string")
     joined = first.join(held.select("pair_id", "context"), "pair_id")
     return joined.select("pair_id", "rank", F.substring(tidy("context"), F.col("start") + 1, F.col("end") - F.col("start")).alias("answer"), "start", "end", "score")
 
@@ -159,9 +152,7 @@ def summarize(texts: DataFrame, load: Load, *, key: str = "summary", id_col: str
     round doesn't shorten, or that isn't done after ``most_rounds``, fails the job.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(held: pd.Series) -> pd.Series:
-        return held.map(lambda t: chunks_of(t, budget))
+    cut = each_row(lambda text: chunks_of(text, budget), "array<string>")
 
     def run(model, chunks: pd.Series) -> pd.Series:
         return pd.Series(list(model(chunks.tolist())), dtype=object)

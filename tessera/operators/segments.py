@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import each_row
 from ..functions.text import HONORIFICS, bucket, word_count
 from ..tables import materialize
 
@@ -80,11 +80,7 @@ def cut_pieces(text: str | None) -> list[dict]:
 
 
 def _pieces(text: Column) -> Column:
-    @F.pandas_udf("array<struct<start:int,end:int,text:string,gap:string,ruled:boolean>>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(cut_pieces)
-
-    return pieces(text)
+    return each_row(cut_pieces, "array<struct<start:int,end:int,text:string,gap:string,ruled:boolean>>")(text)
 
 
 def _segmented(pieces: Column, headers: bool) -> Column:
@@ -216,10 +212,7 @@ def subsegments(docs: DataFrame, id_col: str = "document_id", text_col: str = "c
     """One row per clause, phrase, long word, pair and triplet of them in each sentence: idx, tier, start, end."""
     found = docs.select(F.col(id_col), F.posexplode(_segmented(_pieces(F.col(text_col)), False)).alias("idx", "s"))
 
-    @F.pandas_udf("array<struct<tier:int,start:int,end:int>>")
-    def inside(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("tier", "start", "end"), x)) for x in subsegment(t, a)] for t, a in zip(texts, starts)])
-
+    inside = each_row(lambda text, at: [dict(zip(("tier", "start", "end"), x)) for x in subsegment(text, at)], "array<struct<tier:int,start:int,end:int>>")
     return found.select(id_col, "idx", F.explode(inside("s.text", "s.start")).alias("x")).select(id_col, "idx", "x.*")
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from ..functions.registry import each_row
 from ..functions.text import document_id
 from ..operators.store import VECTORS, append, collisions, from_spec
 from ..tables import materialize
@@ -148,6 +147,5 @@ def to_markdown(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", joined)).strip()
 
 
-@F.pandas_udf(StringType())
-def html_to_markdown(pages: pd.Series) -> pd.Series:
-    return pages.map(to_markdown)
+def html_to_markdown(html: Column | str) -> Column:
+    return each_row(to_markdown, "string")(html)
