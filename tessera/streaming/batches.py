@@ -149,10 +149,12 @@ def respond(submitted: DataFrame, results: DataFrame) -> DataFrame:
     status and text counts. Requests without one, and those of a batch that was given
     up, are errored, with no tokens.
     """
-    marks = results.filter("request_id is null").select("batch_id", F.col("error").alias("_given_up")).dropDuplicates(["batch_id"])
+    # ids of batches may be long: rows are sorted and dealt by a digest, and get the id back at the end
+    batch = F.md5("batch_id").alias("_batch")
+    marks = results.filter("request_id is null").select(batch, "batch_id", F.col("error").alias("_given_up")).dropDuplicates(["_batch"])
     values = F.struct("status", *[c for c in FIELDS[2:] if c != "status"])
-    own = results.filter("request_id is not null").groupBy("batch_id", "request_id").agg(F.min(values).alias("r"))
-    rows = submitted.join(marks, "batch_id").join(own, ["batch_id", "request_id"], "left")
+    own = results.filter("request_id is not null").select(batch, "request_id", values.alias("r")).groupBy("_batch", "request_id").agg(F.min("r").alias("r"))
+    rows = submitted.select(batch, "position", "request_id").join(own, ["_batch", "request_id"], "left").join(marks, "_batch")
     none = F.col("r").isNull()
     status = F.when(none | (F.col("r.status") != "succeeded"), "errored").otherwise("succeeded")
     error = F.when(none, F.coalesce("_given_up", F.lit("no result for this request"))).when(status == "errored", F.coalesce("r.error", F.concat(F.lit("the request "), "r.status")))

@@ -103,3 +103,15 @@ def test_slices_and_strangers(spark, monkeypatch):
     asked = spark.createDataFrame([("b", 1, "x"), ("b", 0, "z"), ("d", 2, "y"), ("e", 3, "y")], "batch_id string, position long, request_id string")
     got = [(r["request_id"], r["status"], r["error"]) for r in batches.respond(asked, results).orderBy("position").collect()]
     assert got == [("z", "errored", "no result for this request"), ("x", "errored", "the request errored"), ("y", "errored", "no result for this request")]
+
+
+def test_long_batch_ids_are_not_dealt_with_every_row(spark):
+    from tessera.streaming.batches import RESULT, respond
+
+    submitted = spark.createDataFrame([("b" * 5000, i, str(i)) for i in range(3)] + [("open", 9, "9")], "batch_id string, position long, request_id string")
+    results = spark.createDataFrame([("b" * 5000, None, "ended", None, *[None] * 6)] + [("b" * 5000, str(i), "succeeded", None, "t", None, 1, 1, 0, 0) for i in range(2)], RESULT)
+    got = respond(submitted, results)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [batch_id" in line or "Join" in line and "(batch_id" in line], plan
+    rows = sorted((r["position"], r["batch_id"] == "b" * 5000, r["status"]) for r in got.collect())
+    assert rows == [(0, True, "succeeded"), (1, True, "succeeded"), (2, True, "errored")]
