@@ -48,8 +48,8 @@ ROWS_AT_ONCE = 128
 def sliced(start: Callable[[], Callable[..., pa.Array]], returns: str) -> Callable[..., Column]:
     """A column function: ``start()`` gives a task's function on Arrow arrays of up to ``ROWS_AT_ONCE`` rows.
 
-    Batches are cut before they become Python objects and what is made of them is Arrow
-    data at once, so a worker's memory goes with the bytes of a batch.
+    Batches are cut before they become Python objects, and what is made of a slice leaves
+    the worker before the next one, so its memory goes with the bytes of an input batch.
     """
 
     def over(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -57,8 +57,8 @@ def sliced(start: Callable[[], Callable[..., pa.Array]], returns: str) -> Callab
         for columns in batches:
             run = start() if run is None else run
             columns = columns if isinstance(columns, tuple) else (columns,)  # a single column comes bare
-            n = max(1, len(columns[0]))
-            yield pa.concat_arrays([run(*(c.slice(at, ROWS_AT_ONCE) for c in columns)) for at in range(0, n, ROWS_AT_ONCE)])
+            for at in range(0, max(1, len(columns[0])), ROWS_AT_ONCE):
+                yield run(*(c.slice(at, ROWS_AT_ONCE) for c in columns))
 
     over.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     made = F.arrow_udf(over, returns)
