@@ -77,5 +77,21 @@ def test_two_consumers_share_a_drain_and_a_stop_keeps_what_waits(spark, tmp_path
     assert [(r["path"], r["joined"]) for r in queue.waiting().collect()] == [("slow", 1)]
 
 
+def test_equal_entries_are_stored_once(spark, tmp_path, monkeypatch):
+    queue, calls = make(spark, tmp_path)
+    queue.enqueue(entries(spark, *[("twin", 0, 1)] * 50, *[("twin", None, 1)] * 3, ("odd", 0, 2), (None, 0, 0)).repartition(7))
+    assert sorted(r["copies"] for r in spark.read.schema(stateful.STORED).json(queue.folder).collect()) == [1, 3, 50]
+    # entries without a number, as other writers leave them, count once
+    spark.createDataFrame([("odd", 0, {"failures": "2"})], stateful.ENTRY).write.mode("append").json(queue.folder)
+    reads = []
+    monkeypatch.setattr(queue, "waiting", lambda of=queue.waiting: reads.append(1) or of())
+    queue.drain(120)
+    assert ends(queue) == [("odd", "succeeded", 2), ("twin", "succeeded", 1)] and len(os.listdir(calls)) == 3 + 2
+    done = queue.done().collect()
+    assert {(r["path"], r["joined"]) for r in done} == {("twin", 52), ("odd", 1)}
+    assert all((r["due"] is None) == (r["outcome"] != "retried") for r in done) and {r["path"]: r["payload"] for r in done} == {"twin": {"failures": "1"}, "odd": {"failures": "2"}}
+    assert len(reads) == 1  # the state is read when nothing is left in it
+
+
 def test_waits_grow():
     assert [stateful.backoff(n, 1.0, 5.0) for n in range(5)] == [1.0, 1.0, 2.0, 4.0, 5.0]
