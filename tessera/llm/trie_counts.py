@@ -3,7 +3,8 @@
 A text is cut into pre-tokens (an optional space and a run without white space,
 or one white-space character). Distinct pre-tokens enter a trie. A node stands
 for a prefix and holds the best score of any segmentation of that prefix, and its
-number of tokens, computed once from the nodes on its path; a pre-token's count
+number of tokens, computed once from the nodes on its path: of these, only where
+a piece begins that ends here, which an automaton over the pieces lists. A pre-token's count
 is read at its terminal. A document's count is the sum over its pre-tokens.
 
 Best: highest sum of piece scores, then fewest tokens. Scores are log-probabilities
@@ -24,8 +25,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import replace
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import partial
 
 import pandas as pd
@@ -45,48 +46,71 @@ def unigram(pieces: Pieces) -> Pieces:
     return replace(pieces, scores={p: -math.log(r + 1) - whole for r, p in enumerate(ranked)})
 
 
+@dataclass(frozen=True)
+class Endings:
+    """Which pieces end at a character: a state stands for the longest end of what was read that begins a piece."""
+
+    step: dict[int, int]  # state << 21 | code point -> state
+    shorter: list[int]  # state -> that of the next shorter end
+    pieces: list[tuple[tuple[int, float], ...]]  # state -> (characters, score) of the pieces that end here
+    single: frozenset[int]  # code points that are pieces
+    unknown: float
+
+
+def endings(scores: dict[str, float]) -> Endings:
+    """Grows with the vocabulary, not with the corpus."""
+    begins = sorted({piece[:n] for piece in scores for n in range(1, len(piece) + 1)}, key=len)
+    state, step, shorter, found = {"": 0}, {}, [0], [()]
+    for begin in begins:
+        state[begin] = step[state[begin[:-1]] << 21 | ord(begin[-1])] = len(shorter)
+        shorter.append(next(state[begin[n:]] for n in range(1, len(begin) + 1) if begin[n:] in state))
+        found.append((((len(begin), scores[begin]),) if begin in scores else ()) + found[shorter[-1]])
+    return Endings(step, shorter, found, frozenset(ord(p) for p in scores if len(p) == 1), min(scores.values()) - 10.0)
+
+
 class UnigramTrie:
-    """Counts of pre-tokens under ``pieces``, whose scores are log-probabilities."""
+    """Counts of pre-tokens under pieces whose scores are log-probabilities, or under their ``endings``."""
 
-    def __init__(self, pieces: Pieces):
-        self.scores, self.longest = pieces.scores, pieces.longest
-        self.unknown = min(pieces.scores.values()) - 10.0
+    def __init__(self, pieces: Pieces | Endings):
+        self.ends = pieces if isinstance(pieces, Endings) else endings(pieces.scores)
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
-        self.score, self.tokens = [0.0], [0]
+        self.score, self.tokens, self.state = [0.0], [0], [0]
         self.terminal: dict[str, int] = {}
 
-    def step(self, word: str, i: int, score, tokens) -> tuple[float, int]:
-        """Best score and tokens of ``word[:i + 1]`` from those of its prefixes (``score(j)``, ``tokens(j)``)."""
-        c, scores = word[i], self.scores
-        best, count = None, 0
-        for j in range(max(0, i + 1 - self.longest), i + 1):
-            if (s := scores.get(word[j : i + 1])) is not None:
-                total, n = score(j) + s, tokens(j) + 1
-                if best is None or total > best or total == best and n < count:
-                    best, count = total, n
-        if c not in scores:
-            total, n = score(i) + self.unknown, tokens(i) + len(c.encode("utf-8", "surrogatepass"))
-            if best is None or total > best or total == best and n < count:
-                best, count = total, n
-        return best, count
+    def step(self, c: int, state: int, path: Sequence[int], score: list[float], tokens: list[int]) -> int:
+        """Appends the best score and tokens of a prefix that ends in ``c`` to those of its prefixes,
+        which ``path`` finds, shortest first; its state, from theirs."""
+        ends = self.ends
+        step, shorter = ends.step, ends.shorter
+        while (to := step.get(state << 21 | c)) is None and state:
+            state = shorter[state]
+        state, best, count = to or 0, None, 0
+        for n, s in ends.pieces[state]:
+            at = path[-n]
+            total, k = score[at] + s, tokens[at] + 1
+            if best is None or total > best or total == best and k < count:
+                best, count = total, k
+        if c not in ends.single:
+            total, k = score[path[-1]] + ends.unknown, tokens[path[-1]] + len(chr(c).encode("utf-8", "surrogatepass"))
+            if best is None or total > best or total == best and k < count:
+                best, count = total, k
+        score.append(best)
+        tokens.append(count)
+        return state
 
     def insert(self, word: str) -> int:
         """Adds a pre-token (spaces written as U+2581); its number of tokens."""
-        path, child = [0], self.child
-        score, tokens = self.score, self.tokens
-        for i, c in enumerate(word):
-            key = path[-1] << 21 | ord(c)
-            node = child.get(key)
-            if node is None:
-                best, count = self.step(word, i, lambda j: score[path[j]], lambda j: tokens[path[j]])
-                child[key] = node = len(score)
-                score.append(best)
-                tokens.append(count)
-            path.append(node)
-        return tokens[path[-1]]
+        path, child, node = [0], self.child, 0
+        for c in map(ord, word):
+            key = node << 21 | c
+            if (to := child.get(key)) is None:
+                child[key] = to = len(self.score)
+                self.state.append(self.step(c, self.state[node], path, self.score, self.tokens))
+            path.append(node := to)
+        return self.tokens[node]
 
     def count(self, pre_token: str) -> int:
         found = self.terminal.get(pre_token)
@@ -94,11 +118,9 @@ class UnigramTrie:
             return found
         word = pre_token.replace(" ", SPACE)
         if len(word) > TRIE_CHARS:
-            score, tokens = [0.0], [0]
-            for i in range(len(word)):
-                best, n = self.step(word, i, score.__getitem__, tokens.__getitem__)
-                score.append(best)
-                tokens.append(n)
+            score, tokens, state = [0.0], [0], 0
+            for i, c in enumerate(map(ord, word)):
+                state = self.step(c, state, range(i + 1), score, tokens)
             return tokens[-1]
         if len(self.score) > MAX_NODES:
             self.clear()
@@ -106,8 +128,8 @@ class UnigramTrie:
         return found
 
 
-def _count(batches: Iterator[pd.DataFrame], pieces) -> Iterator[pd.DataFrame]:
-    trie = UnigramTrie(pieces.value)
+def _count(batches: Iterator[pd.DataFrame], ends) -> Iterator[pd.DataFrame]:
+    trie = UnigramTrie(ends.value)
     for pdf in batches:
         n_pre, n_tokens = [], []
         for text in pdf["text"].tolist():
@@ -119,7 +141,7 @@ def _count(batches: Iterator[pd.DataFrame], pieces) -> Iterator[pd.DataFrame]:
 
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """Per row: doc_id, n_pretokens, n_tokens."""
-    pieces = docs.sparkSession.sparkContext.broadcast(unigram(load_pieces(model_path)))
+    ends = docs.sparkSession.sparkContext.broadcast(endings(unigram(load_pieces(model_path)).scores))
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(partial(_count, pieces=pieces), "doc_id string, n_pretokens long, n_tokens long")
+    out = rows.mapInPandas(partial(_count, ends=ends), "doc_id string, n_pretokens long, n_tokens long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

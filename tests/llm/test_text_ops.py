@@ -1,5 +1,6 @@
 """Line dedup, SimHash, mixing, encoding and token counts against brute force."""
 
+import dataclasses
 import math
 import random
 import zlib
@@ -285,6 +286,26 @@ def brute_count(word, pieces, unknown):
     return -best[-1][1]
 
 
+def test_only_pieces_that_end_at_a_character_are_met(pieces):
+    scores = {p: -1.0 - i / 7 for i, p in enumerate(["a", "ab", "abcd", "bc", "bcx", "c", "cd", "\U0001f600", "x\u2581"])}
+    ends = trie_counts.endings(scores)
+    for word in ("abcdbcxabcd", "zzabczbcx", "", "\U0001f600ab\ud800c", "x\u2581\u2581x\u2581a"):
+        state = 0
+        for i, c in enumerate(word):
+            while (to := ends.step.get(state << 21 | ord(c))) is None and state:
+                state = ends.shorter[state]
+            state = to or 0
+            there = sorted((i + 1 - j, scores[word[j : i + 1]]) for j in range(i + 1) if word[j : i + 1] in scores)
+            assert sorted(ends.pieces[state]) == there
+    # a new node costs as many steps as pieces end there, not as the longest piece has characters
+    ends, met = trie_counts.endings(trie_counts.unigram(pieces).scores), []
+    trie = trie_counts.UnigramTrie(ends)
+    trie.ends = dataclasses.replace(ends, pieces=type("Counted", (), {"__getitem__": lambda _, s: met.append(len(ends.pieces[s])) or ends.pieces[s]})())
+    for word in ("international", "zqxjkvzqxjkv", "internationally"):
+        assert trie.count(" " + word) == brute_count(SPACE + word, trie_counts.unigram(pieces), ends.unknown)
+    assert len(met) == 14 + 12 + 2 == len(trie.score) - 1 and sum(met) < len(met) * pieces.longest / 3
+
+
 def test_token_counts_match_brute_force(spark, pieces, monkeypatch):
     ranked = sorted(pieces.ids, key=lambda p: (-pieces.scores[p], pieces.ids[p]))
     whole = sum(1 / n for n in range(1, len(ranked) + 1))
