@@ -13,9 +13,12 @@ only ranks, so a piece of rank r gets a probability in proportion to 1 / (r + 1)
 (Zipf's law); they sum to 1. A character without a
 piece costs ``min score - 10`` and counts its UTF-8 bytes (byte fallback).
 
-The trie of a worker is bounded: it starts anew at ``MAX_NODES`` nodes, and
-pre-tokens over ``TRIE_CHARS`` characters are scored by the same recurrence
-without it. Neither changes a count. Nulls: a null text counts 0 pre-tokens and
+New pre-tokens of a run of texts are sorted and enter tries of ``ROWS`` words,
+whose nodes are scored depth by depth as arrays; a few go into a trie one by one.
+A worker keeps the counts of at most ``MAX_WORDS`` pre-tokens besides those of a
+run, and starts anew beyond that, as its one trie does at ``MAX_NODES`` nodes.
+Pre-tokens over ``TRIE_CHARS`` characters are scored by the same recurrence
+without a trie. None of this changes a count. Nulls: a null text counts 0 pre-tokens and
 0 tokens, like an empty one; ids pass through, null or not. Repeated rows give
 equal rows; an empty table gives an empty result; other columns are ignored.
 """
@@ -24,11 +27,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,10 @@ from .pieces import MODEL_PATH, SPACE, Pieces, load_pieces
 
 PRE_TOKEN = re.compile(r" ?\S+|\s")
 MAX_NODES, TRIE_CHARS = 400_000, 64
+#: Counts that a worker keeps, words whose trie is built at once, characters of text whose words are gathered.
+MAX_WORDS, ROWS, SLICE_CHARS = 400_000, 1 << 15, 1 << 22
+#: So few new words enter a trie one by one.
+FEW_WORDS = 256
 
 
 def unigram(pieces: Pieces) -> Pieces:
@@ -128,14 +135,119 @@ class UnigramTrie:
         return found
 
 
+class WordCounts:
+    """Counts of many pre-tokens at a time: a trie's nodes of one depth are scored together, as arrays."""
+
+    def __init__(self, ends: Endings):
+        self.trie = UnigramTrie(ends)
+        self.known: dict[str, int] = {}
+        keys = sorted(ends.step)
+        self.keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([*map(ends.step.__getitem__, keys), 0], np.int64)
+        self.shorter = np.array(ends.shorter, np.int64)
+        self.n_pieces = np.array([len(p) for p in ends.pieces], np.int64)
+        self.first = np.cumsum(self.n_pieces) - self.n_pieces
+        self.chars = np.array([n for p in ends.pieces for n, _ in p], np.int64)
+        self.costs = np.array([s for p in ends.pieces for _, s in p], np.float64)
+        self.single = np.zeros(0x110000, bool)
+        self.single[list(ends.single)] = True
+        self.unknown = ends.unknown
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the counts of words that are not known."""
+        arrays = len(words) >= FEW_WORDS
+        short = sorted(w for w in words if len(w) <= TRIE_CHARS) if arrays else []
+        for at in range(0, len(short), ROWS):
+            rows = short[at : at + ROWS]
+            self.known.update(zip(rows, self.sorted_counts(rows).tolist()))
+        for w in words:
+            if not arrays or len(w) > TRIE_CHARS:
+                self.known[w] = self.trie.count(w)
+
+    def move(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after one more character."""
+        out, todo = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(todo):
+            key = state << 21 | c[todo]
+            at = self.keys.searchsorted(key)
+            found = self.keys[at] == key
+            out[todo[found]] = self.to[at[found]]
+            on = ~found & (state > 0)
+            todo, state = todo[on], self.shorter[state[on]]
+        return out
+
+    def sorted_counts(self, words: list[str]) -> np.ndarray:
+        """The numbers of tokens of sorted words. A node stands at the first word of those with its prefix."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        deepest = int(size.max())
+        code = np.full((len(words), deepest), -1, np.int64)
+        code[np.arange(deepest) < size[:, None]] = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), "<u4")
+        differs = code[1:] != code[:-1]
+        shared = np.append(0, np.where(differs.any(axis=1), differs.argmax(axis=1), deepest))  # characters, with the word before
+        code = np.ascontiguousarray(code.T)
+        n_nodes = 1 + int((size - np.minimum(shared, size)).sum())
+        score, tokens, state = np.zeros(n_nodes), np.zeros(n_nodes, np.int64), np.zeros(n_nodes, np.int64)
+        node = np.zeros((deepest + 1, len(words)), np.int32)  # of a word's prefix of so many characters
+        end = 1
+        for depth in range(1, deepest + 1):
+            begins = (shared < depth) & (size >= depth)
+            node[depth] = np.cumsum(begins) + (end - 1)
+            at = np.flatnonzero(begins)
+            c, before = code[depth - 1][at], node[depth - 1][at]
+            to = self.move(state[before], c)
+            best, count = np.full(len(at), -np.inf), np.zeros(len(at), np.int64)
+
+            def take(of, total, k):
+                better = (total > best[of]) | (total == best[of]) & (k < count[of])
+                best[of[better]], count[of[better]] = total[better], k[better]
+
+            n_pieces, j = self.n_pieces[to], 0
+            while len(of := np.flatnonzero(n_pieces > j)):
+                piece = self.first[to[of]] + j
+                begin = node[depth - self.chars[piece], at[of]]
+                take(of, score[begin] + self.costs[piece], tokens[begin] + 1)
+                j += 1
+            of = np.flatnonzero(~self.single[c])
+            utf8 = 1 + (c[of] > 0x7F) + (c[of] > 0x7FF) + (c[of] > 0xFFFF)
+            take(of, score[before[of]] + self.unknown, tokens[before[of]] + utf8)
+            score[end : end + len(at)], tokens[end : end + len(at)], state[end : end + len(at)] = best, count, to
+            end += len(at)
+        return tokens[node[size, np.arange(len(words))]]
+
+    def documents(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+        """Pre-tokens and tokens of each text."""
+        words = [PRE_TOKEN.findall(t or "") for t in texts]
+        met = set().union(*words)
+        new = [w for w in met if w not in self.known]
+        if len(self.known) + len(new) > MAX_WORDS:
+            self.known.clear()
+            new = list(met)
+        self.learn(new)
+        known = self.known.__getitem__
+        return [len(w) for w in words], [sum(map(known, w)) for w in words]
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``SLICE_CHARS`` characters, one text at least."""
+    run, chars = [], 0
+    for t in texts:
+        run.append(t)
+        chars += len(t or "")
+        if chars >= SLICE_CHARS:
+            yield run
+            run, chars = [], 0
+    if run:
+        yield run
+
+
 def _count(batches: Iterator[pd.DataFrame], ends) -> Iterator[pd.DataFrame]:
-    trie = UnigramTrie(ends.value)
+    counts = WordCounts(ends.value)
     for pdf in batches:
         n_pre, n_tokens = [], []
-        for text in pdf["text"].tolist():
-            words = PRE_TOKEN.findall(text or "")
-            n_pre.append(len(words))
-            n_tokens.append(sum([n * trie.count(w) for w, n in Counter(words).items()]))
+        for texts in _slices(pdf["text"].tolist()):
+            pre, tokens = counts.documents(texts)
+            n_pre += pre
+            n_tokens += tokens
         yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_pretokens": n_pre, "n_tokens": n_tokens})
 
 

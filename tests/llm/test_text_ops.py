@@ -331,6 +331,33 @@ def test_token_counts_match_brute_force(spark, pieces, monkeypatch):
     assert sorted((str(r[0]), r[1], r[2]) for r in trie_counts.count_tokens(clashing).collect()) == sorted(want)
 
 
+def test_new_words_are_scored_as_arrays(pieces, monkeypatch):
+    pieces = trie_counts.unigram(pieces)
+    ends = trie_counts.endings(pieces.scores)
+    r = random.Random(5)
+    letters = "aeinorst" * 9 + "\u2581\x00\u00e9\u65e5\u672c\U0001f600-9"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 12))) for _ in range(40)) for _ in range(60)]
+    texts += ["international\tinternationally  internation", None, "", " \n ", "z" * 70 + " " + "z" * 63, texts[0]]
+    split = [trie_counts.PRE_TOKEN.findall(t or "") for t in texts]
+    unknown = min(pieces.scores.values()) - 10
+    want = [sum(brute_count(w.replace(" ", SPACE), pieces, unknown) for w in words) for words in split]
+    stepped = []
+    step = trie_counts.UnigramTrie.step
+    monkeypatch.setattr(trie_counts.UnigramTrie, "step", lambda self, c, *a: stepped.append(c) or step(self, c, *a))
+    assert trie_counts.WordCounts(ends).documents(texts) == ([len(w) for w in split], want)
+    assert len(stepped) == 70  # only the word over TRIE_CHARS goes through a node at a time
+    monkeypatch.setattr(trie_counts, "FEW_WORDS", 1)
+    for most, rows, chars in ((10, 7, 50), (300, 1, 1), (400_000, 1 << 15, 1 << 22)):
+        for name, value in (("MAX_WORDS", most), ("ROWS", rows), ("SLICE_CHARS", chars)):
+            monkeypatch.setattr(trie_counts, name, value)
+        counts, got = trie_counts.WordCounts(ends), []
+        for run in trie_counts._slices(texts):
+            got += counts.documents(run)[1]
+        assert got == want
+    odd = sorted({"\ud800a", "a\udfff\ud800", "\uffff", "\x7f\x80", "\u07ff\u0800", "\U0010ffff" * 3})
+    assert trie_counts.WordCounts(ends).sorted_counts(odd).tolist() == [trie_counts.UnigramTrie(ends).count(w) for w in odd]
+
+
 def test_held_out_rows_follow_crc32(spark):
     from tessera.llm import byte_cnn
 
