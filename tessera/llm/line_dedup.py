@@ -118,15 +118,20 @@ def _bitmaps(hashes: Column, n: Column) -> list[Column]:
     return [F.when(n <= SMALL, whole).otherwise(low), F.when(n <= SMALL, none).otherwise(high)]
 
 
-def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
-    """(key, line, size, bitmap) for the keys of the prefix of each of ``lines`` (line, words, odd); ``size`` holds the number of words over the place."""
+def _sorted_keys(hashes: Column, levels: list[int]) -> Column:
+    """The keys of hashes, rarest first. None is null by type, so that they are sorted as plain numbers, not as objects."""
     # small numbers: the table stands in every description of the plan that the driver keeps
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    level = lambda h: F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
+
+
+def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
+    """(key, line, size, bitmap) for the keys of the prefix of each of ``lines`` (line, words, odd); ``size`` holds the number of words over the place."""
     # explode_outer holds the hashes as a column, so that they aren't made anew for each use
     hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words"), F.col("odd")))).alias("hashes"))
     n = F.size("hashes")
-    prefix = F.slice(F.sort_array(F.transform("hashes", key)), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    prefix = F.slice(_sorted_keys(F.col("hashes"), levels), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     keyed = hashed.select("line", n.alias("n"), *[x.alias(c) for x, c in zip(_bitmaps(F.col("hashes"), n), BITS)], prefix.alias("prefix"))
     entries = keyed.select("line", "n", *BITS, F.posexplode_outer("prefix").alias("place", "key"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))

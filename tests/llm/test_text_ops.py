@@ -101,6 +101,17 @@ def test_line_dedup_group_of_near_copies(spark):
     assert {r["doc_id"]: r["text"] for r in got} == {i: want[i, t] for i, t, _ in rows}
 
 
+def test_line_keys_are_sorted_as_plain_numbers(spark):
+    r = random.Random(3)
+    levels = [r.randrange(32) for _ in range(line_dedup.BUCKETS)]
+    lines = frame(spark, [(1, "The the  of \t one\x0btwo", "a"), (2, " ".join(f"w{i}" for i in range(300)), "a"), (3, "", "a")])
+    words = lines.select(line_dedup.words_of(F.col("text"), line_dedup.odd_space(F.col("text"))).alias("hashes"))
+    got = words.select("hashes", line_dedup._sorted_keys(F.col("hashes"), levels).alias("keys"))
+    assert not got.schema["keys"].dataType.containsNull
+    for row in got.collect():
+        assert row["keys"] == sorted(levels[h & (line_dedup.BUCKETS - 1)] << 58 | (h % (1 << 64)) >> 6 for h in row["hashes"])
+
+
 def test_line_dedup_empty_and_pipeline_form(spark):
     empty = frame(spark, []).withColumn("line_no", F.lit(1))
     assert line_dedup.drop_repeated_lines(empty).count() == 0
