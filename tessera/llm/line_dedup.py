@@ -38,17 +38,18 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, cut, discard, fresh
 
 THRESHOLD = 0.8
 #: Hash buckets that count tokens, and the bits of a key by which entries meet.
-BUCKETS, KEY_BITS = 1 << 16, 40
+BUCKETS, KEY_BITS = 1 << 18, 40
 BITS = ["bits0", "bits1"]
 #: Up to so many words, 64 bits of parity tell lines apart.
-SMALL = 64
+SMALL = 96
 LAST_ID = (1 << 63) - 1
 HAS_WORD = r"[^\x20\x09-\x0D]"
 WHITE = "\t\x0b\f\r"
@@ -65,9 +66,19 @@ def split_words(line: Column, odd: Column) -> Column:
     return F.split(F.when(odd, F.translate(lower, WHITE, " " * len(WHITE))).otherwise(lower), " ")
 
 
+def hashes_of(line: Column, odd: Column) -> Column:
+    """64-bit hashes of ``split_words``."""
+    return F.transform(split_words(line, odd), lambda w: F.xxhash64(w))
+
+
+def distinct_words(hashes: Column) -> Column:
+    """Each of ``hashes_of`` once, without the empty string's."""
+    return F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
+
+
 def words_of(line: Column, odd: Column) -> Column:
     """64-bit hashes of the distinct lower-cased words."""
-    return F.array_except(F.transform(split_words(line, odd), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    return distinct_words(hashes_of(line, odd))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -92,7 +103,7 @@ def with_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line, words, odd): the text of each of ``lines`` (id, text_hash, line_no, line), from the bucketed documents."""
     asked = lines.groupBy("id", "text_hash").agg(F.collect_list(F.struct("line_no", "line")).alias("asked"))
     # explode_outer holds the split text as a column, so that it isn't split anew for each line
-    split = asked.join(texts, ["id", "text_hash"]).select("asked", "odd", F.explode_outer(F.array(F.split("text", "\n"))).alias("all"))
+    split = asked.hint("shuffle_hash").join(texts, ["id", "text_hash"]).select("asked", "odd", F.explode_outer(F.array(F.split("text", "\n"))).alias("all"))
     found = F.transform("asked", lambda x: F.struct(x["line"].alias("line"), F.get("all", x["line_no"]).alias("words")))
     return split.select("odd", F.explode_outer(found).alias("x")).select("x.*", "odd")
 
@@ -120,16 +131,20 @@ def _bitmaps(hashes: Column, n: Column) -> list[Column]:
 
 def _sorted_keys(hashes: Column, levels: list[int]) -> Column:
     """The keys of hashes, rarest first. None is null by type, so that they are sorted as plain numbers, not as objects."""
-    # small numbers: the table stands in every description of the plan that the driver keeps
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    level = lambda h: F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+    # a session variable: typed out as a literal, the table would stand in every description of the plan that the driver keeps
+    spark = SparkSession.active()
+    spark.sql("DECLARE OR REPLACE VARIABLE line_dedup_levels ARRAY<TINYINT>")
+    spark.sql("SET VARIABLE line_dedup_levels = (SELECT levels FROM {table})", table=spark.createDataFrame(pa.table({"levels": pa.array([levels], pa.list_(pa.int8()))})))
+    table = F.expr("line_dedup_levels")
+    level = lambda h: F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("byte")).cast("long")
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
 
 
 def _entries(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """(key, line, size, bitmap) for the keys of the prefix of each of ``lines`` (line, words, odd); ``size`` holds the number of words over the place."""
-    # explode_outer holds the hashes as a column, so that they aren't made anew for each use
-    hashed = lines.select("line", F.explode_outer(F.array(words_of(F.col("words"), F.col("odd")))).alias("hashes"))
+    # explode_outer holds the hashes as a column, so that they aren't made anew for each use; apart, array_except is compiled
+    hashed = lines.select("line", F.explode_outer(F.array(hashes_of(F.col("words"), F.col("odd")))).alias("all"))
+    hashed = hashed.select("line", F.explode_outer(F.array(distinct_words(F.col("all")))).alias("hashes"))
     n = F.size("hashes")
     prefix = F.slice(_sorted_keys(F.col("hashes"), levels), 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     keyed = hashed.select("line", n.alias("n"), *[x.alias(c) for x, c in zip(_bitmaps(F.col("hashes"), n), BITS)], prefix.alias("prefix"))
@@ -254,15 +269,17 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     kept = kept_lines(texts, threshold=threshold).groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("nos"))
     kept = kept.select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "nos")
-    joined = docs.join(kept, (docs[key] == kept["kept_id"]) & (docs[text_hash] == kept["kept_hash"]), "left")
+    joined = docs.join(kept.hint("shuffle_hash"), (docs[key] == kept["kept_id"]) & (docs[text_hash] == kept["kept_hash"]), "left")
     text, nos = docs[text_col], F.coalesce(kept["nos"], F.array().cast("array<int>"))
     # explode_outer holds the split text as a column, so that it isn't split anew for each line
     split, stay = F.col(all_lines), F.col(staying)
     joined = joined.select(*docs.columns, nos.alias(staying), F.explode_outer(F.array(F.split(text, "\n"))).alias(all_lines))
     # the places of the lines that stay: kept ones, and those without a word
     wordless = F.filter(F.transform(split, lambda line, i: F.when(~line.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn(staying, F.explode_outer(F.array(F.sort_array(F.array_union(stay, wordless)))))
-    out = [F.col(c) if c != text_col else F.when(F.col(c).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).alias(c) for c in columns]
+    whole = F.size(stay) == F.size(split)
+    joined = joined.withColumn(staying, F.explode_outer(F.array(F.when(whole, stay).otherwise(F.sort_array(F.array_union(stay, wordless))))))
+    fewer = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    out = [F.col(c) if c != text_col else F.when(F.col(c).isNull() | whole, F.col(c)).otherwise(fewer).alias(c) for c in columns]
     if lines_col:
         out.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias(lines_col))
     if kept_col:

@@ -112,6 +112,19 @@ def test_line_keys_are_sorted_as_plain_numbers(spark):
         assert row["keys"] == sorted(levels[h & (line_dedup.BUCKETS - 1)] << 58 | (h % (1 << 64)) >> 6 for h in row["hashes"])
 
 
+def test_line_keys_leave_the_table_out_of_the_plan(spark):
+    keys = spark.range(1).select(line_dedup._sorted_keys(F.array(F.xxhash64("id")), [31] * line_dedup.BUCKETS).alias("keys"))
+    assert len(keys._jdf.queryExecution().toString()) < 10_000
+    assert keys.collect()[0]["keys"][0] >> 58 == 31
+
+
+def test_line_dedup_leaves_white_space_as_it_is(spark):
+    rows = [(1, "Alpha  beta\tgamma ", "a"), (2, "\nAlpha beta gamma\n \x0b\ndelta  epsilon\r\n", "a"), (3, "\n\n", "a"), (4, "zeta\neta", "a")]
+    got = line_dedup.drop_repeated_lines(frame(spark, rows), lines_col="n_lines", kept_col="n_kept").collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in got} == {
+        1: ("Alpha  beta\tgamma ", 1, 1), 2: ("\n \x0b\ndelta  epsilon\r\n", 5, 4), 3: ("\n\n", 3, 3), 4: ("zeta\neta", 2, 2)}
+
+
 def test_line_dedup_empty_and_pipeline_form(spark):
     empty = frame(spark, []).withColumn("line_no", F.lit(1))
     assert line_dedup.drop_repeated_lines(empty).count() == 0
