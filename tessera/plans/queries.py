@@ -516,14 +516,14 @@ def partition_report(spark, d):
 def spell_suggest(spark, d):
     """Every word of the documents, in small letters, that stands fewer than ten times, against those that stand ten times or more."""
     known = materialize(spelling.vocabulary(table(spark, d, "documents")), "vocabulary")
-    return spelling.suggest(known.select(F.lower("word").alias("word")), spelling.frequent_words(known, 10))
+    return spelling.suggest(known.select(spelling.small("word").alias("word")), spelling.frequent_words(known, 10))
 
 
 def spell_correct(spark, d):
     """Every document with its words corrected: a map that parts words of over twelve letters, then the documents' own frequent words."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     known = materialize(spelling.vocabulary(docs), "vocabulary")
-    long = known.filter(F.length("word") > 12).select(F.lower("word").alias("word")).distinct()
+    long = known.filter(F.length("word") > 12).select(spelling.small("word").alias("word")).distinct()
     slips = long.withColumn("fix", F.concat(F.substring("word", 1, 12), F.lit("-"), F.substring(F.col("word"), F.lit(13), F.length("word"))))
     got = spelling.correct(docs, spelling.frequent_words(known, 10), slips, known=known)
     return got.select("doc_id", F.length("corrected").alias("n_chars"), F.md5(F.col("corrected").cast("binary")).alias("digest"))
