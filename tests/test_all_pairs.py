@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import blocked, search, store
-from tessera.plans.queries import QUERIES, queries_of, vectors_of
+from tessera.plans.queries import QUERIES, queries_of, r6_f32, vectors_of
 
 QUERY = "query_id long, vec array<float>"
 
@@ -60,3 +60,19 @@ def test_the_first_hits_are_all_that_a_cut_reads(spark):
     whole = search.prune(hits).select("query_id", "document_id", "range_start", "range_end", "rank", F.round("score", 6))
     assert sorted(map(tuple, QUERIES["adaptive_prune"](spark, d).collect())) == sorted(map(tuple, whole.collect()))
     assert sorted(map(tuple, QUERIES["entropy_effective_count"](spark, d).collect())) == sorted(map(tuple, search.entropy_count(hits).collect()))
+
+
+def test_scores_are_rounded_as_decimals_are(spark):
+    """Without a decimal number for each of the all-pairs rows: halves go away from zero, and zeros have no sign."""
+    r = np.random.default_rng(6)
+    halves = np.arange(-300, 300) / 128
+    # floats beside a half of the seventh digit, and of every size
+    beside = (np.arange(-2000, 2000) * 977 * 2 + 1) * 5e-7
+    drawn = [r.normal(size=20_000) * 10.0**k for k in (-9, -6, -1, 0, 3, 8, 12)]
+    odd = [0.0, -0.0, 1e-9, -1e-9, 5e-7, -5e-7, 4.9999997e-7, 1e9, -1e9, 999999999.0, 3e38, -3e38, 1e-45, np.inf, -np.inf, np.nan]
+    values = np.concatenate([halves, np.nextafter(halves.astype(np.float32), np.float32(9)), np.nextafter(halves.astype(np.float32), np.float32(-9)), beside, *drawn, odd]).astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "score double")
+    bits = lambda c: F.hex(F.encode(c.cast("string"), "utf-8"))
+    assert rows.filter(~bits(r6_f32("score")).eqNullSafe(bits(F.round("score", 6)))).count() == 0
+    plan = QUERIES["section_score_max"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR(" in plan
